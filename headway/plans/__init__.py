@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("views",)
+AREAS = ("views", "traffic")
 
 
 def load_all():
