@@ -48,3 +48,13 @@ def exclusive_quartiles(df: DataFrame, value: str, prefix: str = "q") -> DataFra
             F.when(n > 1, ((low * (4 - weight) + high * weight) / 4)).otherwise(single).cast("long").alias(f"{prefix}{i}")
         )
     return ranked.agg(*parts)
+
+
+def continuous_percentile(df: DataFrame, value: str, p: float) -> Column:
+    """Exact interpolated percentile at position p(n-1), as a scalar column."""
+    ranked = dense_index(df.select(value).filter(F.col(value).isNotNull()), value, name="_pos")
+    n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
+    at = (n - 1) * p
+    low = F.max(F.when(F.col("_pos") == F.floor(at), F.col(value)))
+    high = F.max(F.when(F.col("_pos") == F.ceil(at), F.col(value)))
+    return ranked.agg((low + (high - low) * (at - F.floor(at))).alias("q")).scalar()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("views", "traffic")
+AREAS = ("views", "traffic", "anomaly")
 
 
 def load_all():
