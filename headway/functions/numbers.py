@@ -30,3 +30,12 @@ def count_if(condition: Column) -> Column:
 
 def cap_one(value: Column) -> Column:
     return F.least(value, F.lit(1.0))
+
+
+def decimal_round(value: Column, places: int) -> Column:
+    """Round half away from zero as exact decimals would.
+
+    The first, finer rounding removes binary noise, so that a sum that is a decimal half in
+    exact arithmetic is still seen as one.
+    """
+    return F.round(F.round(value, places + 6), places)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("views", "traffic", "anomaly")
+AREAS = ("views", "traffic", "anomaly", "scores")
 
 
 def load_all():

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headway.functions.numbers import decimal_round
 from headway.sources.mapping import CTES, TransitTables
 
 Plan = Callable[[TransitTables], DataFrame]
@@ -52,7 +53,7 @@ def _spark_column(name: str, kind: str):
         return c.cast("int").cast("long").alias(name)
     if kind == "s":
         return c.cast("string").alias(name)
-    return F.round(c.cast("double"), int(kind[1:])).alias(name)
+    return decimal_round(c.cast("double"), int(kind[1:])).alias(name)
 
 
 def _sql_column(name: str, kind: str) -> str:
