@@ -39,3 +39,8 @@ def decimal_round(value: Column, places: int) -> Column:
     exact arithmetic is still seen as one.
     """
     return F.round(F.round(value, places + 6), places)
+
+
+def even_round(value: Column, places: int) -> Column:
+    """Round halves to the even neighbour, after removing binary noise."""
+    return F.bround(F.round(value, places + 6), places)

@@ -19,7 +19,7 @@ from headway.functions.calendar import (
     day_type,
     month_filter,
 )
-from headway.functions.numbers import at_least_one, ratio
+from headway.functions.numbers import at_least_one, even_round, ratio
 from headway.operators.joins import best_per_group, in_district, top_n
 from headway.operators.ranking import continuous_percentile
 
@@ -52,7 +52,7 @@ def demand_top(
     mean = stops.agg((at_least_one(F.sum(name)) / at_least_one(F.count(F.lit(1)))).alias("m")).scalar()
     listed = stops.filter(F.col(name) > 0) if hours else stops
     return ranked(
-        top_n(listed.withColumn("vs_average", F.bround(F.col(name) / mean, 1)), n, F.desc(name), F.asc("station_id")),
+        top_n(listed.withColumn("vs_average", even_round(F.col(name) / mean, 1)), n, F.desc(name), F.asc("station_id")),
         name,
     )
 

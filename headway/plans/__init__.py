@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("views", "traffic", "anomaly", "scores")
+AREAS = ("views", "traffic", "anomaly", "scores", "od")
 
 
 def load_all():
