@@ -56,3 +56,28 @@ def in_multipolygon(lon: Column, lat: Column, polygons: Column) -> Column:
         return hits % 2 == 1
 
     return F.exists(polygons, inside)
+
+
+def on_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    """The point lies on an edge of the ring."""
+    edges = F.zip_with(
+        F.slice(ring, F.lit(1), F.size(ring) - 1),
+        F.slice(ring, F.lit(2), F.size(ring) - 1),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    )
+
+    def touches(edge: Column) -> Column:
+        a, b = edge["a"], edge["b"]
+        cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+        between = lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(
+            F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])
+        )
+        return (cross == 0) & between
+
+    return F.exists(edges, touches)
+
+
+def strictly_within(lon: Column, lat: Column, polygons: Column) -> Column:
+    """Inside the multipolygon and not on its boundary."""
+    edge = F.exists(F.flatten(polygons), lambda ring: on_ring(lon, lat, ring))
+    return in_multipolygon(lon, lat, polygons) & ~edge

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("views", "traffic", "anomaly", "scores", "od", "ingest")
+AREAS = ("views", "traffic", "anomaly", "scores", "od", "ingest", "graph")
 
 
 def load_all():
