@@ -115,3 +115,13 @@ def relative_date(phrase: Column, offsets: dict[str, int], today: str | dt.date)
     """Word such as ``yesterday`` to a date, counted from a given clock."""
     table = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
     return F.date_add(F.lit(dt.date.fromisoformat(str(today))), F.element_at(table, F.lower(F.trim(phrase))))
+
+
+def request_problem(start: Column, end: Column, day_kind: Column, district: Column, day_kinds: list[str], districts: list[str] | None = None) -> Column:
+    """``check_request`` over a request log: the first broken rule, NULL when all hold."""
+    out = (
+        F.when(start > end, "start after end")
+        .when(F.datediff(end, start) > MAX_RANGE_DAYS, "range too long")
+        .when(~day_kind.isin(day_kinds), "day type")
+    )
+    return out if districts is None else out.when(district.isNotNull() & ~district.isin(districts), "district")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from headway.functions.calendar import is_tourism_hour, vulnerable_band
 
 KEY = ["record_date", "route_id", "node_id"]
-DAY = Window.partitionBy(*KEY)
 # fixed values: area weights by place category for the three models, and the default
 POI_WEIGHTS = {
     "commute": {"인구밀집지역": 1.0, "발달상권": 0.8, "관광특구": 0.6, "고궁·문화유산": 0.4, "공원": 0.2},
@@ -22,6 +21,10 @@ POI_WEIGHTS = {
 POI_DEFAULT = 0.1
 
 
+def _day():
+    return Window.partitionBy(*KEY)
+
+
 def with_section_mean(sph: DataFrame, sections: DataFrame) -> DataFrame:
     """Adds the mean section load of the route at that hour and whether the route has sections."""
     load = sections.groupBy("record_date", "route_id", "hour").agg(F.avg("passenger_count").alias("section_mean"))
@@ -38,7 +41,7 @@ def _over(value: str, whole: Column) -> Column:
 
 
 def _of_max(value: str) -> Column:
-    return _over(value, F.max(value).over(DAY))
+    return _over(value, F.max(value).over(_day()))
 
 
 def _load() -> Column:
@@ -75,7 +78,7 @@ def daily_tourism_features(sph: DataFrame, sections: DataFrame) -> DataFrame:
 def daily_vulnerable_features(sph: DataFrame, sections: DataFrame) -> DataFrame:
     band = vulnerable_band(F.col("hour"))
     open_hours = band != "normal"
-    in_band = lambda c: F.sum(F.when(open_hours, F.col(c)).otherwise(0)).over(DAY)
+    in_band = lambda c: F.sum(F.when(open_hours, F.col(c)).otherwise(0)).over(_day())
     factor = F.when(band == "medical", 1.5).when(band == "welfare", 1.3).when(band == "evening", 1.2).otherwise(1.0)
     quiet = F.when(F.col("passengers") < 100, 1.4).otherwise(1.0)
     core = F.when(F.col("hour").isin(9, 14, 18), 1.2).otherwise(1.0)

@@ -17,7 +17,7 @@ PERIODS = {
     "daytime": "monthly_daytime",
 }
 PAIR = ["from_station_id", "to_station_id"]
-MEAN = F.col("daily_avg_passengers")
+MEAN = "daily_avg_passengers"
 # fixed values: route weights by type name; other types weigh 1
 ROUTE_WEIGHT = {"간선": 3, "지선": 2, "마을": 1, "공항": 4}
 
@@ -43,7 +43,7 @@ def p2_high_demand(summary: DataFrame, month: str, n: int = 50) -> DataFrame:
 
 
 def p3_low_efficiency(summary: DataFrame, month: str, n: int = 50) -> DataFrame:
-    per_km = F.when(F.col("avg_distance_km") > 0, MEAN / F.col("avg_distance_km")).otherwise(0.0)
+    per_km = F.when(F.col("avg_distance_km") > 0, F.col(MEAN) / F.col("avg_distance_km")).otherwise(0.0)
     rows = of_month(summary, month).filter((F.col("p4_score") > 0) & _districts_known()).withColumn("demand_per_km", per_km)
     advice = F.when(F.col("demand_per_km") < 10, "DRT 전환 권장").otherwise("현행 유지")
     return top_n(rows.withColumn("service_recommendation", advice), n, F.desc("p4_score"), *map(F.asc, PAIR))
@@ -151,14 +151,14 @@ def service_quality(df: DataFrame) -> DataFrame:
 def mismatch(summary: DataFrame, month: str, minimum: float = 10, n: int = 20) -> DataFrame:
     """Pairs whose demand outruns their service, out of the 3n largest by demand."""
     rows = of_month(summary, month).filter(
-        (MEAN >= minimum)
+        (F.col(MEAN) >= minimum)
         & F.col("from_coordinates_x").isNotNull()
         & F.col("from_coordinates_y").isNotNull()
         & F.col("to_coordinates_x").isNotNull()
         & F.col("to_coordinates_y").isNotNull()
     )
     candidates = top_n(rows, 3 * n, F.desc("daily_avg_passengers"), *map(F.asc, PAIR))
-    scored = service_quality(candidates).withColumn("_r", MEAN / F.greatest(F.col("service_quality_score"), F.lit(1.0)))
+    scored = service_quality(candidates).withColumn("_r", F.col(MEAN) / F.greatest(F.col("service_quality_score"), F.lit(1.0)))
     kept = scored.filter(F.col("_r") >= 1.0).withColumn("demand_service_ratio", decimal_round(F.col("_r"), 2))
     return top_n(kept, n, F.desc("demand_service_ratio"), F.desc("daily_avg_passengers"), *map(F.asc, PAIR)).drop("_r")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions import classes
@@ -12,14 +12,18 @@ from headway.functions.numbers import decimal_round
 from headway.operators.joins import best_per_group, top_n
 from headway.operators.scores import WEIGHTS
 
-SCORE, HOUR = F.col("total_drt_score"), F.col("hour_of_day")
-EARLY_BEST = F.struct(SCORE, -HOUR)
+SCORE, HOUR = "total_drt_score", "hour_of_day"
+
+
+def _early_best() -> Column:
+    """Orders by score, then by the earlier hour."""
+    return F.struct(SCORE, (-F.col(HOUR)).alias("later"))
 
 
 def station_peaks(scores: DataFrame, stops: DataFrame) -> DataFrame:
     """Best score and its hour for every (district, stop) with a place in the stop table."""
     peaks = scores.groupBy("district_name", "station_id").agg(
-        F.max(SCORE).alias("drt_score"), F.max_by("hour_of_day", EARLY_BEST).alias("peak_hour")
+        F.max(SCORE).alias("drt_score"), F.max_by("hour_of_day", _early_best()).alias("peak_hour")
     )
     names = stops.select(F.col("node_id").alias("station_id"), F.col("node_name").alias("station_name"), "latitude", "longitude")
     return peaks.join(names, "station_id")
@@ -42,7 +46,7 @@ def city_top_drt(peaks: DataFrame, districts: list[str], n: int = 10, per_distri
 def station_drt_detail(scores: DataFrame, model: str, stations: list[str], hour: int | None = None) -> DataFrame:
     """24 rows per stop: hour score and parts, with peak, mean and current score attached."""
     w = Window.partitionBy("station_id")
-    best = F.max(F.when(SCORE > 0, EARLY_BEST)).over(w)
+    best = F.max(F.when(F.col(SCORE) > 0, _early_best())).over(w)
     return (
         scores.filter(F.col("station_id").isin(stations))
         .select(
@@ -51,11 +55,11 @@ def station_drt_detail(scores: DataFrame, model: str, stations: list[str], hour:
             "total_drt_score",
             *WEIGHTS[model],
             F.coalesce(best["total_drt_score"], F.lit(0.0)).alias("peak_score"),
-            F.coalesce(-best["col2"], F.lit(0)).alias("peak_hour"),
+            F.coalesce(-best["later"], F.lit(0)).alias("peak_hour"),
             F.avg(SCORE).over(w).alias("monthly_average"),
         )
         .withColumn("current_hour", F.lit(hour) if hour is not None else F.col("peak_hour"))
-        .withColumn("current_score", F.max(F.when(HOUR == F.col("current_hour"), SCORE)).over(w))
+        .withColumn("current_score", F.max(F.when(F.col(HOUR) == F.col("current_hour"), F.col(SCORE))).over(w))
     )
 
 
@@ -65,7 +69,7 @@ def drt_model_statistics(scores: DataFrame) -> DataFrame:
     by_hour = scores.groupBy("hour_of_day").agg(F.round(F.avg(SCORE), 8).alias("m"))
     hours = by_hour.agg(
         F.struct(
-            F.max_by("hour_of_day", F.struct("m", -HOUR)).alias("peak"),
+            F.max_by("hour_of_day", F.struct("m", -F.col(HOUR))).alias("peak"),
             F.min_by("hour_of_day", F.struct("m", HOUR)).alias("low"),
         )
     ).scalar()
@@ -90,7 +94,7 @@ def compare_drt_models(tables: dict[str, DataFrame], station: str) -> DataFrame:
         .groupBy("model")
         .agg(
             F.max(SCORE).alias("peak"),
-            F.max_by("hour_of_day", EARLY_BEST).alias("hour"),
+            F.max_by("hour_of_day", _early_best()).alias("hour"),
             F.avg(SCORE).alias("mean"),
         )
         .filter(F.col("peak") > 0)

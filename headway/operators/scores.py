@@ -15,7 +15,6 @@ from headway.functions.numbers import cap_one, decimal_round
 from headway.operators.joins import hours_grid, one_row, section_ends
 
 OTHER_DISTRICT = "기타"
-BY_STATION = Window.partitionBy("station_id")
 CORE_HOURS = [9, 14, 18]
 # fixed values: weights of the three score models and their hour factors
 BAND_FACTOR = {"medical": 1.5, "welfare": 1.3, "evening": 1.2}
@@ -26,6 +25,10 @@ WEIGHTS = {
 }
 
 
+def _by_station():
+    return Window.partitionBy("station_id")
+
+
 def in_month(df: DataFrame, month: str, day: str | None = None) -> DataFrame:
     out = df.filter(month_filter(F.col("record_date"), month))
     if day == "weekend":
@@ -64,13 +67,13 @@ def _share(value: str, whole: Column) -> Column:
 
 def commuter_tc(sph: DataFrame, month: str) -> DataFrame:
     return dispatch_hours(sph, month, "weekday").withColumn(
-        "max_daily_dispatch", F.max("avg_dispatch_count").over(BY_STATION)
+        "max_daily_dispatch", F.max("avg_dispatch_count").over(_by_station())
     ).withColumn("tc_score", _share("avg_dispatch_count", F.col("max_daily_dispatch")))
 
 
 def commuter_pdr(shp: DataFrame, month: str) -> DataFrame:
     return traffic_per_day(shp, month, "weekday").withColumn(
-        "max_daily_traffic", F.max("avg_traffic_count").over(BY_STATION)
+        "max_daily_traffic", F.max("avg_traffic_count").over(_by_station())
     ).withColumn("pdr_score", _share("avg_traffic_count", F.col("max_daily_traffic")))
 
 
@@ -124,14 +127,14 @@ def commuter_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: Dat
 def tourism_tc(sph: DataFrame, month: str) -> DataFrame:
     share = _share("avg_dispatch_count", F.col("max_daily_dispatch"))
     return dispatch_hours(sph, month, "weekend").withColumn(
-        "max_daily_dispatch", F.max("avg_dispatch_count").over(BY_STATION)
+        "max_daily_dispatch", F.max("avg_dispatch_count").over(_by_station())
     ).withColumn("tc_t_score", _tourism_boost(share, 1.2))
 
 
 def tourism_tdr(shp: DataFrame, month: str) -> DataFrame:
     share = _share("avg_traffic_count", F.col("max_daily_traffic"))
     return traffic_per_day(shp, month, "weekend").withColumn(
-        "max_daily_traffic", F.max("avg_traffic_count").over(BY_STATION)
+        "max_daily_traffic", F.max("avg_traffic_count").over(_by_station())
     ).withColumn("tdr_t_score", _tourism_boost(share, 1.1))
 
 
@@ -199,7 +202,7 @@ def _is_vulnerable(hour: Column) -> Column:
 
 def vulnerable_var(sph: DataFrame, month: str) -> DataFrame:
     hour = F.col("hour_of_day")
-    total = F.sum(F.when(_is_vulnerable(hour), F.col("avg_dispatch_count"))).over(BY_STATION)
+    total = F.sum(F.when(_is_vulnerable(hour), F.col("avg_dispatch_count"))).over(_by_station())
     share = _share("avg_dispatch_count", F.col("vulnerable_total_dispatch"))
     boosted = F
     for band, factor in BAND_FACTOR.items():
@@ -220,7 +223,7 @@ def vulnerable_sed(shp: DataFrame, month: str) -> DataFrame:
             F.max("district_name").alias("district_name"),
         )
     )
-    total = F.sum(F.when(_is_vulnerable(hour), F.col("avg_traffic_count"))).over(BY_STATION)
+    total = F.sum(F.when(_is_vulnerable(hour), F.col("avg_traffic_count"))).over(_by_station())
     share = _share("avg_traffic_count", F.col("vulnerable_total_traffic"))
     quiet, core = F.col("avg_traffic_count") < 100, hour.isin(CORE_HOURS)
     score = (

@@ -16,10 +16,13 @@ from headway.functions.calendar import is_weekend
 from headway.operators.joins import one_row
 from headway.sources.tables import features_with_stops
 
-BY_STOP = Window.partitionBy("stop_id").orderBy("t_idx")
 HOUR_LEN, DAY_LEN, WEEK_LEN, WEEK_BACK, HORIZON = 6, 24, 24, 168, 24
 
 
+def _by_stop():
+    return Window.partitionBy("stop_id").orderBy("t_idx")
+
+
 def route_interval_join(usage: DataFrame, route_stats: DataFrame) -> DataFrame:
     """Usage with the mean intervals of its stop; stops without routes get defaults."""
     missing = F.lit(float(demand.NO_SERVICE))
@@ -84,7 +87,7 @@ def pivot_feature_matrix(grid: DataFrame, values: list[str]) -> DataFrame:
 
 
 def _frame(value: str, first: int, last: int) -> Column:
-    return F.collect_list(value).over(BY_STOP.rowsBetween(first, last))
+    return F.collect_list(value).over(_by_stop().rowsBetween(first, last))
 
 
 def multi_scale_sequences(grid: DataFrame, inputs: list[str], target: str) -> DataFrame:
@@ -120,7 +123,7 @@ def _window_arrays(features: DataFrame, lo: Column, hi: Column, values: list[str
 
 def periodic_samples(grid: DataFrame, value: str, hours: int = 6, days: int = 3, weeks: int = 2, horizon: int = 1) -> DataFrame:
     """Hour slice; points 24 h apart and 168 h apart, newest first, as far as they exist."""
-    back = lambda k: F.lag(value, k).over(BY_STOP)
+    back = lambda k: F.lag(value, k).over(_by_stop())
     out = grid.select(
         "stop_id",
         "t_idx",
@@ -134,7 +137,7 @@ def periodic_samples(grid: DataFrame, value: str, hours: int = 6, days: int = 3,
 
 def strided_samples(grid: DataFrame, value: str, hours: int = 6, days: int = 3, weeks: int = 1, horizon: int = 1) -> DataFrame:
     """Day points oldest first and seven daily points per week; only where all points exist."""
-    back = lambda k: F.lag(value, k).over(BY_STOP)
+    back = lambda k: F.lag(value, k).over(_by_stop())
     t = F.col("t_idx")
     out = grid.select(
         "stop_id",

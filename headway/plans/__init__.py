@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("views", "traffic", "anomaly", "scores", "od", "ingest", "graph")
+AREAS = ("views", "traffic", "anomaly", "scores", "od", "ingest", "graph", "documents", "quality", "streams")
 
 
 def load_all():
