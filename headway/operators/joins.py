@@ -34,6 +34,16 @@ def hours_grid(keys: DataFrame) -> DataFrame:
     return keys.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    For steps that turn few input bytes into much work: AQE sizes partitions by input bytes and
+    would join them into too few tasks. A later window or aggregate on the keys reuses it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def one_row(df: DataFrame, *columns: str) -> Column:
     """A one-row frame as a struct column (scalar subquery), to attach to every row."""
     return df.select(F.struct(*columns)).scalar()

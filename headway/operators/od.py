@@ -64,28 +64,40 @@ def collect_routes_per_stop(route_stops: DataFrame, routes: DataFrame) -> DataFr
     )
 
 
-def _ids(routes: Column) -> Column:
-    return F.transform(routes, lambda r: r["route_id"])
+def route_ids(routes: Column) -> Column:
+    return F.array_distinct(F.transform(routes, lambda r: r["route_id"]))
 
 
-def route_overlap(df: DataFrame, left: str = "from_routes", right: str = "to_routes") -> DataFrame:
-    """Common and one-sided routes; repeated entries of a route are kept."""
-    l, r = F.col(left), F.col(right)
+def route_overlap(df: DataFrame) -> DataFrame:
+    """Common and one-sided routes; repeated entries of a route are kept.
+
+    The distinct route ids of both ends come with the stops (``od_enrich``), so a row tests its
+    entries against a ready list.
+    """
+    def keep(side: str, other: str, shared: bool) -> Column:
+        ids = F.col(f"{other}_route_ids")
+        return F.filter(f"{side}_routes", lambda x: F.array_contains(ids, x["route_id"]) == F.lit(shared))
+
     return df.withColumns(
         {
-            "common_routes": F.filter(l, lambda x: F.array_contains(_ids(r), x["route_id"])),
-            "from_only_routes": F.filter(l, lambda x: ~F.array_contains(_ids(r), x["route_id"])),
-            "to_only_routes": F.filter(r, lambda x: ~F.array_contains(_ids(l), x["route_id"])),
+            "common_routes": keep("from", "to", True),
+            "from_only_routes": keep("from", "to", False),
+            "to_only_routes": keep("to", "from", False),
         }
-    )
+    ).drop("from_route_ids", "to_route_ids")
 
 
 def od_enrich(od: DataFrame, stops: DataFrame, stop_routes: DataFrame) -> DataFrame:
     """Metadata of both ends. Rows with an unknown or inactive end are dropped."""
-    known = stops.filter("is_active").join(stop_routes, "station_id", "left")
+    kind = stop_routes.schema["routes"].dataType
+    known = (
+        stops.filter("is_active")
+        .join(stop_routes, "station_id", "left")
+        .withColumn("routes", F.coalesce("routes", F.array().cast(kind)))
+        .withColumn("route_ids", route_ids(F.col("routes")))
+    )
 
     def end(side: str) -> DataFrame:
-        empty = F.expr("filter(routes, x -> false)")
         return known.select(
             F.col("station_id").alias(f"{side}_station_id"),
             F.col("station_name").alias(f"{side}_station_name"),
@@ -94,7 +106,8 @@ def od_enrich(od: DataFrame, stops: DataFrame, stop_routes: DataFrame) -> DataFr
             F.col("district").alias(f"{side}_district_code"),
             F.col("district").alias(f"{side}_district_name"),
             F.col("admin_dong").alias(f"{side}_admin_dong"),
-            F.coalesce(F.col("routes"), F.array().cast(stop_routes.schema["routes"].dataType), empty).alias(f"{side}_routes"),
+            F.col("routes").alias(f"{side}_routes"),
+            F.col("route_ids").alias(f"{side}_route_ids"),
         )
 
     return od.join(end("from"), "from_station_id").join(end("to"), "to_station_id")

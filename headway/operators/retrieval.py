@@ -18,7 +18,9 @@ from headway.operators.joins import best_per_group
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 1024  # queries per pass; bounds what is sent to every task
+BLOCK = 1024  # queries sent to a task at once
+DOC_ROWS = 20_000  # documents of one piece
+FOUND = "query_id long, doc_id long, similarity double"
 # fixed values: boosts and weights of the ranking
 DOMAIN_TERMS = ["drt", "수요응답", "교통", "대중교통", "모빌리티", "교통체계"]
 TYPE_BOOST = {"title": 0.2, "section": 0.15, "paragraph": 0.0, "list": 0.05, "table": 0.1, "figure": 0.05}
@@ -43,48 +45,69 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return ordered.select(label, F.col("v.x").alias("centroid"))
 
 
-def similar_top_k(documents: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7) -> DataFrame:
+def similar_top_k(documents: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7, block: int = BLOCK, rows: int = DOC_ROWS) -> DataFrame:
     """Exact best ``k`` documents per query with cosine at least ``threshold``.
 
-    ``documents`` has (doc_id, vector), ``queries`` has (query_id, vector). Queries go to the
-    tasks in blocks of fixed size. A task multiplies each Arrow batch of documents with the
-    block and keeps its own best ``k`` per query, so at most k rows per batch and query are
-    shuffled for the final ranking.
+    ``documents`` has (doc_id, vector), ``queries`` has (query_id, vector). Up to ``block`` queries
+    (counted first) are sent to the tasks and documents are not shuffled. More queries are met by
+    copies: documents and queries are cut into pieces of bounded size and every pair of pieces
+    is one task-sized group. Both ways keep k rows per batch and query before the last ranking.
     """
-    parts = []
-    block: list = []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        block.append((row["query_id"], list(row["vector"])))
-        if len(block) == BLOCK:
-            parts.append(_search(documents, block, k, threshold))
-            block = []
-    if block:
-        parts.append(_search(documents, block, k, threshold))
-    if not parts:
-        raise ValueError("no queries")
-    return best_per_group(
-        reduce(DataFrame.unionByName, parts), ["query_id"], k, F.desc("similarity"), F.asc("doc_id"), rank="rank"
-    )
+    docs, asked = documents.select("doc_id", "vector"), queries.select("query_id", "vector")
+    if asked.limit(block + 1).count() <= block:
+        found = _search_sent(docs, asked.collect(), k, threshold)
+    else:
+        found = _search_pieces(docs, asked, k, threshold, block, rows)
+    return best_per_group(found, ["query_id"], k, F.desc("similarity"), F.asc("doc_id"), rank="rank")
+
+
+def _best(query_ids, targets: np.ndarray, batch: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
+    """Best k of a batch of documents for every query; ``targets`` are unit vectors."""
+    vectors = np.vstack(batch["vector"].to_numpy()).astype("float64")
+    scores = targets @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    doc_ids = batch["doc_id"].to_numpy()
+    found = []
+    for query_id, row in zip(query_ids, scores):
+        hit = np.flatnonzero(row >= threshold)
+        best = hit[np.lexsort((doc_ids[hit], -row[hit]))][:k]
+        found += [(query_id, doc_ids[i], row[i]) for i in best]
+    return pd.DataFrame(found, columns=["query_id", "doc_id", "similarity"])
+
 
+def _unit(vectors) -> np.ndarray:
+    matrix = np.array([list(v) for v in vectors], dtype="float64")
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
-def _search(documents: DataFrame, block: list, k: int, threshold: float) -> DataFrame:
-    matrix = np.array([v for _, v in block], dtype="float64")
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = documents.sparkSession.sparkContext.broadcast(([q for q, _ in block], matrix))
+
+def _search_sent(documents: DataFrame, queries: list, k: int, threshold: float) -> DataFrame:
+    ids = [q["query_id"] for q in queries]
+    targets = _unit([q["vector"] for q in queries]) if queries else np.zeros((0, 1))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, targets = shared.value
         for batch in batches:
-            vectors = np.vstack(batch["vector"].to_numpy()).astype("float64")
-            scores = targets @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
-            doc_ids = batch["doc_id"].to_numpy()
-            for i, row in enumerate(scores):
-                hit = np.flatnonzero(row >= threshold)
-                best = hit[np.lexsort((doc_ids[hit], -row[hit]))][:k]
-                if len(best):
-                    yield pd.DataFrame({"query_id": ids[i], "doc_id": doc_ids[best], "similarity": row[best]})
+            if ids and len(batch):
+                yield _best(ids, targets, batch, k, threshold)
 
-    return documents.select("doc_id", "vector").mapInPandas(search, "query_id long, doc_id long, similarity double")
+    return documents.mapInPandas(search, FOUND)
+
+
+def _search_pieces(documents: DataFrame, queries: DataFrame, k: int, threshold: float, block: int, rows: int) -> DataFrame:
+    """Piece numbers come from a hash of the id, so equal vectors do not gather in one piece."""
+    doc_pieces = -(-documents.count() // rows)
+    query_pieces = -(-queries.count() // block)
+    d = documents.withColumns(
+        {"_d": F.pmod(F.xxhash64("doc_id"), F.lit(doc_pieces)), "_q": F.explode(F.sequence(F.lit(0), F.lit(query_pieces - 1)).cast("array<long>"))}
+    )
+    q = queries.withColumns(
+        {"_q": F.pmod(F.xxhash64("query_id"), F.lit(query_pieces)), "_d": F.explode(F.sequence(F.lit(0), F.lit(doc_pieces - 1)).cast("array<long>"))}
+    )
+
+    def search(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs) or not len(asked):
+            return pd.DataFrame(columns=["query_id", "doc_id", "similarity"])
+        return _best(asked["query_id"].to_numpy(), _unit(asked["vector"]), docs, k, threshold)
+
+    return d.groupBy("_d", "_q").cogroup(q.groupBy("_d", "_q")).applyInPandas(search, FOUND)
 
 
 def words(text: Column) -> Column:
@@ -93,11 +116,13 @@ def words(text: Column) -> Column:
 
 def keyword_jaccard(query: Column, document: Column, terms: list[str] = DOMAIN_TERMS) -> Column:
     """Word overlap plus 0.1 per domain term in the document, at most 1; 0 without query words."""
-    q, d = words(query), words(document)
-    union = F.size(F.array_union(q, d))
-    overlap = F.when(union > 0, F.size(F.array_intersect(q, d)) / union).otherwise(0.0)
-    boost = reduce(add, [F.when(F.lower(document).contains(t), 0.1).otherwise(0.0) for t in terms])
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.least(F.lit(1.0), overlap + boost))
+    return _jaccard(words(query), words(document), F.lower(document), terms)
+
+
+def _jaccard(q: Column, d: Column, low: Column, terms: list[str]) -> Column:
+    both = F.size(F.array_intersect(q, d))
+    boost = reduce(add, [low.contains(t).cast("int") for t in terms]) * 0.1
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.least(F.lit(1.0), both / (F.size(q) + F.size(d) - both) + boost))
 
 
 def importance_boost(importance: Column, chunk_type: Column, level: Column) -> Column:
@@ -121,9 +146,10 @@ def rerank(candidates: DataFrame, k: int = 10, terms: list[str] = DOMAIN_TERMS)
     structure_level, loaded_at and optionally relevance_score; without it relevance equals the
     keyword score.
     """
-    scored = candidates.withColumns(
+    prepared = candidates.withColumns({"_q": words(F.col("query")), "_d": words(F.col("text")), "_low": F.lower("text")})
+    scored = prepared.withColumns(
         {
-            "semantic_score": keyword_jaccard(F.col("query"), F.col("text"), terms),
+            "semantic_score": _jaccard(F.col("_q"), F.col("_d"), F.col("_low"), terms),
             "boosted_importance": importance_boost(F.col("importance_score"), F.col("chunk_type"), F.col("structure_level")),
             "freshness_score": freshness(F.col("loaded_at")),
         }
@@ -137,6 +163,7 @@ def rerank(candidates: DataFrame, k: int = 10, terms: list[str] = DOMAIN_TERMS)
         + F.col("freshness_score") * WEIGHTS["freshness"]
     )
     scored = scored.withColumn("rerank_score", F.round(F.least(F.lit(1.0), final), 9)).withColumn("reason", rerank_reason())
+    scored = scored.drop("_q", "_d", "_low")
     return best_per_group(scored, ["query_id"], k, F.desc("rerank_score"), F.asc("doc_id"))
 
 

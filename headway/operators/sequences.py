@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import demand
 from headway.functions.calendar import is_weekend
-from headway.operators.joins import one_row
+from headway.operators.joins import one_row, spread
 from headway.sources.tables import features_with_stops
 
 HOUR_LEN, DAY_LEN, WEEK_LEN, WEEK_BACK, HORIZON = 6, 24, 24, 168, 24
@@ -68,15 +68,25 @@ def mstgcn_features(usage: DataFrame, route_stats: DataFrame) -> DataFrame:
 def densify_time_grid(rows: DataFrame, values: list[str], time: str = "recorded_at") -> DataFrame:
     """Every stop × every hour between the first and last hour; absent values are 0.
 
-    Repeated (stop, hour) rows are averaged first.
+    Repeated (stop, hour) rows are averaged first. Each remaining row then fills the hours up to
+    the next row of its stop, so the grid needs no join, and it leaves partitioned by stop, as
+    the sequence windows want it.
     """
     hour = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz")
-    once = rows.groupBy("stop_id", hour.alias("hour_at")).agg(*[F.avg(v).alias(v) for v in values])
     span = one_row(rows.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")), "lo", "hi")
-    hours = F.sequence(span["lo"], span["hi"], F.expr("INTERVAL 1 HOUR"))
-    grid = rows.select("stop_id").distinct().select("stop_id", F.posexplode(hours).alias("t_idx", "hour_at"))
-    return grid.join(once, ["stop_id", "hour_at"], "left").select(
-        "stop_id", "t_idx", "hour_at", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values]
+    since = lambda at: F.timestamp_diff("HOUR", span["lo"], at).cast("int")
+    once = rows.groupBy("stop_id", hour.alias("_at")).agg(*[F.avg(v).alias(v) for v in values])
+    w = Window.partitionBy("stop_id").orderBy("_idx")
+    held = spread(once, "stop_id").withColumn("_idx", since(F.col("_at"))).withColumns(
+        {
+            "_from": F.when(F.lag("_idx").over(w).isNull(), 0).otherwise(F.col("_idx")),
+            "_to": F.coalesce(F.lead("_idx").over(w) - 1, since(span["hi"])),
+        }
+    )
+    filled = held.withColumn("t_idx", F.explode(F.sequence("_from", "_to")))
+    at = span["lo"] + F.make_dt_interval(F.lit(0), F.col("t_idx"))
+    return filled.select(
+        "stop_id", "t_idx", at.alias("hour_at"), *[F.when(F.col("t_idx") == F.col("_idx"), F.col(v)).otherwise(0.0).alias(v) for v in values]
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from headway.functions import classes
 from headway.functions.numbers import ratio_or_zero
 from headway.operators.joins import in_district, one_row, top_n
-from headway.operators.ranking import exclusive_quartiles
+from headway.operators.ranking import dense_index, exclusive_quartiles
 from headway.operators.views import rank_districts
 
 CITY = "서울시 전체"
@@ -105,13 +105,25 @@ def heatmap_stations(stations: DataFrame, month: str, threshold: int | None = No
     )
 
 
-def heatmap_nested(districts: DataFrame, stations: DataFrame) -> DataFrame:
-    """Districts with their stations as an array, busiest first. The response format wants the
-    array; its length is the number of stops of one district."""
-    entry = F.struct((-F.col("total_traffic")).alias("neg"), "station_id", "station_name", "latitude", "longitude", "total_traffic")
-    lists = stations.groupBy("district_name").agg(F.sort_array(F.collect_list(entry)).alias("stations"))
-    return districts.join(lists, "district_name", "left").withColumn(
-        "stations", F.coalesce(F.transform("stations", lambda s: s.dropFields("neg")), F.array())
+def heatmap_nested(districts: DataFrame, stations: DataFrame, page: int = 1000) -> DataFrame:
+    """Districts with their stations as arrays, busiest first, ``page`` stations per row.
+
+    Positions come from one distributed sort, so no district is gathered in one place; a
+    district with more stations than a page continues on the next ``page_no``.
+    """
+    placed = dense_index(
+        stations.select("district_name", "station_id", "station_name", "latitude", "longitude", "total_traffic"),
+        F.asc("district_name"), F.desc("total_traffic"), F.asc("station_id"), name="_pos",
+    )
+    first = placed.groupBy("district_name").agg(F.min("_pos").alias("_first"))
+    entry = F.struct("_pos", "station_id", "station_name", "latitude", "longitude", "total_traffic")
+    pages = (
+        placed.join(first, "district_name")
+        .groupBy("district_name", F.floor((F.col("_pos") - F.col("_first")) / page).alias("page_no"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("stations"))
+    )
+    return districts.join(pages, "district_name", "left").withColumns(
+        {"stations": F.coalesce(F.transform("stations", lambda s: s.dropFields("_pos")), F.array()), "page_no": F.coalesce("page_no", F.lit(0))}
     )
 
 
