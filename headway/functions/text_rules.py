@@ -120,8 +120,12 @@ def expand_with_keywords(text: Column, keywords: list[str], limit: int = 7) -> C
     return F.slice(F.array_distinct(F.concat(expand_queries(text), F.array(*extra))), 1, limit)
 
 
+# every character that counts as white space around a text
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def parse_query_lines(response: Column, original: Column, limit: int = 4, shortest: int = 10) -> Column:

@@ -294,7 +294,7 @@ def prefixed(t, marks):
     """Documents whose lines carry structure marks in a fixed cycle."""
     table = F.array(*[F.lit(m) for m in marks])
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(table, (i % len(marks) + 1).cast("int")), x))
-    return t.raw("documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return t.spread("documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
 def rx(patterns):
@@ -340,7 +340,7 @@ for name, build in (("merge_small_chunks", chunks.merge_small_chunks), ("split_l
 register(
     "recursive_split",
     CHUNK.strip(),
-    lambda t: chunks.plain_chunks(t.raw("documents").select("doc_id", "text")).withColumns({"digest": F.md5("text"), "char_count": F.length("text")}),
+    lambda t: chunks.plain_chunks(t.spread("documents").select("doc_id", "text")).withColumns({"digest": F.md5("text"), "char_count": F.length("text")}),
 )
 
 
@@ -364,7 +364,7 @@ register(
 register(
     "incremental_chunk_load",
     "doc_id:i",
-    lambda t: chunks.incremental_chunk_load(t.raw("documents").select("doc_id", "text"), manifest(t), scratch(t.spark, "chunks")).select("doc_id").distinct(),
+    lambda t: chunks.incremental_chunk_load(t.spread("documents").select("doc_id", "text"), manifest(t), scratch(t.spark, "chunks")).select("doc_id").distinct(),
     f"SELECT doc_id FROM changed WHERE doc_id IN (SELECT doc_id FROM documents WHERE {TRIM('text')} <> '')",
 )
 
@@ -418,7 +418,7 @@ def candidates(t):
     q = t.raw("conversations").filter("role = 'user'").select(
         qid().alias("query_id"), F.col("text").alias("query"), F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1, F.col("conv_id") + 2)).alias("doc_id")
     )
-    docs = t.raw("documents").select(
+    docs = t.spread("documents").select(
         "doc_id", "text",
         (d % 10 / 10.0).alias("importance_score"),
         F.element_at(F.array(*[F.lit(c) for c in CHUNK_TYPES]), (d % 6 + 1).cast("int")).alias("chunk_type"),
