@@ -81,10 +81,10 @@ register(
     "boundary_outer_ring",
     "district_name:s adm_cd:s vertices:i lon0:f3 lat0:f3",
     lambda t: spatial.boundary_outer_ring(
-        t.sm.select(F.concat(F.lit("D"), F.pmod(F.col("sgg_code").cast("int"), F.lit(7)).cast("string")).alias("district_name")).distinct(), t.boundaries
+        t.raw("supplier").select(F.concat(F.lit("D"), F.floor(F.col("s_suppkey") / 16).cast("string")).alias("district_name")).distinct(), t.boundaries
     ).select("district_name", "adm_cd", F.size("ring").alias("vertices"), F.col("ring")[0]["lon"].alias("lon0"), F.col("ring")[0]["lat"].alias("lat0")),
     """SELECT d AS district_name, adm_cd, 5 AS vertices, coalesce(x0, 126.9) AS lon0, coalesce(y0, 37.5) AS lat0
-       FROM (SELECT DISTINCT 'D' || (CAST(sgg_code AS INTEGER) % 7) AS d FROM sm) LEFT JOIN boundaries ON d = sggnm""",
+       FROM (SELECT DISTINCT 'D' || (s_suppkey // 16) AS d FROM supplier) LEFT JOIN boundaries ON d = sggnm""",
 )
 register(
     "city_boundary_union",

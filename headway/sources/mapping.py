@@ -236,20 +236,25 @@ class TransitTables:
 
     @cached_property
     def boundaries(self) -> DataFrame:
-        """One rectangle per nation, adjoining in a 5 x 5 sheet."""
-        k = F.col("n_nationkey")
+        """One rectangle per supplier, adjoining in rows of 20; a row is a district.
+
+        The western and eastern sides lie on stop longitudes, so the boundary rule is used.
+        """
+        k = F.col("s_suppkey")
+        row = F.floor(k / 20).cast("long")
 
         def vertex(dx: int, dy: int):
             return F.struct(
-                ((126800 + (k % 5) * 80 + dx) / 1000.0).alias("lon"),
-                ((37450 + F.floor(k / 5).cast("long") * 50 + dy) / 1000.0).alias("lat"),
+                ((126800 + (k % 20) * 20 + dx) / 1000.0).alias("lon"),
+                ((37445 + row * 20 + dy) / 1000.0).alias("lat"),
             )
 
-        ring = F.array(vertex(0, 0), vertex(80, 0), vertex(80, 50), vertex(0, 50), vertex(0, 0))
-        return self.raw("nation").select(
-            F.format_string("%03d", k).alias("adm_cd"),
-            F.concat(F.lit("City "), F.lit("D"), F.col("n_regionkey").cast("string"), F.lit(" "), F.col("n_name")).alias("adm_nm"),
-            F.concat(F.lit("D"), F.col("n_regionkey").cast("string")).alias("sggnm"),
+        ring = F.array(vertex(0, 0), vertex(20, 0), vertex(20, 20), vertex(0, 20), vertex(0, 0))
+        district = F.concat(F.lit("D"), row.cast("string"))
+        return self.raw("supplier").select(
+            F.format_string("%09d", k).alias("adm_cd"),
+            F.concat(F.lit("City "), district, F.lit(" "), F.col("s_name")).alias("adm_nm"),
+            district.alias("sggnm"),
             F.array(F.array(ring)).alias("polygons"),
         )
 
@@ -316,12 +321,12 @@ CTES: dict[str, str] = {
         CAST(s_nationkey AS VARCHAR) AS end_district, CAST(l_quantity AS BIGINT) AS total_passenger_count
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN supplier ON l_suppkey = s_suppkey""",
-    "boundaries": """SELECT printf('%03d', n_nationkey) AS adm_cd,
-        'City D' || n_regionkey || ' ' || n_name AS adm_nm, 'D' || n_regionkey AS sggnm,
-        CAST(126800 + (n_nationkey % 5) * 80 AS DOUBLE) / 1000 AS x0,
-        CAST(126880 + (n_nationkey % 5) * 80 AS DOUBLE) / 1000 AS x1,
-        CAST(37450 + (n_nationkey // 5) * 50 AS DOUBLE) / 1000 AS y0,
-        CAST(37500 + (n_nationkey // 5) * 50 AS DOUBLE) / 1000 AS y1 FROM nation""",
+    "boundaries": """SELECT printf('%09d', s_suppkey) AS adm_cd,
+        'City D' || (s_suppkey // 20) || ' ' || s_name AS adm_nm, 'D' || (s_suppkey // 20) AS sggnm,
+        CAST(126800 + (s_suppkey % 20) * 20 AS DOUBLE) / 1000 AS x0,
+        CAST(126820 + (s_suppkey % 20) * 20 AS DOUBLE) / 1000 AS x1,
+        CAST(37445 + (s_suppkey // 20) * 20 AS DOUBLE) / 1000 AS y0,
+        CAST(37465 + (s_suppkey // 20) * 20 AS DOUBLE) / 1000 AS y1 FROM supplier""",
     # the station-hour pattern table, used by most checks
     "shp": """SELECT month_date, day_type, sgg_code, sgg_name AS district_name, sph.node_id AS station_id,
         node_name AS station_name, longitude, latitude, coalesce(adm_name, '정보없음') AS administrative_dong,
