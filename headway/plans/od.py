@@ -26,7 +26,7 @@ def generated(t):
 
 
 def summary(t):
-    return od.monthly_od_summary(generated(t), t.stops)
+    return t.built("od summary", lambda: od.monthly_od_summary(generated(t), t.stops))
 
 
 KM = """CASE WHEN a.latitude = 0 OR a.longitude = 0 OR b.latitude = 0 OR b.longitude = 0 THEN 0 ELSE

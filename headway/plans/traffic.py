@@ -11,7 +11,7 @@ from headway.sources.mapping import MONTH
 
 
 def district_hours(t):
-    return views.hourly_traffic_patterns(t.sph, t.sm)
+    return t.built("district hours", lambda: views.hourly_traffic_patterns(t.sph, t.sm))
 
 
 def profile(t):
@@ -24,7 +24,7 @@ def hours(t):
 
 
 def districts(t):
-    return traffic.heatmap_districts(views.district_monthly_traffic(t.sph, t.sm), MONTH)
+    return t.built("districts", lambda: traffic.heatmap_districts(views.district_monthly_traffic(t.sph, t.sm), MONTH))
 
 
 def stations(t, threshold=None):

@@ -76,7 +76,7 @@ SHP_COLUMNS = (
 
 
 def shp(t):
-    return views.station_hourly_patterns(t.sph, t.sm, t.stops)
+    return t.built("shp", lambda: views.station_hourly_patterns(t.sph, t.sm, t.stops))
 
 
 register("station_hourly_patterns", SHP_COLUMNS, shp, "SELECT * FROM shp")

@@ -8,6 +8,7 @@ and OD partners come from arithmetic on the row instead of a window over all eve
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,16 @@ class TransitTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._built: dict[str, DataFrame] = {}
+
+    def built(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Plan of a derived frame, made once per query (the plan only; no data is kept)."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.built(f"raw {name}", lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def spread(self, name: str) -> DataFrame:
         """A source table for work that is heavy per row (text, vectors).

@@ -92,5 +92,5 @@ def stream_ttl_cache(events: DataFrame, keys: list[str], time: str, table: str,
         tables.upsert(batch.sparkSession, table, rows, keys, "bucket", seq=time)
 
     drain(events, checkpoint, sink)
-    alive = F.col(time) + F.expr(f"INTERVAL {ttl}") >= F.lit(now).cast("timestamp_ntz")
+    alive = F.col(time) + F.expr(f"INTERVAL {ttl}") >= F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     return events.sparkSession.read.parquet(table).filter(alive).drop("bucket")
