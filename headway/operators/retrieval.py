@@ -55,7 +55,7 @@ def similar_top_k(documents: DataFrame, queries: DataFrame, k: int = 5, threshol
     """
     docs, asked = documents.select("doc_id", "vector"), queries.select("query_id", "vector")
     if asked.limit(block + 1).count() <= block:
-        found = _search_sent(docs, asked.collect(), k, threshold)
+        found = _search_sent(docs, asked.limit(block).collect(), k, threshold)
     else:
         found = _search_pieces(docs, asked, k, threshold, block, rows)
     return best_per_group(found, ["query_id"], k, F.desc("similarity"), F.asc("doc_id"), rank="rank")

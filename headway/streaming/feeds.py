@@ -36,12 +36,19 @@ def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], N
 
 
 def stream_ingest_station(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
-    """Landed station pages to the tall fact table; later batches replace earlier keys."""
+    """Landed station pages to the tall fact table.
+
+    Inside a batch the first landed row of a key is kept; later batches replace earlier keys.
+    """
+    pages = landed(spark, landing, STATION_FEED, "json").select("*", "_metadata.file_modification_time", "_metadata.file_path")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        tall = reshape.station_wide_to_tall(batch).withColumn(tables.SEQ, F.lit(batch_id))
+        order = F.struct("file_modification_time", "file_path", F.monotonically_increasing_id().alias("row"))
+        once = reshape.dedupe_keep_first(batch.withColumn("_order", order), ["record_date", "routeId", "staId"], "_order")
+        tall = reshape.station_wide_to_tall(once).withColumn(tables.SEQ, F.lit(batch_id))
         tables.upsert(batch.sparkSession, table, tall, KEYS["station"], "record_date")
 
-    drain(landed(spark, landing, STATION_FEED, "json"), checkpoint, sink)
+    drain(pages, checkpoint, sink)
 
 
 def stream_dedupe(events: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:

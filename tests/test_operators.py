@@ -394,3 +394,34 @@ def test_section_nulls_stay_null(spark):
     tall = reshape.section_wide_to_tall(spark.createDataFrame([tuple(row.values())], schema))
     got = {r.hour: r.passenger_count for r in tall.collect()}
     assert got[5] is None and got[6] is None and got[7] == 3 and len(got) == 24
+
+
+def test_stream_ingest_keeps_first_in_batch_and_last_between_batches(spark, tmp_path):
+    from headway.schemas import STATION_FEED
+    from headway.streaming import feeds
+
+    def page(name, rows):
+        full = [{"record_date": "2024-01-01", "routeId": "r", "staSn": "1"} | {f"ridePnsgerCnt{h:02d}h": str(n) for h in range(24)} | {"staId": s} for s, n in rows]
+        spark.createDataFrame([tuple(r.get(f, None) for f in STATION_FEED.fieldNames()) for r in full], STATION_FEED).coalesce(1).write.json(str(tmp_path / "in" / name))
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    page("1", [("a", 1), ("a", 2), ("b", 3)])
+    feeds.stream_ingest_station(spark, str(tmp_path / "in"), out, state)
+    page("2", [("a", 5)])
+    feeds.stream_ingest_station(spark, str(tmp_path / "in"), out, state)
+    got = {r.node_id: (r.n, r.s) for r in spark.read.parquet(out).groupBy("node_id").agg(F.count("*").alias("n"), F.sum("ride_passenger").alias("s")).collect()}
+    assert got == {"a": (24, 120), "b": (24, 72)}
+
+
+def test_nested_heat_map_pages_keep_every_station(spark):
+    from headway.operators import traffic
+
+    stations = spark.range(2500).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), (F.col("id") % 7).cast("string"))).alias("district_name"),
+        F.col("id").cast("string").alias("station_id"), F.lit("n").alias("station_name"), F.lit(37.5).alias("latitude"),
+        F.lit(127.0).alias("longitude"), (F.col("id") * 7 % 1000).alias("total_traffic"),
+    )
+    rows = traffic.heatmap_nested(stations.select("district_name").distinct(), stations, page=100).collect()
+    assert sum(len(r.stations) for r in rows) == 2500 and max(len(r.stations) for r in rows) <= 100
+    hot = [s.total_traffic for r in sorted((r for r in rows if r.district_name == "hot"), key=lambda r: r.page_no) for s in r.stations]
+    assert hot == sorted(hot, reverse=True) and len(hot) == 834
