@@ -76,3 +76,14 @@ def bounded_sample(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     """The ``limit`` rows with the smallest hash of ``key``: the same ones on each run."""
     order = F.xxhash64(F.col(key).cast("string"))
     return rows.withColumn("_h", order).orderBy("_h", key).limit(limit).drop("_h")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """Texts of at most ``limit`` labelled ids: ``labels`` (doc_id, y) met with ``docs``; stored.
+
+    The ids with the smallest hash are taken, one label each (the largest, if an id has several), so
+    the broadcast side has at most ``limit`` rows and no text is shuffled.
+    """
+    ids = labels.filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
+    ids = bounded_sample(ids, limit)
+    return stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")

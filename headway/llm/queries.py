@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import exact_dedup, mixture, sharding
-from headway.llm.common import table
+from headway.llm import exact_dedup, langid, mixture, quality, sharding, toxicity
+from headway.llm.common import crc_of_id, table
 from headway.session import scratch
 
 
@@ -29,6 +29,24 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = langid.identify(docs, langid.train(docs))
+    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+    return out.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return out.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", "predicted", "passages")
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
@@ -36,6 +54,9 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
