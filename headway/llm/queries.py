@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import exact_dedup, langid, mixture, quality, sharding, toxicity
+from headway.llm import exact_dedup, langid, mixture, packing, quality, sharding, topk, toxicity
 from headway.llm.common import crc_of_id, table
 from headway.session import scratch
 
@@ -29,6 +30,10 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = langid.identify(docs, langid.train(docs))
@@ -41,6 +46,25 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    return topk.top_k(rows, rows.filter("vec_id % 100 = 0"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
@@ -54,8 +78,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op7_quality": op7_quality,
+    "op8_top_k": op8_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
@@ -63,4 +89,5 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_source_mix": mixture.ORACLE,
+    "op8_top_k": OP8_SQL,
 }

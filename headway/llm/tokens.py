@@ -71,10 +71,16 @@ def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 def hashes(texts: pa.Array, kind: np.ndarray = WORDS, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a text array without nulls, and the first word of each row (n + 1 bounds)."""
+    found, _, bounds = stem_hashes(texts, 0, kind, lower)
+    return found, bounds
+
+
+def stem_hashes(texts: pa.Array, stem: int, kind: np.ndarray = WORDS, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``hashes``, and between both the hash of each word's first ``stem`` characters (0: none)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     n = int(offsets[-1] - offsets[0]) if len(texts) else 0
     if not n:
-        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
     what = kind[data]
@@ -89,7 +95,12 @@ def hashes(texts: pa.Array, kind: np.ndarray = WORDS, lower: bool = True) -> tup
     total = np.zeros(n + 1, U)
     np.cumsum((_LOWER if lower else _BYTE)[data] * up, out=total[1:])
     found = mix((total[ends] - total[starts]) * down[starts])
-    return found, np.searchsorted(starts, at).astype(np.int64)
+    begun = np.zeros(0, U)
+    if stem:
+        heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), np.full(stem, n))
+        cut = np.minimum(heads[np.searchsorted(heads, starts) + stem], ends)
+        begun = mix((total[cut] - total[starts]) * down[starts])
+    return found, begun, np.searchsorted(starts, at).astype(np.int64)
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:

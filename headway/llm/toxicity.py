@@ -11,24 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.common import crc_of_id, labelled_sample
-from headway.llm.tokens import RUNS, U, as_array, hashes, owners, pieces
+from headway.llm.tokens import RUNS, U, as_array, mix, owners, pieces, stem_hashes
 
 #: Tokens are hashed to this many bits; the model is two arrays of that size, whatever the corpus.
-BITS = 20
+BITS = 22
 #: Labelled documents that the fit uses at most.
 SAMPLE = 20_000
-#: Mass of the Dirichlet prior, which is shaped like the word frequencies of both classes together.
-PRIOR = 5_000.0
+#: Mass of the Dirichlet prior as a share of all counts; it is shaped like both classes together.
+PRIOR = 0.05
+#: A word in fewer documents of the sample takes the log-odds of its stem, its first characters.
+LEAST, STEM = 5, 4
 #: Standard errors by which log-odds shrink towards 0, and the cost of each word in a passage.
-ERRORS, DRIFT = 3.0, 0.25
+ERRORS, DRIFT = 2.5, 0.25
 #: Passages with more chance hits than this per document aren't reported.
 E_VALUE = 0.05
 THRESHOLD = 0.7
 CAP = 60.0
 
 
-def buckets(found: np.ndarray) -> np.ndarray:
-    return (found >> U(64 - BITS)).astype(np.int64)
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of every word, bucket of its stem, and the first word of each row."""
+    found, begun, bounds = stem_hashes(texts, STEM, RUNS)
+    stem = mix(begun + U(1))
+    return (found >> U(64 - BITS)).astype(np.int64), (stem >> U(64 - BITS)).astype(np.int64), bounds
 
 
 def segments(weights: list[float], places: list[int], drift: float) -> list[tuple[int, int, float]]:
@@ -62,18 +67,23 @@ def segments(weights: list[float], places: list[int], drift: float) -> list[tupl
 
 @dataclass
 class ToxicityModel:
-    """Weight of each bucket, decay and scale of chance scores, and the curve from evidence to score."""
+    """Weight of each bucket and whether it has enough words, decay and scale of chance scores, and the
+    curve from evidence to score."""
 
     weights: np.ndarray
+    known: np.ndarray
     decay: float
     scale: float
     slope: float = 1.0
     shift: float = 0.0
 
+    def word_weights(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        word, stem, bounds = buckets(texts)
+        return np.where(self.known[word], self.weights[word], self.weights[stem]), bounds
+
     def passages(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float, float]]]]:
         """Number of words and significant passages (first word, last word, score, e-value) of each text."""
-        found, bounds = hashes(texts, RUNS)
-        w = self.weights[buckets(found)]
+        w, bounds = self.word_weights(texts)
         hits = np.flatnonzero(w > 0)
         at = np.searchsorted(hits, bounds)
         # Words that speak against toxicity count like neutral ones, so gaps need no scan.
@@ -90,8 +100,7 @@ class ToxicityModel:
 
     def best_scores(self, texts: pa.Array) -> Iterator[tuple[int, float]]:
         """Number of words and best segment score of each text."""
-        found, bounds = hashes(texts, RUNS)
-        w = self.weights[buckets(found)]
+        w, bounds = self.word_weights(texts)
         hits = np.flatnonzero(w > 0)
         at = np.searchsorted(hits, bounds)
         for i in range(len(texts)):
@@ -109,7 +118,7 @@ class ToxicityModel:
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shrunk log-odds of each bucket and its share of clean words, under the Dirichlet prior."""
-    a = (toxic + clean + 0.01) / (toxic + clean + 0.01).sum() * PRIOR
+    a = (toxic + clean + 0.01) * PRIOR
     t, c = toxic + a, clean + a
     delta = np.log(t / (t.sum() - t)) - np.log(c / (c.sum() - c))
     error = np.sqrt(1 / t + 1 / c)
@@ -133,8 +142,8 @@ def chance_decay(weights: np.ndarray, share: np.ndarray) -> float:
 def fit(sample: DataFrame) -> ToxicityModel:
     """Fit on a stored sample (text, y): counts, then chance scores, then the curve, each from the tasks.
 
-    What reaches the driver is bounded by the number of buckets, not by the sample. Words count once
-    a document. Without labels of both kinds the model finds nothing and scores 0.
+    What reaches the driver is bounded by the number of buckets, not by the sample. Words and
+    stems count once a document; those of fewer than ``LEAST`` documents are left at the neutral weight. Without labels of both kinds the model finds nothing and scores 0.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +153,9 @@ def fit(sample: DataFrame) -> ToxicityModel:
             labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for start, texts in pieces(as_array(batch.column(0))):
                 y = labels[start : start + len(texts)]
-                found, bounds = hashes(texts, RUNS)
-                once = np.unique(owners(bounds) << BITS | buckets(found))
+                word, stem, bounds = buckets(texts)
+                row = owners(bounds) << BITS
+                once = np.unique(np.concatenate([row | word, row | stem]))
                 of = y[once >> BITS]
                 for k in (0, 1):
                     total[k] += np.bincount(once[of == k] & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -156,7 +166,8 @@ def fit(sample: DataFrame) -> ToxicityModel:
 
     schema = "bucket bigint, toxic bigint, clean bigint"
     rows = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(count, schema)
-    rows = rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    rows = rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = rows.filter(f"bucket < 0 OR toxic + clean >= {LEAST}").toArrow()
     at = rows.column("bucket").to_numpy()
     toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
     real = at >= 0
@@ -164,10 +175,10 @@ def fit(sample: DataFrame) -> ToxicityModel:
     clean[at[real]] = rows.column("clean").to_numpy()[real]
     docs = [int(rows.column(k).to_numpy()[~real].sum()) for k in ("clean", "toxic")]
     if not min(docs) or not toxic.sum() or not clean.sum():
-        return ToxicityModel(np.full(1 << BITS, -DRIFT, np.float32), 1.0, 1.0, 0.0, -700.0)
+        return ToxicityModel(np.full(1 << BITS, -DRIFT, np.float32), np.zeros(1 << BITS, bool), 1.0, 1.0, 0.0, -700.0)
     odds, share = log_odds(toxic, clean)
     weights = np.where(odds > 0, odds, 0) - DRIFT
-    model = ToxicityModel(weights.astype(np.float32), chance_decay(weights, share), 1.0)
+    model = ToxicityModel(weights.astype(np.float32), toxic + clean >= LEAST, chance_decay(weights, share), 1.0)
 
     def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = mass = 0.0
