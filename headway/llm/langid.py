@@ -7,14 +7,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import crc_of_id, stored
+from headway.llm.common import crc_of_id, small, stored
 from headway.llm.tokens import U, as_array, mix, pieces
 
 ORDER = 4
-#: Documents of each language that the fit uses at most (a quarter of them for calibration).
+#: Documents of each language that the fit draws (a quarter of them for calibration).
 PER_LANGUAGE = 2_000
 #: Share of a language's own calibration texts that may cost more than the rejection bound.
 REJECT = 0.005
@@ -176,19 +176,20 @@ def smooth(tables: dict[tuple[int, int], dict[str, np.ndarray]], languages: list
 def train(docs: DataFrame, limit: int = PER_LANGUAGE) -> LanguageModels:
     """Models of all languages of ``docs`` (doc_id, text, lang), from rows outside the held-out quarter.
 
-    At most ``limit`` documents of a language, those with the smallest hash, are counted in the tasks;
+    About ``limit`` documents of a language, drawn by hash (all of a rarer one), are counted in the tasks;
     the driver gets one row per different n-gram of that bounded sample, and bounded numbers of costs
     for calibration: the sharpness that gives the least log loss, and for each language the cost that
     all but ``REJECT`` of its own texts stay below.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(crc_of_id() % 4 != 2)
-    ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = ids.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
-    ids = ids.groupBy("doc_id", "lang").agg((F.min("_r") % 4 == 0).alias("hold")).withColumnRenamed("doc_id", "_id")
+    ids = known.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang")).distinct()
+    many = stored(ids.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "language-counts")
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 40))
+    ids = ids.join(small(many), F.col("_lang") == F.col("_l")).filter(draw * F.col("_n") < F.lit(float(limit << 40)))
+    ids = ids.select("_id", "_lang", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("hold"))
     sample = stored(
         known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-        .join(F.broadcast(ids.withColumnRenamed("lang", "_lang")), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+        .join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
         .select("text", "lang", "hold"),
         "language-sample",
     )

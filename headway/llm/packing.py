@@ -18,6 +18,8 @@ from headway.llm.tokens import as_array, pieces
 
 CAPACITY = 2048
 END = 0
+#: Words whose ids are laid out at a time; a longer text is laid out alone.
+WORDS_AT_ONCE = 1 << 18
 #: Ranks that one row of the expanded plan covers before it becomes single slots.
 RUN = 4096
 #: Words of plain Latin letters with closing marks: encoded once per batch, letters apart from marks.
@@ -63,41 +65,64 @@ class WordEncoder:
         got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the first of each text (n + 1 bounds)."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Ids of a run of texts one after the other and the first of each (n + 1 bounds), with the run's first text."""
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
         words = pc.dictionary_encode(lists.flatten())
+        del lists
         code, kinds = words.indices.to_numpy(), words.dictionary
         core = pc.utf8_rtrim(kinds, characters=MARKS)
         easy = pc.match_substring_regex(core, PLAIN).to_numpy(zero_copy_only=False).astype(bool)
-        simple = pc.dictionary_encode(pc.utf8_lower(core.filter(pa.array(easy))))
-        kept = kinds.filter(pa.array(easy)).to_pylist()
-        cores = core.filter(pa.array(easy)).to_pylist()
-        tail = [k[len(c) :] for k, c in zip(kept, cores, strict=True)]
-        tail_kinds = sorted(set(tail) - {""})
-        head_ids, head_n = self.plain(simple.dictionary.to_pylist())
-        tail_ids, tail_n = self.any(tail_kinds)
+        core = core.filter(pa.array(easy))
+        simple = pc.dictionary_encode(pc.utf8_lower(core))
+        whole = kinds.filter(pa.array(easy))
+        marks = pc.binary_length(whole).to_numpy() - pc.binary_length(core).to_numpy()
+        marked = np.flatnonzero(marks)
+        tail = [w[-n:] for w, n in zip(whole.take(pa.array(marked)).to_pylist(), marks[marked].tolist(), strict=True)]  # marks are one byte each
+        tail_kinds = sorted(set(tail))
         hard = kinds.filter(pa.array(~easy)).to_pylist()
-        hard_ids, hard_n = self.any(hard)
-        pool = np.concatenate([head_ids, tail_ids, hard_ids])
-        count = np.concatenate([head_n, tail_n, hard_n])
-        start = np.cumsum(count) - count
+        coded = [self.plain(simple.dictionary.to_pylist()), self.any(tail_kinds), self.any(hard)]
+        pool = np.concatenate([ids for ids, _ in coded])
+        count = np.concatenate([n for _, n in coded]).astype(np.int32)
+        start = (np.cumsum(count) - count).astype(np.int32)
         # Each kind of word is one or two runs of the pool: its letters or all of it, then its marks.
-        first = np.zeros((len(kinds), 2), np.int64)
-        many = np.zeros((len(kinds), 2), np.int64)
+        first = np.zeros((len(kinds), 2), np.int32)
+        many = np.zeros((len(kinds), 2), np.int32)
         head = simple.indices.to_numpy()
         first[easy, 0], many[easy, 0] = start[head], count[head]
-        place = {t: len(head_n) + i for i, t in enumerate(tail_kinds)}
-        at = np.array([place.get(t, -1) for t in tail], np.int64)
-        marked = np.flatnonzero(easy)[at >= 0]
-        first[marked, 1], many[marked, 1] = start[at[at >= 0]], count[at[at >= 0]]
-        others = np.arange(len(hard)) + len(head_n) + len(tail_kinds)
+        place = {t: len(coded[0][1]) + i for i, t in enumerate(tail_kinds)}
+        at = np.array([place[t] for t in tail], np.int64)
+        marked = np.flatnonzero(easy)[marked]
+        first[marked, 1], many[marked, 1] = start[at], count[at]
+        others = np.arange(len(hard)) + len(coded[0][1]) + len(tail_kinds)
         first[~easy, 0], many[~easy, 0] = start[others], count[others]
-        runs, lengths = first[code].ravel(), many[code].ravel()
-        after = np.concatenate([[0], np.cumsum(lengths)])
-        ids = pool[np.repeat(runs - after[:-1], lengths) + np.arange(after[-1])]
-        return ids, after[bounds * 2]
+        block = bounds[:-1] // WORDS_AT_ONCE
+        for a in [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()] if len(block) else []:
+            b = int(np.searchsorted(block, block[a], "right"))
+            mine = code[bounds[a] : bounds[b]]
+            runs, lengths = first[mine].ravel(), many[mine].ravel()
+            after = np.concatenate([[0], np.cumsum(lengths)])
+            ids = pool[np.repeat(runs - after[:-1], lengths) + np.arange(after[-1])]
+            yield a, ids, after[(bounds[a : b + 1] - bounds[a]) * 2]
+
+
+def _pieces_of(keys: list, ids: np.ndarray, bounds: np.ndarray, capacity: int, with_ids: bool) -> pa.RecordBatch:
+    rows: list[tuple] = []
+    lists = []
+    for i, key in enumerate(keys):
+        mine = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(END)).astype("<u4")
+        for k, a in enumerate(range(0, len(mine), capacity)):
+            part = mine[a : a + capacity]
+            rows.append((key, k, a, len(part), zlib.crc32(part.tobytes())))
+            if with_ids:
+                lists.append(part.astype(np.int32))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    out = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if with_ids:
+        out, names = [*out, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+    return pa.record_batch(out, names)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -110,23 +135,11 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for batch in batches:
-            for begin, texts in pieces(as_array(batch.column(1)), 1 << 24):
+            for begin, texts in pieces(as_array(batch.column(1)), 1 << 22):
                 keys = batch.column(0).slice(begin, len(texts)).to_pylist()
-                ids, bounds = encoder.encode(texts)
-                rows: list[tuple] = []
-                lists = []
-                for i, key in enumerate(keys):
-                    mine = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(END)).astype("<u4")
-                    for k, a in enumerate(range(0, len(mine), capacity)):
-                        part = mine[a : a + capacity]
-                        rows.append((key, k, a, len(part), zlib.crc32(part.tobytes())))
-                        if with_ids:
-                            lists.append(part.astype(np.int32))
-                out = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    out, names = [*out, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.record_batch(out, names)
+                for base, ids, bounds in encoder.encode(texts):
+                    yield _pieces_of(keys[base : base + len(bounds) - 1], ids, bounds, capacity, with_ids)
+                pa.default_memory_pool().release_unused()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

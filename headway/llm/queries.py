@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import exact_dedup, langid, mixture, packing, quality, sharding, topk, toxicity
+from headway.llm import exact_dedup, langid, mixture, near_dedup, packing, quality, sharding, topk, toxicity
 from headway.llm.common import crc_of_id, table
 from headway.session import scratch
 
@@ -40,6 +40,10 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
@@ -80,6 +84,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_top_k": op8_top_k,
     "op9_toxicity": op9_toxicity,
