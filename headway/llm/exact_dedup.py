@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import stored, text_or_empty
+from headway.llm.common import small, stored, text_or_empty
 
 DIGEST = "sha2_digest"
 
@@ -82,10 +82,15 @@ class DigestIndex:
 
 
 def kept_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``result`` keeps, with all their columns (rows without id stay)."""
-    gone = result.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.unhex("text_sha256").alias("_gone")).distinct()
-    keys = docs.withColumn("_digest", digest(text_or_empty()))
-    stay = result.filter("kept AND doc_id IS NOT NULL").select("doc_id", F.unhex("text_sha256").alias("_gone")).distinct()
-    gone = gone.join(stay, ["doc_id", "_gone"], "left_anti")
-    on = (keys["doc_id"] == gone["doc_id"]) & (keys["_digest"] == gone["_gone"])
-    return keys.join(gone, on, "left_anti").drop("_digest")
+    """The rows of ``docs`` that ``result`` keeps, with all their columns; rows without id stay.
+
+    Rows that repeat both id and text are left once. Text travels only if more rows go than ``small``
+    lets be broadcast.
+    """
+    known = result.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_gone"))
+    known = stored(known.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter("NOT _kept OR _rows > 1"), "dedup-drop")
+    rows = docs.withColumn("_digest", digest(text_or_empty()))
+    on = (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_gone"))
+    single = rows.join(small(known), on, "left_anti")
+    again = rows.join(small(known.filter("_kept")), on, "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return single.unionByName(again).drop("_digest")

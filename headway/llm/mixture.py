@@ -180,6 +180,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, bl
     )
 
 
+def mixed_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as ``result`` (of ``mix``) takes them whole."""
+    times = result.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    rows = docs.withColumn("_words", word_count(text_or_empty()))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    taken = rows.join(times, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select(*docs.columns)
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,

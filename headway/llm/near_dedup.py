@@ -295,3 +295,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.col("_c").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.col("_c")).alias("kept"),
     )
+
+
+def kept_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``result`` keeps, with all their columns; rows without id stay."""
+    gone = stored(result.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near-drop")
+    return docs.join(small(gone), F.col("doc_id") == F.col("_id"), "left_anti")

@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import exact_dedup, langid, mixture, near_dedup, packing, quality, sharding, topk, toxicity
+from headway.llm import exact_dedup, langid, lm_trie, mixture, near_dedup, packing, quality, sharding, topk, toxicity
 from headway.llm.common import crc_of_id, table
 from headway.session import scratch
 
 
+def op1_lm_trie(spark: SparkSession, folder: str) -> DataFrame:
+    held = "coalesce(crc32(cast(doc_id as string)), 0) % 7 = 2"
+    out = lm_trie.score(table(spark, folder, "documents"), f"NOT ({held})")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "digest-index")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -80,6 +86,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_trie": op1_lm_trie,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_best_fit_packing": op4_best_fit_packing,

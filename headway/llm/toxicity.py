@@ -259,3 +259,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ToxicityMo
     """Fit on at most ``limit`` labelled documents outside the held-out third."""
     known = labels.filter(crc_of_id() % 3 != 1).select("doc_id", F.col("toxic").cast("int").alias("y"))
     return fit(labelled_sample(docs, known.filter("y IN (0, 1)"), limit))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.score(model.evidence(p)) < threshold for _, texts in pieces(as_array(batch.column(at))) for _, p in model.passages(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
