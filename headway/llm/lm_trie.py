@@ -89,14 +89,17 @@ class EliasFano:
         high, want = high[ok], wanted[ok] & U((1 << self.width) - 1)
         last = self.after(high)
         at = np.where(high > 0, self.after(np.maximum(high - 1, 0)), 0)
-        live = np.flatnonzero(at < last)
-        while len(live):
-            got = self.lows(at[live])
-            hit = live[got == want[live]]
-            out[ok[hit]] = at[hit]
-            live = live[got < want[live]]
-            at[live] += 1
-            live = live[at[live] < last[live]]
+        end = last.copy()
+        live = np.flatnonzero(at < end)
+        while len(live):  # bisection among the values with these high bits
+            middle = (at[live] + end[live]) >> 1
+            less = self.lows(middle) < want[live]
+            at[live] = np.where(less, middle + 1, at[live])
+            end[live] = np.where(less, end[live], middle)
+            live = live[at[live] < end[live]]
+        there = np.flatnonzero(at < last)
+        hit = there[self.lows(at[there]) == want[there]]
+        out[ok[hit]] = at[hit]
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
