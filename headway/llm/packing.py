@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs a task per core; threads of the tokenizer would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -55,7 +58,9 @@ class WordEncoder:
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         lines = [" ".join(words[i : i + 500]).encode().decode("latin-1").translate(self.table) for i in range(0, len(words), 500)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.split.encode_batch_fast(lines, add_special_tokens=False)])
+        # An encoding holds far more than its ids, so only some lines are encoded at a time.
+        parts = (self.split.encode_batch_fast(lines[i : i + 16], add_special_tokens=False) for i in range(0, len(lines), 16))
+        ids = np.concatenate([np.array(e.ids, np.uint32) for part in parts for e in part])
         ends = np.flatnonzero(self.final[ids]) + 1
         return ids, np.diff(ends, prepend=0)
 
@@ -107,6 +112,16 @@ class WordEncoder:
             yield a, ids, after[(bounds[a : b + 1] - bounds[a]) * 2]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which later tasks use again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _pieces_of(keys: list, ids: np.ndarray, bounds: np.ndarray, capacity: int, with_ids: bool) -> pa.RecordBatch:
     rows: list[tuple] = []
     lists = []
@@ -133,7 +148,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = F
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for begin, texts in pieces(as_array(batch.column(1)), 1 << 22):
                 keys = batch.column(0).slice(begin, len(texts)).to_pylist()
