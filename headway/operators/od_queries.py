@@ -148,8 +148,8 @@ def service_quality(df: DataFrame) -> DataFrame:
     return out.withColumn("service_quality_score", F.when(F.col("_broken"), 50.0).otherwise(score)).drop("_broken")
 
 
-def mismatch(summary: DataFrame, month: str, minimum: float = 10, n: int = 20) -> DataFrame:
-    """Pairs whose demand outruns their service, out of the 3n largest by demand."""
+def mismatch(summary: DataFrame, month: str, minimum: float = 10, n: int = 20, pool: int | None = None) -> DataFrame:
+    """The n pairs whose demand most outruns their service, out of all, or of the ``pool`` largest by demand."""
     rows = of_month(summary, month).filter(
         (F.col(MEAN) >= minimum)
         & F.col("from_coordinates_x").isNotNull()
@@ -157,7 +157,7 @@ def mismatch(summary: DataFrame, month: str, minimum: float = 10, n: int = 20) -
         & F.col("to_coordinates_x").isNotNull()
         & F.col("to_coordinates_y").isNotNull()
     )
-    candidates = top_n(rows, 3 * n, F.desc("daily_avg_passengers"), *map(F.asc, PAIR))
+    candidates = rows if pool is None else top_n(rows, pool, F.desc("daily_avg_passengers"), *map(F.asc, PAIR))
     scored = service_quality(candidates).withColumn("_r", F.col(MEAN) / F.greatest(F.col("service_quality_score"), F.lit(1.0)))
     kept = scored.filter(F.col("_r") >= 1.0).withColumn("demand_service_ratio", decimal_round(F.col("_r"), 2))
     return top_n(kept, n, F.desc("demand_service_ratio"), F.desc("daily_avg_passengers"), *map(F.asc, PAIR)).drop("_r")

@@ -313,8 +313,7 @@ register(
     "SELECT from_station_id, to_station_id, harm AS harmonic FROM odmonth JOIN pairs ON from_station_id = f AND to_station_id = t WHERE n_common > 0 AND c_unknown = 0",
 )
 MIS = """SELECT *, round(ratio0 + 1e-9, 2) AS demand_service_ratio FROM (
-         SELECT *, daily_avg_passengers / greatest(score, 1) AS ratio0 FROM (SELECT * FROM quality WHERE daily_avg_passengers >= 10
-         ORDER BY daily_avg_passengers DESC, from_station_id, to_station_id LIMIT 60)) WHERE ratio0 >= 1
+         SELECT *, daily_avg_passengers / greatest(score, 1) AS ratio0 FROM (SELECT * FROM quality WHERE daily_avg_passengers >= 10)) WHERE ratio0 >= 1
        ORDER BY round(ratio0 + 1e-9, 2) DESC, daily_avg_passengers DESC, from_station_id, to_station_id LIMIT 20"""
 define("mism", MIS)
 register(

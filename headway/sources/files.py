@@ -19,13 +19,23 @@ def read_csv_bom(spark: SparkSession, path: str, names: dict[str, str] | None =
     return df.withColumnsRenamed(names or {})
 
 
-def read_od_csv(spark: SparkSession, path: str, date_pattern: str = r"(\d{8})") -> DataFrame:
-    """Daily OD files; the date is taken from the path. Fails when a column is missing."""
+#: Eight digits after ``=`` in the last folder, or before ``.`` or ``_`` in the file name; other
+#: folders and the random names of part files may hold digits of their own.
+OD_DATE = r"(?:=(?=\d{8}/)|[/_-](?=\d{8}[._]))(\d{8})"
+
+
+def read_od_csv(spark: SparkSession, path: str, date_pattern: str = OD_DATE) -> DataFrame:
+    """Daily OD files; the date is taken from the last folder (``name=yyyyMMdd``) or the file name.
+
+    Fails when a column is missing or a path has no date.
+    """
     df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     missing = [c for c in OD_CSV_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"OD file lacks columns {missing}")
-    day = F.to_date(F.regexp_extract(F.col("_metadata.file_path"), date_pattern, 1), "yyyyMMdd")
+    tail = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    found = F.try_to_timestamp(F.regexp_extract(tail, date_pattern, 1), F.lit("yyyyMMdd")).cast("date")
+    day = F.coalesce(found, F.raise_error(F.concat(F.lit("no date in the path of an OD file: "), tail)).cast("date"))
     return df.select(
         day.alias("record_date"),
         F.col("RIDE_PUB_STA_ID").alias("from_station_id"),

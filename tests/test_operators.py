@@ -425,3 +425,15 @@ def test_nested_heat_map_pages_keep_every_station(spark):
     assert sum(len(r.stations) for r in rows) == 2500 and max(len(r.stations) for r in rows) <= 100
     hot = [s.total_traffic for r in sorted((r for r in rows if r.district_name == "hot"), key=lambda r: r.page_no) for s in r.stations]
     assert hot == sorted(hot, reverse=True) and len(hot) == 834
+
+
+def test_od_date_comes_from_the_last_folder_or_file_name(spark, tmp_path):
+    from headway.schemas import OD_CSV_COLUMNS
+    from headway.sources.files import read_od_csv
+
+    line = ",".join(OD_CSV_COLUMNS) + "\n" + ",".join(["a", "b", "3", *["1"] * 24]) + "\n"
+    for parent, rest in (("28501454", "file_date=20250715/part-00000-28501454-aaaa.csv"), ("20230101", "OD_20250715.csv")):
+        target = tmp_path / parent / rest
+        target.parent.mkdir(parents=True)
+        target.write_text(line)
+        assert [str(r.record_date) for r in read_od_csv(spark, str(tmp_path / parent)).collect()] == ["2025-07-15"]
