@@ -38,6 +38,7 @@ PHRASES = [
     (r"왜", "이유"),
     (r"어떻게", "방법"),
 ]
+# fixed values: words and hints of traffic questions, day names
 TRAFFIC_WORDS = ["교통량", "통행량", "이용량", "승객", "승차", "이용객"]
 MONTH_HINT = " (시계열 데이터에서 해당 월의 승하차 데이터 집계 - station_passenger_history, section_passenger_history 테이블 활용)"
 CARD_HINT = " (교통카드 승하차 데이터 기반으로 답변 - station_passenger_history 테이블 활용)"
@@ -49,6 +50,7 @@ PARAPHRASES = [
     (["방법", "어떻게"], [("방법", "방식"), ("어떻게", "어떤 방식으로")]),
 ]
 SHORT_NAME, LONG_NAMES = "DRT", ("수요응답형교통", "demand responsive transport")
+# fixed values: marks of a good answer and of a good or bad judgement
 STEP_MARKERS = ["1단계", "2단계", "3단계", "4단계"]
 ASPECTS = ["개념", "정의", "장점", "효과", "운영", "방식", "정책", "사례"]
 GOOD_WORDS = ["관련", "중요", "포함", "설명", "상세", "적합"]
@@ -102,8 +104,12 @@ def rewrite_question(text: Column, today: str, data_from: str, data_to: str, mon
     return F.concat(out, F.coalesce(hint, F.lit("")))
 
 
-def expand_queries(text: Column, limit: int = 4) -> Column:
-    """The question and rule-based paraphrases, distinct, at most ``limit``."""
+def first_of(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def expand_queries(text: Column, limit: int | None = None) -> Column:
+    """The question and its rule-based paraphrases, distinct; all of them, or the first ``limit``."""
     long_form = F.replace(text, F.lit(SHORT_NAME), F.lit(LONG_NAMES[0]))
     chain = F
     for words, swaps in PARAPHRASES:
@@ -112,12 +118,13 @@ def expand_queries(text: Column, limit: int = 4) -> Column:
     general = F.when(
         text.contains(SHORT_NAME), F.array(text, *[F.replace(text, F.lit(SHORT_NAME), F.lit(n)) for n in LONG_NAMES])
     ).otherwise(F.array(text))
-    return F.slice(F.array_distinct(chain.otherwise(general)), 1, limit)
+    return first_of(F.array_distinct(chain.otherwise(general)), limit)
 
 
-def expand_with_keywords(text: Column, keywords: list[str], limit: int = 7) -> Column:
-    extra = [F.concat(F.lit(f"{k}와 관련된 "), text) for k in keywords[:3]]
-    return F.slice(F.array_distinct(F.concat(expand_queries(text), F.array(*extra))), 1, limit)
+def expand_with_keywords(text: Column, keywords: list[str], limit: int | None = None) -> Column:
+    """Paraphrases and one variant per keyword, distinct; all of them, or the first ``limit``."""
+    extra = [F.concat(F.lit(f"{k}와 관련된 "), text) for k in keywords]
+    return first_of(F.array_distinct(F.concat(expand_queries(text), F.array(*extra))), limit)
 
 
 # every character that counts as white space around a text
@@ -128,11 +135,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def parse_query_lines(response: Column, original: Column, limit: int = 4, shortest: int = 10) -> Column:
+def parse_query_lines(response: Column, original: Column, limit: int | None = None, shortest: int = 10) -> Column:
     """The original and usable distinct lines of a response, bullets and numbers removed."""
     lines = F.transform(F.split(response, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[- •·*0-9.)]+", "")))
     usable = F.filter(lines, lambda x: (F.length(x) >= shortest) & (F.lower(x) != F.lower(original)))
-    return F.slice(F.array_distinct(F.concat(F.array(original), usable)), 1, limit)
+    return first_of(F.array_distinct(F.concat(F.array(original), usable)), limit)
 
 
 def _last(text: Column, pattern: str) -> Column:

@@ -35,13 +35,11 @@ def hours_grid(keys: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+    """Hash-partition by ``keys``, without a fixed number, so that AQE may merge and split partitions.
 
-    For steps that turn few input bytes into much work: AQE sizes partitions by input bytes and
-    would join them into too few tasks. A later window or aggregate on the keys reuses it.
+    A later window or aggregate on the keys reuses it.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(*keys)
 
 
 def one_row(df: DataFrame, *columns: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import geo
-from headway.functions.calendar import date_parts
+from headway.functions.calendar import date_parts, month_filter
 from headway.functions.numbers import decimal_round, ratio, ratio_or_zero
 
 HOURS = [f"h{h:02d}" for h in range(24)]
@@ -140,9 +140,12 @@ def daily_od_generated(daily: DataFrame) -> DataFrame:
     )
 
 
-def monthly_od_aggregation(daily: DataFrame) -> DataFrame:
+def monthly_od_aggregation(daily: DataFrame, month: str | None = None) -> DataFrame:
     """One row per month and pair. All measures are mergeable, so each day's rows shrink before
-    the shuffle; the route arrays of the earliest day stand for the month."""
+    the shuffle; the route arrays of the earliest day stand for the month. With ``month``, only
+    that month's days are read."""
+    if month is not None:
+        daily = daily.filter(month_filter(F.col("analysis_date"), month))
     total, weekend = F.col("total_passengers"), F.col("is_weekend")
     side = lambda w, c=total: F.when(weekend if w else ~weekend, c)
     meta = [F.mode(F.col(f"{e}_{c}"), True).alias(f"{e}_{c}") for e in ("from", "to") for c in METADATA]
@@ -249,8 +252,8 @@ def node_numbers(monthly: DataFrame, stops: DataFrame) -> DataFrame:
     return out
 
 
-def monthly_od_summary(daily: DataFrame, stops: DataFrame, every_day: int = DEFAULT_EVERY_DAY) -> DataFrame:
-    base = node_numbers(monthly_od_aggregation(daily), stops).withColumns(
+def monthly_od_summary(daily: DataFrame, stops: DataFrame, every_day: int = DEFAULT_EVERY_DAY, month: str | None = None) -> DataFrame:
+    base = node_numbers(monthly_od_aggregation(daily, month), stops).withColumns(
         {
             "frequency_category": frequency_class(F.col("appearance_days"), every_day),
             "cv_coefficient": od_cv(F.col("daily_stddev_passengers"), F.col("daily_avg_passengers")),

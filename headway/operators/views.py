@@ -10,14 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.functions.calendar import day_type, days_present, hours_present, month_bucket
+from headway.functions.calendar import day_type, days_present, hours_present, month_bucket, month_filter
 from headway.operators.joins import in_city
 
 NO_DONG = "정보없음"
 
 
-def dated(sph: DataFrame) -> DataFrame:
-    return sph.withColumns(
+def dated(sph: DataFrame, month: str | None = None) -> DataFrame:
+    """Facts with their month, day type and traffic; with ``month``, only that month's.
+
+    The month is a range on the bare date, so the scan reads only its files and row groups.
+    """
+    facts = sph if month is None else sph.filter(month_filter(F.col("record_date"), month))
+    return facts.withColumns(
         {
             "month_date": month_bucket(F.col("record_date")),
             "day_type": day_type(F.col("record_date")),
@@ -67,11 +72,11 @@ def hourly_traffic_patterns(sph: DataFrame, sm: DataFrame) -> DataFrame:
     )
 
 
-def district_monthly_traffic(sph: DataFrame, sm: DataFrame) -> DataFrame:
+def district_monthly_traffic(sph: DataFrame, sm: DataFrame, month: str | None = None) -> DataFrame:
     """Sums and exact quartiles. The quartiles work on (stop, value) counts, so their state is
     the number of different hourly totals, not the number of rows."""
     histogram = (
-        dated(sph)
+        dated(sph, month)
         .groupBy("month_date", "node_id", "traffic")
         .agg(
             F.sum("ride_passenger").alias("ride"),
@@ -101,9 +106,9 @@ def district_monthly_traffic(sph: DataFrame, sm: DataFrame) -> DataFrame:
     )
 
 
-def station_monthly_traffic(sph: DataFrame, sm: DataFrame, stops: DataFrame) -> DataFrame:
+def station_monthly_traffic(sph: DataFrame, sm: DataFrame, stops: DataFrame, month: str | None = None) -> DataFrame:
     per_stop = (
-        dated(sph)
+        dated(sph, month)
         .groupBy("month_date", "node_id")
         .agg(
             F.sum("ride_passenger").alias("total_ride"),
@@ -149,10 +154,13 @@ def city_hourly_patterns(district_hours: DataFrame) -> DataFrame:
     )
 
 
-def station_hourly_patterns(sph: DataFrame, sm: DataFrame, stops: DataFrame) -> DataFrame:
-    """Month × day type × stop × hour, the base of the score, anomaly and heat-map builders."""
+def station_hourly_patterns(sph: DataFrame, sm: DataFrame, stops: DataFrame, month: str | None = None) -> DataFrame:
+    """Month × day type × stop × hour, the base of the score, anomaly and heat-map builders.
+
+    A question about one month passes it as ``month``.
+    """
     per_stop = (
-        dated(sph)
+        dated(sph, month)
         .groupBy("month_date", "day_type", "node_id", "hour")
         .agg(
             F.sum("ride_passenger").alias("total_ride"),

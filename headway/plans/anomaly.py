@@ -52,26 +52,26 @@ def joined(df, *arrays):
 register(
     "weekend_dominant",
     "rank:i station_id:s station_name:s district_name:s weekend_total:i vs_average:f1 peak_hours:s peak_traffic:s",
-    lambda t: joined(anomaly.weekend_dominant(shp(t), MONTH), "peak_hours", "peak_traffic"),
+    lambda t: joined(anomaly.weekend_dominant(shp(t, MONTH), MONTH), "peak_hours", "peak_traffic"),
     "SELECT w.*, peak_hours, peak_traffic FROM wk_top AS w JOIN wk_hours AS h ON w.station_id = h.station_id",
 )
 register(
     "weekend_peak_hours",
     "station_id:s peak_hours:s peak_traffic:s",
-    lambda t: joined(anomaly.weekend_peak_hours(shp(t), MONTH, shp(t).select("station_id").distinct()), "peak_hours", "peak_traffic"),
+    lambda t: joined(anomaly.weekend_peak_hours(shp(t, MONTH), MONTH, shp(t, MONTH).select("station_id").distinct()), "peak_hours", "peak_traffic"),
     "SELECT * FROM wk_hours",
 )
 NIGHT = [23, 0, 1, 2, 3]
 register(
     "night_demand",
     spec("total_night_ride", NIGHT),
-    lambda t: anomaly.night_demand(shp(t), MONTH),
+    lambda t: anomaly.night_demand(shp(t, MONTH), MONTH),
     top_sql(NIGHT, "total_ride", "total_night_ride", None),
 )
 register(
     "night_peak_hour",
     "station_id:s total_night_ride:i peak_hour:i",
-    lambda t: anomaly.night_peak_hour(anomaly.night_demand(shp(t), MONTH, n=50)),
+    lambda t: anomaly.night_peak_hour(anomaly.night_demand(shp(t, MONTH), MONTH, n=50)),
     f"""SELECT station_id, total_night_ride, CASE greatest(hour_23, hour_0, hour_1, hour_2, hour_3)
        WHEN hour_23 THEN 23 WHEN hour_0 THEN 0 WHEN hour_1 THEN 1 WHEN hour_2 THEN 2 ELSE 3 END AS peak_hour
        FROM ({top_sql(NIGHT, "total_ride", "total_night_ride", None, 50)})""",
@@ -80,19 +80,19 @@ for side, hrs in (("morning", [6, 7, 8]), ("evening", [17, 18, 19])):
     register(
         f"rush_hour_{side}",
         spec(f"total_{side}_rush", hrs),
-        lambda t, side=side: anomaly.rush_hour(shp(t), MONTH, side),
+        lambda t, side=side: anomaly.rush_hour(shp(t, MONTH), MONTH, side),
         top_sql(hrs, "total_ride", f"total_{side}_rush", "weekday"),
     )
 register(
     "rush_hour_top",
     spec("total_rush_ride", []),
-    lambda t: anomaly.rush_hour_top(shp(t), MONTH, "NATION_3"),
+    lambda t: anomaly.rush_hour_top(shp(t, MONTH), MONTH, "NATION_3"),
     top_sql([7, 8, 17, 18, 19], "total_ride", "total_rush_ride", "weekday", district="NATION_3"),
 )
 register(
     "lunch_time",
     spec("total_lunch_alight", [11, 12, 13]),
-    lambda t: anomaly.lunch_time(shp(t), MONTH),
+    lambda t: anomaly.lunch_time(shp(t, MONTH), MONTH),
     top_sql([11, 12, 13], "total_alight", "total_lunch_alight", "weekday"),
 )
 
@@ -116,7 +116,7 @@ for kind in ("residential", "business"):
     register(
         f"area_{kind}",
         AREA_SPEC,
-        lambda t, kind=kind: anomaly.area_type(shp(t), MONTH, kind, **AREA),
+        lambda t, kind=kind: anomaly.area_type(shp(t, MONTH), MONTH, kind, **AREA),
         area_sql(kind),
     )
 define(
@@ -133,13 +133,13 @@ register(
     "underutilized",
     "station_id:s station_name:s district_name:s avg_daily_passengers:i max_daily_passengers:i connecting_routes:i "
     "utilization_rate:f1 efficiency_score:f1",
-    lambda t: anomaly.underutilized(shp(t), MONTH, n=10),
+    lambda t: anomaly.underutilized(shp(t, MONTH), MONTH, n=10),
     UNDER.format(n=10),
 )
 register(
     "anomaly_integration",
     "pattern:s station_id:s district_name:s value:f1",
-    lambda t: anomaly.anomaly_integration(shp(t), MONTH),
+    lambda t: anomaly.anomaly_integration(shp(t, MONTH), MONTH),
     " UNION ALL ".join(
         f"SELECT '{p}' AS pattern, station_id, district_name, CAST({v} AS DOUBLE) AS value FROM ({q})"
         for p, v, q in [
@@ -157,7 +157,7 @@ register(
 register(
     "rush_summary",
     "morning_total:i morning_max:i evening_total:i evening_max:i morning_evening_ratio:f2",
-    lambda t: anomaly.rush_summary(anomaly.rush_hour(shp(t), MONTH, "morning"), anomaly.rush_hour(shp(t), MONTH, "evening")),
+    lambda t: anomaly.rush_summary(anomaly.rush_hour(shp(t, MONTH), MONTH, "morning"), anomaly.rush_hour(shp(t, MONTH), MONTH, "evening")),
     f"""SELECT *, morning_total / evening_total AS morning_evening_ratio FROM
        (SELECT sum(total_morning_rush) AS morning_total, max(total_morning_rush) AS morning_max
         FROM ({top_sql([6, 7, 8], "total_ride", "total_morning_rush", "weekday")})) CROSS JOIN
@@ -169,7 +169,7 @@ register(
     "residential_morning_ride:i business_morning_alight:i residential_evening_alight:i business_evening_ride:i "
     "max_imbalance:f1 mean_imbalance:f1 max_morning_ride:i max_morning_alight:i max_evening_ride:i max_evening_alight:i",
     lambda t: anomaly.area_summary(
-        anomaly.area_type(shp(t), MONTH, "residential", **AREA), anomaly.area_type(shp(t), MONTH, "business", **AREA)
+        anomaly.area_type(shp(t, MONTH), MONTH, "residential", **AREA), anomaly.area_type(shp(t, MONTH), MONTH, "business", **AREA)
     ),
     f"""SELECT coalesce(sum(morning_ride) FILTER (kind = 'r'), 0) AS residential_morning_ride,
        coalesce(sum(morning_alight) FILTER (kind = 'b'), 0) AS business_morning_alight,

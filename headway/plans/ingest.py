@@ -600,7 +600,7 @@ register(
 def month_twice(t):
     """Load January and February, then replace January only."""
     path = scratch(t.spark, "scores")
-    jan = commuter_scores(t.sph, t.sections, shp(t), t.sm, MONTH).select("station_id", "hour_of_day", "analysis_month", "total_drt_score")
+    jan = commuter_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH).select("station_id", "hour_of_day", "analysis_month", "total_drt_score")
     feb = jan.withColumn("analysis_month", F.lit("2024-02-01").cast("date"))
     tables.replace_month(t.spark, path, jan.unionByName(feb))
     return tables.replace_month(t.spark, path, jan.filter("hour_of_day < 12"))

@@ -25,8 +25,8 @@ def generated(t):
     return od.daily_od_generated(daily(t))
 
 
-def summary(t):
-    return t.built("od summary", lambda: od.monthly_od_summary(generated(t), t.stops))
+def summary(t, month=None):
+    return t.built(f"od summary {month}", lambda: od.monthly_od_summary(generated(t), t.stops, month=month))
 
 
 KM = """CASE WHEN a.latitude = 0 OR a.longitude = 0 OR b.latitude = 0 OR b.longitude = 0 THEN 0 ELSE
@@ -211,7 +211,7 @@ register(
 register(
     "od_p1_transfers",
     PAIR + "from_district_name:s to_district_name:s avg_distance_km:f2 daily_avg_passengers:f4 priority_category:s priority_score:i",
-    lambda t: oq.p1_transfers(summary(t), MONTH),
+    lambda t: oq.p1_transfers(summary(t, MONTH), MONTH),
     """SELECT *, p1_score + p2_score AS priority_score, CASE WHEN p1_score > 0 THEN 'P1_고수요_환승구간' ELSE 'P1_저수요_환승구간' END AS priority_category
        FROM odmonth WHERE p1_score + p2_score > 0
        ORDER BY p1_score + p2_score DESC, daily_avg_passengers DESC, from_station_id, to_station_id LIMIT 50""",
@@ -219,14 +219,14 @@ register(
 register(
     "od_p2_high_demand",
     PAIR + "daily_avg_passengers:f4 avg_dispatch_interval:f4 priority_category:s",
-    lambda t: oq.p2_high_demand(summary(t), MONTH),
+    lambda t: oq.p2_high_demand(summary(t, MONTH), MONTH),
     """SELECT *, 'P2_직행노선부족' AS priority_category FROM odmonth WHERE p3_score > 0
        ORDER BY p3_score DESC, from_station_id, to_station_id LIMIT 50""",
 )
 register(
     "od_p3_low_efficiency",
     PAIR + "daily_avg_passengers:f4 demand_per_km:f4 service_recommendation:s",
-    lambda t: oq.p3_low_efficiency(summary(t), MONTH),
+    lambda t: oq.p3_low_efficiency(summary(t, MONTH), MONTH),
     """SELECT *, daily_avg_passengers / avg_distance_km AS demand_per_km,
        CASE WHEN daily_avg_passengers / avg_distance_km < 10 THEN 'DRT 전환 권장' ELSE '현행 유지' END AS service_recommendation
        FROM odmonth WHERE p4_score > 0 ORDER BY p4_score DESC, from_station_id, to_station_id LIMIT 50""",
@@ -244,11 +244,11 @@ define(
 
 
 def origins(t):
-    return oq.time_origins(summary(t), MONTH, "morning_peak")
+    return oq.time_origins(summary(t, MONTH), MONTH, "morning_peak")
 
 
 def destinations(t):
-    s = summary(t)
+    s = summary(t, MONTH)
     return oq.time_destinations(s, MONTH, "morning_peak", oq.time_origins(s, MONTH, "morning_peak"))
 
 
@@ -270,7 +270,7 @@ register("od_time_destinations", PAIR + "to_district_name:s demand:i rank:i", de
 register(
     "row_number_global",
     "to_station_id:s demand:i rank:i",
-    lambda t: oq.time_destinations(summary(t), MONTH, "morning_peak", t.od_stops.filter("station_id = '3'").select(F.col("station_id").alias("from_station_id"))),
+    lambda t: oq.time_destinations(summary(t, MONTH), MONTH, "morning_peak", t.od_stops.filter("station_id = '3'").select(F.col("station_id").alias("from_station_id"))),
     """SELECT to_station_id, monthly_morning_peak AS demand, row_number() OVER (ORDER BY monthly_morning_peak DESC, to_station_id) AS rank
        FROM odmonth WHERE from_station_id = '3' AND to_station_id <> '3' AND monthly_morning_peak > 0 ORDER BY rank LIMIT 20""",
 )
@@ -319,21 +319,21 @@ define("mism", MIS)
 register(
     "od_mismatch",
     PAIR + "daily_avg_passengers:f1 service_quality_score:f1 avg_dispatch_interval_min:f1 route_diversity_index:f1 transfer_penalty:f1 demand_service_ratio:f2",
-    lambda t: oq.mismatch(summary(t), MONTH),
+    lambda t: oq.mismatch(summary(t, MONTH), MONTH),
     """SELECT *, score AS service_quality_score, wait AS avg_dispatch_interval_min, diversity AS route_diversity_index,
        penalty AS transfer_penalty FROM mism""",
 )
 register(
     "od_summary_stats",
     "total_od_pairs:i drt_applicable_pairs:i monthly_transfer_demand:i",
-    lambda t: oq.summary_stats(summary(t), MONTH),
+    lambda t: oq.summary_stats(summary(t, MONTH), MONTH),
     """SELECT count(*) AS total_od_pairs, count(*) FILTER (drt_priority_score > 0) AS drt_applicable_pairs,
        coalesce(sum(monthly_total_passengers) FILTER (transfer), 0) AS monthly_transfer_demand FROM odmonth""",
 )
 register(
     "od_priority_distribution",
     "p1_count:i p2_count:i p3_count:i p4_count:i",
-    lambda t: oq.priority_distribution(summary(t), MONTH),
+    lambda t: oq.priority_distribution(summary(t, MONTH), MONTH),
     "SELECT " + ", ".join(f"count(*) FILTER (p{i}_score > 0) AS p{i}_count" for i in (1, 2, 3, 4)) + " FROM odmonth",
 )
 define(
@@ -346,7 +346,7 @@ define(
 register(
     "od_pair_hourly",
     PAIR + "hour:i passengers:f1 peak_hour:i peak_passengers:f1 morning_peak_pct:f1 evening_peak_pct:f1 daytime_pct:f1 night_pct:f1 pattern_type:s",
-    lambda t: oq.pair_hourly(summary(t), MONTH),
+    lambda t: oq.pair_hourly(summary(t, MONTH), MONTH),
     f"""SELECT from_station_id, to_station_id, hour, {rounded_even('CAST(v0 AS DOUBLE) / appearance_days', 1)} AS passengers, peak_hour,
        {rounded_even('CAST(pk AS DOUBLE) / appearance_days', 1)} AS peak_passengers, {rounded_even('am', 1)} AS morning_peak_pct,
        {rounded_even('pm', 1)} AS evening_peak_pct, {rounded_even('noon', 1)} AS daytime_pct, {rounded_even('nt', 1)} AS night_pct,
@@ -362,7 +362,7 @@ register(
 
 
 def edges(t):
-    s = summary(t)
+    s = summary(t, MONTH)
     dest = oq.time_destinations(s, MONTH, "morning_peak", oq.time_origins(s, MONTH, "morning_peak"))
     return oq.flow_edges(dest, oq.mismatch(s, MONTH), minimum=50, min_ratio=1.5)
 

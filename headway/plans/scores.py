@@ -80,28 +80,28 @@ register(
 register(
     "commuter_pdr",
     "station_id:s hour_of_day:i avg_traffic_count:i max_daily_traffic:i pdr_score:f6",
-    lambda t: scores.commuter_pdr(shp(t), MONTH),
+    lambda t: scores.commuter_pdr(shp(t, MONTH), MONTH),
     "SELECT station_id, hour AS hour_of_day, a AS avg_traffic_count, mt AS max_daily_traffic, pdr AS pdr_score FROM c_pdr",
 )
 register(
     "commuter_ru",
     "station_id:s section_passenger_sum:i ru_score:f6",
-    lambda t: scores.commuter_ru(t.sections, shp(t), t.sm, MONTH),
+    lambda t: scores.commuter_ru(t.sections, shp(t, MONTH), t.sm, MONTH),
     "SELECT station_id, section_passenger_sum, ru AS ru_score FROM c_ru",
 )
 BASE = "station_id:s district_name:s analysis_month:s hour_of_day:i "
 
 
 def commuter(t):
-    return scores.commuter_scores(t.sph, t.sections, shp(t), t.sm, MONTH)
+    return scores.commuter_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH)
 
 
 def tourism(t):
-    return scores.tourism_scores(t.sph, t.sections, shp(t), t.sm, MONTH)
+    return scores.tourism_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH)
 
 
 def vulnerable(t):
-    return scores.vulnerable_scores(t.sph, t.sections, shp(t), t.sm, MONTH)
+    return scores.vulnerable_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH)
 
 
 def models(t):
@@ -164,7 +164,7 @@ register(
 register(
     "tourism_tdr",
     "station_id:s hour_of_day:i avg_traffic_count:i max_daily_traffic:i tdr_t_score:f6",
-    lambda t: scores.tourism_tdr(shp(t), MONTH),
+    lambda t: scores.tourism_tdr(shp(t, MONTH), MONTH),
     "SELECT station_id, hour AS hour_of_day, a AS avg_traffic_count, mt AS max_daily_traffic, tdr AS tdr_t_score FROM t_tdr",
 )
 register(
@@ -221,13 +221,13 @@ register(
 register(
     "vulnerable_sed",
     "station_id:s hour_of_day:i avg_traffic_count:f4 vulnerable_total_traffic:f4 sed_t_score:f6",
-    lambda t: scores.vulnerable_sed(shp(t), MONTH),
+    lambda t: scores.vulnerable_sed(shp(t, MONTH), MONTH),
     "SELECT station_id, hour AS hour_of_day, a AS avg_traffic_count, vt AS vulnerable_total_traffic, sed AS sed_t_score FROM v_sed",
 )
 register(
     "vulnerable_mdi",
     "station_id:s hour_of_day:i raw_passengers:f4 mdi_t_score:f6",
-    lambda t: scores.vulnerable_mdi(t.sections, t.sph, shp(t), t.sm, MONTH),
+    lambda t: scores.vulnerable_mdi(t.sections, t.sph, shp(t, MONTH), t.sm, MONTH),
     "SELECT station_id, hour AS hour_of_day, x AS raw_passengers, mdi AS mdi_t_score FROM v_mdi",
 )
 register(

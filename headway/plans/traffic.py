@@ -24,11 +24,11 @@ def hours(t):
 
 
 def districts(t):
-    return t.built("districts", lambda: traffic.heatmap_districts(views.district_monthly_traffic(t.sph, t.sm), MONTH))
+    return t.built("districts", lambda: traffic.heatmap_districts(views.district_monthly_traffic(t.sph, t.sm, MONTH), MONTH))
 
 
 def stations(t, threshold=None):
-    return traffic.heatmap_stations(views.station_monthly_traffic(t.sph, t.sm, t.stops), MONTH, threshold)
+    return traffic.heatmap_stations(views.station_monthly_traffic(t.sph, t.sm, t.stops, MONTH), MONTH, threshold)
 
 
 define(

@@ -75,8 +75,8 @@ SHP_COLUMNS = (
 )
 
 
-def shp(t):
-    return t.built("shp", lambda: views.station_hourly_patterns(t.sph, t.sm, t.stops))
+def shp(t, month=None):
+    return t.built(f"shp {month}", lambda: views.station_hourly_patterns(t.sph, t.sm, t.stops, month))
 
 
 register("station_hourly_patterns", SHP_COLUMNS, shp, "SELECT * FROM shp")

@@ -34,15 +34,9 @@ class TransitTables:
     def raw(self, name: str) -> DataFrame:
         return self.built(f"raw {name}", lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
-    def spread(self, name: str) -> DataFrame:
-        """A source table for work that is heavy per row (text, vectors).
-
-        A table in fewer files than the session has shuffle partitions is spread over all of
-        them; one in many files already is, and is not shuffled.
-        """
-        df = self.raw(name)
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return df if len(df.inputFiles()) >= n else df.repartition(n)
+    def spread(self, name: str, key: str = "doc_id") -> DataFrame:
+        """A source table dealt by its key, for work that is heavy per row (text)."""
+        return self.raw(name).repartition(key)
 
     @cached_property
     def ev(self) -> DataFrame:

@@ -43,3 +43,21 @@ def test_month_filter_is_a_range_on_the_date(spark, tmp_path):
 
 def test_top_per_group_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(entry.queries()["city_top_drt"](spark, SF))
+
+
+MONTHLY = """
+weekend_dominant weekend_peak_hours night_demand rush_hour_morning rush_hour_top lunch_time area_residential underutilized
+anomaly_integration rush_summary area_summary heatmap_districts heatmap_stations heatmap_nested heatmap_statistics
+district_detail kpi_overview kpi_concentration kpi_inequality top_stations efficiency_grade quartiles_exclusive
+commuter_pdr commuter_ru commuter_scores tourism_tdr tourism_scores vulnerable_sed vulnerable_mdi vulnerable_scores
+district_drt_scores drt_model_statistics compare_drt_models city_top_drt drt_score_filter drt_area_mean drt_suitability_class
+od_p1_transfers od_p2_high_demand od_p3_low_efficiency od_time_origins od_mismatch
+""".split()
+
+
+@pytest.mark.parametrize("name", MONTHLY)
+def test_a_question_about_one_month_reads_that_month(spark, name):
+    """Every scan of the events carries both ends of the month."""
+    scans = [line for line in plan(entry.queries()[name](spark, SF)).split("\n") if "FileScan" in line and "events.parquet" in line]
+    for line in scans:
+        assert "GreaterThanOrEqual(ts" in line and "LessThan(ts" in line
