@@ -58,6 +58,7 @@ od_p1_transfers od_p2_high_demand od_p3_low_efficiency od_time_origins od_mismat
 @pytest.mark.parametrize("name", MONTHLY)
 def test_a_question_about_one_month_reads_that_month(spark, name):
     """Every scan of the events carries both ends of the month."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # shows all pushed filters
     scans = [line for line in plan(entry.queries()[name](spark, SF)).split("\n") if "FileScan" in line and "events.parquet" in line]
     for line in scans:
         assert "GreaterThanOrEqual(ts" in line and "LessThan(ts" in line
