@@ -115,8 +115,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, bl
     Each source's documents are laid out in a seeded order and cut into blocks of ``block`` words.
     The apportioned seats of a source go over its blocks: whole passes first, then a seeded choice of
     blocks. Returns doc_id, source, size, source_size, target, taken (words in chosen blocks, repeats
-    counted, at most ``limit`` times size) and copies (how often a user takes the whole document: with
-    the block of its first word). Null texts and texts of white space have size 0 and take nothing;
+    counted, at most ``limit`` times size), text_hash and copies (how often a user takes the whole
+    document: the words of the seats go over the documents in the seeded order, whole passes first, and
+    the last pass ends at the document boundary nearest to them, so a source misses its seats by at
+    most half a document). Null texts and texts of white space have size 0 and take nothing;
     null sources are one source, after all others. Rows that repeat a doc_id are laid out one after
     the other. An empty table gives no rows; other columns play no part. No group is held in one task:
     a source is cut into about sqrt(n) ranges of its seeded order, whose totals give their offsets.
@@ -128,6 +130,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, bl
             ident.alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(text_or_empty()).alias("size"),
+            F.xxhash64(text_or_empty()).alias("text_hash"),
             order.alias("_order"),
         ),
         "mix-rows",
@@ -152,7 +155,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, bl
         ),
         "mix-cells",
     )
-    inside = Window.partitionBy("_key", "_cell").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_cell").orderBy("_order", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     laid = laid.join(small(cells), (F.col("_key") == F.col("_k")) & (F.col("_cell") == F.col("_c"))).withColumn(
         "_at", F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     )
@@ -168,7 +171,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, bl
     part = F.aggregate(F.sequence(first, F.floor((end - 1) / block)), F.lit(0).cast("long"), overlap)
     out = laid.withColumn("_passes", passes).withColumn("_picks", picks)
     taken = F.when(F.col("size") > 0, F.col("_passes") * F.col("size") + part).otherwise(0)
-    with_first = F.when((F.col("size") > 0) & chosen(first, F.col("blocks"), F.col("_picks"), seed), 1).otherwise(0)
+    quota = F.least(F.col("seats") * block, F.col("source_size") * limit)
+    whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0)
+    more = F.when(F.col("_at") * 2 + F.col("size") <= (quota - whole * F.col("source_size")) * 2, 1).otherwise(0)
     return out.select(
         "doc_id",
         "source",
@@ -176,18 +181,37 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, bl
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.col("_passes") + with_first).otherwise(0).cast("long").alias("copies"),
+        "text_hash",
+        F.when(F.col("size") > 0, whole + more).otherwise(0).cast("long").alias("copies"),
     )
 
 
 def mixed_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as ``result`` (of ``mix``) takes them whole."""
-    times = result.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    rows = docs.withColumn("_words", word_count(text_or_empty()))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    taken = rows.join(times, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(*docs.columns)
+    """The rows of ``docs``, with all their columns, as often as ``result`` (of ``mix``) takes them whole.
+
+    Rows that share doc_id, source and text take their copies together. Only where the last pass of a
+    source ends between such rows do some get one more than others; those few groups are numbered.
+    """
+    keys = ["doc_id", "source", "text_hash"]
+    times = result.groupBy(*keys).agg(
+        F.min("copies").alias("_copies"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_more")
+    )
+    times = stored(times.filter("_copies + _more > 0"), "mix-times")
+    times = times.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_copies", "_more")
+    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty()))
+    on = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_k_doc_id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_k_source"))
+        & (F.col("_hash") == F.col("_k_text_hash"))
+    )
+    taken = rows.join(times.filter("_more = 0"), on)
+    uneven = times.filter("_more > 0")
+    if not uneven.isEmpty():
+        group = Window.partitionBy("_k_doc_id", "_k_source", "_k_text_hash").orderBy(F.xxhash64(*docs.columns))
+        split = rows.join(small(uneven), on).withColumn("_extra", F.when(F.row_number().over(group) <= F.col("_more"), 1).otherwise(0))
+        split = split.withColumn("_copies", F.col("_copies") + F.col("_extra")).drop("_extra").filter("_copies > 0")
+        taken = taken.unionByName(split)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 ORACLE = f"""

@@ -335,3 +335,22 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
     assert out.count() > 0
+
+
+def test_mixed_rows_meet_targets(spark):
+    """Whole documents, a few of them very long, and rows that repeat: each source is as near its seats as whole documents can be."""
+    rng = np.random.default_rng(7)
+    sizes = {"a": rng.integers(20, 60, 60), "b": rng.integers(3_000, 9_000, 5), "c": rng.integers(1, 4_000, 40), None: rng.integers(200, 300, 30)}
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(n)), s) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    rows += [(500, "one two three", "a"), (500, "two one three", "a"), *[(None, "same row", "d")] * 41, (600, " ", "d"), (601, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    result = mixture.mix(docs)
+    wanted = {r.source: r.target for r in result.collect()}
+    got, longest = Counter(), Counter()
+    for r in mixture.mixed_rows(docs, result).collect():
+        got[r.source] += len(words(r.text))
+    for _, text, source in rows:
+        longest[source] = max(longest[source], len(words(text)))
+    # a seat is a block, and at most one and a half blocks are lost in rounding seats
+    assert all(abs(got[s] - wanted[s]) <= longest[s] / 2 + 1.5 * mixture.BLOCK for s in wanted)
+    assert not any(r.text == " " or r.text is None for r in mixture.mixed_rows(docs, result).collect())
