@@ -173,6 +173,17 @@ def smooth(tables: dict[tuple[int, int], dict[str, np.ndarray]], languages: list
     return model
 
 
+def drawn(ids: DataFrame, many: DataFrame, limit: int) -> DataFrame:
+    """About ``limit`` rows of each language of ``ids`` (_id, _lang), by hash of the id: _id, _lang and hold.
+
+    ``many`` has the number of rows of each language (_l, _n). The draw is compared in doubles, which
+    no number of rows overflows.
+    """
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 40)).cast("double")
+    ids = ids.join(small(many), F.col("_lang") == F.col("_l")).filter(draw * F.col("_n") < F.lit(float(limit << 40)))
+    return ids.select("_id", "_lang", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("hold"))
+
+
 def train(docs: DataFrame, limit: int = PER_LANGUAGE) -> LanguageModels:
     """Models of all languages of ``docs`` (doc_id, text, lang), from rows outside the held-out quarter.
 
@@ -184,12 +195,10 @@ def train(docs: DataFrame, limit: int = PER_LANGUAGE) -> LanguageModels:
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(crc_of_id() % 4 != 2)
     ids = known.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang")).distinct()
     many = stored(ids.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "language-counts")
-    draw = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 40))
-    ids = ids.join(small(many), F.col("_lang") == F.col("_l")).filter(draw * F.col("_n") < F.lit(float(limit << 40)))
-    ids = ids.select("_id", "_lang", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("hold"))
+    ids = stored(drawn(ids, many, limit), "language-ids")
     sample = stored(
         known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-        .join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+        .join(small(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
         .select("text", "lang", "hold"),
         "language-sample",
     )

@@ -354,3 +354,13 @@ def test_mixed_rows_meet_targets(spark):
     # a seat is a block, and at most one and a half blocks are lost in rounding seats
     assert all(abs(got[s] - wanted[s]) <= longest[s] / 2 + 1.5 * mixture.BLOCK for s in wanted)
     assert not any(r.text == " " or r.text is None for r in mixture.mixed_rows(docs, result).collect())
+
+
+def test_language_draw_of_many(spark):
+    """A language with more documents than 2**23, where draw times rows no longer fits a long."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(100_000).select(F.col("id").alias("_id"), F.lit("en").alias("_lang"))
+    many = spark.createDataFrame([("en", 1 << 26)], "_l string, _n bigint")
+    share = langid.drawn(ids, many, 1 << 23).count() / 100_000
+    assert abs(share - 1 / 8) < 0.01
