@@ -25,8 +25,8 @@ STEPS = 4096
 BITS = 40
 MASK = U((1 << BITS) - 1)
 START, END = U(0x5354415254), U(0x454E44)
-#: A word with more than one in HEAVY of all tokens has its followers spread over SPREAD shards.
-HEAVY, SPREAD = 2_000, 16
+#: The followers of a context are spread so that a part has at most about one in GRAIN of a shard's tokens.
+GRAIN = 4
 
 
 class EliasFano:
@@ -195,9 +195,12 @@ def word_shard(word: np.ndarray, shards: int) -> np.ndarray:
     return (mix(word + U(5)) % U(shards)).astype(np.int64)
 
 
-def gram_shard(context: np.ndarray, follower: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
-    part = np.where(np.isin(context, heavy), mix(follower + U(9)) % U(SPREAD), U(0))
-    return (mix(context + part * U(0x9E3779B97F4A7C15)) % U(shards)).astype(np.int64)
+def gram_shard(context: np.ndarray, follower: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], shards: int) -> np.ndarray:
+    """Shard of each pair: contexts in ``heavy`` (sorted words, parts) have their followers in so many shards in a row."""
+    names, parts = heavy
+    at = np.minimum(np.searchsorted(names, context), len(names) - 1)
+    spread = np.where(names[at] == context, parts[at], U(1))
+    return ((mix(context) % U(shards) + mix(follower + U(9)) % spread) % U(shards)).astype(np.int64)
 
 
 def _five(x: np.ndarray) -> bytes:
@@ -215,22 +218,24 @@ def _gram_order(g: Grams, shard: np.ndarray) -> np.ndarray:
     return np.lexsort((g.follower & MASK, g.context & MASK, shard))
 
 
-def statistics(rows: DataFrame) -> tuple[int, int, int, int, np.ndarray]:
-    """Bytes of all texts; documents, tokens and distinct tokens of the training part; heavy words.
+def statistics(rows: DataFrame, shard: int = SHARD) -> tuple[int, int, int, int, tuple[np.ndarray, np.ndarray]]:
+    """Bytes of all texts; documents, tokens and distinct tokens of the training part; heavy contexts.
 
     Words are counted in the tasks per partition, then summed by word: exact, with one row per distinct
-    word and partition in the shuffle. At most HEAVY heavy words reach the driver.
+    word and partition in the shuffle. Heavy are the start and all words whose tokens, training part or
+    not, fill more than one part; each has as many parts as its tokens fill. At most GRAIN words for
+    each shard reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = docs = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = docs = rest = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            w = np.concatenate([x for x, _ in held]) if held else np.zeros(0, U)
-            n = np.concatenate([y for _, y in held]) if held else np.zeros(0, np.int64)
+        def folded() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            w = np.concatenate([x[0] for x in held]) if held else np.zeros(0, U)
             kinds, of = np.unique(w, return_inverse=True)
-            return kinds, np.bincount(of, weights=n, minlength=len(kinds)).astype(np.int64)
+            n, every = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (1, 2))
+            return kinds, *(np.bincount(of, weights=x, minlength=len(kinds)).astype(np.int64) for x in (n, every))
 
         for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -238,25 +243,34 @@ def statistics(rows: DataFrame) -> tuple[int, int, int, int, np.ndarray]:
                 size += texts.nbytes
                 t = train[start : start + len(texts)]
                 docs += int(t.sum())
+                rest += int((~t).sum())
                 found, at = hashes(texts)
                 keep = np.repeat(t, np.diff(at))
-                held.append(np.unique(found[keep], return_counts=True))
+                kinds, of = np.unique(found, return_inverse=True)
+                held.append((kinds, np.bincount(of[keep], minlength=len(kinds)), np.bincount(of, minlength=len(kinds))))
                 if len(held) > 8:
                     held[:] = [folded()]
-        w, n = folded()
+        w, n, every = folded()
+        names = ["kind", "word", "n", "every"]
         for a in range(0, len(w), 1 << 16):
-            yield pa.record_batch([pa.array(w[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], ["word", "n"])
-        yield pa.record_batch([pa.array([None, None], pa.int64()), pa.array([size, -docs])], ["word", "n"])
-
-    counted = rows.select("text", "train").mapInArrow(run, "word bigint, n bigint")
-    kind = F.when(F.col("word").isNotNull(), 0).when(F.col("n") >= 0, 1).otherwise(2)
-    counted = stored(counted.groupBy("word", kind.alias("kind")).agg(F.sum("n").alias("n")), "lm-words")
-    total = {r["kind"]: (r["n"], r["rows"]) for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
-    docs = -total.get(2, (0, 0))[0]
-    tokens = total.get(0, (0, 0))[0] + docs
-    distinct = total.get(0, (0, 0))[1] + (docs > 0)
-    heavy = counted.filter((F.col("kind") == 0) & (F.col("n") * HEAVY > tokens)).select("word").collect()
-    return total.get(1, (0, 0))[0], docs, tokens, distinct, np.array([r["word"] for r in heavy], np.int64).view(U)
+            part = slice(a, a + (1 << 16))
+            yield pa.record_batch([pa.array(np.zeros(len(w[part]), np.int32)), pa.array(w[part].view(np.int64)), pa.array(n[part]), pa.array(every[part])], names)
+        yield pa.record_batch([pa.array([1, 2], pa.int32()), pa.array([None, None], pa.int64()), pa.array([size, docs]), pa.array([0, docs + rest])], names)
+
+    counted = rows.select("text", "train").mapInArrow(run, "kind int, word bigint, n bigint, every bigint")
+    counted = stored(counted.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "lm-words")
+    totals = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("every").alias("every"), F.count_if(F.col("n") > 0).alias("rows"))
+    total = {r["kind"]: (r["n"], r["every"], r["rows"]) for r in totals.collect()}
+    none = (0, 0, 0)
+    size, (docs, all_docs, _) = total.get(1, none)[0], total.get(2, none)
+    tokens, all_tokens = total.get(0, none)[0] + docs, total.get(0, none)[1] + all_docs
+    distinct = total.get(0, none)[2] + (docs > 0)
+    part = max(1.0, all_tokens / (GRAIN * max(1, -(-size // shard))))
+    heavy = counted.filter((F.col("kind") == 0) & (F.col("every") > part)).select("word", "every").collect()
+    names = np.append(np.array([r["word"] for r in heavy], np.int64).view(U), START)
+    parts = np.ceil(np.append(np.array([r["every"] for r in heavy], float), max(all_docs, 1)) / part).astype(U)
+    order = np.argsort(names)
+    return size, docs, tokens, distinct, (names[order], parts[order])
 
 
 def score(docs: DataFrame, train: str, chunk: int = CHUNK, shard: int = SHARD, pull: float = PULL) -> DataFrame:
@@ -270,13 +284,15 @@ def score(docs: DataFrame, train: str, chunk: int = CHUNK, shard: int = SHARD, p
     Documents are dealt by hash into chunks. Each chunk sends its distinct words and bigrams, with its
     training counts, to shards by hash; a shard adds up the counts, builds its part of the trie in mapped
     files and answers every chunk in the order it asked. So no task holds more than a chunk or a shard,
-    both bounded, and what travels follows the corpus. Followers of heavy words are spread over shards.
+    both bounded, and what travels follows the corpus. Followers of the start and of frequent words are
+    spread over as many shards as their tokens fill. Besides, a shard gets a row from each chunk, and a
+    few bytes for each chunk that asks for one and the same pair.
     Rows that repeat are scored alike; ids play no part in the score; an empty table gives no rows.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.expr(train).alias("train")
     )
-    size, n_docs, tokens, distinct, heavy = statistics(rows)
+    size, n_docs, tokens, distinct, heavy = statistics(rows, shard)
     chunks, shards = max(1, -(-size // chunk)), max(1, -(-size // shard))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     scale = float(max(tokens, 1))

@@ -364,3 +364,20 @@ def test_language_draw_of_many(spark):
     many = spark.createDataFrame([("en", 1 << 26)], "_l string, _n bigint")
     share = langid.drawn(ids, many, 1 << 23).count() / 100_000
     assert abs(share - 1 / 8) < 0.01
+
+
+def test_heavy_contexts_are_spread(spark):
+    """Many short texts and a frequent word: no shard gets much more than its part."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(f"w{i} the z{i} the",) for i in range(4_000)], "text string")
+    for train in ("true", "false"):
+        rows = docs.withColumn("train", F.expr(train))
+        size, _, _, _, heavy = lm_trie.statistics(rows, 2_000)
+        shards = -(-size // 2_000)
+        g = lm_trie.grams(as_array(pa.array([r.text for r in docs.collect()])))
+        for word in (lm_trie.START, hashes(as_array(pa.array(["the"])))[0][0]):
+            held = np.bincount(lm_trie.gram_shard(g.context, g.follower, heavy, shards)[g.context == word], minlength=shards)
+            assert held.max() <= 3 * len(g.context) / shards
+        load = np.bincount(lm_trie.gram_shard(g.context, g.follower, heavy, shards), minlength=shards)
+        assert load.max() <= 3 * load.mean()
