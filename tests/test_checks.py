@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import SF
+from small_tables import SF
 
 import __spark_entry__ as entry
 

@@ -1,7 +1,7 @@
 """Plan shapes: no cross joins, pruned scans, filters at the scan."""
 
 import pytest
-from conftest import SF
+from small_tables import SF
 
 import __spark_entry__ as entry
 
@@ -60,5 +60,6 @@ def test_a_question_about_one_month_reads_that_month(spark, name):
     """Every scan of the events carries both ends of the month."""
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # shows all pushed filters
     scans = [line for line in plan(entry.queries()[name](spark, SF)).split("\n") if "FileScan" in line and "events.parquet" in line]
+    assert scans
     for line in scans:
         assert "GreaterThanOrEqual(ts" in line and "LessThan(ts" in line
