@@ -1,33 +1,8 @@
-import pathlib
-import sys
-
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent.parent))
-
-TABLES = "documents embeddings labels benchmark".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, kept boolean, n bigint, score string"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from headway.session import local_session
-
-    session = local_session("8", "headway-llm-tests")
-    yield session
-    session.stop()
-
-
-@pytest.fixture(scope="session")
-def duck():
-    import duckdb
-
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
-    return con
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls everywhere, empty, blank and very long texts, ties, repeated rows, clashing extra columns."""
