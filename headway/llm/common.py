@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headway.operators.graph import connected_components
 from headway.session import scratch
 
 BROADCAST_ROWS = 200_000
@@ -87,3 +88,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     ids = labels.filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = bounded_sample(ids, limit)
     return stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
+
+
+def same_id_links(rows: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
+    """Links (src, dst) between the representatives of all keys that one doc_id has.
+
+    ``rows`` are (doc_id, *key), ``reps`` are (*key, rep). Few ids repeat with another key; only their
+    rows meet ``reps``.
+    """
+    value = F.struct(*key)
+    twice = rows.groupBy("doc_id").agg(F.min(value).alias("_a"), F.max(value).alias("_b")).filter("_a <> _b")
+    twice = stored(twice.select(F.col("doc_id").alias("_id")), "repeated-ids")
+    nodes = rows.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").join(reps, key).select("doc_id", "rep").distinct()
+    nodes = stored(nodes, "repeated-nodes")
+    least = nodes.groupBy("doc_id").agg(F.min("rep").alias("src"))
+    return nodes.join(least, "doc_id").select("src", F.col("rep").alias("dst"))
+
+
+def with_components(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """``reps`` with the smallest ``rep`` that ``links`` (src, dst; stored, one direction) reach as ``component``."""
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    nodes = both.select(F.col("src").alias("node_id")).distinct()
+    found = stored(connected_components(nodes, both), "components").withColumnRenamed("node_id", "rep")
+    return reps.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

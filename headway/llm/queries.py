@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import exact_dedup, langid, lm_trie, mixture, near_dedup, packing, quality, sharding, topk, toxicity
+from headway.llm import conversations, exact_dedup, langid, lm_trie, mixture, near_dedup, packing, quality, sharding, simhash, topk, toxicity, vector_codes
 from headway.llm.common import crc_of_id, table
 from headway.session import scratch
 
@@ -85,6 +85,19 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(vector_codes.vectors_of(table(spark, folder, "embeddings")))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_lm_trie": op1_lm_trie,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,10 +109,14 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_source_mix": mixture.ORACLE,
     "op8_top_k": OP8_SQL,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
