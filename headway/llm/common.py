@@ -30,6 +30,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id written as text (null id: 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import small, stored, text_or_empty
+from headway.llm.common import fresh, small, stored, text_or_empty
 
 DIGEST = "sha2_digest"
 
@@ -21,8 +21,9 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts seen so far, in a table bucketed and sorted by digest.
 
-    ``location`` is a folder that all executors share. The table can be opened again by a later
-    session with the same location and number of buckets. ``ingest`` aggregates a batch to one row
+    ``location`` is a folder that all executors share. The number of buckets lies beside the table, in
+    ``<location>.buckets``; whoever opens the table again may leave ``buckets`` out, and another
+    number is refused, as rows would be looked for in the wrong buckets. ``ingest`` aggregates a batch to one row
     per digest, drops the known ones by a sort-merge anti-join that reads the index without a
     shuffle (bucketed by the join key), and appends the rest. A batch that is ingested again after
     a failure finds its digests known and appends nothing.
@@ -31,14 +32,31 @@ class DigestIndex:
     spark: SparkSession
     name: str
     location: str
-    buckets: int
+    buckets: int | None = None
 
     def open(self) -> DigestIndex:
-        self.spark.sql(
+        """Create the table, or open the one at ``location`` with its own number of buckets."""
+        spark, note = self.spark, f"{self.location}.buckets"
+        path = spark._jvm.org.apache.hadoop.fs.Path(note)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.parquet(note).first()["buckets"]
+        else:
+            held = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(held).cast("int").alias("buckets")).coalesce(1).write.parquet(note)
+        if self.buckets not in (None, held):
+            raise ValueError(f"the index at {self.location} has {held} buckets, not {self.buckets}")
+        spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {held} BUCKETS LOCATION '{self.location}'"
         )
-        return self
+        known = spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").first()
+        if int(known["data_type"]) != held:
+            raise ValueError(f"table {self.name} is known with {known['data_type']} buckets, its files have {held}")
+        return DigestIndex(spark, self.name, self.location, held)
+
+    def close(self) -> None:
+        """Take the table out of the catalogue; its files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -82,15 +100,17 @@ class DigestIndex:
 
 
 def kept_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``result`` keeps, with all their columns; rows without id stay.
+    """The rows of ``docs`` that ``result`` (doc_id, text_sha256, kept) keeps, with all their columns.
 
-    Rows that repeat both id and text are left once. Text travels only if more rows go than ``small``
-    lets be broadcast.
+    A row is known by its id and its text, so other texts of an id stay, and so do those without id
+    that ``result`` keeps. Rows that repeat both id and text are left once. Text travels only if more
+    rows go than ``small`` lets be broadcast. Columns of ``docs`` may have any names.
     """
-    known = result.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_gone"))
-    known = stored(known.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter("NOT _kept OR _rows > 1"), "dedup-drop")
-    rows = docs.withColumn("_digest", digest(text_or_empty()))
-    on = (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_gone"))
-    single = rows.join(small(known), on, "left_anti")
-    again = rows.join(small(known.filter("_kept")), on, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return single.unionByName(again).drop("_digest")
+    known = result.groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("gone"))
+    known = stored(known.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("NOT kept OR rows > 1"), "dedup-drop")
+    mark = fresh(docs, "digest")
+    rows = docs.withColumn(mark, digest(text_or_empty()))
+    on = F.col("d.doc_id").eqNullSafe(F.col("known.id")) & (F.col(f"d.{mark}") == F.col("known.gone"))
+    single = rows.alias("d").join(small(known).alias("known"), on, "left_anti")
+    again = rows.alias("d").join(small(known.filter("kept")).alias("known"), on, "left_semi").dropDuplicates(["doc_id", mark])
+    return single.unionByName(again).drop(mark)

@@ -191,7 +191,10 @@ def mixed_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
 
     Rows that share doc_id, source and text take their copies together. Only where the last pass of a
     source ends between such rows do some get one more than others; those few groups are numbered.
+    Columns may have any names.
     """
+    names = docs.columns
+    docs = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
     keys = ["doc_id", "source", "text_hash"]
     times = result.groupBy(*keys).agg(
         F.min("copies").alias("_copies"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_more")
@@ -207,11 +210,11 @@ def mixed_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
     taken = rows.join(times.filter("_more = 0"), on)
     uneven = times.filter("_more > 0")
     if not uneven.isEmpty():
-        group = Window.partitionBy("_k_doc_id", "_k_source", "_k_text_hash").orderBy(F.xxhash64(*docs.columns))
+        group = Window.partitionBy("_k_doc_id", "_k_source", "_k_text_hash").orderBy(F.xxhash64(F.to_json("row")))
         split = rows.join(small(uneven), on).withColumn("_extra", F.when(F.row_number().over(group) <= F.col("_more"), 1).otherwise(0))
         split = split.withColumn("_copies", F.col("_copies") + F.col("_extra")).drop("_extra").filter("_copies > 0")
         taken = taken.unionByName(split)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col("row")[n].alias(n) for n in names])
 
 
 ORACLE = f"""

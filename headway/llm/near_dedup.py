@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import small, stored
+from headway.llm import exact_dedup
+from headway.llm.common import same_id_links, small, stored, text_or_empty, with_components
 from headway.llm.tokens import U, as_array, hashes, mix, owners, pieces
-from headway.operators.graph import connected_components
 
 WORDS, PERCENT = 5, 80
 #: Registers are bands x rows. A pair of similarity s shares no band with chance (1 - s^rows)^bands:
@@ -88,8 +88,16 @@ def registers(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.clip(np.nan_to_num(level, neginf=0), 0, TOP).astype(np.uint16).reshape(sets, REGISTERS)
 
 
+def set_keys(value: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two hashes of each set, equal for equal sets; 0 for empty ones."""
+    n = np.diff(bounds)
+    key = [np.append(np.cumsum(mix(value ^ U(salt))), U(0)) for salt in (0x51, 0xA7)]
+    key = [np.where(n > 0, k[bounds[1:] - 1] - np.where(bounds[:-1] > 0, k[bounds[:-1] - 1], U(0)), U(0)) for k in key]
+    return [pa.array(k.view(np.int64)) for k in key]
+
+
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the shingle set), key (equal for equal sets), bands and sketch of each document."""
+    """doc_id, n (size of the shingle set), key (equal for equal sets), bands, sketch and digest of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +105,6 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                 value, bounds = shingles(texts, words)
                 n = np.diff(bounds)
                 got = registers(value, bounds)
-                key = [np.append(np.cumsum(mix(value ^ U(salt))), U(0)) for salt in (0x51, 0xA7)]
-                key = [np.where(n > 0, k[bounds[1:] - 1] - np.where(bounds[:-1] > 0, k[bounds[:-1] - 1], U(0)), U(0)) for k in key]
                 band = np.zeros((len(texts), BANDS), U)
                 parts = got.reshape(len(texts), BANDS, ROWS).astype(U)
                 for r in range(ROWS):
@@ -108,16 +114,16 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     [
                         batch.column(0).slice(start, len(texts)),
                         pa.array(n),
-                        pa.array(key[0].view(np.int64)),
-                        pa.array(key[1].view(np.int64)),
+                        *set_keys(value, bounds),
                         pa.array([b if k else [] for b, k in zip(band.view(np.int64), n, strict=True)], pa.list_(pa.int64())),
                         pa.array([r.tobytes() for r in got], pa.binary()),
+                        batch.column(2).slice(start, len(texts)),
                     ],
-                    ["doc_id", "n", "key1", "key2", "bands", "sketch"],
+                    ["doc_id", "n", "key1", "key2", "bands", "sketch", "digest"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), exact_dedup.digest(text_or_empty()).alias("digest"))
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>, sketch binary, digest binary")
 
 
 def likely(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, bound: float) -> np.ndarray:
@@ -198,25 +204,21 @@ def forest(link: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return [(int(by_rank[a]), int(i)) for a, i in zip(label, ids, strict=True) if by_rank[a] != i]
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+KEY = ["key1", "key2", "n"]
 
-    Documents with 100 * intersection >= percent * union of their shingle sets are linked;
-    component_id is the smallest doc_id that links reach, and that document is kept. Equal sets collapse
-    to one representative first. Representatives that share a band value are a family (named after the
-    smallest one, and merged with that one's own family); no pairs are emitted: families meet in blocks
-    of bounded size inside tasks, where the joint likelihood of the sketches finds who may have a
-    partner, and for those the full sets are compared and a forest of links goes on. Links are lost only
-    if a pair shares no band. Null, empty and blank texts have empty sets and no links; rows with a null
-    doc_id aren't linked and are kept; rows that repeat a doc_id are one node. An empty table gives no
-    rows; other columns play no part.
+
+def linked_sets(every: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct shingle sets (key1, key2, n, rep, node) of the rows ``every`` of ``sketch``, and links (src, dst) of their nodes.
+
+    ``rep`` is the smallest doc_id with the set; ``node`` is a number of the set's own, as one doc_id may
+    occur with several texts.
     """
     bound = percent / 100
-    every = stored(sketch(docs, words), "sketches")
     real = every.filter("n > 0 AND doc_id IS NOT NULL")
-    same = stored(real.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep")), "near-reps")
-    heads = real.join(same.select("key1", "key2", F.col("rep").alias("doc_id")), ["key1", "key2", "doc_id"], "left_semi")
-    heads = stored(heads.dropDuplicates(["doc_id", "key1", "key2"]), "near-heads")
+    same = real.groupBy(*KEY).agg(F.min("doc_id").alias("rep"))
+    same = stored(same.withColumn("node", F.monotonically_increasing_id()), "near-reps")
+    heads = real.join(same.select(*KEY, F.col("rep").alias("doc_id"), "node"), [*KEY, "doc_id"])
+    heads = stored(heads.select(F.col("node").alias("doc_id"), "n", "bands", "sketch").dropDuplicates(["doc_id"]), "near-heads")
 
     members = heads.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last"))
@@ -250,19 +252,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     cell = ["family", "low", "high"]
     hopeful = stored(met.groupBy(*cell).applyInPandas(promising, "family bigint, low int, high int, own int, doc_id bigint"), "near-hopeful")
-    wanted = small(stored(hopeful.select(F.col("doc_id").alias("_id")).distinct(), "near-wanted"))
+    wanted = hopeful.select(F.col("doc_id").alias("node")).distinct().join(same, "node")
+    wanted = stored(wanted.select("node", "key1", "key2", F.col("rep").alias("_id")), "near-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in pieces(as_array(batch.column(1)), 1 << 20):
                 value, at = shingles(texts, words)
                 yield pa.record_batch(
-                    [batch.column(0).slice(start, len(texts)), pa.array([value[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())],
-                    ["doc_id", "shingles"],
+                    [batch.column(0).slice(start, len(texts)), *set_keys(value, at), pa.array([value[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())],
+                    ["_id", "key1", "key2", "shingles"],
                 )
 
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    full = stored(full.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary"), "near-sets")
+    full = full.join(small(wanted.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    full = full.mapInArrow(sets, "_id bigint, key1 bigint, key2 bigint, shingles binary").join(wanted, ["_id", "key1", "key2"])
+    full = stored(full.select(F.col("node").alias("doc_id"), "shingles").dropDuplicates(["doc_id"]), "near-sets")
 
     def verified(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
@@ -278,17 +283,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return pd.DataFrame(edges, columns=["src", "dst"]).astype("int64")
 
     links = hopeful.join(full, "doc_id").groupBy(*cell).applyInPandas(verified, "src bigint, dst bigint")
-    links = stored(links.distinct(), "near-links")
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    nodes = both.select(F.col("src").alias("node_id")).distinct()
-    found = stored(connected_components(nodes, both), "near-components")
-    final = same.join(found, same["rep"] == found["node_id"], "left").select(
-        "key1", "key2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c")
-    )
-    final = stored(final, "near-final")
-    out = every.select("doc_id", F.col("n"), "key1", "key2").join(
-        final, ["key1", "key2"], "left"
-    ).withColumn("_c", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("_c")).otherwise(F.col("doc_id")))
+    return same, stored(links.distinct(), "near-links")
+
+
+def named(same: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct sets (key1, key2, n) with ``group``, the smallest node that links reach, and ``component``, the smallest rep there."""
+    found = with_components(same.select(*KEY, F.col("rep").alias("doc"), F.col("node").alias("rep")), links)
+    found = stored(found, "near-nodes")
+    least = found.groupBy("component").agg(F.min("doc").alias("_c"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return found.join(least, "component", "left").select(*KEY, F.col("component").alias("group"), F.coalesce("_c", "doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Documents with 100 * intersection >= percent * union of their shingle sets are linked;
+    component_id is the smallest doc_id that links reach, and that document is kept. Equal sets collapse
+    to one representative first. Representatives that share a band value are a family (named after the
+    smallest one, and merged with that one's own family); no pairs are emitted: families meet in blocks
+    of bounded size inside tasks, where the joint likelihood of the sketches finds who may have a
+    partner, and for those the full sets are compared and a forest of links goes on. Links are lost only
+    if a pair shares no band. Null, empty and blank texts have empty sets and no links, so such a row is
+    its own component; rows with a null doc_id aren't linked and are kept; rows that repeat a doc_id
+    with words are one node, whose texts link on. An
+    empty table gives no rows; other columns play no part.
+    """
+    every = stored(sketch(docs, words), "sketches")
+    same, links = linked_sets(every, docs, words, percent)
+    real = every.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", *KEY)
+    more = same_id_links(real, same.select(*KEY, F.col("node").alias("rep")), KEY)
+    links = stored(links.unionByName(more).filter("src <> dst").distinct(), "near-all-links")
+    final = stored(named(same, links).select("key1", "key2", F.col("component").alias("_c")), "near-final")
+    out = every.select("doc_id", "n", "key1", "key2").join(final, ["key1", "key2"], "left")
+    out = out.withColumn("_c", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("_c")).otherwise(F.col("doc_id")))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -297,7 +324,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
 
 
-def kept_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``result`` keeps, with all their columns; rows without id stay."""
-    gone = stored(result.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near-drop")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+def kept_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` of each group of near copies, with all its columns.
+
+    Groups are made of texts, not of ids: where an id occurs with several texts, those that nothing
+    resembles stay. Of a group the row with the smallest doc_id stays, ties to the smaller SHA-256 of the
+    text. Rows that repeat id and text are left once; rows without an id or without words aren't
+    compared. An empty table gives no rows; columns may have any names.
+    """
+    every = stored(sketch(docs, words), "sketches")
+    final = named(*linked_sets(every, docs, words, percent))
+    rows = every.filter("n > 0 AND doc_id IS NOT NULL").join(stored(final, "near-final"), KEY)
+    first = stored(rows.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("_first")), "near-first")
+    judged = rows.join(first, "group").select("doc_id", "digest", (F.struct("doc_id", "digest") == F.col("_first")).alias("kept"))
+    lone = every.filter("n = 0 OR doc_id IS NULL").select("doc_id", "digest", F.lit(True).alias("kept"))
+    result = judged.unionByName(lone).select("doc_id", F.hex("digest").alias("text_sha256"), "kept")
+    return exact_dedup.kept_rows(docs, result)

@@ -19,9 +19,10 @@ def op1_lm_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "digest-index")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = exact_dedup.DigestIndex(spark, "digests_" + path[-32:], path, buckets).open()
-    return index.ingest(table(spark, folder, "documents"))
+    index = exact_dedup.DigestIndex(spark, "digests_" + path[-32:], path).open()
+    out = index.ingest(table(spark, folder, "documents"))
+    index.close()
+    return out
 
 
 OP2_SQL = """
