@@ -20,14 +20,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each text."""
     path = scratch(spark, "digest-index")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = exact_dedup.DigestIndex(spark, "digests_" + path[-32:], path, buckets).open()
-    return exact_dedup.kept_rows(docs, index.ingest(docs))
+    index = exact_dedup.DigestIndex(spark, "digests_" + path[-32:], path).open()
+    kept = exact_dedup.kept_rows(docs, index.ingest(docs))
+    index.close()
+    return kept
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five words, similarity 0.8)."""
-    return near_dedup.kept_rows(docs, near_dedup.near_duplicates(docs))
+    return near_dedup.kept_rows(docs)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again by the next."""
+    """All stages over ``documents``; each one's rows are written and read again by the next.
+
+    Null texts count as empty and are packed as one token, if the mix takes them; null sources are a
+    source of their own. A row is known by id and text: rows that repeat both, or differ in id only,
+    are left once; an id that occurs with several texts keeps those that nothing else resembles, and
+    rows without an id are exact but never near copies. Ties go to the larger id among exact and to
+    the smaller one among near copies. An empty table gives no rows. Further columns are carried up to
+    the packing stage, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
