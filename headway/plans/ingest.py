@@ -6,17 +6,19 @@ Landed files are written from the given tables first, then read back by the oper
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions.numbers import sum_if
 from headway.operators import cleansing, od, reshape, views
-from headway.operators.scores import commuter_scores
 from headway.plans.registry import define, register
-from headway.plans.views import shp
+from headway.plans.stored import monthly_views, store, stored
 from headway.schemas import HH, KEYS, OD_CSV_COLUMNS, STATION_FEED, STOP_HEADERS
 from headway.session import scratch
-from headway.sources import files, tables
+from headway.sources import files, stored_views, tables
 from headway.sources.mapping import HOURS, MONTH, TransitTables
 
 
@@ -597,21 +599,44 @@ register(
 )
 
 
+FEBRUARY = "2024-02-01"
+SCORE_TABLES = ("commuter_scores", "tourism_scores", "vulnerable_scores")
+
+
 def month_twice(t):
-    """Load January and February, then replace January only."""
-    path = scratch(t.spark, "scores")
-    jan = commuter_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH).select("station_id", "hour_of_day", "analysis_month", "total_drt_score")
-    feb = jan.withColumn("analysis_month", F.lit("2024-02-01").cast("date"))
-    tables.replace_month(t.spark, path, jan.unionByName(feb))
-    return tables.replace_month(t.spark, path, jan.filter("hour_of_day < 12"))
+    """Load January and February of all score tables and the OD summary, then replace January only."""
+    views_ = stored_views.MonthlyViews(t.spark, scratch(t.spark, "replaced"), "replaced_" + uuid.uuid4().hex[:12], monthly_views(t))
+    parts = []
+    for name in (*SCORE_TABLES, "monthly_od_summary"):
+        january = stored(t, name)
+        half = "appearance_days % 2 = 0" if name == "monthly_od_summary" else "hour_of_day < 12"
+        views_.replace(name, MONTH, january)
+        views_.replace(name, FEBRUARY, january.withColumn("analysis_month", F.lit(FEBRUARY).cast("date")))
+        views_.replace(name, MONTH, january.filter(half))
+        rows = views_.read(name)
+        if name == "monthly_od_summary":
+            rows = rows.select(F.concat_ws("-", "from_station_id", "to_station_id").alias("key"), F.lit(0).alias("hour"), F.col("drt_priority_score").alias("score"), "analysis_month")
+        else:
+            rows = rows.select(F.col("station_id").alias("key"), F.col("hour_of_day").alias("hour"), F.col("total_drt_score").alias("score"), "analysis_month")
+        parts.append(rows.withColumn("table", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def two_months(select, half):
+    return f"""SELECT DATE '2024-01-01' AS analysis_month, * FROM ({select}) WHERE {half} UNION ALL SELECT DATE '2024-02-01', * FROM ({select})"""
 
 
 register(
     "replace_month",
-    "analysis_month:s rows:i stations:i",
-    lambda t: month_twice(t).groupBy("analysis_month").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("station_id").alias("stations")),
-    """SELECT DATE '2024-01-01' AS analysis_month, count(*) * 12 AS rows, count(*) AS stations FROM (SELECT DISTINCT station_id FROM shp WHERE day_type = 'weekday')
-       UNION ALL SELECT DATE '2024-02-01', count(*) * 24, count(*) FROM (SELECT DISTINCT station_id FROM shp WHERE day_type = 'weekday')""",
+    "table:s analysis_month:s key:s hour:i score:f4",
+    month_twice,
+    " UNION ALL ".join(
+        two_months(f"SELECT '{m}_scores' AS \"table\", station_id AS key, hour_of_day AS hour, total_drt_score AS score FROM {m}", "hour < 12")
+        for m in ("commuter", "tourism", "vulnerable")
+    )
+    + """ UNION ALL SELECT m.analysis_month, 'monthly_od_summary' AS "table", from_station_id || '-' || to_station_id AS key, 0 AS hour, drt_priority_score AS score
+       FROM odmonth CROSS JOIN (VALUES (DATE '2024-01-01'), (DATE '2024-02-01')) AS m(analysis_month)
+       WHERE odmonth.analysis_month = DATE '2024-01-01' AND (m.analysis_month = DATE '2024-02-01' OR appearance_days % 2 = 0)""",
 )
 
 
@@ -652,41 +677,70 @@ register(
     """SELECT 'load-' || record_date AS job, CASE WHEN day(record_date) % 7 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
        count(*) AS rows_read, count(*) FILTER (v > 0) AS rows_written FROM ev GROUP BY record_date""",
 )
-VIEW_BUILDERS = {
-    "hourly_traffic_patterns": lambda t: (lambda read: views.hourly_traffic_patterns(t.sph, t.sm)),
-    "district_monthly_traffic": lambda t: (lambda read: views.district_monthly_traffic(t.sph, t.sm)),
-    "station_monthly_traffic": lambda t: (lambda read: views.station_monthly_traffic(t.sph, t.sm, t.stops)),
-    "city_hourly_patterns": lambda t: (lambda read: views.city_hourly_patterns(read("hourly_traffic_patterns"))),
-    "station_hourly_patterns": lambda t: (lambda read: views.station_hourly_patterns(t.sph, t.sm, t.stops)),
-}
+def late_rows(t):
+    """Views of two months, built before and after the late rows of January came in."""
+    late = (F.col("record_date") < F.lit(FEBRUARY).cast("date")) & (F.pmod(F.crc32("node_id"), F.lit(3)) == 0)
+    months = F.explode(F.array(F.lit(0), F.lit(31)))
+    every = t.sph.withColumn("shift", months).withColumn("record_date", F.date_add("record_date", F.col("shift"))).drop("shift")
+    early = every.filter(~late)
+    store_ = stored_views.MonthlyViews(t.spark, scratch(t.spark, "views"), "late_" + uuid.uuid4().hex[:12], monthly_views(t, early))
+    names = ("hourly_traffic_patterns", "station_monthly_traffic", "city_hourly_patterns")
+    store_.refresh(stored_views.month_prints(early, "record_date"), names)
+    store_.use(monthly_views(t, every))
+    store_.refresh(stored_views.month_prints(every, "record_date"), names)
+    return store_
 
 
 def refreshed_views(t):
-    return tables.refresh_views(t.spark, scratch(t.spark, "views"), [(n, b(t)) for n, b in VIEW_BUILDERS.items()])
+    store_ = late_rows(t)
+    loads = store_.metadata().select(F.col("view_name").alias("view"), F.col("month").alias("month_date"), "loads")
+    rows = store_.read("station_monthly_traffic").withColumn("view", F.lit("station_monthly_traffic")).select("view", "month_date", F.col("station_id").alias("key"), "total_ride", "total_alight", "operating_days")
+    city = store_.read("city_hourly_patterns").withColumn("view", F.lit("city_hourly_patterns")).groupBy("view", "month_date", F.col("hour").cast("string").alias("key")).agg(
+        F.sum("max_ride_passengers").alias("total_ride"), F.sum("max_alight_passengers").alias("total_alight"), F.lit(0).alias("operating_days")
+    )
+    return rows.unionByName(city).join(loads, ["view", "month_date"])
 
 
 define(
-    "viewsizes",
-    """SELECT 'hourly_traffic_patterns' AS view_name, count(*) AS rows FROM district_hours
-       UNION ALL SELECT 'district_monthly_traffic', count(*) FROM dmonth
-       UNION ALL SELECT 'station_monthly_traffic', count(*) FROM (SELECT DISTINCT station_id, month_date FROM shp)
-       UNION ALL SELECT 'city_hourly_patterns', count(*) FROM (SELECT DISTINCT month_date, day_type, hour FROM district_hours)
-       UNION ALL SELECT 'station_hourly_patterns', count(*) FROM shp""",
+    "shifted",
+    """SELECT record_date + s AS record_date, date_trunc('month', record_date + s)::DATE AS month_date, hour, sph.node_id, ride_passenger, alight_passenger,
+       CASE WHEN dayofweek(record_date + s) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS day_type
+       FROM sph JOIN sm ON sph.node_id = sm.node_id, unnest([0, 31]) AS u(s) WHERE is_seoul""",
+)
+register(
+    "refresh_views",
+    "view:s month_date:s key:s total_ride:i total_alight:i operating_days:i loads:i",
+    refreshed_views,
+    """SELECT 'station_monthly_traffic' AS view, month_date, c.node_id AS key, sum(ride_passenger) AS total_ride, sum(alight_passenger) AS total_alight,
+       count(DISTINCT record_date) AS operating_days, CASE WHEN month_date < DATE '2024-02-01' THEN 2 ELSE 1 END AS loads
+       FROM shifted AS c JOIN stops ON c.node_id = stops.node_id GROUP BY month_date, c.node_id
+       UNION ALL SELECT 'city_hourly_patterns', month_date, CAST(hour AS VARCHAR), sum(r), sum(a), 0, CASE WHEN month_date < DATE '2024-02-01' THEN 2 ELSE 1 END
+       FROM (SELECT month_date, day_type, hour, max(ride_passenger) AS r, max(alight_passenger) AS a FROM shifted GROUP BY ALL) GROUP BY month_date, hour""",
 )
-register("refresh_views", "view_name:s rows:i", refreshed_views, "SELECT * FROM viewsizes")
 
 
 def registry_rows(t):
-    rows = [(n, "station_passenger_history", "daily") for n in VIEW_BUILDERS]
-    first = tables.view_metadata(t.spark, None, rows, 1)
-    again = tables.view_metadata(t.spark, first, [("city_hourly_patterns", "hourly_traffic_patterns", "daily")], 2)
-    return again.join(refreshed_views(t), "view_name")
+    held = store(t)
+    held.ensure_all([v.name for v in held.views], MONTH)
+    return held.metadata()
 
 
+FACTS, SECTIONS = "station_passenger_history", "section_passenger_history"
+define(
+    "viewsizes",
+    f"""SELECT 'hourly_traffic_patterns' AS view_name, '{FACTS}' AS base_tables, count(*) AS rows FROM district_hours
+       UNION ALL SELECT 'district_monthly_traffic', '{FACTS}', count(*) FROM dmonth
+       UNION ALL SELECT 'station_monthly_traffic', '{FACTS}', count(*) FROM (SELECT DISTINCT station_id, month_date FROM shp)
+       UNION ALL SELECT 'city_hourly_patterns', 'hourly_traffic_patterns', count(*) FROM (SELECT DISTINCT month_date, day_type, hour FROM district_hours)
+       UNION ALL SELECT 'station_hourly_patterns', '{FACTS}', count(*) FROM shp
+       UNION ALL SELECT 'commuter_scores', '{FACTS},{SECTIONS},station_hourly_patterns', count(*) FROM commuter
+       UNION ALL SELECT 'tourism_scores', '{FACTS},{SECTIONS},station_hourly_patterns', count(*) FROM tourism
+       UNION ALL SELECT 'vulnerable_scores', '{FACTS},{SECTIONS},station_hourly_patterns', count(*) FROM vulnerable
+       UNION ALL SELECT 'monthly_od_summary', 'daily_od', count(*) FROM odmonth WHERE analysis_month = DATE '2024-01-01'""",
+)
 register(
     "view_metadata",
-    "view_name:s base_tables:s refresh:s rows:i",
+    "view_name:s base_tables:s refresh:s month:s rows:i",
     registry_rows,
-    """SELECT view_name, CASE WHEN view_name = 'city_hourly_patterns' THEN 'hourly_traffic_patterns' ELSE 'station_passenger_history' END AS base_tables,
-       'daily' AS refresh, rows FROM viewsizes""",
+    "SELECT *, 'monthly' AS refresh, DATE '2024-01-01' AS month FROM viewsizes",
 )

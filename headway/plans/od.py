@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from headway.functions import classes, geo
 from headway.operators import od, od_queries as oq
 from headway.plans.registry import define, register, rounded_even
+from headway.plans.stored import stored
 from headway.plans.traffic import chain
 from headway.sources.mapping import MONTH
 
@@ -26,7 +27,10 @@ def generated(t):
 
 
 def summary(t, month=None):
-    return t.built(f"od summary {month}", lambda: od.monthly_od_summary(generated(t), t.stops, month=month))
+    """OD summary; that of one month comes from the stored view."""
+    if month is not None:
+        return stored(t, "monthly_od_summary", month)
+    return t.built("od summary", lambda: od.monthly_od_summary(generated(t), t.stops))
 
 
 KM = """CASE WHEN a.latitude = 0 OR a.longitude = 0 OR b.latitude = 0 OR b.longitude = 0 THEN 0 ELSE

@@ -9,6 +9,7 @@ from headway.operators import daily_features as daily
 from headway.operators import score_queries as sq
 from headway.operators import scores
 from headway.plans.registry import define, register
+from headway.plans.stored import stored
 from headway.plans.traffic import chain
 from headway.plans.views import shp
 from headway.sources.mapping import MONTH
@@ -93,15 +94,15 @@ BASE = "station_id:s district_name:s analysis_month:s hour_of_day:i "
 
 
 def commuter(t):
-    return scores.commuter_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH)
+    return stored(t, "commuter_scores")
 
 
 def tourism(t):
-    return scores.tourism_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH)
+    return stored(t, "tourism_scores")
 
 
 def vulnerable(t):
-    return scores.vulnerable_scores(t.sph, t.sections, shp(t, MONTH), t.sm, MONTH)
+    return stored(t, "vulnerable_scores")
 
 
 def models(t):

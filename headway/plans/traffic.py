@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from headway.functions import classes
 from headway.operators import traffic, views
 from headway.plans.registry import define, register
+from headway.plans.stored import stored
 from headway.sources.mapping import MONTH
 
 
@@ -24,11 +25,11 @@ def hours(t):
 
 
 def districts(t):
-    return t.built("districts", lambda: traffic.heatmap_districts(views.district_monthly_traffic(t.sph, t.sm, MONTH), MONTH))
+    return t.built("districts", lambda: traffic.heatmap_districts(stored(t, "district_monthly_traffic"), MONTH))
 
 
 def stations(t, threshold=None):
-    return traffic.heatmap_stations(views.station_monthly_traffic(t.sph, t.sm, t.stops, MONTH), MONTH, threshold)
+    return traffic.heatmap_stations(stored(t, "station_monthly_traffic"), MONTH, threshold)
 
 
 define(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from headway.functions import calendar as cal
 from headway.operators import joins, views
 from headway.plans.registry import define, register
+from headway.plans.stored import stored
 
 define(
     "cityfacts",
@@ -76,7 +77,10 @@ SHP_COLUMNS = (
 
 
 def shp(t, month=None):
-    return t.built(f"shp {month}", lambda: views.station_hourly_patterns(t.sph, t.sm, t.stops, month))
+    """Station-hour patterns; those of one month come from the stored view."""
+    if month is not None:
+        return stored(t, "station_hourly_patterns", month)
+    return t.built("shp", lambda: views.station_hourly_patterns(t.sph, t.sm, t.stops))
 
 
 register("station_hourly_patterns", SHP_COLUMNS, shp, "SELECT * FROM shp")

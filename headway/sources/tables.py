@@ -1,4 +1,4 @@
-"""Table writes: upserts, month replacement, expiry, logs and view refresh.
+"""Table writes: upserts, expiry and logs.
 
 Parquet has no MERGE. An upsert rewrites the touched partitions only: old rows of those
 partitions and new rows are merged by key, the later load wins, and a dynamic partition
@@ -8,8 +8,6 @@ overwrite swaps the partitions in at job commit, so a failed job leaves the tabl
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +49,6 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], part
     return spark.read.schema(new.schema).parquet(path)
 
 
-def replace_month(spark: SparkSession, path: str, scores: DataFrame) -> DataFrame:
-    """Swap in the months of a score table; other months stay."""
-    write_partitions(scores, path, "analysis_month")
-    return spark.read.parquet(path)
-
-
 def bulk_load_od(daily: DataFrame, path: str) -> DataFrame:
     """Append daily OD rows in fixed column order with route arrays as JSON."""
     arrays = [f.name for f in daily.schema.fields if f.dataType.typeName() == "array"]
@@ -124,23 +116,3 @@ def job_log_row(spark: SparkSession, job: str, status: str, at: dt.datetime, rea
 
 def latest_job_status(log: DataFrame) -> DataFrame:
     return last_per_key(log, ["job"], "logged_at")
-
-
-def view_metadata(spark: SparkSession, registry: DataFrame | None, rows: list[tuple[str, str, str]], seq: int) -> DataFrame:
-    """Upserted registry of derived tables: name, base tables, refresh frequency."""
-    new = spark.createDataFrame([(*r, seq) for r in rows], f"view_name string, base_tables string, refresh string, {SEQ} int")
-    return last_per_key(new if registry is None else registry.unionByName(new), ["view_name"], SEQ)
-
-
-def refresh_views(spark: SparkSession, folder: str, builders: list[tuple[str, Callable[[Callable[[str], DataFrame]], DataFrame]]]) -> DataFrame:
-    """Write derived tables in order; a builder may read tables written before it.
-
-    Returns the table sizes.
-    """
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}")
-
-    for name, build in builders:
-        build(read).write.mode("overwrite").parquet(f"{folder}/{name}")
-    sizes = [read(name).agg(F.count(F.lit(1)).alias("rows")).withColumn("view_name", F.lit(name)) for name, _ in builders]
-    return reduce(DataFrame.unionByName, sizes)
