@@ -34,14 +34,6 @@ def hours_grid(keys: DataFrame) -> DataFrame:
     return keys.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys``, without a fixed number, so that AQE may merge and split partitions.
-
-    A later window or aggregate on the keys reuses it.
-    """
-    return df.repartition(*keys)
-
-
 def one_row(df: DataFrame, *columns: str) -> Column:
     """A one-row frame as a struct column (scalar subquery), to attach to every row."""
     return df.select(F.struct(*columns)).scalar()

@@ -1,11 +1,14 @@
 """Feature rows, dense hourly grids and model sequences.
 
-Sequences are window frames over the hours of one stop. A stop's partition holds one row per
-hour of the period, whatever the number of events behind them.
+The hours of a stop are cut into blocks of a week or more. A block is one row with an ordered array
+of its hours and of those that its sequences look back and ahead to, so sequences are slices, and
+a stop with a long history is many blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +16,13 @@ from pyspark.sql import functions as F
 
 from headway.functions import demand
 from headway.functions.calendar import is_weekend
-from headway.operators.joins import one_row, spread
+from headway.operators.joins import one_row
+from headway.session import scratch
 from headway.sources.tables import features_with_stops
 
 HOUR_LEN, DAY_LEN, WEEK_LEN, WEEK_BACK, HORIZON = 6, 24, 24, 168, 24
-
-
-def _by_stop():
-    return Window.partitionBy("stop_id").orderBy("t_idx")
+#: Hours of a block, if no sequence looks back further, and hours of a task.
+BLOCK, TASK_HOURS = 168, 100_000
 
 
 def route_interval_join(usage: DataFrame, route_stats: DataFrame) -> DataFrame:
@@ -65,29 +67,97 @@ def mstgcn_features(usage: DataFrame, route_stats: DataFrame) -> DataFrame:
     )
 
 
-def densify_time_grid(rows: DataFrame, values: list[str], time: str = "recorded_at") -> DataFrame:
-    """Every stop × every hour between the first and last hour; absent values are 0.
+@dataclass(frozen=True)
+class HourGrid:
+    """Every stop x every hour from 0 to ``last``; absent values are 0.
 
-    Repeated (stop, hour) rows are averaged first. Each remaining row then fills the hours up to
-    the next row of its stop, so the grid needs no join, and it leaves partitioned by stop, as
-    the sequence windows want it.
+    ``known`` holds the hours that have values (stop_id, t_idx, values), ``first`` is the time of hour 0.
+    """
+
+    known: DataFrame
+    values: tuple[str, ...]
+    first: str | None
+    last: int
+    stops: int
+
+    def blocks(self, before: int = 0, after: int = 0) -> DataFrame:
+        """stop_id, own range ``lo``..``hi``, ``start`` and an array of each value from ``start`` on.
+
+        Arrays reach ``before`` hours back and ``after`` ahead of the own hours, as far as the grid goes.
+        A known hour goes to the blocks that hold it, two or three; nothing else is shuffled. Tasks are
+        counted by the hours to come, as a few known rows may stand for many.
+        """
+        size = max(BLOCK, before, after)
+        top = self.last // size
+        t = F.col("t_idx")
+        first = F.greatest(F.floor((t - after) / size), F.lit(0))
+        upto = F.least(F.floor((t + before) / size), F.lit(top))
+        cells = self.known.select("stop_id", F.explode(F.sequence(first, upto)).alias("block"), F.struct("t_idx", *self.values).alias("cell"))
+        every = self.known.select("stop_id").distinct().select("stop_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top).cast("long"))).alias("block"))
+        every = every.withColumn("cell", F.lit(None).cast(cells.schema["cell"].dataType))
+        tasks = max(1, -(-self.stops * (self.last + 1) // TASK_HOURS))
+        held = cells.unionByName(every).repartition(tasks, "stop_id", "block").groupBy("stop_id", "block")
+        held = held.agg(F.sort_array(F.collect_list("cell")).alias("s"))  # at most size + before + after cells
+        lo = F.col("block") * size
+        held = held.select(
+            "stop_id", "s", lo.alias("lo"), F.least(lo + size - 1, F.lit(self.last)).alias("hi"),
+            F.greatest(lo - before, F.lit(0)).alias("start"), F.least(lo + size - 1 + after, F.lit(self.last)).alias("end"),
+        )
+        return held.select("stop_id", "lo", "hi", "start", *[self._dense(v).alias(v) for v in self.values])
+
+    @staticmethod
+    def _dense(value: str) -> Column:
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+        following = lambda i: F.coalesce(F.get(F.col("s"), i)["t_idx"], F.col("end") + 1)
+        filled = F.transform("s", lambda x, i: F.concat(F.array(x[value]), zeros(following(i + 1) - x["t_idx"] - 1)))
+        return F.concat(zeros(following(F.lit(0)) - F.col("start")), F.flatten(filled))
+
+    def at(self, t: Column) -> Column:
+        return F.lit(self.first).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), t.cast("int"))
+
+    def rows(self) -> DataFrame:
+        """stop_id, t_idx, hour_at and the values, one row per stop and hour."""
+        cells = self.blocks().select("stop_id", "lo", F.posexplode(F.arrays_zip(*self.values)).alias("pos", "cell"))
+        t = (F.col("lo") + F.col("pos")).cast("int")
+        return cells.select("stop_id", t.alias("t_idx"), self.at(t).alias("hour_at"), *[F.col("cell")[v].alias(v) for v in self.values])
+
+    def sequences(self, columns: Callable[[Callable[[str, Column, int], Column], Column], dict[str, Column]], before: int, after: int, first: int = 0, ahead: int = 0) -> DataFrame:
+        """stop_id, t_idx and ``columns(cut, t)`` of each hour t from ``first`` on that has ``ahead`` hours after it.
+
+        ``cut(value, at, n)`` gives n values from hour ``at`` on.
+        """
+        def cut(value: str, at: Column, n: int) -> Column:
+            return F.slice(F.col(value), (at - F.col("start") + 1).cast("int"), n)
+
+        own = self.blocks(before, after).withColumns({"lo": F.greatest("lo", F.lit(first)), "hi": F.least("hi", F.lit(self.last - ahead))})
+        made = F.transform(F.sequence("lo", "hi"), lambda t: F.struct(t.cast("int").alias("t_idx"), *[c.alias(n) for n, c in columns(cut, t).items()]))
+        return own.filter("lo <= hi").select("stop_id", F.explode(made).alias("made")).select("stop_id", "made.*")
+
+
+def hour_grid(rows: DataFrame, values: list[str], time: str = "recorded_at") -> HourGrid:
+    """Grid between the first and last hour of ``rows``; repeated (stop, hour) rows are averaged.
+
+    The averaged rows are written once; the span and the number of stops, one row, come from there to
+    the driver. Without rows the grid is empty.
     """
     hour = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz")
-    span = one_row(rows.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")), "lo", "hi")
-    since = lambda at: F.timestamp_diff("HOUR", span["lo"], at).cast("int")
-    once = rows.groupBy("stop_id", hour.alias("_at")).agg(*[F.avg(v).alias(v) for v in values])
-    w = Window.partitionBy("stop_id").orderBy("_idx")
-    held = spread(once, "stop_id").withColumn("_idx", since(F.col("_at"))).withColumns(
-        {
-            "_from": F.when(F.lag("_idx").over(w).isNull(), 0).otherwise(F.col("_idx")),
-            "_to": F.coalesce(F.lead("_idx").over(w) - 1, since(span["hi"])),
-        }
-    )
-    filled = held.withColumn("t_idx", F.explode(F.sequence("_from", "_to")))
-    at = span["lo"] + F.make_dt_interval(F.lit(0), F.col("t_idx"))
-    return filled.select(
-        "stop_id", "t_idx", at.alias("hour_at"), *[F.when(F.col("t_idx") == F.col("_idx"), F.col(v)).otherwise(0.0).alias(v) for v in values]
-    )
+    spark = rows.sparkSession
+    path = scratch(spark, "hour-grid")
+    once = rows.groupBy("stop_id", hour.alias("hour_at")).agg(*[F.avg(v).alias(v) for v in values])
+    once.filter("hour_at IS NOT NULL").write.parquet(path)
+    once = spark.read.schema(once.schema).parquet(path)
+    row = once.agg(
+        F.min("hour_at").cast("string").alias("first"), F.timestamp_diff("HOUR", F.min("hour_at"), F.max("hour_at")).alias("last"),
+        F.approx_count_distinct("stop_id").alias("stops"),
+    ).first()
+    first = F.lit(row["first"]).cast("timestamp_ntz")
+    known = once.select("stop_id", F.timestamp_diff("HOUR", first, F.col("hour_at")).alias("t_idx"), *values)
+    return HourGrid(known, tuple(values), row["first"], -1 if row["last"] is None else int(row["last"]), row["stops"])
+
+
+def densify_time_grid(rows: DataFrame, values: list[str], time: str = "recorded_at") -> DataFrame:
+    """Every stop x every hour between the first and last hour; absent values are 0."""
+    return hour_grid(rows, values, time).rows()
 
 
 def pivot_feature_matrix(grid: DataFrame, values: list[str]) -> DataFrame:
@@ -96,16 +166,15 @@ def pivot_feature_matrix(grid: DataFrame, values: list[str]) -> DataFrame:
     return grid.selectExpr("stop_id", "t_idx", f"stack({len(values)}, {pairs}) AS (feature, value)")
 
 
-def _frame(value: str, first: int, last: int) -> Column:
-    return F.collect_list(value).over(_by_stop().rowsBetween(first, last))
+def multi_scale_sequences(grid: HourGrid, inputs: list[str], target: str) -> DataFrame:
+    """Arrays of the last 6 and 24 hours, the same 24 hours a week back, and the next 24 targets."""
+    scales = {"hour": (HOUR_LEN, HOUR_LEN), "day": (DAY_LEN, DAY_LEN), "week": (WEEK_BACK, WEEK_LEN)}
 
+    def columns(cut, t):
+        arrays = {f"{v}_{s}": cut(v, t - back, n) for v in inputs for s, (back, n) in scales.items()}
+        return {"hour_at": grid.at(t), **arrays, "y": cut(target, t, HORIZON)}
 
-def multi_scale_sequences(grid: DataFrame, inputs: list[str], target: str) -> DataFrame:
-    """Arrays of the last 6 and 24 hours, the same 24 hours a week back, and the next 24 targets."""
-    scales = {"hour": (-HOUR_LEN, -1), "day": (-DAY_LEN, -1), "week": (-WEEK_BACK, -WEEK_BACK + WEEK_LEN - 1)}
-    arrays = {f"{v}_{s}": _frame(v, *r) for v in inputs for s, r in scales.items()}
-    out = grid.select("stop_id", "t_idx", "hour_at", *[c.alias(n) for n, c in arrays.items()], _frame(target, 0, HORIZON - 1).alias("y"))
-    return out.filter((F.col("t_idx") >= WEEK_BACK) & (F.size("y") == HORIZON))
+    return grid.sequences(columns, WEEK_BACK, HORIZON, first=WEEK_BACK, ahead=HORIZON - 1)
 
 
 def feature_window(features: DataFrame, at: str, values: list[str], hours: int = 6, days: int = 24, weeks: int = 24) -> DataFrame:
@@ -131,38 +200,38 @@ def _window_arrays(features: DataFrame, lo: Column, hi: Column, values: list[str
     return ordered.select("stop_id", *[F.col(f"s.{c}").alias(f"{c}_sequence") for c in ("recorded_at", *values)])
 
 
-def periodic_samples(grid: DataFrame, value: str, hours: int = 6, days: int = 3, weeks: int = 2, horizon: int = 1) -> DataFrame:
+def periodic_samples(grid: HourGrid, value: str, hours: int = 6, days: int = 3, weeks: int = 2, horizon: int = 1) -> DataFrame:
     """Hour slice; points 24 h apart and 168 h apart, newest first, as far as they exist."""
-    back = lambda k: F.lag(value, k).over(_by_stop())
-    out = grid.select(
-        "stop_id",
-        "t_idx",
-        F.when(F.col("t_idx") >= hours, _frame(value, -hours, -1)).alias("hour_sample"),
-        F.array_compact(F.array(*[back(24 * (d + 1)) for d in range(days)])).alias("day_sample"),
-        F.array_compact(F.array(*[back(168 * (w + 1)) for w in range(weeks)])).alias("week_sample"),
-        _frame(value, 0, horizon - 1).alias("target"),
-    )
-    return out.filter(F.size("target") == horizon)
 
+    def columns(cut, t):
+        points = lambda step, n: F.flatten(F.array(*[F.when(t >= step * k, cut(value, t - step * k, 1)).otherwise(F.array().cast("array<double>")) for k in range(1, n + 1)]))
+        return {
+            "hour_sample": F.when(t >= hours, cut(value, t - hours, hours)),
+            "day_sample": points(24, days),
+            "week_sample": points(168, weeks),
+            "target": cut(value, t, horizon),
+        }
+
+    return grid.sequences(columns, max(hours, 24 * days, 168 * weeks), horizon, ahead=horizon - 1)
 
-def strided_samples(grid: DataFrame, value: str, hours: int = 6, days: int = 3, weeks: int = 1, horizon: int = 1) -> DataFrame:
+
+def strided_samples(grid: HourGrid, value: str, hours: int = 6, days: int = 3, weeks: int = 1, horizon: int = 1) -> DataFrame:
     """Day points oldest first and seven daily points per week; only where all points exist."""
-    back = lambda k: F.lag(value, k).over(_by_stop())
-    t = F.col("t_idx")
-    out = grid.select(
-        "stop_id",
-        "t_idx",
-        F.when(t >= hours, _frame(value, -hours, -1)).alias("hour_sample"),
-        F.when(t >= 24 * days, F.array(*[back(24 * d) for d in range(days, 0, -1)])).alias("day_sample"),
-        F.when(t >= 168 * weeks, F.array(*[back(24 * d) for d in range(7 * weeks, 0, -1)])).alias("week_sample"),
-        _frame(value, 0, horizon - 1).alias("target"),
-    )
-    return out.filter(F.size("target") == horizon)
+
+    def columns(cut, t):
+        daily = lambda n: F.when(t >= 24 * n, F.flatten(F.array(*[cut(value, t - 24 * d, 1) for d in range(n, 0, -1)])))
+        return {
+            "hour_sample": F.when(t >= hours, cut(value, t - hours, hours)),
+            "day_sample": daily(days),
+            "week_sample": daily(7 * weeks),
+            "target": cut(value, t, horizon),
+        }
+
+    return grid.sequences(columns, max(hours, 24 * days, 168 * weeks), horizon, ahead=horizon - 1)
 
 
-def sliding_windows(grid: DataFrame, value: str, history: int = 6, horizon: int = 1) -> DataFrame:
-    out = grid.select("stop_id", "t_idx", _frame(value, -history, -1).alias("x"), _frame(value, 0, horizon - 1).alias("y"))
-    return out.filter((F.col("t_idx") >= history) & (F.size("y") == horizon))
+def sliding_windows(grid: HourGrid, value: str, history: int = 6, horizon: int = 1) -> DataFrame:
+    return grid.sequences(lambda cut, t: {"x": cut(value, t - history, history), "y": cut(value, t, horizon)}, history, horizon, first=history, ahead=horizon - 1)
 
 
 def temporal_split(samples: DataFrame, train: float = 0.6, valid: float = 0.2) -> DataFrame:

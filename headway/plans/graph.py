@@ -244,8 +244,12 @@ register(
 # grids and sequences ---------------------------------------------------------------------------
 
 
+def hourly(t):
+    return seq.hour_grid(t.usage, ["boarding_count", "alighting_count"])
+
+
 def grid(t):
-    return seq.densify_time_grid(t.usage, ["boarding_count", "alighting_count"])
+    return hourly(t).rows()
 
 
 define(
@@ -286,7 +290,7 @@ def text(x):
 register(
     "multi_scale_sequences",
     "stop_id:s t_idx:i boarding_count_hour:s boarding_count_day:s boarding_count_week:s y:s",
-    lambda t: flat(seq.multi_scale_sequences(grid(t), ["boarding_count"], "alighting_count"), "boarding_count_hour", "boarding_count_day", "boarding_count_week", "y"),
+    lambda t: flat(seq.multi_scale_sequences(hourly(t), ["boarding_count"], "alighting_count"), "boarding_count_hour", "boarding_count_day", "boarding_count_week", "y"),
     f"""SELECT stop_id, t_idx, {text('a')} AS boarding_count_hour, {text('b')} AS boarding_count_day, {text('c')} AS boarding_count_week, {text('d')} AS y
        FROM (SELECT stop_id, t_idx, {frame('boarding_count', -6, -1)} AS a, {frame('boarding_count', -24, -1)} AS b,
              {frame('boarding_count', -168, -145)} AS c, {frame('alighting_count', 0, 23)} AS d FROM gridh) WHERE t_idx >= 168 AND len(d) = 24""",
@@ -300,7 +304,7 @@ def lags(ks):
 register(
     "periodic_samples",
     "stop_id:s t_idx:i hour_sample:s day_sample:s week_sample:s target:s",
-    lambda t: flat(seq.periodic_samples(grid(t), "boarding_count"), "hour_sample", "day_sample", "week_sample", "target"),
+    lambda t: flat(seq.periodic_samples(hourly(t), "boarding_count"), "hour_sample", "day_sample", "week_sample", "target"),
     f"""SELECT stop_id, t_idx, CASE WHEN t_idx >= 6 THEN {text('a')} END AS hour_sample, {text('list_filter(b, lambda e: e IS NOT NULL)')} AS day_sample,
        {text('list_filter(c, lambda e: e IS NOT NULL)')} AS week_sample, CAST(CAST(boarding_count AS BIGINT) AS VARCHAR) AS target
        FROM (SELECT *, {frame('boarding_count', -6, -1)} AS a, {lags([24, 48, 72])} AS b, {lags([168, 336])} AS c FROM gridh)""",
@@ -308,7 +312,7 @@ register(
 register(
     "strided_samples",
     "stop_id:s t_idx:i hour_sample:s day_sample:s week_sample:s target:s",
-    lambda t: flat(seq.strided_samples(grid(t), "boarding_count"), "hour_sample", "day_sample", "week_sample", "target"),
+    lambda t: flat(seq.strided_samples(hourly(t), "boarding_count"), "hour_sample", "day_sample", "week_sample", "target"),
     f"""SELECT stop_id, t_idx, CASE WHEN t_idx >= 6 THEN {text('a')} END AS hour_sample, CASE WHEN t_idx >= 72 THEN {text('b')} END AS day_sample,
        CASE WHEN t_idx >= 168 THEN {text('c')} END AS week_sample, CAST(CAST(boarding_count AS BIGINT) AS VARCHAR) AS target
        FROM (SELECT *, {frame('boarding_count', -6, -1)} AS a, {lags([72, 48, 24])} AS b, {lags([168, 144, 120, 96, 72, 48, 24])} AS c FROM gridh)""",
@@ -316,7 +320,7 @@ register(
 register(
     "sliding_windows",
     "stop_id:s t_idx:i x:s y:s",
-    lambda t: flat(seq.sliding_windows(grid(t), "boarding_count"), "x", "y"),
+    lambda t: flat(seq.sliding_windows(hourly(t), "boarding_count"), "x", "y"),
     f"""SELECT stop_id, t_idx, {text('a')} AS x, CAST(CAST(boarding_count AS BIGINT) AS VARCHAR) AS y
        FROM (SELECT *, {frame('boarding_count', -6, -1)} AS a FROM gridh) WHERE t_idx >= 6""",
 )
@@ -354,7 +358,7 @@ def thirds(t):
     """Sequences of three periods of the month, each with its own time index."""
     d = F.dayofmonth("recorded_at")
     cuts = [d <= 10, d.between(11, 20), d > 20]
-    return [seq.sliding_windows(seq.densify_time_grid(t.usage.filter(c), ["boarding_count"]), "boarding_count") for c in cuts]
+    return [seq.sliding_windows(seq.hour_grid(t.usage.filter(c), ["boarding_count"]), "boarding_count") for c in cuts]
 
 
 define(
@@ -386,7 +390,7 @@ register(
     "forecast_error",
     "mse:f6 rmse:f6",
     lambda t: seq.forecast_error(
-        seq.temporal_split(seq.multi_scale_sequences(grid(t), ["boarding_count"], "boarding_count")), "boarding_count_day", "y", 32
+        seq.temporal_split(seq.multi_scale_sequences(hourly(t), ["boarding_count"], "boarding_count")), "boarding_count_day", "y", 32
     ),
     f"""SELECT avg(loss) AS mse, sqrt(avg(loss)) AS rmse FROM (
        SELECT (t_idx - 168) // 32 AS batch, avg((e - lagged) ** 2) AS loss FROM (

@@ -34,10 +34,6 @@ class TransitTables:
     def raw(self, name: str) -> DataFrame:
         return self.built(f"raw {name}", lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
-    def spread(self, name: str, key: str = "doc_id") -> DataFrame:
-        """A source table dealt by its key, for work that is heavy per row (text)."""
-        return self.raw(name).repartition(key)
-
     @cached_property
     def ev(self) -> DataFrame:
         ts = F.col("ts")

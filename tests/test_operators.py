@@ -150,15 +150,36 @@ def ramp(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(s, start + dt.timedelta(hours=t), float(t)) for s in "ab" for t in range(200) if s == "a" or t % 2 == 0]
     df = spark.createDataFrame(rows, "stop_id string, recorded_at timestamp_ntz, v double")
-    return sequences.densify_time_grid(df, ["v"])
+    return sequences.hour_grid(df, ["v"])
 
 
 def test_dense_grid(ramp):
-    assert ramp.groupBy("stop_id").count().collect()[0][1] == 200
-    b = {r.t_idx: r.v for r in ramp.filter("stop_id = 'b'").collect()}
+    rows = ramp.rows()
+    assert rows.groupBy("stop_id").count().collect()[0][1] == 200
+    b = {r.t_idx: r.v for r in rows.filter("stop_id = 'b'").collect()}
     assert b == {t: (float(t) if t % 2 == 0 else 0.0) for t in range(200)}
 
 
+def test_blocks_carry_their_halos(spark):
+    """A long, sparse history: blocks are bounded, and every window equals the one cut from the whole array."""
+    start = dt.datetime(2024, 1, 1, 5)
+    hours = {"a": [0, 1, 167, 168, 500, 999], "b": [3], "c": list(range(0, 1000, 7))}
+    rows = [(s, start + dt.timedelta(hours=t), float(t + 1)) for s, ts in hours.items() for t in ts]
+    rows += [("b", start + dt.timedelta(hours=3), 6.0)]  # averaged with 4.0
+    grid = sequences.hour_grid(spark.createDataFrame(rows, "stop_id string, recorded_at timestamp_ntz, v double"), ["v"])
+    whole = {s: [float(t + 1) if t in ts else 0.0 for t in range(1000)] for s, ts in hours.items()}
+    whole["b"][3] = 5.0
+    blocks = grid.blocks(200, 24).collect()
+    assert max(len(r.v) for r in blocks) <= 200 + 200 + 24 and len(blocks) == 15
+    assert all(r.v == whole[r.stop_id][r.start : r.start + len(r.v)] and r.start == max(r.lo - 200, 0) for r in blocks)
+    assert {(r.stop_id, r.t_idx): r.v for r in grid.rows().collect()} == {(s, t): x for s, v in whole.items() for t, x in enumerate(v)}
+    got = {(r.stop_id, r.t_idx): (r.x, r.y) for r in sequences.sliding_windows(grid, "v", 30, 5).collect()}
+    assert got == {(s, t): (v[t - 30 : t], v[t : t + 5]) for s, v in whole.items() for t in range(30, 996)}
+    assert sequences.sliding_windows(grid, "v", 999, 2).count() == 0
+    none = sequences.hour_grid(spark.createDataFrame([], "stop_id string, recorded_at timestamp_ntz, v double"), ["v"])
+    assert none.rows().count() == 0 and sequences.multi_scale_sequences(none, ["v"], "v").count() == 0
+
+
 def test_multi_scale_sequences(ramp):
     rows = {r.t_idx: r for r in sequences.multi_scale_sequences(ramp, ["v"], "v").filter("stop_id = 'a'").collect()}
     assert sorted(rows) == list(range(168, 177))

@@ -71,3 +71,13 @@ def test_a_question_about_one_month_reads_one_stored_month(spark, name):
     assert bool(facts) == (name in WITH_FACTS)
     for line in facts:
         assert "GreaterThanOrEqual(ts" in line and "LessThan(ts" in line
+
+
+@pytest.mark.parametrize("name", ["classify_lines", "structure_chunks", "chunk_metadata", "merge_small_chunks", "split_large_chunks", "recursive_split"])
+def test_texts_are_not_shuffled(spark, name):
+    assert "Exchange" not in plan(entry.queries()[name](spark, SF))
+
+
+def test_sequences_sort_no_stop_whole(spark):
+    text = plan(entry.queries()["multi_scale_sequences"](spark, SF))
+    assert "Window" not in text and "REPARTITION_BY_NUM" in text
