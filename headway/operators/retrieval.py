@@ -125,6 +125,36 @@ def _jaccard(q: Column, d: Column, low: Column, terms: list[str]) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.least(F.lit(1.0), both / (F.size(q) + F.size(d) - both) + boost))
 
 
+def keyword_candidates(questions: DataFrame, documents: DataFrame, percent: int = 10) -> DataFrame:
+    """(query_id, doc_id) of all pairs whose word sets overlap in at least ``percent`` of their union.
+
+    ``questions`` has (query_id, query), ``documents`` (doc_id, text). An index of words to documents is
+    met by each question's rarest words only: with common / union >= p, the common words are at
+    least p of the question's, so one of them is among all but the most frequent ones, and the first
+    of them, at place i by rarity, leaves |q| - i words for an overlap of p / (1 + p) (|q| + |d|).
+    Documents send only words that some question has, with their size; texts stay where they are until
+    a pair is left, and then the sets are compared. A very frequent word is late in every question
+    that has rarer ones, so its long list is rarely met; where it is, the join's skewed keys are split.
+    Texts without words pair with nothing. Ids must be unique.
+    """
+    p = percent / 100
+    asked = questions.select("query_id", words(F.col("query")).alias("_q")).filter(F.size("_q") > 0)
+    terms = asked.select("query_id", F.size("_q").alias("_nq"), F.explode("_q").alias("word"))
+    known = documents.select("doc_id", words(F.col("text")).alias("_d"))
+    index = known.select("doc_id", F.size("_d").alias("_nd"), F.explode("_d").alias("word")).join(terms.select("word").distinct(), "word", "left_semi")
+    often = index.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+    sorted_words = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "word")))
+    order = terms.join(often, "word", "left").groupBy("query_id", "_nq").agg(sorted_words.alias("w"))
+    prefix = F.slice("w", 1, (F.col("_nq") - F.ceil(F.col("_nq") * p - 1e-9) + 1).cast("int"))
+    rare = order.select("query_id", "_nq", F.posexplode(prefix).alias("_i", "_w")).select("query_id", "_nq", "_i", F.col("_w.word").alias("word"))
+    sizes = (F.col("_nd") * 100 >= F.col("_nq") * percent) & (F.col("_nq") * 100 >= F.col("_nd") * percent)
+    enough = F.col("_nq") - F.col("_i") >= F.ceil((F.col("_nq") + F.col("_nd")) * (p / (1 + p)) - 1e-9)
+    pairs = rare.join(index, "word").filter(sizes & enough).select("query_id", "doc_id").distinct()
+    both = F.size(F.array_intersect("_q", "_d"))
+    met = pairs.join(asked, "query_id").join(known, "doc_id")
+    return met.filter(both * 100 >= (F.size("_q") + F.size("_d") - both) * percent).select("query_id", "doc_id")
+
+
 def importance_boost(importance: Column, chunk_type: Column, level: Column) -> Column:
     table = F.create_map(*[x for k, v in TYPE_BOOST.items() for x in (F.lit(k), F.lit(v))])
     kind = F.coalesce(F.try_element_at(table, chunk_type), F.lit(0.0))

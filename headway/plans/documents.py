@@ -413,12 +413,14 @@ register("retrieve_top_10", HITS, lambda t: search(t, 10, -1.0), search_sql(10,
 CHUNK_TYPES = ["title", "section", "paragraph", "list", "table", "other"]
 
 
+#: The given questions and documents are invented words: pairs that share a tenth of their words are rare.
+SHARED = 10
+
+
 def candidates(t):
-    """Each question with the three documents numbered like its conversation."""
+    """Each question with all documents that share enough of its words."""
     d = F.col("doc_id")
-    q = t.raw("conversations").filter("role = 'user'").select(
-        qid().alias("query_id"), F.col("text").alias("query"), F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1, F.col("conv_id") + 2)).alias("doc_id")
-    )
+    q = t.raw("conversations").filter("role = 'user'").select(qid().alias("query_id"), F.col("text").alias("query"))
     docs = t.raw("documents").select(
         "doc_id", "text",
         (d % 10 / 10.0).alias("importance_score"),
@@ -427,7 +429,7 @@ def candidates(t):
         F.concat((2022 + d % 4).cast("string"), F.lit("-03-01")).alias("loaded_at"),
         F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("Part "), (d % 3).cast("string"))).alias("section_title"),
     )
-    return q.join(docs, "doc_id")
+    return retrieval.keyword_candidates(q, docs, SHARED).join(q, "query_id").join(docs, "doc_id")
 
 
 def word_list(x):
@@ -436,16 +438,17 @@ def word_list(x):
 
 define(
     "cands",
-    f"""SELECT q.query_id, q.doc_id, query, text, doc_id % 10 / 10 AS importance_score, list_extract({sql_list(CHUNK_TYPES)}, doc_id % 6 + 1) AS chunk_type,
+    f"""SELECT *, doc_id % 10 / 10 AS importance_score, list_extract({sql_list(CHUNK_TYPES)}, doc_id % 6 + 1) AS chunk_type,
        doc_id % 5 AS structure_level, CAST(2022 + doc_id % 4 AS VARCHAR) AS loaded, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Part ' || (doc_id % 3) END AS section_title
-       FROM (SELECT conv_id * 1000 + turn AS query_id, text AS query, unnest([conv_id, conv_id + 1, conv_id + 2]) AS did FROM conversations WHERE role = 'user') AS q0
-       CROSS JOIN LATERAL (SELECT q0.query_id, q0.did AS doc_id) AS q JOIN (SELECT doc_id AS docid, text FROM documents) AS d ON q.doc_id = docid""",
+       FROM (SELECT *, len(list_intersect(qw, dw)) AS common FROM (SELECT conv_id * 1000 + turn AS query_id, text AS query, {word_list('text')} AS qw FROM conversations WHERE role = 'user')
+             CROSS JOIN (SELECT doc_id, text, {word_list('text')} AS dw FROM documents) WHERE len(dw) * 100 >= len(qw) * {SHARED} AND len(qw) * 100 >= len(dw) * {SHARED})
+       WHERE common > 0 AND common * 100 >= (len(qw) + len(dw) - common) * {SHARED}""",
 )
 define(
     "jaccards",
     f"""SELECT *, CASE WHEN len(qw) = 0 THEN 0 ELSE least(1, len(list_intersect(qw, dw)) / (len(qw) + len(dw) - len(list_intersect(qw, dw)))
          + {' + '.join(f"CASE WHEN contains(lower(text), '{x}') THEN 0.1::DOUBLE ELSE 0 END" for x in TERMS)}) END AS semantic
-       FROM (SELECT *, {word_list('query')} AS qw, {word_list('text')} AS dw FROM cands)""",
+       FROM cands""",
 )
 define(
     "boosts",

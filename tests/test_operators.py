@@ -458,3 +458,19 @@ def test_od_date_comes_from_the_last_folder_or_file_name(spark, tmp_path):
         target.parent.mkdir(parents=True)
         target.write_text(line)
         assert [str(r.record_date) for r in read_od_csv(spark, str(tmp_path / parent)).collect()] == ["2025-07-15"]
+
+
+def test_keyword_candidates_are_all_pairs(spark):
+    """Against every pair, at several shares, with frequent words, empty texts and equal sets."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{min(int(rng.zipf(1.4)), 400)}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    asked = [(i, text(int(rng.integers(1, 15)))) for i in range(60)] + [(60, ""), (61, None), (62, "W1  w2\tw2")]
+    docs = [(i, text(int(rng.integers(1, 60)))) for i in range(150)] + [(150, " "), (151, None), (152, "w2 w1"), (153, asked[3][1])]
+    sets = lambda rows: {i: set((t or "").lower().split()) for i, t in rows}
+    q, d = sets(asked), sets(docs)
+    frames = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string")
+    for percent in (5, 10, 33, 50, 100):
+        got = [tuple(r) for r in retrieval.keyword_candidates(*frames, percent).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b) for a in q for b in d if q[a] & d[b] and 100 * len(q[a] & d[b]) >= percent * len(q[a] | d[b])}
