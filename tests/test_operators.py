@@ -36,6 +36,20 @@ def test_continuous_percentile(spark):
     assert got == pytest.approx(float(np.percentile(data, 25)))
 
 
+@pytest.mark.parametrize("spread", [0, 3, 5_000, 1 << 44])
+def test_order_statistics_of_every_rank(spark, spread):
+    """Negative and far values, many repeats, nulls; no sort in Spark."""
+    rng = random.Random(spread)
+    data = [rng.randint(-spread, spread) for _ in range(300)] + [spread] * 100
+    df = spark.createDataFrame([(x,) for x in [*data, None]], "v long").repartition(4)
+    ranks = [0, 1, 75, 150, 299, 300, 398, 399]
+    assert ranking.order_statistics(df, "v", lambda n: ranks) == (400, {r: sorted(data)[r] for r in ranks})
+    assert ranking.order_statistics(df.filter("v IS NULL"), "v", lambda n: ranks) == (0, {})
+    none = ranking.exclusive_quartiles(df.limit(0), "v").first()
+    assert list(none) == [None] * 3
+    assert spark.range(1).select(ranking.continuous_percentile(df.limit(0), "v", 0.25)).first()[0] is None
+
+
 def test_dense_index_covers_all_positions(spark):
     df = spark.range(1000).withColumn("k", F.md5(F.col("id").cast("string"))).repartition(7)
     rows = ranking.dense_index(df, "k").orderBy("idx").collect()
