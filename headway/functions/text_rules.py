@@ -142,6 +142,11 @@ def parse_query_lines(response: Column, original: Column, limit: int | None = No
     return first_of(F.array_distinct(F.concat(F.array(original), usable)), limit)
 
 
+def day_word(text: Column) -> Column:
+    """The first word of the text that names a day relative to today; NULL without one."""
+    return F.nullif(F.regexp_extract(text, "|".join(RELATIVE_DAYS), 0), F.lit(""))
+
+
 def _last(text: Column, pattern: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
 

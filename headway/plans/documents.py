@@ -99,23 +99,42 @@ register(
     f"""SELECT DISTINCT question_id, variant FROM (SELECT question_id, unnest(list_concat({EXPANDED}, ['노선와 관련된 ' || q, '정류장와 관련된 ' || q])) AS variant
        FROM (SELECT question_id, question AS q FROM questions))""",
 )
-SAID = ["1. first usable line", "- second usable line", "short", "* first usable line", "3) third usable line", "final usable line"]
+BULLETS = ["1. ", "- ", "", "* ", "3) ", "• "]
+
+
+def marked(text, marks):
+    """The lines of a text with marks in a fixed cycle."""
+    table = F.array(*[F.lit(m) for m in marks])
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.concat(F.element_at(table, (i % len(marks) + 1).cast("int")), x))
+    return F.array_join(lines, "\n")
+
+
+def marked_sql(text, marks):
+    return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x, i: list_extract({sql_list(marks)}, (i - 1) % {len(marks)} + 1) || x), chr(10))"
 
 
 def responses(t):
-    """Answer texts with bullets, repeats, short lines and the question itself."""
-    lines = [F.lit(s) for s in SAID[:3]] + [F.concat(F.lit("• "), "question")] + [F.lit(s) for s in SAID[3:]]
-    return questions(t).withColumn("question", F.substring_index("question", "\n", 1)).withColumn("response", F.array_join(F.array(*lines), "\n"))
+    """Each question with the reply to it: the question again, the reply as a list, and its lines once more."""
+    reply = t.raw("conversations").filter("role = 'assistant'").select((qid() - 1).alias("question_id"), "text")
+    text = F.concat(F.lit("• "), "question", F.lit("\n"), marked(F.col("text"), BULLETS), F.lit("\n"), "text")
+    return questions(t).join(reply, "question_id").select("question_id", "question", text.alias("response"))
 
 
+define(
+    "responses",
+    f"""SELECT question_id, question, '• ' || question || chr(10) || {marked_sql('text', BULLETS)} || chr(10) || text AS response
+       FROM questions JOIN conversations ON role = 'assistant' AND conv_id * 1000 + turn - 1 = question_id""",
+)
+USABLE = f"""list_filter(list_transform(string_split(response, chr(10)), lambda x: {TRIM(f"regexp_replace({TRIM('x')}, '^[- •·*0-9.)]+', '')")}),
+         lambda x: length(x) >= 10 AND lower(x) <> lower(question))"""
 register(
     "parse_query_lines",
     "question_id:i pos:i line:s",
     lambda t: responses(t).select("question_id", F.posexplode(rules.parse_query_lines(F.col("response"), F.col("question"))).alias("pos", "line")),
-    """SELECT question_id, unnest(range(len(said))) AS pos, unnest(said) AS line FROM (
-       SELECT question_id, list_concat([q, 'first usable line', 'second usable line'], CASE WHEN q LIKE '7%' THEN [substr(q, 2)] ELSE [] END,
-         ['third usable line', 'final usable line']) AS said
-       FROM (SELECT question_id, string_split(question, chr(10))[1] AS q FROM questions))""",
+    f"""SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY place) - 1 AS pos, line FROM (
+         SELECT question_id, line, min(place) AS place FROM (
+           SELECT question_id, unnest(said) AS line, unnest(range(len(said))) AS place FROM (SELECT question_id, list_concat([question], {USABLE}) AS said FROM responses))
+         GROUP BY question_id, line)""",
 )
 
 
@@ -123,24 +142,47 @@ def kind():
     return F.col("conv_id") % 4
 
 
+LABELS, SURE, REASONS = ["OTHER", "quantitative", "Mixed", "IRRELEVANT"], ["high", "1.7", "0.85", "-1"], ["근거: ", "키워드: ", ""]
+
+
+def by_length(text, items):
+    """One of the items by the length of the text."""
+    return F.element_at(F.array(*[F.lit(i) for i in items]), (F.length(text) % len(items) + 1).cast("int"))
+
+
+def by_length_sql(text, items):
+    return f"list_extract({sql_list(items)}, length({text}) % {len(items)} + 1)"
+
+
 def labelled(t):
-    said = F.when(kind() == 0, "OTHER").when(kind() == 1, "quantitative").when(kind() == 2, "Mixed").otherwise("IRRELEVANT")
-    sure = F.when(kind() == 0, "high").when(kind() == 1, "1.7").when(kind() == 2, "0.85").otherwise("-1")
-    text = F.concat(
-        F.lit("분류: "), said, F.lit("\n 신뢰도: "), sure, F.lit("\n근거: 질문 "), F.col("conv_id").cast("string"),
-        F.when(kind() == 3, "").otherwise("\n키워드: 노선, , 정류장 ,"), F.lit("\n"),
-    )
+    """Messages as labelled answers: a label and a confidence, then lines of reasons and keywords."""
+    x = F.col("text")
+    text = F.concat(F.lit("분류: "), by_length(x, LABELS), F.lit("\n 신뢰도: "), by_length(x, SURE), F.lit("\n"), marked(x, REASONS), F.lit("\n"))
     return t.raw("conversations").select("conv_id", "turn", text.alias("answer"))
 
 
+define(
+    "labelled",
+    f"""SELECT conv_id, turn, '분류: ' || {by_length_sql('text', LABELS)} || chr(10) || ' 신뢰도: ' || {by_length_sql('text', SURE)} || chr(10)
+         || {marked_sql('text', REASONS)} || chr(10) AS answer FROM conversations""",
+)
+
+
+def last_sql(pattern):
+    return f"list_extract(regexp_extract_all(answer, '{pattern}', 1), -1)"
+
+
+LABEL = last_sql("(?mi)^\\s*분류:\\s*(QUALITATIVE|QUANTITATIVE|MIXED|IRRELEVANT)\\s*$")
 register(
     "parse_labelled_text",
     "conv_id:i turn:i label:s confidence:f2 reason:s keywords:s needs_sql:b needs_rag:b",
     lambda t: labelled(t).withColumns(rules.parse_labelled_text(F.col("answer"))).withColumn("keywords", F.array_join("keywords", "|")),
-    """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'QUALITATIVE' WHEN 1 THEN 'QUANTITATIVE' WHEN 2 THEN 'MIXED' ELSE 'IRRELEVANT' END AS label,
-       CASE conv_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1 WHEN 2 THEN 0.85 ELSE 0 END AS confidence, '질문 ' || conv_id AS reason,
-       CASE WHEN conv_id % 4 = 3 THEN '' ELSE '노선|정류장' END AS keywords, conv_id % 4 IN (1, 2) AS needs_sql, conv_id % 4 IN (0, 2) AS needs_rag
-       FROM conversations""",
+    f"""SELECT *, label IN ('QUANTITATIVE', 'MIXED') AS needs_sql, label IN ('QUALITATIVE', 'MIXED') AS needs_rag FROM (
+         SELECT conv_id, turn, coalesce(upper({LABEL}), 'QUALITATIVE') AS label,
+           least(greatest(coalesce(TRY_CAST({last_sql("(?m)^\\s*신뢰도:\\s*(.*)$")} AS DOUBLE), 0.5), 0), 1) AS confidence,
+           coalesce({TRIM(last_sql("(?m)^\\s*근거:\\s*(.*)$"))}, 'LLM 응답 파싱 실패') AS reason,
+           coalesce(array_to_string(list_filter(list_transform(string_split({last_sql("(?m)^\\s*키워드:\\s*(.*)$")}, ','), lambda x: {TRIM('x')}), lambda x: x <> ''), '|'), '') AS keywords
+         FROM labelled)""",
 )
 register(
     "parse_score",
@@ -179,14 +221,20 @@ register(
          + CASE WHEN turn > 2 THEN 0.1 ELSE 0 END + CASE WHEN conv_id % 4 = 0 THEN 0.2 WHEN conv_id % 4 = 1 THEN 0.05 ELSE 0 END) AS multi FROM answers""",
 )
 WORDS = list(rules.RELATIVE_DAYS)
+
+
+def dated_questions(t):
+    """Questions that may name a day twice; the first one counts."""
+    text = F.concat("question", F.lit(" "), by_length(F.col("question"), [*WORDS, ""]))
+    return questions(t).select("question_id", rules.day_word(text).alias("term"))
+
+
 register(
     "relative_date",
-    "conv_id:i turn:i term:s target:s",
-    lambda t: t.raw("conversations").select(
-        "conv_id", "turn", F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("turn") % 5 + 1).cast("int")).alias("term")
-    ).withColumn("target", cal.relative_date(F.col("term"), rules.RELATIVE_DAYS, "2025-08-01")),
-    f"""SELECT conv_id, turn, list_extract({sql_list(WORDS)}, turn % 5 + 1) AS term,
-       DATE '2025-08-01' + CAST(list_extract([0, -1, -2, 1, 2], turn % 5 + 1) AS INTEGER) AS target FROM conversations""",
+    "question_id:i term:s target:s",
+    lambda t: dated_questions(t).withColumn("target", cal.relative_date(F.col("term"), rules.RELATIVE_DAYS, "2025-08-01")),
+    f"""SELECT question_id, term, DATE '2025-08-01' + CAST(list_extract({list(rules.RELATIVE_DAYS.values())}, list_position({sql_list(WORDS)}, term)) AS INTEGER) AS target
+       FROM (SELECT question_id, nullif(regexp_extract(question || ' ' || {by_length_sql('question', [*WORDS, ''])}, '{'|'.join(WORDS)}', 0), '') AS term FROM questions)""",
 )
 register(
     "date_range_check",
@@ -199,40 +247,54 @@ register(
        WHEN DATE '1997-06-01' - o_orderdate::DATE > 365 THEN 'range too long' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'day type' END AS problem FROM orders""",
 )
 
-# query log -------------------------------------------------------------------------------------
+# answers with SQL ----------------------------------------------------------------------------------
+#: Messages as answers: {x} is the whole text, {q} the same inside a SQL literal.
+FORMS = [
+    "{x}\n```sql\nSELECT hour FROM bus_stops WHERE memo = '{q}' GROUP BY 1;\n```\n**설명**: {x}\n**테이블**: bus_stops",
+    "{x}\n  select '{q}'\nFROM station_passenger_history\nWHERE d BETWEEN '2025-07-15' AND '2025-07-31';;\n**설명**:two\n",
+    "{x}",
+    "WITH x AS (SELECT '{q}') SELECT * FROM x JOIN traffic_summary\n설명: {x}",
+]
+#: Statements to judge, the text in a literal, in a remark or bare.
+STATEMENTS = [
+    "SELECT * FROM bus_stops WHERE memo = '{q}'", "with x as (select '{q}' AS memo) select * from x", "DROP TABLE bus_stops -- {x}",
+    "SELECT updated_at FROM t WHERE (memo = '{q}'", "select pg_sleep(5), '{q}' from t", "SHOW TABLES;; {x}", "SELECT '{q}'", "SELECT (a FROM t WHERE memo = '{q}'", "  ", "{x}",
+]
 
 
-def key():
-    return F.col("o_orderkey")
+def filled(text, forms):
+    """The text in one of the forms, by its length."""
+    return F.replace(F.replace(by_length(text, forms), F.lit("{q}"), F.replace(text, F.lit("'"), F.lit("''"))), F.lit("{x}"), text)
+
+
+def filled_sql(forms):
+    return f"replace(replace({by_length_sql('text', forms)}, '{{q}}', replace(text, chr(39), chr(39) || chr(39))), '{{x}}', text)"
 
 
 def sql_answers(t):
-    k = key().cast("string")
-    text = (
-        F.when(key() % 4 == 0, F.concat(F.lit("Here:\n```sql\nSELECT hour FROM bus_stops WHERE id = "), k, F.lit(" GROUP BY 1;\n```\n**설명**: plain "), k, F.lit("\n**테이블**: bus_stops")))
-        .when(key() % 4 == 1, F.concat(F.lit("text\n  select "), k, F.lit("\nFROM station_passenger_history\nWHERE d BETWEEN '2025-07-15' AND '2025-07-31';\n**설명**: two\n")))
-        .when(key() % 4 == 2, F.concat(F.lit("no query here "), k))
-        .otherwise(F.concat(F.lit("WITH x AS (SELECT "), k, F.lit(") SELECT * FROM x JOIN traffic_summary\n설명: three")))
-    )
-    return t.raw("orders").select("o_orderkey", text.alias("answer"))
+    return t.raw("conversations").select("conv_id", "turn", "text", filled(F.col("text"), FORMS).alias("answer"))
 
 
+STARTS = "list_transform(lines, lambda x: starts_with(upper(x), 'SELECT') OR starts_with(upper(x), 'WITH'))"
+NOTES = "list_transform(tail, lambda x: starts_with(x, '**') OR starts_with(x, '###') OR starts_with(x, '설명:'))"
 define(
     "sqltexts",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'SELECT hour FROM bus_stops WHERE id = ' || o_orderkey || ' GROUP BY 1'
-         WHEN 1 THEN 'select ' || o_orderkey || chr(10) || 'FROM station_passenger_history' || chr(10) || 'WHERE d BETWEEN ''2025-07-15'' AND ''2025-07-31'''
-         WHEN 2 THEN '' ELSE 'WITH x AS (SELECT ' || o_orderkey || ') SELECT * FROM x JOIN traffic_summary' END AS sql_text,
-       CASE o_orderkey % 4 WHEN 0 THEN 'plain ' || o_orderkey WHEN 1 THEN 'two' ELSE 'SQL 생성 완료' END AS reasoning FROM orders""",
+    f"""SELECT conv_id, turn, text, regexp_replace({TRIM("CASE WHEN fenced <> '' THEN fenced ELSE array_to_string(CASE WHEN stop > 0 THEN tail[1:stop - 1] ELSE tail END, chr(10)) END")}, ';+$', '') AS sql_text,
+         CASE WHEN contains(answer, '**설명**') THEN {TRIM("split_part(regexp_extract(answer, '(?s)\\*\\*설명\\*\\*:?(.*)', 1), '**', 1)")} ELSE 'SQL 생성 완료' END AS reasoning
+       FROM (SELECT *, coalesce(list_position({NOTES}, true), 0) AS stop
+       FROM (SELECT *, CASE WHEN begin > 0 THEN lines[begin:] ELSE [] END AS tail
+       FROM (SELECT *, coalesce(list_position({STARTS}, true), 0) AS begin, regexp_extract(answer, '(?s)```sql\\n(.*?)\\n```', 1) AS fenced
+       FROM (SELECT *, list_transform(string_split(answer, chr(10)), lambda x: {TRIM('x')}) AS lines
+       FROM (SELECT *, {filled_sql(FORMS)} AS answer FROM conversations)))))""",
 )
 register(
     "extract_sql_text",
-    "o_orderkey:i sql_text:s reasoning:s",
+    "conv_id:i turn:i sql_text:s reasoning:s",
     lambda t: sql_answers(t).withColumns(
         {"sql_text": sql_rules.extract_sql_text(F.col("answer")), "reasoning": sql_rules.extract_field(F.col("answer"), "설명", "SQL 생성 완료")}
     ),
     "SELECT * FROM sqltexts",
 )
-TYPES = list(sql_rules.TYPE_PATTERNS)
 
 
 def sql_confidence_check():
@@ -242,48 +304,43 @@ def sql_confidence_check():
     terms.append("CASE WHEN contains(s, '2025-07-15') AND contains(s, '2025-07-31') THEN 0.1 ELSE 0 END")
     for kind, patterns in sql_rules.TYPE_PATTERNS.items():
         terms += [f"CASE WHEN qt = '{kind}' AND contains(lower(s), '{p.lower()}') THEN 0.1 ELSE 0 END" for p in patterns]
-    return f"""SELECT o_orderkey, least(greatest({' + '.join(terms)}, 0.1), 1.0) AS confidence FROM
-       (SELECT o_orderkey, sql_text AS s, list_extract({sql_list(TYPES)}, o_orderkey % 5 + 1) AS qt FROM sqltexts)"""
+    return f"""SELECT conv_id, turn, least(greatest({' + '.join(terms)}, 0.1), 1.0) AS confidence FROM
+       (SELECT conv_id, turn, sql_text AS s, {group_case('text', rules.QUERY_TYPES, 'basic')} AS qt FROM sqltexts)"""
 
 
 register(
     "sql_confidence",
-    "o_orderkey:i confidence:f4",
+    "conv_id:i turn:i confidence:f4",
     lambda t: sql_answers(t).select(
-        "o_orderkey",
+        "conv_id", "turn",
         sql_rules.sql_confidence(
-            sql_rules.extract_sql_text(F.col("answer")), F.element_at(F.array(*[F.lit(x) for x in TYPES]), (key() % 5 + 1).cast("int")), "2025-07-15", "2025-07-31"
+            sql_rules.extract_sql_text(F.col("answer")), rules.question_query_type(F.col("text")), "2025-07-15", "2025-07-31"
         ).alias("confidence"),
     ),
     sql_confidence_check(),
 )
-QUERIES = [
-    ("SELECT * FROM bus_stops", None, True, False, False, None),
-    ("with x as (select 1) select * from x", None, True, False, False, None),
-    ("DROP TABLE bus_stops", "command DROP", False, True, False, "start"),
-    ("SELECT updated_at FROM t WHERE (a = 1", None, True, False, False, "word UPDATE"),
-    ("select pg_sleep(5) from t", "function pg_sleep", False, False, False, None),
-    ("SHOW TABLES;;", None, True, True, True, "start"),
-    ("SELECT 1", None, True, False, False, "no FROM"),
-    ("SELECT (a FROM t", None, True, False, False, "brackets"),
-    ("  ", "empty", False, True, False, "empty"),
-]
 
 
-def sql_case(position):
-    def lit(v):
-        return "NULL" if v is None else (str(v).lower() if isinstance(v, bool) else f"'{v}'")
+def first_word(text, words, flags=""):
+    return f"regexp_extract({text}, '{flags}\\b({'|'.join(words)})\\b', 1)"
 
-    return "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN {lit(q[position])}" for i, q in enumerate(QUERIES)) + " END"
 
+def times(mark):
+    return f"(length(q) - length(replace(q, '{mark}', '')))"
 
+
+UNSAFE = " ".join(f"WHEN contains(u, '{w}') THEN 'word {w}'" for w in sql_rules.UNSAFE_WORDS)
 register(
     "sql_safety_flags",
-    "o_orderkey:i error:s is_safe:b warn_start:b warn_multiple:b generator_error:s",
-    lambda t: t.raw("orders").select("o_orderkey", F.element_at(F.array(*[F.lit(q[0]) for q in QUERIES]), (key() % 9 + 1).cast("int")).alias("q"))
-    .withColumns(sql_rules.sql_safety_flags(F.col("q"))),
-    f"""SELECT o_orderkey, {sql_case(1)} AS error, {sql_case(2)} AS is_safe, {sql_case(3)} AS warn_start, {sql_case(4)} AS warn_multiple,
-       {sql_case(5)} AS generator_error FROM orders""",
+    "conv_id:i turn:i error:s is_safe:b warn_start:b warn_multiple:b generator_error:s",
+    lambda t: t.raw("conversations").select("conv_id", "turn", filled(F.col("text"), STATEMENTS).alias("q")).withColumns(sql_rules.sql_safety_flags(F.col("q"))),
+    f"""SELECT conv_id, turn, CASE WHEN u = '' THEN 'empty' WHEN command <> '' THEN 'command ' || command WHEN call <> '' THEN 'function ' || lower(call) END AS error,
+         u <> '' AND command = '' AND call = '' AS is_safe, NOT begins AS warn_start, {times(';')} > 1 AS warn_multiple,
+         CASE WHEN u = '' THEN 'empty' WHEN NOT begins THEN 'start' WHEN contains(u, 'SELECT') AND NOT contains(u, 'FROM') THEN 'no FROM' {UNSAFE}
+           WHEN {times('(')} <> {times(')')} THEN 'brackets' END AS generator_error
+       FROM (SELECT *, {first_word('u', sql_rules.FORBIDDEN_COMMANDS)} AS command, {first_word('q', sql_rules.FORBIDDEN_FUNCTIONS, '(?i)')} AS call,
+           starts_with(u, 'SELECT') OR starts_with(u, 'WITH') AS begins
+         FROM (SELECT *, upper({TRIM('q')}) AS u FROM (SELECT conv_id, turn, {filled_sql(STATEMENTS)} AS q FROM conversations)))""",
 )
 
 # documents -----------------------------------------------------------------------------------------
@@ -293,9 +350,7 @@ TERMS = ["the", "le ", "und"]
 
 def prefixed(t, marks):
     """Documents whose lines carry structure marks in a fixed cycle."""
-    table = F.array(*[F.lit(m) for m in marks])
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(table, (i % len(marks) + 1).cast("int")), x))
-    return t.raw("documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return t.raw("documents").select("doc_id", marked(F.col("text"), marks).alias("text"))
 
 
 def rx(patterns):
