@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text_rules import strip
@@ -18,8 +17,10 @@ from headway.operators.joins import best_per_group
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 1024  # queries sent to a task at once
+BLOCK = 1024  # queries of one piece
 DOC_ROWS = 20_000  # documents of one piece
+CELLS = 64  # pivots of the vector space
+SLACK = 1e-6  # radians by which a bound is widened, far above rounding
 FOUND = "query_id long, doc_id long, similarity double"
 # fixed values: boosts and weights of the ranking
 DOMAIN_TERMS = ["drt", "수요응답", "교통", "대중교통", "모빌리티", "교통체계"]
@@ -45,69 +46,111 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return ordered.select(label, F.col("v.x").alias("centroid"))
 
 
-def similar_top_k(documents: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7, block: int = BLOCK, rows: int = DOC_ROWS) -> DataFrame:
-    """Exact best ``k`` documents per query with cosine at least ``threshold``.
+def similar_top_k(
+    documents: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.7, block: int = BLOCK, rows: int = DOC_ROWS, cells: int = CELLS
+) -> DataFrame:
+    """Exact best ``k`` documents per query with cosine at least ``threshold``; no job runs before an action.
 
-    ``documents`` has (doc_id, vector), ``queries`` has (query_id, vector). Up to ``block`` queries
-    (counted first) are sent to the tasks and documents are not shuffled. More queries are met by
-    copies: documents and queries are cut into pieces of bounded size and every pair of pieces
-    is one task-sized group. Both ways keep k rows per batch and query before the last ranking.
+    ``documents`` has (doc_id, vector), ``queries`` has (query_id, vector). Every vector belongs to the
+    nearest of ``cells`` pivots, which are documents. The angle between two vectors is at least the angle
+    between their pivots less both cells' radii, so a query cell meets only document cells that can reach
+    the threshold. Cells are cut into pieces of about ``rows`` documents and ``block`` queries; a pair of
+    pieces is one group, where queries too far from all documents of the piece are left out and k rows per
+    query are kept. Small query cells share a piece, so a few queries move each document at most once.
+    Only tables of at most ``cells`` rows (with at most ``cells`` entries each) are broadcast. Vectors
+    that are null, zero or not finite, or hold a null, find nothing and are not found.
     """
-    docs, asked = documents.select("doc_id", "vector"), queries.select("query_id", "vector")
-    if asked.limit(block + 1).count() <= block:
-        found = _search_sent(docs, asked.limit(block).collect(), k, threshold)
-    else:
-        found = _search_pieces(docs, asked, k, threshold, block, rows)
-    return best_per_group(found, ["query_id"], k, F.desc("similarity"), F.asc("doc_id"), rank="rank")
-
-
-def _best(query_ids, targets: np.ndarray, batch: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
-    """Best k of a batch of documents for every query; ``targets`` are unit vectors."""
-    vectors = np.vstack(batch["vector"].to_numpy()).astype("float64")
-    scores = targets @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
-    doc_ids = batch["doc_id"].to_numpy()
-    found = []
-    for query_id, row in zip(query_ids, scores):
-        hit = np.flatnonzero(row >= threshold)
-        best = hit[np.lexsort((doc_ids[hit], -row[hit]))][:k]
-        found += [(query_id, doc_ids[i], row[i]) for i in best]
-    return pd.DataFrame(found, columns=["query_id", "doc_id", "similarity"])
+    docs, asked = _usable(documents.select("doc_id", "vector")), _usable(queries.select("query_id", "vector"))
+    pivots = _pivots(docs, cells)
+    docs, asked = _in_cells(docs, pivots), _in_cells(asked, pivots)
+    doc_cells = _cells(docs).withColumn("parts", F.ceil(F.col("n") / rows))
+    query_cells = _cells(asked)
+    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))  # at most ``cells`` rows
+    query_cells = query_cells.withColumn("before", F.coalesce(before, F.lit(0)))
+    pairs = _near_cells(doc_cells, query_cells, pivots, threshold)
+
+    spans = F.collect_list(F.struct(F.floor(F.col("before") / block).alias("a"), F.floor((F.col("before") + F.col("asked") - 1) / block).alias("z")))
+    met = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["z"]))))
+    d = docs.join(F.broadcast(pairs.groupBy("cell", "parts").agg(spans.alias("spans"))), "cell").select(
+        "doc_id", "vector", "cell", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.explode(met).alias("piece")
+    )
+    targets = pairs.groupBy(F.col("query_cell").alias("cell"), "before", "asked").agg(F.collect_list(F.struct("cell", "parts")).alias("targets"))
+    piece = F.floor((F.col("before") + F.pmod(F.xxhash64("query_id"), "asked")) / block)
+    q = asked.join(F.broadcast(targets), "cell").select("query_id", F.col("vector").alias("target"), piece.alias("piece"), F.explode("targets").alias("t"))
+    q = q.select("query_id", "target", "piece", F.col("t.cell").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("t.parts") - 1)).alias("part"))
 
+    def search(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        return _best(found, wanted, k, threshold)
 
-def _unit(vectors) -> np.ndarray:
-    matrix = np.array([list(v) for v in vectors], dtype="float64")
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    key = ["cell", "part", "piece"]
+    best = d.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(search, FOUND)
+    return best_per_group(best, ["query_id"], k, F.desc("similarity"), F.asc("doc_id"), rank="rank")
 
 
-def _search_sent(documents: DataFrame, queries: list, k: int, threshold: float) -> DataFrame:
-    ids = [q["query_id"] for q in queries]
-    targets = _unit([q["vector"] for q in queries]) if queries else np.zeros((0, 1))
+def _norm(v: Column) -> Column:
+    return F.sqrt(_dot(v, v))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if ids and len(batch):
-                yield _best(ids, targets, batch, k, threshold)
 
-    return documents.mapInPandas(search, FOUND)
+def _usable(frame: DataFrame) -> DataFrame:
+    n = _norm(F.col("vector"))
+    return frame.filter((n > 0) & (n < float("inf")))
 
 
-def _search_pieces(documents: DataFrame, queries: DataFrame, k: int, threshold: float, block: int, rows: int) -> DataFrame:
-    """Piece numbers come from a hash of the id, so equal vectors do not gather in one piece."""
-    doc_pieces = -(-documents.count() // rows)
-    query_pieces = -(-queries.count() // block)
-    d = documents.withColumns(
-        {"_d": F.pmod(F.xxhash64("doc_id"), F.lit(doc_pieces)), "_q": F.explode(F.sequence(F.lit(0), F.lit(query_pieces - 1)).cast("array<long>"))}
-    )
-    q = queries.withColumns(
-        {"_q": F.pmod(F.xxhash64("query_id"), F.lit(query_pieces)), "_d": F.explode(F.sequence(F.lit(0), F.lit(doc_pieces - 1)).cast("array<long>"))}
-    )
+def _pivots(docs: DataFrame, cells: int) -> Column:
+    """Unit vectors of the documents with the smallest hashes, as one array (scalar subquery)."""
+    norm = _norm(F.col("vector"))
+    drawn = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "vector", norm.alias("norm")).orderBy("h", "doc_id", "vector").limit(cells)
+    ordered = F.sort_array(F.collect_list(F.struct("h", "doc_id", "vector", "norm")))
+    return drawn.agg(F.transform(ordered, lambda r: F.transform(r["vector"], lambda x: x / r["norm"])).alias("pivots")).scalar()
+
+
+def _in_cells(frame: DataFrame, pivots: Column) -> DataFrame:
+    """Nearest pivot of each vector, from 0, and the cosine to it."""
+    near = F.array_max(F.transform("pivots", lambda p, i: F.struct(_dot(p, F.col("vector")).alias("dot"), (-i).alias("i"))))
+    found = frame.withColumn("pivots", pivots).withColumn("near", near).drop("pivots")
+    return found.select("*", (-F.col("near.i")).alias("cell"), (F.col("near.dot") / _norm(F.col("vector"))).alias("cos")).drop("near")
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
 
-    def search(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(asked):
-            return pd.DataFrame(columns=["query_id", "doc_id", "similarity"])
-        return _best(asked["query_id"].to_numpy(), _unit(asked["vector"]), docs, k, threshold)
+def _cells(frame: DataFrame) -> DataFrame:
+    return frame.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), _angle(F.min("cos")).alias("radius"))
 
-    return d.groupBy("_d", "_q").cogroup(q.groupBy("_d", "_q")).applyInPandas(search, FOUND)
+
+def _near_cells(doc_cells: DataFrame, query_cells: DataFrame, pivots: Column, threshold: float) -> DataFrame:
+    """Pairs of cells that may hold a pair of vectors at the threshold: at most cells x cells rows."""
+    asked = query_cells.agg(F.collect_list(F.struct(F.col("cell").alias("query_cell"), F.col("n").alias("asked"), F.col("radius").alias("reach"), "before"))).scalar()
+    pairs = doc_cells.withColumns({"q": F.explode(asked), "pivots": pivots}).select("cell", "parts", "radius", "q.*", "pivots")
+    apart = _angle(_dot(F.element_at("pivots", F.col("cell") + 1), F.element_at("pivots", F.col("query_cell") + 1)))
+    return pairs.filter(apart - F.col("radius") - F.col("reach") <= _widest(threshold)).drop("pivots", "radius", "reach")
+
+
+def _widest(threshold: float) -> float:
+    return float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
+
+
+def _best(found: pd.DataFrame, wanted: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
+    """Best k of a piece of documents for every query of a piece."""
+    best = []
+    if len(found) and len(wanted):
+        docs, doc_ids, targets = _unit(found["vector"]), found["doc_id"].to_numpy(), _unit(wanted["target"])
+        middle = docs.sum(axis=0)
+        if np.linalg.norm(middle) > 0:
+            middle /= np.linalg.norm(middle)
+            spread, away = (np.arccos(np.clip(m @ middle, -1.0, 1.0)) for m in (docs, targets))
+            near = (away >= spread.min() - _widest(threshold)) & (away <= spread.max() + _widest(threshold))
+            wanted, targets = wanted[near], targets[near]
+        for query_id, row in zip(wanted["query_id"].to_numpy(), targets @ docs.T):
+            hit = np.flatnonzero(row >= threshold)
+            best += [(query_id, doc_ids[i], row[i]) for i in hit[np.lexsort((doc_ids[hit], -row[hit]))][:k]]
+    return pd.DataFrame(best, columns=["query_id", "doc_id", "similarity"])
+
+
+def _unit(vectors) -> np.ndarray:
+    matrix = np.array([list(v) for v in vectors], dtype="float64")
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
 def words(text: Column) -> Column:
