@@ -248,16 +248,20 @@ def raw_route_stops(t):
     )
 
 
-register(
-    "clean_route_stops",
-    "route_id:s stop_id:s node_sequence:i",
-    lambda t: cleansing.clean_route_stops(raw_route_stops(t), t.stops, cleansing.clean_routes(raw_routes(t), "seq")["routes"], "seq"),
+define(
+    "cleanroutestops",
     """SELECT route_id, stop_id, node_sequence FROM (
          SELECT l_partkey % 700 AS route_id, l_orderkey % 2000 AS stop_id, l_linenumber * 10 + l_suppkey % 10 AS node_sequence,
          row_number() OVER (PARTITION BY l_partkey % 700, l_linenumber * 10 + l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r
          FROM lineitem WHERE l_linenumber <> 7 AND l_orderkey % 97 <> 0) WHERE r = 1
        AND CAST(stop_id AS VARCHAR) IN (SELECT node_id FROM stops WHERE is_active) AND route_id IN (SELECT p_partkey % 500 FROM part)""",
 )
+register(
+    "clean_route_stops",
+    "route_id:s stop_id:s node_sequence:i",
+    lambda t: cleansing.clean_route_stops(raw_route_stops(t), t.stops, cleansing.clean_routes(raw_routes(t), "seq")["routes"], "seq"),
+    "SELECT * FROM cleanroutestops",
+)
 
 
 def known_routes(t):
@@ -462,44 +466,31 @@ register(
 # sinks ----------------------------------------------------------------------------------------------
 
 
-def twice(df, keys, measure):
-    """A first load of all rows and a second load that replaces a third of the keys."""
-    mark = F.pmod(F.crc32(F.concat_ws("|", *keys)), F.lit(3)) == 0
+def twice(df, again, measure):
+    """A first load of all rows and a second load that replaces some of them."""
     first = df.withColumn(tables.SEQ, F.lit(1))
-    second = df.filter(mark).withColumn(measure, F.col(measure) + 1000).withColumn(tables.SEQ, F.lit(2))
+    second = df.filter(again).withColumn(measure, F.col(measure) + 1000).withColumn(tables.SEQ, F.lit(2))
     return first, second
 
 
-def upsert_query(build, key, measure):
+def register_upsert(key, build, measure, again, sql):
+    """All rows after the two loads, next to SQL that states them row by row."""
     keys = KEYS[key]
 
     def plan(t):
         path = scratch(t.spark, f"upsert-{key}")
-        first, second = twice(build(t), keys, measure)
+        first, second = twice(build(t), again, measure)
         tables.upsert(t.spark, path, first, keys, "record_date")
         return tables.upsert(t.spark, path, second, keys, "record_date")
 
-    return plan
-
-
-register(
-    "upsert_station",
-    "record_date:s loads:i rows:i rides:i",
-    lambda t: upsert_query(lambda x: x.sph, "station", "ride_passenger")(t).groupBy("record_date").agg(
-        F.countDistinct("load_seq").alias("loads"), F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("ride_passenger") - F.when(F.col("load_seq") == 2, 1000).otherwise(0)).alias("rides"),
-    ),
-    "SELECT record_date, 2 AS loads, count(*) AS rows, sum(ride_passenger) AS rides FROM sph GROUP BY 1",
-)
-register(
-    "upsert_section",
-    "record_date:s rows:i passengers:i",
-    lambda t: upsert_query(lambda x: x.sections, "section", "passenger_count")(t).groupBy("record_date").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("passenger_count") - F.when(F.col("load_seq") == 2, 1000).otherwise(0)).alias("passengers"),
-    ),
-    "SELECT record_date, count(*) AS rows, sum(passenger_count) AS passengers FROM sections GROUP BY 1",
-)
+    spec = " ".join(f"{k}:{'i' if k == 'hour' else 's'}" for k in keys)
+    register(
+        f"upsert_{key}",
+        f"{spec} {measure}:i {tables.SEQ}:i",
+        plan,
+        f"""SELECT {', '.join(keys)}, {measure} + CASE WHEN {again} THEN 1000 ELSE 0 END AS {measure}, CASE WHEN {again} THEN 2 ELSE 1 END AS {tables.SEQ}
+       FROM ({sql})""",
+    )
 
 
 def speed_facts(t):
@@ -508,18 +499,6 @@ def speed_facts(t):
     return t.speeds.withColumn("record_date", month).groupBy(*KEYS["speed"]).agg(F.max("trip_time").alias("trip_time"))
 
 
-register(
-    "upsert_speed",
-    "record_date:s rows:i trip_time:i",
-    lambda t: upsert_query(speed_facts, "speed", "trip_time")(t).groupBy("record_date").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("trip_time") - F.when(F.col("load_seq") == 2, 1000).otherwise(0)).alias("trip_time"),
-    ),
-    """SELECT record_date, count(*) AS rows, sum(x) AS trip_time FROM (
-       SELECT make_date(2024, 1, day(record_date)) AS record_date, route_id, from_node_id, to_node_id, hour, max(trip_time) AS x FROM speeds GROUP BY ALL) GROUP BY 1""",
-)
-
-
 def dong_facts(t):
     month = F.to_date(F.concat(F.lit("2024-01-"), F.format_string("%02d", F.dayofmonth("record_date"))))
     return (
@@ -528,30 +507,59 @@ def dong_facts(t):
     )
 
 
-register(
-    "upsert_od",
-    "record_date:s start_district:s end_district:s total_passenger_count:i",
-    lambda t: upsert_query(dong_facts, "od", "total_passenger_count")(t).withColumn(
-        "total_passenger_count", F.col("total_passenger_count") - F.when(F.col("load_seq") == 2, 1000).otherwise(0)
-    ),
-    """SELECT make_date(2024, 1, day(record_date)) AS record_date, start_district, end_district,
-       sum(total_passenger_count) AS total_passenger_count FROM dong_od GROUP BY ALL""",
-)
+register_upsert("station", lambda t: t.sph, "ride_passenger", "hour % 3 = 0", "SELECT * FROM sph")
+register_upsert("section", lambda t: t.sections, "passenger_count", "hour % 3 = 0", "SELECT * FROM sections")
+register_upsert(
+    "speed", speed_facts, "trip_time", "hour % 3 = 0",
+    """SELECT make_date(2024, 1, day(record_date)) AS record_date, route_id, from_node_id, to_node_id, hour, max(trip_time) AS trip_time FROM speeds GROUP BY ALL""",
+)
+register_upsert(
+    "od", dong_facts, "total_passenger_count", "start_district < end_district",
+    """SELECT make_date(2024, 1, day(record_date)) AS record_date, start_district, '' AS start_admin_dong, end_district, '' AS end_admin_dong,
+         sum(total_passenger_count) AS total_passenger_count FROM dong_od GROUP BY ALL""",
+)
 
 
 def dims_twice(t):
-    path = scratch(t.spark, "dims")
-    base = t.stops.withColumns({"bucket": F.pmod(F.xxhash64("node_id"), F.lit(8)), tables.SEQ: F.lit(1)})
-    tables.upsert(t.spark, path, base, KEYS["stops"], "bucket")
-    renamed = base.filter("is_active").withColumns({"node_name": F.concat("node_name", F.lit("*")), tables.SEQ: F.lit(2)})
-    return tables.upsert(t.spark, path, renamed, KEYS["stops"], "bucket")
+    """Five dimension tables, loaded in whole and then again in part with other values."""
+    masters = cleansing.clean_routes(raw_routes(t), "seq")
+    line = F.col("route_id").cast("int") % 3 == 0
+    changes = {
+        "stops": (t.stops, F.col("is_active"), "node_name", F.concat("node_name", F.lit("*"))),
+        "routes": (masters["routes"], line, "route_name", F.concat("route_name", F.lit("*"))),
+        "schedules": (masters["schedules"], line, "weekday_interval", F.col("weekday_interval") + 1),
+        "details": (masters["details"], line, "max_speed", F.col("max_speed") + 1),
+        "route_stops": (cleansing.clean_route_stops(raw_route_stops(t), t.stops, masters["routes"], "seq").drop("seq"), line, "stop_id", F.concat("stop_id", F.lit("*"))),
+    }
+    parts = []
+    for name, (rows, again, column, value) in changes.items():
+        path, keys = scratch(t.spark, f"dim-{name}"), KEYS[name]
+        first = rows.withColumns({"bucket": F.pmod(F.xxhash64(*keys), F.lit(8)), tables.SEQ: F.lit(1)})
+        tables.upsert(t.spark, path, first, keys, "bucket")
+        after = tables.upsert(t.spark, path, first.filter(again).withColumns({column: value, tables.SEQ: F.lit(2)}), keys, "bucket")
+        parts.append(after.select(F.lit(name).alias("table"), F.concat_ws("|", *keys).alias("key"), F.col(column).cast("string").alias("value"), tables.SEQ))
+    return reduce(DataFrame.unionByName, parts)
 
 
+def dim_sql(name, key, again, before, after, source):
+    return f"""SELECT '{name}' AS "table", {key} AS key, CAST(CASE WHEN {again} THEN {after} ELSE {before} END AS VARCHAR) AS value,
+       CASE WHEN {again} THEN 2 ELSE 1 END AS load_seq FROM {source}"""
+
+
+THIRD = "CAST(route_id AS INTEGER) % 3 = 0"
 register(
     "upsert_dims",
-    "node_id:s node_name:s load_seq:i",
+    "table:s key:s value:s load_seq:i",
     dims_twice,
-    "SELECT node_id, CASE WHEN is_active THEN node_name || '*' ELSE node_name END AS node_name, CASE WHEN is_active THEN 2 ELSE 1 END AS load_seq FROM stops",
+    " UNION ALL ".join(
+        [
+            dim_sql("stops", "node_id", "is_active", "node_name", "node_name || '*'", "stops"),
+            dim_sql("routes", "route_id", THIRD, "route_name", "route_name || '*'", "cleanroutes"),
+            dim_sql("schedules", "route_id", THIRD, "weekday_interval", "weekday_interval + 1", "cleanroutes"),
+            dim_sql("details", "route_id", THIRD, "printf('%.1f', max_speed::DOUBLE)", "printf('%.1f', max_speed::DOUBLE + 1)", "cleanroutes"),
+            dim_sql("route_stops", "route_id || '|' || node_sequence", THIRD, "CAST(stop_id AS VARCHAR)", "stop_id || '*'", "cleanroutestops"),
+        ]
+    ),
 )
 NOW = dt.datetime(2024, 2, 1, 12, 0)
 
@@ -657,26 +665,38 @@ register(
 
 
 def job_log(t):
-    """Per-day load jobs logged as RUNNING and then SUCCESS or FAILED."""
-    day = t.ev.groupBy("record_date").agg(F.count(F.lit(1)).alias("rows_read"), sum_if(F.col("v") > 0, F.lit(1)).alias("rows_written"))
-    job = F.concat(F.lit("load-"), F.col("record_date").cast("string"))
-    start = F.col("record_date").cast("timestamp")
-    states = F.array(
-        F.struct(F.lit("RUNNING").alias("status"), start.alias("logged_at")),
-        F.struct(F.when(F.dayofmonth("record_date") % 7 == 0, "FAILED").otherwise("SUCCESS").alias("status"), (start + F.expr("INTERVAL 10 MINUTES")).alias("logged_at")),
-    )
-    return day.select(job.alias("job"), F.explode(states).alias("s"), "rows_read", "rows_written", F.lit("").alias("message")).select(
-        "job", "s.status", "s.logged_at", "rows_read", "rows_written", "message"
-    )
+    """A load job per day with two runs of three steps, each step logged as it ends. The second run of every
+    seventh day fails in step 2, and step 2 is logged twice, as if it had been tried again."""
+    path = scratch(t.spark, "job-log")
+    day = t.ev.groupBy("record_date").agg(F.count(F.lit(1)).alias("n"), sum_if(F.col("v") > 0, F.lit(1)).alias("positive"))
+    runs = day.withColumn("no", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("broken", (F.col("no") == 2) & (F.dayofmonth("record_date") % 7 == 0))
+
+    def logged(step, minutes, status, read, written, message):
+        at = F.col("record_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("no"), F.lit(minutes))
+        return [
+            F.concat(F.lit("load-"), F.col("record_date").cast("string")).alias("job"), F.concat(F.lit("run-"), F.col("no").cast("string")).alias("run"),
+            F.lit(step).alias("step"), status.alias("status"), at.alias("logged_at"), read.cast("long").alias("rows_read"), written.cast("long").alias("rows_written"), message.alias("message"),
+        ]
+
+    none, going = F.lit(0), F.when(F.col("broken"), "FAILED").otherwise("RUNNING")
+    said = F.when(F.col("broken"), "step 2 stopped").otherwise("")
+    tables.log_steps(path, runs.select(*logged(1, 5, F.lit("RUNNING"), F.col("n"), none, F.lit(""))))
+    tables.log_steps(path, runs.select(*logged(2, 10, F.lit("FAILED"), none, none, F.lit("first try"))))
+    tables.log_steps(path, runs.select(*logged(2, 15, going, none, F.col("positive"), said)))
+    tables.log_steps(path, runs.filter(~F.col("broken")).select(*logged(3, 20, F.lit("SUCCESS"), none, none, F.lit(""))))
+    return tables.job_steps(t.spark, path)
 
 
 register(
     "job_status_log",
-    "job:s status:s rows_read:i rows_written:i",
+    "job:s run:s step:i status:s message:s steps:i rows_read:i rows_written:i",
     lambda t: tables.latest_job_status(job_log(t)),
-    """SELECT 'load-' || record_date AS job, CASE WHEN day(record_date) % 7 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
-       count(*) AS rows_read, count(*) FILTER (v > 0) AS rows_written FROM ev GROUP BY record_date""",
+    """SELECT 'load-' || record_date AS job, 'run-2' AS run, CASE WHEN broken THEN 2 ELSE 3 END AS step, CASE WHEN broken THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+       CASE WHEN broken THEN 'step 2 stopped' ELSE '' END AS message, CASE WHEN broken THEN 2 ELSE 3 END AS steps, rows_read, rows_written
+       FROM (SELECT record_date, day(record_date) % 7 = 0 AS broken, count(*) AS rows_read, count(*) FILTER (v > 0) AS rows_written FROM ev GROUP BY record_date)""",
 )
+
+
 def late_rows(t):
     """Views of two months, built before and after the late rows of January came in."""
     late = (F.col("record_date") < F.lit(FEBRUARY).cast("date")) & (F.pmod(F.crc32("node_id"), F.lit(3)) == 0)

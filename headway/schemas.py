@@ -35,6 +35,8 @@ KEYS = {
     "daily_od": ["analysis_date", "from_station_id", "to_station_id"],
     "stops": ["node_id"],
     "routes": ["route_id"],
+    "schedules": ["route_id"],
+    "details": ["route_id"],
     "route_stops": ["route_id", "node_sequence"],
     "population": ["admin_dong_code", "time_zone"],
     "scores": ["station_id", "analysis_month", "hour_of_day"],

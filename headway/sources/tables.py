@@ -1,52 +1,104 @@
 """Table writes: upserts, expiry and logs.
 
-Parquet has no MERGE. An upsert rewrites the touched partitions only: old rows of those
-partitions and new rows are merged by key, the later load wins, and a dynamic partition
-overwrite swaps the partitions in at job commit, so a failed job leaves the table as it was.
+Parquet has no MERGE. An upserted table is a folder of loads, each with the merged rows of the
+partitions that it touched, and a log that says which load holds a partition. One small file in
+the log makes a load visible, so a reader sees the table before or after it, and a job that dies
+earlier leaves the table as it was. A table has one writer at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.operators.joins import last_per_key
 
 SEQ = "load_seq"
+HELD = "folder string, load string, seq long"  # one row per partition folder and load
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
 
 
-def write_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replace exactly the partitions that ``df`` contains.
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it doesn't exist."""
+    files, folder = _folder(spark, path)
+    found = files.listStatus(folder) if files.exists(folder) else ()
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.delete(folder, True)
+
+
+def _held(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Load and its number by partition folder: one entry per partition."""
+    if not exists(spark, f"{path}/_log"):
+        return {}
+    last = F.max_by(F.struct("load", "seq"), "seq").alias("last")
+    rows = spark.read.schema(HELD).parquet(f"{path}/_log").groupBy("folder").agg(last).collect()
+    return {r["folder"]: (r["last"]["load"], r["last"]["seq"]) for r in rows}
 
-    The rebalance hint splits a partition value that holds much of the data over several tasks
-    and joins small ones, so neither hot dates nor tiny files get a task each.
-    """
-    (
-        df.hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+
+def _read(spark: SparkSession, path: str, held: dict[str, tuple[str, int]], schema: T.StructType | None) -> DataFrame:
+    if not held:
+        return spark.createDataFrame([], schema or T.StructType())
+    reader = spark.read.option("basePath", path)
+    rows = (reader.schema(schema) if schema else reader).parquet(*[f"{path}/{load}/{name}" for name, (load, _) in sorted(held.items())])
+    return rows.select(schema.names) if schema else rows.drop("load")
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """An upserted table as of now; later loads don't change what the frame reads."""
+    return _read(spark, path, _held(spark, path), schema)
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str, seq: str = SEQ) -> DataFrame:
-    """Insert or replace by key; among equal keys the largest ``seq`` wins."""
-    if exists(spark, path):
-        touched = new.select(partition).distinct()
-        old = spark.read.schema(new.schema).parquet(path).join(touched, partition, "left_semi")
-        merged = last_per_key(old.select(new.columns).unionByName(new), keys, seq)
-    else:
-        merged = last_per_key(new, keys, seq)
-    write_partitions(merged, path, partition)
-    return spark.read.schema(new.schema).parquet(path)
+    """Insert or replace by key; among equal keys the largest ``seq`` wins.
+
+    The batch is evaluated once, into a staging folder. Old rows of the partitions that it touches
+    are merged with it into a folder of this load; then the log is written. The rebalance hint splits
+    a partition value that holds much of the data over several tasks and joins small ones.
+    """
+    held, name = _held(spark, path), uuid.uuid4().hex
+    staged = f"{path}/_staged/{name}"
+    new.write.partitionBy(partition).parquet(staged)
+    touched = [f for f in folders(spark, staged) if f.startswith(f"{partition}=")]
+    if touched:
+        rows = spark.read.schema(new.schema).parquet(staged).select(new.columns)
+        old = {f: held[f] for f in touched if f in held}
+        rows = rows.unionByName(_read(spark, path, old, new.schema)) if old else rows
+        number = 1 + max((n for _, n in held.values()), default=0)
+        load = f"load={number:06d}-{name}"
+        last_per_key(rows, keys, seq).hint("rebalance", partition).write.partitionBy(partition).parquet(f"{path}/{load}")
+        _commit(spark, path, [(f, load, number) for f in touched])
+    remove(spark, staged)
+    return read_table(spark, path, new.schema)
+
+
+def _commit(spark: SparkSession, path: str, entries: list[tuple[str, str, int]]) -> None:
+    spark.createDataFrame(entries, HELD).coalesce(1).write.mode("append").parquet(f"{path}/_log")
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete staged rows and loads that hold no partition any more (once no reader needs them); returns their number."""
+    current = {load for load, _ in _held(spark, path).values()}
+    old = [f for f in folders(spark, path) if f.startswith("load=") and f not in current]
+    gone = [f"{path}/{f}" for f in old] + [f"{path}/_staged/{f}" for f in folders(spark, f"{path}/_staged")]
+    return sum(remove(spark, f) for f in gone)
 
 
 def bulk_load_od(daily: DataFrame, path: str) -> DataFrame:
@@ -109,10 +161,24 @@ def export_features_sample(features: DataFrame, stops: DataFrame, n: int, seed:
     return features_with_stops(features, stops).orderBy(F.md5(key)).limit(n)
 
 
-def job_log_row(spark: SparkSession, job: str, status: str, at: dt.datetime, read: int = 0, written: int = 0, message: str = "") -> DataFrame:
-    schema = "job string, status string, logged_at timestamp, rows_read long, rows_written long, message string"
-    return spark.createDataFrame([(job, status, at, read, written, message)], schema)
+STEPS = "job string, run string, step int, status string, logged_at timestamp, rows_read long, rows_written long, message string"
+
+
+def log_steps(path: str, steps: DataFrame) -> None:
+    """Append one row per step of a job run; a step that is logged again has a later time."""
+    steps.select([c.split()[0] for c in STEPS.split(", ")]).write.mode("append").parquet(path)
+
+
+def job_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The log with each (job, run, step) once, as last written."""
+    return last_per_key(spark.read.schema(STEPS).parquet(path), ["job", "run", "step"], "logged_at")
 
 
-def latest_job_status(log: DataFrame) -> DataFrame:
-    return last_per_key(log, ["job"], "logged_at")
+def latest_job_status(steps: DataFrame) -> DataFrame:
+    """Last step of the last run of each job, and the rows of all steps of that run."""
+    last = F.max_by(F.struct("step", "status", "logged_at", "message"), F.struct("step", "logged_at")).alias("l")
+    runs = steps.groupBy("job", "run").agg(
+        last, F.min("logged_at").alias("started_at"), F.count(F.lit(1)).alias("steps"),
+        F.sum("rows_read").alias("rows_read"), F.sum("rows_written").alias("rows_written"),
+    )
+    return last_per_key(runs.select("job", "run", "l.*", "started_at", "steps", "rows_read", "rows_written"), ["job"], "started_at")

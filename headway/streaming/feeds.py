@@ -70,14 +70,25 @@ def stream_hourly_traffic(events: DataFrame, time: str, lateness: str) -> DataFr
     )
 
 
-def keep_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> DataFrame:
-    """Append every emitted version, then read the latest version per key."""
+def append_rows(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Rows that are final once emitted, in one folder per batch; a replayed batch replaces its own."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         out = batch.withColumn("batch_id", F.lit(batch_id))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
-    drain(stream, checkpoint, sink, mode)
-    return last_per_key(stream.sparkSession.read.parquet(path), keys, "batch_id").drop("batch_id")
+    drain(stream, checkpoint, sink)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def upsert_windows(stream: DataFrame, time: str, keys: list[str], table: str, checkpoint: str) -> DataFrame:
+    """Running totals of windows, one row each: a batch rewrites the days of the windows that it changes,
+    which the lateness bound of the stream keeps few."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumns({"day": F.to_date(time), tables.SEQ: F.lit(batch_id)})
+        tables.upsert(batch.sparkSession, table, rows, keys, "day")
+
+    drain(stream, checkpoint, sink, "update")
+    return tables.read_table(stream.sparkSession, table).drop("day", tables.SEQ)
 
 
 def stream_late_rows(events: DataFrame, date: str, days: int, path: str, checkpoint: str) -> DataFrame:
@@ -92,12 +103,26 @@ def stream_late_rows(events: DataFrame, date: str, days: int, path: str, checkpo
     return events.sparkSession.read.parquet(path)
 
 
-def stream_ttl_cache(events: DataFrame, keys: list[str], time: str, table: str, checkpoint: str, now: dt.datetime, ttl: str, buckets: int = 16) -> DataFrame:
-    """Latest row per key, dropped once older than ``ttl`` at the given clock."""
+def stream_ttl_cache(events: DataFrame, keys: list[str], time: str, table: str, checkpoint: str, now: dt.datetime, ttl: str) -> DataFrame:
+    """Latest row per key, dropped once older than ``ttl`` at the given clock.
+
+    A batch adds its latest live row per key below the day of the row. Days that lie wholly before the
+    bound are deleted; nothing is rewritten, and a replayed batch replaces its own rows. A row is the
+    latest of its key exactly if it is the latest of the live ones, so older days are never needed.
+    """
+    spark = events.sparkSession
+    bound = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz") - F.expr(f"INTERVAL {ttl}")
+    live = F.col(time).cast("timestamp_ntz") >= bound
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-        tables.upsert(batch.sparkSession, table, rows, keys, "bucket", seq=time)
+        rows = last_per_key(batch.filter(live), keys, time).withColumns({"day": F.to_date(time), "batch_id": F.lit(batch_id)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(table)
 
     drain(events, checkpoint, sink)
-    alive = F.col(time) + F.expr(f"INTERVAL {ttl}") >= F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
-    return events.sparkSession.read.parquet(table).filter(alive).drop("bucket")
+    first_day = spark.range(1).select(F.to_date(bound).cast("string").alias("d")).first().d
+    for folder in tables.folders(spark, table):
+        if folder.startswith("day=") and folder.removeprefix("day=") < first_day:
+            tables.remove(spark, f"{table}/{folder}")
+    schema = T.StructType([*events.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])
+    kept = spark.read.schema(schema).parquet(table).filter((F.col("day") >= F.lit(first_day).cast("date")) & live)
+    return last_per_key(kept.select(events.columns), keys, time)

@@ -448,6 +448,137 @@ def test_upsert_last_load_wins_and_keeps_other_partitions(spark, tmp_path):
     assert sorted((r.k, r.v, r.day) for r in out.collect()) == [("a", 9, 1), ("b", 2, 1), ("c", 3, 2), ("d", 4, 3)]
 
 
+LOADS = "k string, v int, day int, load_seq int"
+
+
+def table_rows(df):
+    return sorted((r.k, r.v, r.day) for r in df.collect())
+
+
+@pytest.mark.parametrize("stop_at", ["last_per_key", "_commit"])
+def test_upsert_that_dies_leaves_the_table(spark, tmp_path, monkeypatch, stop_at):
+    path = str(tmp_path / "t")
+    first = tables.upsert(spark, path, spark.createDataFrame([("a", 1, 1, 1), ("b", 2, 2, 1)], LOADS), ["k"], "day")
+    new = spark.createDataFrame([("a", 9, 1, 2), ("c", 3, 3, 2)], LOADS)
+
+    def die(*_):
+        raise RuntimeError("executor and driver are gone")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, stop_at, die)
+        with pytest.raises(RuntimeError):
+            tables.upsert(spark, path, new, ["k"], "day")
+    assert table_rows(tables.read_table(spark, path)) == [("a", 1, 1), ("b", 2, 2)]
+    tables.upsert(spark, path, new, ["k"], "day")
+    assert table_rows(tables.read_table(spark, path)) == [("a", 9, 1), ("b", 2, 2), ("c", 3, 3)]
+    assert table_rows(first) == [("a", 1, 1), ("b", 2, 2)], "a frame keeps reading the load that it opened"
+    assert tables.vacuum(spark, path) >= 1 and tables.vacuum(spark, path) == 0
+    assert table_rows(tables.read_table(spark, path)) == [("a", 9, 1), ("b", 2, 2), ("c", 3, 3)]
+
+
+def test_upsert_evaluates_its_batch_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    new = spark.createDataFrame([("a", 1, 1, 1), ("b", 2, 2, 1), (None, 3, None, 1)], LOADS).mapInPandas(note, LOADS)
+    for _ in range(2):
+        out = tables.upsert(spark, str(tmp_path / "t"), new, ["k"], "day")
+    assert seen.value == 6 and out.count() == 3
+    empty = tables.upsert(spark, str(tmp_path / "none"), new.limit(0), ["k"], "day")
+    assert empty.count() == 0 and empty.columns == ["k", "v", "day", "load_seq"]
+
+
+def test_step_log_counts_a_repeated_step_once(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [
+        ("j", "r1", 1, "RUNNING", at, 5, 0, ""), ("j", "r1", 2, "SUCCESS", at + dt.timedelta(minutes=2), 0, 5, ""),
+        ("j", "r2", 1, "RUNNING", at + dt.timedelta(hours=1), 7, 0, ""), ("j", "r2", 1, "RUNNING", at + dt.timedelta(hours=2), 7, 0, "again"),
+    ]
+    for row in rows:
+        tables.log_steps(str(tmp_path / "log"), spark.createDataFrame([row], tables.STEPS))
+    steps = tables.job_steps(spark, str(tmp_path / "log"))
+    assert steps.count() == 3
+    last = tables.latest_job_status(steps).first()
+    assert (last.run, last.step, last.status, last.steps, last.rows_read, last.message) == ("r2", 1, "RUNNING", 1, 7, "again")
+
+
+# streams ---------------------------------------------------------------------------------------
+
+
+EVENT = "id long, at timestamp, n long"
+
+
+def landing(spark, tmp_path):
+    def land(name, rows):
+        frame = spark.createDataFrame([(i, dt.datetime(2024, 1, day, hour), n) for i, day, hour, n in rows], EVENT)
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    return land
+
+
+def state_rows(spark, checkpoint):
+    return spark.read.format("statestore").load(str(checkpoint)).count()
+
+
+def test_stream_state_expires_and_late_rows_are_dropped(spark, tmp_path):
+    from headway.streaming import feeds
+
+    land = landing(spark, tmp_path)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run():
+        events = feeds.landed(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENT).schema)
+        return feeds.append_rows(feeds.stream_dedupe(events, ["id"], "at", "2 days"), out, state)
+
+    land("1", [(1, 1, 0, 1), (1, 1, 0, 2), (2, 9, 0, 1), (3, 10, 0, 1)])
+    assert sorted(r.id for r in run().collect()) == [1, 2, 3]
+    assert state_rows(spark, state) == 2, "row 1 is older than the bound"
+    land("2", [(2, 9, 5, 2), (4, 9, 5, 1), (5, 7, 0, 1), (6, 20, 0, 1)])
+    assert sorted(r.id for r in run().collect()) == [1, 2, 3, 4, 6], "5 is late, 2 is known"
+    assert state_rows(spark, state) == 1
+
+
+def test_stream_windows_are_stored_once(spark, tmp_path):
+    from headway.streaming import feeds
+
+    land = landing(spark, tmp_path)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+
+    def run():
+        events = feeds.landed(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENT).schema)
+        rows = events.select("at", F.col("id").cast("string").alias("node_id"), F.col("n").alias("ride_passenger"), F.lit(0).alias("alight_passenger"))
+        return feeds.upsert_windows(feeds.stream_hourly_traffic(rows, "at", "2 days"), "hour_at", ["hour_at", "node_id"], table, state)
+
+    land("1", [(1, 1, 0, 1), (1, 9, 0, 2), (1, 10, 0, 3)])
+    run()
+    land("2", [(1, 9, 0, 5), (1, 1, 0, 7), (1, 20, 0, 1)])
+    got = [(r.hour_at.day, r.ride_passenger, r.records) for r in run().orderBy("hour_at").collect()]
+    assert got == [(1, 1, 1), (9, 7, 2), (10, 3, 1), (20, 1, 1)]
+    assert state_rows(spark, state) == 1
+
+
+def test_expired_days_are_deleted(spark, tmp_path):
+    from headway.streaming import feeds
+
+    land = landing(spark, tmp_path)
+    table, state = tmp_path / "cache", str(tmp_path / "state")
+
+    def run(day):
+        events = feeds.landed(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENT).schema)
+        return {r.id: r.n for r in feeds.stream_ttl_cache(events, ["id"], "at", str(table), state, dt.datetime(2024, 1, day, 12), "48 HOURS").collect()}
+
+    land("1", [(1, 1, 0, 1), (1, 2, 0, 2), (2, 2, 13, 3), (3, 3, 0, 4), (4, 4, 0, 5)])
+    assert run(4) == {2: 3, 3: 4, 4: 5}
+    land("2", [(3, 5, 1, 9), (5, 1, 0, 1)])
+    assert run(6) == {3: 9}
+    assert sorted(f.name for f in table.iterdir() if f.is_dir()) == ["day=2024-01-04", "day=2024-01-05"]
+    assert run(30) == {} and not [f for f in table.iterdir() if f.is_dir()]
+
+
 def test_first_row_of_a_hot_key(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (-F.col("id")).alias("seq"))
     kept = reshape.dedupe_keep_first(df, ["k"], "seq")
@@ -477,7 +608,7 @@ def test_stream_ingest_keeps_first_in_batch_and_last_between_batches(spark, tmp_
     feeds.stream_ingest_station(spark, str(tmp_path / "in"), out, state)
     page("2", [("a", 5)])
     feeds.stream_ingest_station(spark, str(tmp_path / "in"), out, state)
-    got = {r.node_id: (r.n, r.s) for r in spark.read.parquet(out).groupBy("node_id").agg(F.count("*").alias("n"), F.sum("ride_passenger").alias("s")).collect()}
+    got = {r.node_id: (r.n, r.s) for r in tables.read_table(spark, out).groupBy("node_id").agg(F.count("*").alias("n"), F.sum("ride_passenger").alias("s")).collect()}
     assert got == {"a": (24, 120), "b": (24, 72)}
 
 
