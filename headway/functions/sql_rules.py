@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ FORBIDDEN_COMMANDS = [
     "INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "REPLACE",
     "MERGE", "GRANT", "REVOKE", "EXEC", "EXECUTE", "CALL", "DECLARE",
 ]
+RUNNER_FUNCTIONS = ["reflect", "java_method", "try_reflect"]  # they call any code of the driver
 FORBIDDEN_FUNCTIONS = ["pg_sleep", "pg_read_file", "pg_write_file", "pg_ls_dir", "copy", "lo_import", "lo_export"]
 UNSAFE_WORDS = ["DELETE", "DROP", "INSERT", "UPDATE", "TRUNCATE", "ALTER"]
 # fixed values: tables that raise the confidence (the station facts count twice), and names that lower it
@@ -104,18 +106,55 @@ def check_sql(sql: str) -> None:
     """Raise ``ValueError`` for a text that is not a read-only query."""
     if not sql.strip():
         raise ValueError("empty SQL text")
-    word = re.search(rf"\b({'|'.join(FORBIDDEN_COMMANDS + FORBIDDEN_FUNCTIONS)})\b", sql, re.IGNORECASE)
+    word = re.search(rf"\b({'|'.join(FORBIDDEN_COMMANDS + FORBIDDEN_FUNCTIONS + RUNNER_FUNCTIONS)})\b", sql, re.IGNORECASE)
     if word:
         raise ValueError(f"not allowed: {word.group(1)}")
 
 
-def guarded_sql(spark: SparkSession, sql: str, limit: int | None = 1000) -> DataFrame:
-    """Run a read-only query over the registered views, limited unless it limits itself."""
+WRITING = ("Insert", "Overwrite", "Append", "Update", "Delete", "Merge", "Create", "Replace", "Drop", "Alter", "Add", "Rename", "Truncate", "Set", "Reset", "Call", "Execute")
+
+
+def _top(spark: SparkSession, sql: str) -> str:
+    """Name of the top node of the parsed plan, below common table expressions; nothing is run."""
+    plan = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
+    tree = plan.partition("== Parsed Logical Plan ==\n")[2].partition("\n== ")[0]
+    top = tree.split("\n", 1)[0]
+    below = re.findall(r"(?m)^\+- (.*)", tree)
+    return re.match(r"\W*(\w*)", below[-1] if top.startswith("CTE ") and below else top).group(1)
+
+
+@dataclass(frozen=True)
+class GuardedRows:
+    """Rows of a guarded query, at most ``limit`` of them if that is set."""
+
+    query: DataFrame
+    limit: int | None
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.query if self.limit is None else self.query.limit(self.limit)
+
+    @property
+    def summary(self) -> DataFrame:
+        """One row: ``row_count`` of ``rows``, and whether the query has more (``truncated``)."""
+        if self.limit is None:
+            return self.query.agg(F.count(F.lit(1)).alias("row_count"), F.lit(False).alias("truncated"))
+        n = self.query.limit(self.limit + 1).agg(F.count(F.lit(1)).alias("n"))
+        return n.select(F.least("n", F.lit(self.limit)).alias("row_count"), (F.col("n") > self.limit).alias("truncated"))
+
+
+def guarded_sql(spark: SparkSession, sql: str, limit: int | None = 1000) -> GuardedRows:
+    """Run a read-only query over the registered views, limited unless it limits itself.
+
+    The text is checked first; then the plan, which is made but not run, must not be a command that
+    writes, and says whether a LIMIT ends the query; one in a subquery doesn't count.
+    """
     check_sql(sql)
-    df = spark.sql(sql.strip().rstrip(";"))
-    if limit and not re.search(r"\bLIMIT\s+\d+\b", sql, re.IGNORECASE):
-        df = df.limit(limit)
-    return df
+    text = sql.strip().rstrip(";")
+    top = _top(spark, text)
+    if top.startswith(WRITING):
+        raise ValueError("not allowed: the statement is not a query")
+    return GuardedRows(spark.sql(text), None if not limit or top == "GlobalLimit" else limit)
 
 
 SQL_FUNCTIONS = """

@@ -263,13 +263,43 @@ def test_query_expansion(spark):
     assert {r.q: set(r.v) for r in df.collect()} == dict(GOLDEN_VARIANTS)
 
 
-def test_guarded_sql(spark):
+def guarded(spark, sql, limit=7):
+    found = sql_rules.guarded_sql(spark, sql, limit)
+    summary = found.summary.first()
+    assert found.rows.count() == summary.row_count
+    return summary.row_count, summary.truncated
+
+
+GUARDED = [
+    ("SELECT * FROM numbers;", (7, True)),
+    ("SELECT * FROM numbers LIMIT 9", (9, False)),
+    ("select * from numbers order by id limit 9 offset 25", (5, False)),
+    ("SELECT * FROM numbers WHERE id < 7", (7, False)),
+    ("SELECT * FROM (SELECT * FROM numbers LIMIT 20)", (7, True)),
+    ("SELECT *, 'LIMIT 5' AS note FROM numbers", (7, True)),
+    ("WITH x AS (SELECT * FROM numbers LIMIT 20) SELECT * FROM x", (7, True)),
+    ("WITH x AS (SELECT * FROM numbers) SELECT * FROM x ORDER BY id LIMIT 12", (12, False)),
+    ("(SELECT * FROM numbers LIMIT 8) UNION ALL SELECT * FROM numbers", (7, True)),
+    ("SELECT 'a\n+- GlobalLimit 5' AS x, id FROM numbers", (7, True)),
+    ("SELECT * FROM numbers WHERE id < 0", (0, False)),
+]
+
+
+@pytest.mark.parametrize("sql, expected", GUARDED)
+def test_guarded_sql(spark, sql, expected):
     spark.range(30).createOrReplaceTempView("numbers")
-    assert sql_rules.guarded_sql(spark, "SELECT * FROM numbers;", limit=7).count() == 7
-    assert sql_rules.guarded_sql(spark, "SELECT * FROM numbers LIMIT 9", limit=7).count() == 9
-    for bad in ("DROP TABLE numbers", "  ", "select pg_sleep(1)"):
-        with pytest.raises(ValueError):
-            sql_rules.guarded_sql(spark, bad)
+    assert guarded(spark, sql) == expected
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE numbers", "  ", "select pg_sleep(1)", "select reflect('java.lang.System', 'exit', 1)", "SET spark.sql.ansi.enabled = false"])
+def test_guarded_sql_refuses(spark, sql):
+    with pytest.raises(ValueError):
+        sql_rules.guarded_sql(spark, sql)
+
+
+def test_guarded_sql_without_a_limit(spark):
+    spark.range(30).createOrReplaceTempView("numbers")
+    assert guarded(spark, "SELECT * FROM numbers", None) == (30, False)
 
 
 def test_request_checks():
