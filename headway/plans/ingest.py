@@ -16,7 +16,7 @@ from headway.functions.numbers import sum_if
 from headway.operators import cleansing, od, reshape, views
 from headway.plans.registry import define, register
 from headway.plans.stored import monthly_views, store, stored
-from headway.schemas import HH, KEYS, OD_CSV_COLUMNS, STATION_FEED, STOP_HEADERS
+from headway.schemas import HH, KEYS, OD_CSV_COLUMNS, ROUTE_HEADERS, ROUTE_STOP_HEADERS, STATION_FEED, STOP_HEADERS
 from headway.session import scratch
 from headway.sources import files, stored_views, tables
 from headway.sources.mapping import HOURS, MONTH, TransitTables
@@ -163,27 +163,6 @@ register(
 )
 
 
-def stop_file(t):
-    """Stop master as a CSV with byte-order mark and Korean headers."""
-    path = scratch(t.spark, "stops")
-    back = {v: k for k, v in STOP_HEADERS.items()}
-    df = raw_stops(t).select(*[F.col(c).alias(back[c]) for c in back])
-    first = df.columns[0]
-    df.withColumnRenamed(first, files.BOM + first).write.option("header", True).csv(path)
-    return path
-
-
-register(
-    "read_csv_bom",
-    "node_id:s node_name:s node_description:s coordinates_x:s is_active:s",
-    lambda t: files.read_csv_bom(t.spark, stop_file(t), STOP_HEADERS),
-    """SELECT CAST(k - CASE WHEN k % 50 = 49 THEN 1 ELSE 0 END AS VARCHAR) AS node_id, c_name AS node_name,
-       CASE WHEN k % 3 <> 0 THEN c_mktsegment END AS node_description,
-       CASE WHEN k % 13 = 0 THEN 'n/a' ELSE (k % 180) || '.5' END AS coordinates_x,
-       CASE WHEN k % 17 = 0 THEN 'false' ELSE 'true' END AS is_active FROM (SELECT *, c_custkey AS k FROM customer)""",
-)
-
-
 def raw_routes(t):
     k = F.col("p_partkey")
     frac = lambda n: F.when(k % n != 0, (k % 1440 + 0.5) / 1440.0).cast("string")
@@ -248,6 +227,40 @@ def raw_route_stops(t):
     )
 
 
+def master(t, rows, headers):
+    """Rows written as a CSV with a byte-order mark and foreign headers, and read back."""
+    path = scratch(t.spark, "master")
+    foreign = {column: header for header, column in headers.items() if column in rows.columns}
+    df = rows.select(*[F.col(c).alias(h) for c, h in foreign.items()])
+    df.withColumnRenamed(df.columns[0], files.BOM + df.columns[0]).write.option("header", True).csv(path)
+    return files.read_csv_bom(t.spark, path, headers)
+
+
+def masters(t):
+    """The three master files; each row shows its key and three more columns."""
+    given = {
+        "stops": (raw_stops(t), STOP_HEADERS, ("node_id", "node_name", "node_description", "mapping_x")),
+        "routes": (raw_routes(t), ROUTE_HEADERS, ("route_id", "route_name", "max_speed", "total_distance")),
+        "route_stops": (raw_route_stops(t).withColumn("is_active", F.lit("true")), ROUTE_STOP_HEADERS, ("route_id", "stop_id", "node_sequence", "is_active")),
+    }
+    shown = [
+        master(t, rows, headers).select(F.lit(name).alias("file"), *[F.col(c).alias(n) for n, c in zip(("id", "a", "b", "c"), columns)])
+        for name, (rows, headers, columns) in given.items()
+    ]
+    return reduce(DataFrame.unionByName, shown)
+
+
+register(
+    "read_csv_bom",
+    "file:s id:s a:s b:s c:s",
+    masters,
+    """SELECT 'stops' AS file, CAST(k - CASE WHEN k % 50 = 49 THEN 1 ELSE 0 END AS VARCHAR) AS id, c_name AS a, CASE WHEN k % 3 <> 0 THEN c_mktsegment END AS b,
+         CASE WHEN k % 5 = 0 THEN '1.5' END AS c FROM (SELECT *, c_custkey AS k FROM customer)
+       UNION ALL SELECT 'routes', CAST(k % 500 AS VARCHAR), CASE WHEN k % 7 <> 0 THEN p_name END, CAST(k % 60 AS VARCHAR), CASE WHEN k % 4 <> 0 THEN p_size || '.5' END
+       FROM (SELECT *, p_partkey AS k FROM part)
+       UNION ALL SELECT 'route_stops', CASE WHEN l_orderkey % 97 <> 0 THEN CAST(l_partkey % 700 AS VARCHAR) END, CAST(l_orderkey % 2000 AS VARCHAR),
+         CASE WHEN l_linenumber = 7 THEN 'end' ELSE CAST(l_linenumber * 10 + l_suppkey % 10 AS VARCHAR) END, 'true' FROM lineitem""",
+)
 define(
     "cleanroutestops",
     """SELECT route_id, stop_id, node_sequence FROM (

@@ -42,17 +42,64 @@ KEYS = {
     "scores": ["station_id", "analysis_month", "hour_of_day"],
 }
 
-# fixed values: headers of the stop master file and the column names they load into
+# fixed values: headers of the stop, route and route-stop master files and the columns they load into;
+# some stop headers have two spellings
 STOP_HEADERS = {
     "노드ID": "node_id",
     "노드명": "node_name",
     "노드설명": "node_description",
     "노드번호": "node_num",
+    "정류장번호": "node_num",
     "노드유형": "node_type",
     "좌표X": "coordinates_x",
     "좌표Y": "coordinates_y",
     "매핑좌표X": "mapping_x",
     "매핑좌표Y": "mapping_y",
+    "맵핑좌표X": "mapping_x",
+    "맵핑좌표Y": "mapping_y",
     "표준여부": "is_standard",
+    "표준코드여부(1:표준/0:비표준)": "is_standard",
+    "사용여부": "is_active",
+}
+ROUTE_HEADERS = {
+    "노선ID": "route_id",
+    "노선명": "route_name",
+    "노선유형": "route_type",
+    "지역ID": "region_id",
+    "거리": "total_distance",
+    "기점명(인가정보)": "start_point",
+    "종점명(인가정보)": "end_point",
+    "인가선수": "authorized_vehicles",
+    "운행여부": "is_operating",
+    "배차": "weekday_interval",
+    "배차(토요일)": "saturday_interval",
+    "배차(공휴일)": "holiday_interval",
+    "첫차시간": "weekday_first_time",
+    "막차시간": "weekday_last_time",
+    "첫차시간(토요일)": "saturday_first_time",
+    "막차시간(토요일)": "saturday_last_time",
+    "첫차시간(공휴일)": "holiday_first_time",
+    "막차시간(공휴일)": "holiday_last_time",
+    "최소배차": "min_interval",
+    "최대배차": "max_interval",
+    "운행소요시간": "total_operation_time",
+    "종점대기시간": "terminal_waiting_time",
+    "곡률도": "curvature",
+    "예비차량건수": "spare_vehicles",
+    "최고속도": "max_speed",
+    "평균속도": "avg_speed",
+}
+ROUTE_STOP_HEADERS = {
+    "노선ID": "route_id",
+    "노드ID": "stop_id",
+    "노드순번": "node_sequence",
+    "정류장순번": "stop_sequence",
+    "구간ID": "section_id",
+    "정류장구간ID": "stop_section_id",
+    "교차로구간ID": "intersection_section_id",
+    "링크ID": "link_id",
+    "구간거리누계": "cumulative_section_distance",
+    "정류장거리누계": "cumulative_stop_distance",
+    "방향안내": "direction_guide",
     "사용여부": "is_active",
 }
