@@ -379,20 +379,72 @@ def sparse(t):
     return prefixed(t, SPARSE)
 
 
+def any_of(patterns, x="line"):
+    return f"regexp_matches({x}, '" + "|".join(f"(?:{p})" for p in patterns) + "')"
+
+
+define(
+    "sparselines",
+    f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_num) - 1 AS n, line, length(line) AS here, {any_of(chunks.TITLES + chunks.SECTIONS)} AS head
+       FROM (SELECT doc_id, line_num, {TRIM(f"list_extract({sql_list(SPARSE)}, line_num % {len(SPARSE)} + 1) || line0")} AS line FROM (
+         SELECT doc_id, unnest(string_split(text, chr(10))) AS line0, unnest(range(len(string_split(text, chr(10))))) AS line_num FROM documents)) WHERE line <> ''""",
+)
+define(  # line by line: a head opens a chunk, and so does a line for which the open one has no room
+    "linechunks",
+    f"""SELECT s.*, g.chunk_idx, g.section_title FROM sparselines AS s JOIN (
+         WITH RECURSIVE g AS (
+           SELECT doc_id, n, 0 AS chunk_idx, here + 1 AS used, CASE WHEN head THEN line END AS section_title FROM sparselines WHERE n = 0
+           UNION ALL SELECT s.doc_id, s.n, g.chunk_idx + CASE WHEN s.head OR used + here > {chunks.SIZE} THEN 1 ELSE 0 END,
+             CASE WHEN s.head OR used + here > {chunks.SIZE} THEN here ELSE used + here + 1 END, CASE WHEN s.head THEN line ELSE section_title END
+           FROM g JOIN sparselines AS s ON s.doc_id = g.doc_id AND s.n = g.n + 1)
+         SELECT doc_id, n, chunk_idx, section_title FROM g) AS g ON s.doc_id = g.doc_id AND s.n = g.n""",
+)
+WORD_COUNT = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
+define(
+    "wholechunks",
+    f"""SELECT *, md5(content) AS digest, length(content) AS char_count, {WORD_COUNT.format('content')} AS word_count, regexp_matches(content, '[가-힣]') AS has_korean,
+         CASE WHEN {any_of(chunks.TITLES, 'first_line')} THEN 'title' WHEN {any_of(chunks.SECTIONS, 'first_line')} THEN 'section' WHEN listed > 1 THEN 'list' ELSE 'paragraph' END AS chunk_type
+       FROM (SELECT doc_id, chunk_idx, arg_min(section_title, n) AS section_title, string_agg(line, chr(10) ORDER BY n) AS content, arg_min(line, n) AS first_line,
+           count(*) FILTER ({any_of(chunks.LISTS)}) AS listed, min({LEVEL_CASE}) AS structure_level,
+           avg(least(1, CASE WHEN {any_of(chunks.TITLES)} THEN 1.0 WHEN {any_of(chunks.SECTIONS)} THEN 0.8 ELSE 0.3 END
+             + CASE WHEN {contains_any('line', chunks.KEYWORDS)} THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(line, '[가-힣]') THEN 0.1 ELSE 0 END)) AS importance_score
+         FROM linechunks GROUP BY doc_id, chunk_idx)""",
+)
+define(  # chunk by chunk: a small one joins the open text while both fit
+    "mergedchunks",
+    f"""SELECT w.*, g.merged FROM wholechunks AS w JOIN (
+         WITH RECURSIVE g AS (
+           SELECT doc_id, chunk_idx, 0 AS merged, char_count AS used FROM wholechunks WHERE chunk_idx = 0
+           UNION ALL SELECT w.doc_id, w.chunk_idx, merged + CASE WHEN char_count >= {chunks.SMALLEST} OR used + char_count > {chunks.LARGEST} THEN 1 ELSE 0 END,
+             CASE WHEN char_count >= {chunks.SMALLEST} OR used + char_count > {chunks.LARGEST} THEN char_count ELSE used + char_count + 2 END
+           FROM g JOIN wholechunks AS w ON w.doc_id = g.doc_id AND w.chunk_idx = g.chunk_idx + 1)
+         SELECT doc_id, chunk_idx, merged FROM g) AS g ON w.doc_id = g.doc_id AND w.chunk_idx = g.chunk_idx""",
+)
 CHUNK = "doc_id:i chunk_idx:i digest:s char_count:i "
 register(
     "structure_chunks",
     CHUNK + "section_title:s",
     lambda t: chunks.structure_chunks(sparse(t)).withColumns({"digest": F.md5("content"), "char_count": F.length("content")}),
+    "SELECT * FROM wholechunks",
 )
 META = CHUNK + "chunk_type:s importance_score:f4 structure_level:i has_korean:b word_count:i"
 register(
     "chunk_metadata",
     META,
     lambda t: chunks.with_metadata(chunks.structure_chunks(sparse(t))).withColumn("digest", F.md5("content")),
+    "SELECT * FROM wholechunks",
 )
-for name, build in (("merge_small_chunks", chunks.merge_small_chunks), ("split_large_chunks", chunks.split_large_chunks)):
-    register(name, META + " section_title:s sub_chunk_index:i", lambda t, build=build: build(sparse(t)).withColumn("digest", F.md5("text")))
+FITTED = META + " section_title:s sub_chunk_index:i"
+register(
+    "merge_small_chunks",
+    FITTED,
+    lambda t: chunks.merge_small_chunks(sparse(t)).withColumn("digest", F.md5("text")),
+    f"""SELECT *, md5(text) AS digest, length(text) AS char_count, {WORD_COUNT.format('text')} AS word_count, NULL AS sub_chunk_index FROM (
+         SELECT doc_id, merged AS chunk_idx, string_agg(content, chr(10) || chr(10) ORDER BY w.chunk_idx) AS text,
+           {', '.join(f'arg_min({c}, w.chunk_idx) AS {c}' for c in ('chunk_type', 'importance_score', 'structure_level', 'has_korean'))}, arg_min_null(section_title, w.chunk_idx) AS section_title
+         FROM mergedchunks AS w GROUP BY doc_id, merged)""",
+)
+register("split_large_chunks", FITTED, lambda t: chunks.split_large_chunks(sparse(t)).withColumn("digest", F.md5("text")))
 register(
     "recursive_split",
     CHUNK.strip(),
