@@ -420,6 +420,58 @@ define(  # chunk by chunk: a small one joins the open text while both fit
            FROM g JOIN wholechunks AS w ON w.doc_id = g.doc_id AND w.chunk_idx = g.chunk_idx + 1)
          SELECT doc_id, chunk_idx, merged FROM g) AS g ON w.doc_id = g.doc_id AND w.chunk_idx = g.chunk_idx""",
 )
+
+
+def split_sql(source, size, overlap, separators):
+    """(key, idx, part) of the texts of ``source`` (key, text).
+
+    ``work`` splits at the coarsest separator present, pieces that stay too long at finer ones; a piece's path
+    orders it. Runs of short pieces become ``runs`` with running lengths, and ``packed`` walks along a run:
+    a part ends before the piece that it has no room for, and the next one starts with at most ``overlap``
+    characters of whole pieces before that piece.
+    """
+    last = len(separators)
+    text = ["'" + x.replace("\n", "' || chr(10) || '") + "'" for x in separators]
+    at = "CASE " + " ".join(f"WHEN level <= {i} AND contains(text, {x}) THEN {i}" for i, x in enumerate(text, 1)) + f" ELSE {last} END"
+    cut = f"CASE WHEN sep = '' THEN regexp_extract_all(text, '(?s).') ELSE list_filter(list_transform(string_split(text, sep), lambda x, i: CASE WHEN i = 1 THEN x ELSE sep || x END), lambda x: x <> '') END"
+    stop = lambda start, after: f"coalesce(list_filter(range({after}, n), lambda e: upto[e + 2] - upto[{start} + 1] > {size})[1], n)"
+    used = "(upto[stop + 1] - upto[s + 1])"
+    start = f"list_filter(range(start, stop + 1), lambda s: {used} <= {overlap} AND ({used} = 0 OR {used} + upto[stop + 2] - upto[stop + 1] <= {size}))[1]"
+    return f"""WITH RECURSIVE work AS (
+         SELECT key, CAST([] AS BIGINT[]) AS path, text, 1 AS level, 'split' AS kind, CAST(0 AS BIGINT) AS run FROM {source}
+         UNION ALL SELECT key, list_append(path, i), piece, found + 1, CASE WHEN length(piece) < {size} THEN 'short' WHEN found >= {last} THEN 'whole' ELSE 'split' END, run
+         FROM (SELECT *, count(*) FILTER (length(piece) >= {size}) OVER (PARTITION BY key, path ORDER BY i) AS run
+         FROM (SELECT key, path, found, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i
+         FROM (SELECT *, {cut} AS pieces FROM (SELECT *, list_extract([{', '.join(text)}], found) AS sep FROM (SELECT *, {at} AS found FROM work WHERE kind = 'split')))))),
+       runs AS (
+         SELECT key, min(path) AS path, count(*) AS n, list(text ORDER BY path) AS texts, list_prepend(0, list(upto ORDER BY path)) AS upto
+         FROM (SELECT *, path[:-2] AS parent, CAST(sum(length(text)) OVER (PARTITION BY key, path[:-2], run ORDER BY path) AS BIGINT) AS upto FROM work WHERE kind = 'short')
+         GROUP BY key, parent, run),
+       packed AS (
+         SELECT *, CAST(0 AS BIGINT) AS start, {stop('0', '1')} AS stop, 0 AS k FROM runs
+         UNION ALL SELECT key, path, n, texts, upto, begin, {stop('begin', 'stop + 1')}, k + 1 FROM (SELECT *, {start} AS begin FROM packed WHERE stop < n))
+       SELECT key, row_number() OVER (PARTITION BY key ORDER BY path, k) - 1 AS idx, part FROM (
+         SELECT key, path, k, {TRIM("array_to_string(texts[start + 1:stop], '')")} AS part FROM packed
+         UNION ALL SELECT key, path, 0, text FROM work WHERE kind = 'whole') WHERE part <> ''"""
+
+
+define("longchunks", f"SELECT doc_id * 1000000 + chunk_idx AS key, content AS text FROM wholechunks WHERE char_count > {chunks.LARGEST}")
+define(
+    "parts",
+    f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx, sub) - 1 AS n, length(part) AS here FROM (
+         SELECT doc_id, chunk_idx, NULL AS sub, content AS part FROM wholechunks WHERE char_count <= {chunks.LARGEST}
+         UNION ALL SELECT key // 1000000, key % 1000000, idx, part FROM ({split_sql('longchunks', chunks.SIZE, chunks.OVERLAP, chunks.SEPARATORS)}))""",
+)
+OPENS = f"sub IS NOT NULL OR here >= {chunks.SMALLEST} OR used + here > {chunks.LARGEST}"
+define(
+    "fittedparts",
+    f"""SELECT p.*, g.fitted FROM parts AS p JOIN (
+         WITH RECURSIVE g AS (
+           SELECT doc_id, n, 0 AS fitted, here AS used FROM parts WHERE n = 0
+           UNION ALL SELECT p.doc_id, p.n, fitted + CASE WHEN {OPENS} THEN 1 ELSE 0 END, CASE WHEN {OPENS} THEN here ELSE used + here + 2 END
+           FROM g JOIN parts AS p ON p.doc_id = g.doc_id AND p.n = g.n + 1)
+         SELECT doc_id, n, fitted FROM g) AS g ON p.doc_id = g.doc_id AND p.n = g.n""",
+)
 CHUNK = "doc_id:i chunk_idx:i digest:s char_count:i "
 register(
     "structure_chunks",
@@ -444,11 +496,20 @@ register(
            {', '.join(f'arg_min({c}, w.chunk_idx) AS {c}' for c in ('chunk_type', 'importance_score', 'structure_level', 'has_korean'))}, arg_min_null(section_title, w.chunk_idx) AS section_title
          FROM mergedchunks AS w GROUP BY doc_id, merged)""",
 )
-register("split_large_chunks", FITTED, lambda t: chunks.split_large_chunks(sparse(t)).withColumn("digest", F.md5("text")))
+define(
+    "splitchunks",
+    f"""SELECT f.*, md5(text) AS digest, length(text) AS char_count, {WORD_COUNT.format('text')} AS word_count, w.section_title, w.chunk_type, w.importance_score, w.structure_level, w.has_korean
+       FROM (SELECT doc_id, fitted AS chunk_idx, min(chunk_idx) AS base, arg_min_null(sub, n) AS sub_chunk_index, string_agg(part, chr(10) || chr(10) ORDER BY n) AS text
+         FROM fittedparts GROUP BY doc_id, fitted) AS f JOIN wholechunks AS w ON w.doc_id = f.doc_id AND w.chunk_idx = f.base""",
+)
+register("split_large_chunks", FITTED, lambda t: chunks.split_large_chunks(sparse(t)).withColumn("digest", F.md5("text")), "SELECT * FROM splitchunks")
+define("wholetexts", "SELECT doc_id AS key, text FROM documents WHERE text <> ''")
 register(
     "recursive_split",
     CHUNK.strip(),
     lambda t: chunks.plain_chunks(t.raw("documents").select("doc_id", "text")).withColumns({"digest": F.md5("text"), "char_count": F.length("text")}),
+    f"""SELECT key AS doc_id, idx AS chunk_idx, md5(part) AS digest, length(part) AS char_count
+       FROM ({split_sql('wholetexts', chunks.PLAIN_SIZE, chunks.PLAIN_OVERLAP, chunks.PLAIN_SEPARATORS)})""",
 )
 
 
