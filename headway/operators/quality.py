@@ -27,13 +27,18 @@ def infra_quality(tables: dict[str, tuple[DataFrame, Column, Column]]) -> DataFr
 
 
 def fact_quality(facts: dict[str, tuple[DataFrame, list[str], list[str]]]) -> DataFrame:
-    """Per fact table: rows, first and last date, distinct routes and stations (key columns)."""
+    """Per fact table: rows, first and last date, distinct routes and stations (key columns).
+
+    Rows first become one per route and station, map-side; only these are doubled by the distinct counts.
+    """
     return _stack(
         [
-            df.agg(
-                F.count(F.lit(1)).alias("total_records"),
-                F.min("record_date").alias("earliest_date"),
-                F.max("record_date").alias("latest_date"),
+            df.groupBy(*dict.fromkeys([*routes, *stations]))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("record_date").alias("first"), F.max("record_date").alias("last"))
+            .agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+                F.min("first").alias("earliest_date"),
+                F.max("last").alias("latest_date"),
                 F.countDistinct(*routes).alias("unique_routes"),
                 F.countDistinct(*stations).alias("unique_stations"),
             ).withColumn("table_name", F.lit(name))

@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 1024  # queries of one piece
 DOC_ROWS = 20_000  # documents of one piece
-CELLS = 64  # pivots of the vector space
+CELLS = 16  # pivots of the vector space: more of them skip more, but each vector is compared with each
 SLACK = 1e-6  # radians by which a bound is widened, far above rounding
 FOUND = "query_id long, doc_id long, similarity double"
 # fixed values: boosts and weights of the ranking

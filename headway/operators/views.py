@@ -212,18 +212,27 @@ def monthly_district_summary(sph: DataFrame, sm: DataFrame) -> DataFrame:
 
 
 def _daily(facts: DataFrame, *keys: str) -> DataFrame:
-    return facts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.sum("ride_passenger").alias("total_boarding"),
-        F.sum("alight_passenger").alias("total_alighting"),
-        F.sum(F.col("ride_passenger") + F.col("alight_passenger")).alias("total_traffic"),
-        F.avg("ride_passenger").alias("avg_boarding"),
-        F.avg("alight_passenger").alias("avg_alighting"),
-        F.max("ride_passenger").alias("max_boarding"),
-        F.max("alight_passenger").alias("max_alighting"),
-        F.countDistinct("node_id").alias("active_stations"),
-        F.countDistinct("route_id").alias("active_routes"),
+    """Totals with distinct stations and routes. Rows are merged by station and, apart from that, by route, so that
+    no row is doubled for the two distinct counts; what is joined has one row per ``keys``."""
+    ride, alight = F.col("ride_passenger"), F.col("alight_passenger")
+    stations = facts.groupBy(*keys, "node_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(ride).alias("rides"), F.count(alight).alias("alights"),
+        F.sum(ride).alias("ride"), F.sum(alight).alias("alight"), F.sum(ride + alight).alias("total"),
+        F.max(ride).alias("max_ride"), F.max(alight).alias("max_alight"),
+    )
+    totals = stations.groupBy(*keys).agg(
+        F.sum("n").alias("total_records"),
+        F.sum("ride").alias("total_boarding"),
+        F.sum("alight").alias("total_alighting"),
+        F.sum("total").alias("total_traffic"),
+        F.try_divide(F.sum("ride"), F.sum("rides")).alias("avg_boarding"),
+        F.try_divide(F.sum("alight"), F.sum("alights")).alias("avg_alighting"),
+        F.max("max_ride").alias("max_boarding"),
+        F.max("max_alight").alias("max_alighting"),
+        F.count("node_id").alias("active_stations"),
     )
+    routes = facts.select(*keys, "route_id").distinct().groupBy(*keys).agg(F.count("route_id").alias("active_routes"))
+    return totals.join(routes, [*keys])
 
 
 def daily_traffic_summary(sph: DataFrame) -> DataFrame:
