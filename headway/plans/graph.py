@@ -415,12 +415,11 @@ register(
 )
 register(
     "target_window",
-    "stop_id:s n:i total:f4",
-    lambda t: seq.target_window(features(t), ONE).select(
-        "stop_id", F.size("drt_probability_sequence").alias("n"),
-        F.aggregate("drt_probability_sequence", F.lit(0.0), lambda a, x: a + x).alias("total"),
+    "stop_id:s probabilities:s",
+    lambda t: seq.target_window(features(t), ONE).withColumn(
+        "probabilities", F.array_join(F.transform("drt_probability_sequence", lambda x: x.cast("decimal(6,4)").cast("string")), ",")
     ),
-    f"""SELECT stop_id, count(*) AS n, sum(round(p + 1e-10, 4)) AS total FROM featp
+    f"""SELECT stop_id, string_agg(CAST(CAST(round(p + 1e-10, 4) AS DECIMAL(6, 4)) AS VARCHAR), ',' ORDER BY recorded_at) AS probabilities FROM featp
        WHERE recorded_at >= TIMESTAMP '{ONE}' AND recorded_at < TIMESTAMP '{ONE}' + INTERVAL 24 HOUR GROUP BY stop_id""",
 )
 register(

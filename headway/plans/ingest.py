@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from headway.functions.numbers import sum_if
 from headway.operators import cleansing, od, reshape, views
+from headway.operators.joins import one_row
 from headway.plans.registry import define, register
 from headway.plans.stored import monthly_views, store, stored
 from headway.schemas import HH, KEYS, OD_CSV_COLUMNS, ROUTE_HEADERS, ROUTE_STOP_HEADERS, STATION_FEED, STOP_HEADERS
@@ -79,15 +80,18 @@ register(
     lambda t: reshape.section_wide_to_tall(section_feed(t)),
     "SELECT * FROM tallsec",
 )
+SECTION = ["record_date", "route_id", "from_node_id", "to_node_id"]
 register(
     "speed_wide_to_tall",
-    "record_date:s route_id:s hour:i pairs:i trip_time:i",
-    lambda t: reshape.speed_wide_to_tall(speed_feed(t)).groupBy("record_date", "route_id", "hour").agg(
-        F.count(F.lit(1)).alias("pairs"), F.sum("trip_time").alias("trip_time")
+    "record_date:s route_id:s from_node_id:s to_node_id:s trip_times:s",
+    lambda t: reshape.speed_wide_to_tall(speed_feed(t)).groupBy(*SECTION).agg(F.sort_array(F.collect_list(F.struct("hour", "trip_time"))).alias("hours")).withColumn(
+        "trip_times", F.array_join(F.transform("hours", lambda h: F.concat_ws("=", h["hour"].cast("string"), h["trip_time"].cast("string"))), ",")
     ),
-    """SELECT g.record_date, g.route_id, g.hour, any_value(n) AS pairs, coalesce(sum(trip_time), 0) AS trip_time FROM
-       (SELECT *, unnest(range(24)) AS hour FROM (SELECT record_date, route_id, count(DISTINCT from_node_id || '-' || to_node_id) AS n FROM speeds GROUP BY ALL)) AS g
-       LEFT JOIN speeds AS s ON g.record_date = s.record_date AND g.route_id = s.route_id AND g.hour = s.hour GROUP BY ALL""",
+    """SELECT record_date, route_id, from_node_id, to_node_id, string_agg(hour || '=' || trip_time, ',' ORDER BY hour) AS trip_times FROM (
+         SELECT g.*, coalesce(sum(s.trip_time), 0) AS trip_time
+         FROM (SELECT *, unnest(range(24)) AS hour FROM (SELECT DISTINCT record_date, route_id, from_node_id, to_node_id FROM speeds)) AS g
+         LEFT JOIN speeds AS s USING (record_date, route_id, from_node_id, to_node_id, hour) GROUP BY ALL)
+       GROUP BY record_date, route_id, from_node_id, to_node_id""",
 )
 register(
     "od_api_to_table",
@@ -284,12 +288,20 @@ def known_routes(t):
     )
 
 
+def known_feed(t):
+    """The rows that stay, each with the counts before and after."""
+    feed = station_feed(t)
+    kept = cleansing.filter_known_routes(feed, known_routes(t))
+    counts = one_row(cleansing.filter_counts(feed, kept), "fetched", "kept")
+    return kept.select("record_date", F.col("routeId").alias("route_id"), F.col("staId").alias("node_id"), counts.alias("c")).select("*", "c.*")
+
+
 register(
     "filter_known_routes",
-    "fetched:i kept:i",
-    lambda t: (lambda feed: cleansing.filter_counts(feed, cleansing.filter_known_routes(feed, known_routes(t))))(station_feed(t)),
-    """SELECT count(*) AS fetched, count(*) FILTER (route_id IN ('click', 'view', 'error')) AS kept
-       FROM (SELECT DISTINCT record_date, route_id, node_id FROM sph)""",
+    "record_date:s route_id:s node_id:s fetched:i kept:i",
+    known_feed,
+    """SELECT *, count(*) OVER () AS kept FROM (SELECT *, count(*) OVER () AS fetched FROM (SELECT DISTINCT record_date, route_id, node_id FROM sph))
+       WHERE route_id IN ('click', 'view', 'error')""",
 )
 register(
     "authorized_route_names",
@@ -668,12 +680,9 @@ def loaded_od(t):
 
 register(
     "bulk_load_od",
-    "analysis_date:s rows:i passengers:i common:i",
-    lambda t: loaded_od(t).groupBy("analysis_date").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("cnt").alias("passengers"),
-        F.sum(F.json_array_length("common_routes")).alias("common"),
-    ),
-    "SELECT record_date AS analysis_date, count(*) AS rows, sum(cnt) AS passengers, sum(n_common) AS common FROM odday GROUP BY 1",
+    "analysis_date:s from_station_id:s to_station_id:s cnt:i common:i",
+    lambda t: loaded_od(t).withColumn("common", F.json_array_length("common_routes")),
+    "SELECT record_date AS analysis_date, from_station_id, to_station_id, cnt, n_common AS common FROM odday",
 )
 
 
