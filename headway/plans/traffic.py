@@ -133,15 +133,25 @@ register(
     lambda t: stations(t, 500),
     "SELECT * FROM smonth WHERE total_traffic > 500",
 )
+
+
+def whole_districts(pages):
+    """One row per district: its pages in order, each one shortened to a text before they meet."""
+    texts = pages.select(
+        "district_name", "total_traffic", "page_no", F.size("stations").alias("n"),
+        F.array_join(F.transform("stations", lambda s: s["station_id"]), ",").alias("ids"),
+    )
+    rows = texts.groupBy("district_name", "total_traffic").agg(
+        F.sum("n").alias("station_count"), F.sort_array(F.collect_list(F.struct("page_no", "ids"))).alias("pages")
+    )
+    listed = F.array_join(F.transform("pages", lambda p: p["ids"]), ",")
+    return rows.withColumn("station_list", F.when(F.col("station_count") > 0, listed))
+
+
 register(
     "heatmap_nested",
     "district_name:s total_traffic:i station_count:i station_list:s",
-    lambda t: traffic.heatmap_nested(districts(t), stations(t)).withColumns(
-        {
-            "station_count": F.size("stations"),
-            "station_list": F.array_join(F.transform("stations", lambda s: s["station_id"]), ","),
-        }
-    ),
+    lambda t: whole_districts(traffic.heatmap_nested(districts(t), stations(t))),
     """SELECT d.district_name, d.total_traffic, count(station_id) AS station_count,
        string_agg(station_id, ',' ORDER BY s.total_traffic DESC, station_id) AS station_list
        FROM dmonth AS d LEFT JOIN smonth AS s ON d.district_name = s.district_name

@@ -656,6 +656,22 @@ def test_nested_heat_map_pages_keep_every_station(spark):
     assert hot == sorted(hot, reverse=True) and len(hot) == 834
 
 
+def test_nested_heat_map_query_joins_the_pages_of_a_district(spark):
+    from headway.operators import traffic
+    from headway.plans.traffic import whole_districts
+
+    stations = spark.range(2500).select(
+        F.when(F.col("id") % 9 == 0, "cold").otherwise("hot").alias("district_name"), F.col("id").cast("string").alias("station_id"), F.lit("n").alias("station_name"),
+        F.lit(37.5).alias("latitude"), F.lit(127.0).alias("longitude"), (F.col("id") * 7 % 1000).alias("total_traffic"),
+    )
+    districts = spark.createDataFrame([("hot", 5), ("cold", 3), ("none", 1)], "district_name string, total_traffic int")
+    got = {r.district_name: (r.station_count, r.station_list) for r in whole_districts(traffic.heatmap_nested(districts, stations)).collect()}
+    order = sorted(((-(i * 7 % 1000), str(i)) for i in range(2500)))
+    cold = [s for _, s in order if int(s) % 9 == 0]
+    hot = [s for _, s in order if int(s) % 9 != 0]
+    assert got == {"hot": (len(hot), ",".join(hot)), "cold": (len(cold), ",".join(cold)), "none": (0, None)} and len(hot) > 2000
+
+
 def test_od_date_comes_from_the_last_folder_or_file_name(spark, tmp_path):
     from headway.schemas import OD_CSV_COLUMNS
     from headway.sources.files import read_od_csv
