@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import sys
+from array import array
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text_rules import strip
-from headway.operators.joins import best_per_group
+from headway.operators.joins import best_per_group, one_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,6 +26,11 @@ DOC_ROWS = 20_000  # documents of one piece
 CELLS = 16  # pivots of the vector space: more of them skip more, but each vector is compared with each
 SLACK = 1e-6  # radians by which a bound is widened, far above rounding
 FOUND = "query_id long, doc_id long, similarity double"
+TEXT_ROWS = 16_384  # documents of one piece of the keyword search
+QUESTION_ROWS = 131_072  # questions of one block of it
+BATCH = 100_000  # pairs that a task holds before they leave it
+PAIRS = "query_id long, doc_id long, common int, asked int, held int, boost double"
+PAIR_FIELDS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("common", pa.int32()), ("asked", pa.int32()), ("held", pa.int32()), ("boost", pa.float64())])
 # fixed values: boosts and weights of the ranking
 DOMAIN_TERMS = ["drt", "수요응답", "교통", "대중교통", "모빌리티", "교통체계"]
 TYPE_BOOST = {"title": 0.2, "section": 0.15, "paragraph": 0.0, "list": 0.05, "table": 0.1, "figure": 0.05}
@@ -164,38 +173,113 @@ def keyword_jaccard(query: Column, document: Column, terms: list[str] = DOMAIN_T
 
 def _jaccard(q: Column, d: Column, low: Column, terms: list[str]) -> Column:
     both = F.size(F.array_intersect(q, d))
-    boost = reduce(add, [low.contains(t).cast("int") for t in terms]) * 0.1
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.least(F.lit(1.0), both / (F.size(q) + F.size(d) - both) + boost))
+    return F.when(F.size(q) == 0, 0.0).otherwise(overlap_score(both, F.size(q), F.size(d), _boost(low, terms)))
+
+
+def overlap_score(common: Column, asked: Column, held: Column, boost: Column) -> Column:
+    """The same score from counted words: ``common`` ones, those ``asked`` and those ``held`` by the document."""
+    return F.least(F.lit(1.0), common / (asked + held - common) + boost)
+
+
+def term_boost(document: Column, terms: list[str] = DOMAIN_TERMS) -> Column:
+    return _boost(F.lower(document), terms)
+
+
+def _boost(low: Column, terms: list[str]) -> Column:
+    return reduce(add, [low.contains(t).cast("int") for t in terms]) * 0.1
 
 
 def keyword_candidates(questions: DataFrame, documents: DataFrame, percent: int = 10) -> DataFrame:
-    """(query_id, doc_id) of all pairs whose word sets overlap in at least ``percent`` of their union.
-
-    ``questions`` has (query_id, query), ``documents`` (doc_id, text). An index of words to documents is
-    met by each question's rarest words only: with common / union >= p, the common words are at
-    least p of the question's, so one of them is among all but the most frequent ones, and the first
-    of them, at place i by rarity, leaves |q| - i words for an overlap of p / (1 + p) (|q| + |d|).
-    Documents send only words that some question has, with their size; texts stay where they are until
-    a pair is left, and then the sets are compared. A very frequent word is late in every question
-    that has rarer ones, so its long list is rarely met; where it is, the join's skewed keys are split.
-    Texts without words pair with nothing. Ids must be unique.
+    """(query_id, doc_id) of all pairs whose word sets overlap in at least ``percent`` of their union."""
+    return keyword_overlaps(questions, documents, percent).select("query_id", "doc_id")
+
+
+def keyword_overlaps(questions: DataFrame, documents: DataFrame, percent: int = 10, rows: int = TEXT_ROWS, block: int = QUESTION_ROWS) -> DataFrame:
+    """All pairs whose word sets overlap in at least ``percent`` of their union, with the counted words.
+
+    ``questions`` has (query_id, query), ``documents`` (doc_id, text) and optionally boost. A pair is
+    (query_id, doc_id, common, asked, held, boost): common words, words of either side. Documents are cut into
+    pieces of about ``rows``, questions into blocks of about ``block``; a piece meets a block as one group, where
+    an index of the block's words to the piece's documents counts the common words of each question, so no pair
+    below the share ever becomes a row. Documents whose number of words fits no question don't move. The
+    number of pairs to compare grows with questions times documents; memory is bounded by the two sizes, and what
+    moves by documents times blocks plus questions times pieces. Texts without words pair with nothing.
+    """
+    boost = F.col("boost") if "boost" in documents.columns else F.lit(0.0)
+    asked = questions.select("query_id", words(F.col("query")).alias("_w"))
+    asked = asked.select("query_id", F.size("_w").alias("n"), F.array_join("_w", " ").alias("words"))
+    known = documents.select("doc_id", boost.cast("double").alias("boost"), words(F.col("text")).alias("_w"))
+    known = known.select("doc_id", "boost", F.size("_w").alias("n"), F.array_join("_w", " ").alias("words"))
+    span = one_row(questions.select(F.size(words(F.col("query"))).alias("n")).filter("n > 0").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("all")), "lo", "hi", "all")
+    blocks = F.greatest(F.lit(1), F.ceil(span.getField("all") / block)).cast("int")
+    pieces = F.greatest(F.lit(1), F.ceil(one_row(documents.agg(F.count(F.lit(1)).alias("all")), "all").getField("all") / rows)).cast("int")
+    fits = (F.col("n") * 100 >= span.getField("lo") * percent) & (span.getField("hi") * 100 >= F.col("n") * percent)
+
+    # outer, with a filter behind it: else Spark tests the array below the projections and makes the words twice
+    def dealt(side: DataFrame, wanted: Column, own: Column, others: Column, *names: str) -> DataFrame:
+        met = F.when(wanted, F.sequence(F.lit(0), others - 1))
+        out = side.select("*", own.cast("int").alias("_own"), F.explode_outer(met).alias("_met")).filter("_met IS NOT NULL")
+        return out.select(F.col("_own").alias(names[0]), F.col("_met").alias(names[1]), *names[2:], "n", "words")
+
+    d = dealt(known, (F.col("n") > 0) & fits, F.pmod(F.xxhash64("doc_id"), pieces), blocks, "piece", "block", "doc_id", "boost")
+    q = dealt(asked, F.col("n") > 0, F.pmod(F.xxhash64("query_id"), blocks), pieces, "block", "piece", "query_id")
+    sides = d.select("piece", "block", F.lit(False).alias("asks"), F.col("doc_id").alias("id"), "boost", "n", "words").unionByName(
+        q.select("piece", "block", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.lit(0.0).alias("boost"), "n", "words")
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _overlaps(batches, percent)
+
+    kinds = {f.name: f.dataType.simpleString() for frame in (questions, documents) for f in frame.schema.fields}
+    pairs = sides.groupBy("piece", "block").applyInArrow(meet, PAIRS)
+    ids = [F.col(c).cast(kinds[c]).alias(c) for c in ("query_id", "doc_id")]
+    return pairs.select(*ids, "common", "asked", "held", "boost")
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of one piece and one block, in batches of about ``BATCH`` rows.
+
+    Documents lie by number of words; the list of a word holds their places. For one question, the
+    places in the lists of its words, counted, are the common words.
     """
-    p = percent / 100
-    asked = questions.select("query_id", words(F.col("query")).alias("_q")).filter(F.size("_q") > 0)
-    terms = asked.select("query_id", F.size("_q").alias("_nq"), F.explode("_q").alias("word"))
-    known = documents.select("doc_id", words(F.col("text")).alias("_d"))
-    index = known.select("doc_id", F.size("_d").alias("_nd"), F.explode("_d").alias("word")).join(terms.select("word").distinct(), "word", "left_semi")
-    often = index.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    sorted_words = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "word")))
-    order = terms.join(often, "word", "left").groupBy("query_id", "_nq").agg(sorted_words.alias("w"))
-    prefix = F.slice("w", 1, (F.col("_nq") - F.ceil(F.col("_nq") * p - 1e-9) + 1).cast("int"))
-    rare = order.select("query_id", "_nq", F.posexplode(prefix).alias("_i", "_w")).select("query_id", "_nq", "_i", F.col("_w.word").alias("word"))
-    sizes = (F.col("_nd") * 100 >= F.col("_nq") * percent) & (F.col("_nq") * 100 >= F.col("_nd") * percent)
-    enough = F.col("_nq") - F.col("_i") >= F.ceil((F.col("_nq") + F.col("_nd")) * (p / (1 + p)) - 1e-9)
-    pairs = rare.join(index, "word").filter(sizes & enough).select("query_id", "doc_id").distinct()
-    both = F.size(F.array_intersect("_q", "_d"))
-    met = pairs.join(asked, "query_id").join(known, "doc_id")
-    return met.filter(both * 100 >= (F.size("_q") + F.size("_d") - both) * percent).select("query_id", "doc_id")
+    parts: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+    for batch in batches:
+        for asks in parts:
+            parts[asks].append(batch.filter(pc.equal(batch["asks"], asks)))
+    if not parts[True]:
+        return
+    asked, known = (pa.Table.from_batches(parts.pop(asks)).sort_by("n") for asks in (True, False))
+    if not len(asked) or not len(known):
+        return
+    number: dict[str, int] = {}
+    wanted = [[number.setdefault(w, len(number)) for w in x.as_py().split(" ")] for x in asked["words"]]
+    held = known["n"].to_numpy()
+    found = [array("i", (number[w] for w in x.as_py().split(" ") if w in number)) for x in known["words"]]
+    places = np.repeat(np.arange(len(found), dtype="int32"), [len(f) for f in found])
+    terms = np.frombuffer(b"".join(found), dtype="int32")
+    places = places[np.argsort(terms, kind="stable")]
+    ends = np.cumsum(np.bincount(terms, minlength=len(number)))
+    starts = np.concatenate([[0], ends[:-1]])
+    doc_ids, boosts = known["id"].to_numpy(), known["boost"].to_numpy()
+    ready, size, last, needed = [], 0, None, None
+    for query_id, n, ws in zip(asked["id"].to_numpy(), asked["n"].to_numpy(), wanted):
+        if n != last:
+            last, needed = n, -(-(n + held.astype("int64")) * percent // (100 + percent))
+            needed = np.maximum(needed, 1)
+        counts = np.bincount(np.concatenate([places[starts[w] : ends[w]] for w in ws]), minlength=len(held))
+        hit = np.flatnonzero(counts >= needed)
+        if len(hit):
+            ready.append((np.full(len(hit), query_id), doc_ids[hit], counts[hit].astype("int32"), np.full(len(hit), n, dtype="int32"), held[hit], boosts[hit]))
+            size += len(hit)
+        if size >= BATCH:
+            yield _batch(ready)
+            ready, size = [], 0
+    if ready:
+        yield _batch(ready)
+
+
+def _batch(ready: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready)], schema=PAIR_FIELDS)
 
 
 def importance_boost(importance: Column, chunk_type: Column, level: Column) -> Column:
@@ -217,12 +301,14 @@ def rerank(candidates: DataFrame, k: int = 10, terms: list[str] = DOMAIN_TERMS)
 
     ``candidates`` has query_id, query, doc_id, text, importance_score, chunk_type,
     structure_level, loaded_at and optionally relevance_score; without it relevance equals the
-    keyword score.
+    keyword score. With a semantic_score (of ``overlap_score``) the texts are not needed.
     """
-    prepared = candidates.withColumns({"_q": words(F.col("query")), "_d": words(F.col("text")), "_low": F.lower("text")})
+    prepared = candidates
+    if "semantic_score" not in candidates.columns:
+        prepared = candidates.withColumns({"_q": words(F.col("query")), "_d": words(F.col("text")), "_low": F.lower("text")})
+        prepared = prepared.withColumn("semantic_score", _jaccard(F.col("_q"), F.col("_d"), F.col("_low"), terms)).drop("_q", "_d", "_low")
     scored = prepared.withColumns(
         {
-            "semantic_score": _jaccard(F.col("_q"), F.col("_d"), F.col("_low"), terms),
             "boosted_importance": importance_boost(F.col("importance_score"), F.col("chunk_type"), F.col("structure_level")),
             "freshness_score": freshness(F.col("loaded_at")),
         }
@@ -236,7 +322,6 @@ def rerank(candidates: DataFrame, k: int = 10, terms: list[str] = DOMAIN_TERMS)
         + F.col("freshness_score") * WEIGHTS["freshness"]
     )
     scored = scored.withColumn("rerank_score", F.round(F.least(F.lit(1.0), final), 9)).withColumn("reason", rerank_reason())
-    scored = scored.drop("_q", "_d", "_low")
     return best_per_group(scored, ["query_id"], k, F.desc("rerank_score"), F.asc("doc_id"))
 
 

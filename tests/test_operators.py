@@ -698,3 +698,18 @@ def test_keyword_candidates_are_all_pairs(spark):
         got = [tuple(r) for r in retrieval.keyword_candidates(*frames, percent).collect()]
         assert len(got) == len(set(got))
         assert set(got) == {(a, b) for a in q for b in d if q[a] & d[b] and 100 * len(q[a] & d[b]) >= percent * len(q[a] | d[b])}
+
+
+def test_keyword_overlaps_count_words_in_pieces_and_blocks(spark):
+    """Small pieces and blocks give the counts of brute force; pairs below the share never meet in a join."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{min(int(rng.zipf(1.5)), 90)}" for _ in range(n))
+    asked = [(i, text(int(rng.integers(1, 12)))) for i in range(50)] + [(50, None), (51, asked_twice := "w1 w3"), (52, asked_twice)]
+    docs = [(i, text(int(rng.integers(1, 40))), i / 8) for i in range(120)] + [(120, None, 0.0), (121, "w3 w1", 0.5)]
+    q, d = ({r[0]: set((r[1] or "").split()) for r in rows} for rows in (asked, docs))
+    frames = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string, boost double")
+    found = retrieval.keyword_overlaps(*frames, 15, rows=30, block=20)
+    want = {(a, b, len(q[a] & d[b]), len(q[a]), len(d[b]), docs[b][2]) for a in q for b in d if q[a] & d[b] and 100 * len(q[a] & d[b]) >= 15 * len(q[a] | d[b])}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
