@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -470,10 +473,33 @@ register(
 )
 
 
+#: Files of one folder: more folders than 32 are listed by a job.
+FOLDER_FILES = 1000
+
+
 def text_files(t):
-    """One file per document, as they would be landed."""
+    """One file per document, as they would be landed.
+
+    Tasks write them one by one: a writer of Spark costs several processes a file on a local file system.
+    """
     path = scratch(t.spark, "texts")
-    t.raw("documents").filter("length(text) > 0").select("text").write.option("maxRecordsPerFile", 1).text(path)
+
+    def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for text in batch.column(0):
+                folder = f"{root}/part-{part:05d}-{n // FOLDER_FILES:05d}"
+                if n % FOLDER_FILES == 0:
+                    system.create_dir(folder)
+                with system.open_output_stream(f"{folder}/{n % FOLDER_FILES:05d}.txt") as out:
+                    out.write(text.as_py().encode() + b"\n")
+                n += 1
+        yield pa.record_batch([pa.array([n])], ["files"])
+
+    t.raw("documents").filter("length(text) > 0").select("text").mapInArrow(land, "files long").agg(F.sum("files")).collect()
     return path
 
 

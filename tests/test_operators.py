@@ -713,3 +713,19 @@ def test_keyword_overlaps_count_words_in_pieces_and_blocks(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_landed_texts_are_one_file_a_document_in_small_folders(spark, tmp_path, monkeypatch):
+    import pathlib
+
+    from headway.plans import ingest
+    from headway.sources.files import read_text_docs
+    from headway.sources.mapping import TransitTables
+
+    texts = ["a\nb", "", None, "한글 x", "a\nb", " ", "\n", "end\n"]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(ingest, "FOLDER_FILES", 4)
+    path = ingest.text_files(TransitTables(spark, str(tmp_path)))
+    assert sorted(r.text for r in read_text_docs(spark, path).collect()) == sorted(x + "\n" for x in texts if x)
+    folders = [f for f in pathlib.Path(path.removeprefix("file://")).iterdir() if f.is_dir()]
+    assert sorted(len(list(f.glob("*.txt"))) for f in folders) == [2, 4]
