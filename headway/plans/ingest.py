@@ -84,12 +84,19 @@ register(
     "SELECT * FROM tallsec",
 )
 SECTION = ["record_date", "route_id", "from_node_id", "to_node_id"]
+
+
+def by_hour(tall):
+    """One row per section with the hours that it has; sums by hour merge the rows of a section before they move."""
+    sums = [F.sum(F.when(F.col("hour") == h, F.col("trip_time"))).alias(f"_{h}") for h in range(24)]
+    cells = [F.concat(F.lit(f"{h}="), F.col(f"_{h}").cast("string")) for h in range(24)]
+    return tall.groupBy(*SECTION).agg(*sums).select(*SECTION, F.concat_ws(",", *cells).alias("trip_times"))
+
+
 register(
     "speed_wide_to_tall",
     "record_date:s route_id:s from_node_id:s to_node_id:s trip_times:s",
-    lambda t: reshape.speed_wide_to_tall(speed_feed(t)).groupBy(*SECTION).agg(F.sort_array(F.collect_list(F.struct("hour", "trip_time"))).alias("hours")).withColumn(
-        "trip_times", F.array_join(F.transform("hours", lambda h: F.concat_ws("=", h["hour"].cast("string"), h["trip_time"].cast("string"))), ",")
-    ),
+    lambda t: by_hour(reshape.speed_wide_to_tall(speed_feed(t))),
     """SELECT record_date, route_id, from_node_id, to_node_id, string_agg(hour || '=' || trip_time, ',' ORDER BY hour) AS trip_times FROM (
          SELECT g.*, coalesce(sum(s.trip_time), 0) AS trip_time
          FROM (SELECT *, unnest(range(24)) AS hour FROM (SELECT DISTINCT record_date, route_id, from_node_id, to_node_id FROM speeds)) AS g

@@ -729,3 +729,13 @@ def test_landed_texts_are_one_file_a_document_in_small_folders(spark, tmp_path,
     assert sorted(r.text for r in read_text_docs(spark, path).collect()) == sorted(x + "\n" for x in texts if x)
     folders = [f for f in pathlib.Path(path.removeprefix("file://")).iterdir() if f.is_dir()]
     assert sorted(len(list(f.glob("*.txt"))) for f in folders) == [2, 4]
+
+
+def test_hours_of_a_section_are_merged_before_they_move(spark):
+    from headway.plans.ingest import SECTION, by_hour
+
+    tall = spark.range(240).selectExpr("'2024-01-01' AS record_date", "'r' AS route_id", "string(id % 10) AS from_node_id", "'t' AS to_node_id", "int(id / 10) AS hour", "id AS trip_time")
+    got = by_hour(tall)
+    assert {r.from_node_id: r.trip_times for r in got.collect()} == {str(k): ",".join(f"{h}={h * 10 + k}" for h in range(24)) for k in range(10)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == [*SECTION, "trip_times"] and "HashAggregate" in plan and "ObjectHash" not in plan and "SortAggregate" not in plan
