@@ -52,18 +52,19 @@ def best_per_group(df: DataFrame, keys: list[str], n: int, *order: Column, rank:
 
 
 def first_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Row with the smallest ``seq`` per key, as a mergeable aggregate (hot keys shrink map-side)."""
-    return _pick(df, keys, seq, F.min_by)
+    """Row with the smallest ``seq`` per key; a partition sends one row of a key, so hot keys shrink map-side."""
+    return _pick(df, keys, F.asc_nulls_last(seq))
 
 
 def last_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    return _pick(df, keys, seq, F.max_by)
+    return _pick(df, keys, F.desc_nulls_last(seq))
 
 
-def _pick(df: DataFrame, keys: list[str], seq: str, pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(seq)).alias("_row"))
-    return chosen.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+def _pick(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order))  # limited to one row a key before the shuffle
+    return df.withColumn("_row", first).filter("_row = 1").drop("_row")
 
 
 def in_district(df: DataFrame, district: str | None) -> DataFrame:

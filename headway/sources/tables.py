@@ -66,29 +66,58 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return _read(spark, path, _held(spark, path), schema)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str, seq: str = SEQ) -> DataFrame:
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str, seq: str = SEQ, fresh: bool = False) -> DataFrame:
     """Insert or replace by key; among equal keys the largest ``seq`` wins.
 
     The batch is evaluated once, into a staging folder. Old rows of the partitions that it touches
     are merged with it into a folder of this load; then the log is written. The rebalance hint splits
     a partition value that holds much of the data over several tasks and joins small ones.
+
+    ``fresh`` states that the batch holds each key once and that no old row has a larger ``seq`` (this is
+    checked). Then the batch is written into its load at once, and only the old rows whose keys it lacks
+    are added: they meet its keys, not its rows.
     """
     held, name = _held(spark, path), uuid.uuid4().hex
-    staged = f"{path}/_staged/{name}"
+    number = 1 + max((n for _, n in held.values()), default=0)
+    load = f"load={number:06d}-{name}"
+    staged = f"{path}/{load}" if fresh else f"{path}/_staged/{name}"
     new.write.partitionBy(partition).parquet(staged)
     touched = [f for f in folders(spark, staged) if f.startswith(f"{partition}=")]
     if touched:
         rows = spark.read.schema(new.schema).parquet(staged).select(new.columns)
-        old = {f: held[f] for f in touched if f in held}
-        rows = rows.unionByName(_read(spark, path, old, new.schema)) if old else rows
-        number = 1 + max((n for _, n in held.values()), default=0)
-        load = f"load={number:06d}-{name}"
-        last_per_key(rows, keys, seq).hint("rebalance", partition).write.partitionBy(partition).parquet(f"{path}/{load}")
+        held_here = {f: held[f] for f in touched if f in held}
+        old = _read(spark, path, held_here, new.schema) if held_here else None
+        if not fresh:
+            rows = rows.unionByName(old) if old else rows
+            last_per_key(rows, keys, seq).hint("rebalance", partition).write.partitionBy(partition).parquet(f"{path}/{load}")
+        elif old:
+            _check_newer(rows, old, seq)
+            _lacking(old, rows, keys).hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(staged)
         _commit(spark, path, [(f, load, number) for f in touched])
-    remove(spark, staged)
+    if not (fresh and touched):
+        remove(spark, staged)
     return read_table(spark, path, new.schema)
 
 
+def _check_newer(rows: DataFrame, old: DataFrame, seq: str) -> None:
+    first, last = rows.agg(F.min(seq)).first()[0], old.agg(F.max(seq)).first()[0]
+    if first is not None and last is not None and first < last:
+        raise ValueError(f"rows of the table have a {seq} up to {last}, above {first} of a fresh batch")
+
+
+def _lacking(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Old rows whose keys are not among ``rows``. Sorting by a hash first seldom compares texts.
+
+    Packed files look small to Spark, so without the hint it broadcasts keys that are many times larger.
+    """
+    left = old.withColumn("_hash", F.xxhash64(*keys))
+    right = rows.select(F.xxhash64(*keys).alias("_hash"), *keys)
+    same = left["_hash"] == right["_hash"]
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[k])
+    return left.join(right.hint("merge"), same, "left_anti").drop("_hash")
+
+
 def _commit(spark: SparkSession, path: str, entries: list[tuple[str, str, int]]) -> None:
     spark.createDataFrame(entries, HELD).coalesce(1).write.mode("append").parquet(f"{path}/_log")
 

@@ -44,9 +44,10 @@ def stream_ingest_station(spark: SparkSession, landing: str, table: str, checkpo
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         order = F.struct("file_modification_time", "file_path", F.monotonically_increasing_id().alias("row"))
-        once = reshape.dedupe_keep_first(batch.withColumn("_order", order), ["record_date", "routeId", "staId"], "_order")
+        dated = batch.withColumns({"record_date": F.col("record_date").try_cast("date"), "_order": order})  # two spellings of a date are one key
+        once = reshape.dedupe_keep_first(dated, ["record_date", "routeId", "staId"], "_order")
         tall = reshape.station_wide_to_tall(once).withColumn(tables.SEQ, F.lit(batch_id))
-        tables.upsert(batch.sparkSession, table, tall, KEYS["station"], "record_date")
+        tables.upsert(batch.sparkSession, table, tall, KEYS["station"], "record_date", fresh=True)
 
     drain(pages, checkpoint, sink)
 

@@ -522,6 +522,50 @@ def test_upsert_evaluates_its_batch_once(spark, tmp_path):
     assert empty.count() == 0 and empty.columns == ["k", "v", "day", "load_seq"]
 
 
+def test_fresh_upsert_writes_its_batch_and_keeps_what_it_lacks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "k string, n int, v int, day int, load_seq int"
+    tables.upsert(spark, path, spark.createDataFrame([("a", 1, 1, 1, 1), (None, 2, 2, 1, 1), (None, None, 3, 1, 1), ("d", 4, 4, 2, 1)], schema), ["k", "n", "day"], "day", fresh=True)
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    new = spark.createDataFrame([(None, 2, 9, 1, 2), ("e", None, 5, 1, 2)], schema).mapInPandas(note, schema)
+    out = tables.upsert(spark, path, new, ["k", "n", "day"], "day", fresh=True)
+    assert sorted((str(r.k), str(r.n), r.v) for r in out.collect()) == [("None", "2", 9), ("None", "None", 3), ("a", "1", 1), ("d", "4", 4), ("e", "None", 5)]
+    assert seen.value == 2
+    with pytest.raises(ValueError, match="fresh"):
+        tables.upsert(spark, path, spark.createDataFrame([("a", 1, 7, 1, 1)], schema), ["k", "n", "day"], "day", fresh=True)
+    assert out.count() == 5 and tables.read_table(spark, path).count() == 5 and tables.vacuum(spark, path) >= 1
+    old, rows = (spark.range(9).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")) for _ in range(2))
+    assert "Broadcast" not in tables._lacking(old, rows, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_and_last_rows_shrink_before_the_shuffle_without_sorted_aggregates(spark):
+    from headway.operators.joins import first_per_key, last_per_key
+
+    rows = spark.createDataFrame([("a", "x", 2), ("a", "y", 3), ("a", "z", None), (None, "n", 1), (None, "m", 0)], "k string, v string, s int")
+    assert sorted((str(r.k), r.v) for r in first_per_key(rows, ["k"], "s").collect()) == [("None", "m"), ("a", "x")]
+    assert sorted((str(r.k), r.v) for r in last_per_key(rows, ["k"], "s").collect()) == [("None", "n"), ("a", "y")]
+    text = last_per_key(rows, ["k"], "s")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("WindowGroupLimit") == 2  # once before the exchange
+
+
+def test_stream_ingest_takes_two_spellings_of_a_date_as_one_key(spark, tmp_path):
+    from headway.schemas import STATION_FEED
+    from headway.streaming import feeds
+
+    pages = [{"record_date": d, "routeId": "r", "staId": "a", "ridePnsgerCnt00h": n} for d, n in (("2024-01-01", "1"), ("2024-1-1", "2"), ("nonsense", "3"))]
+    spark.createDataFrame([tuple(p.get(f) for f in STATION_FEED.fieldNames()) for p in pages], STATION_FEED).coalesce(1).write.json(str(tmp_path / "in/1"))
+    out = str(tmp_path / "out")
+    feeds.stream_ingest_station(spark, str(tmp_path / "in"), out, str(tmp_path / "state"))
+    got = tables.read_table(spark, out).groupBy("record_date").agg(F.count("*").alias("n"), F.sum("ride_passenger").alias("s")).collect()
+    assert sorted((str(r.record_date), r.n, r.s) for r in got) == [("2024-01-01", 24, 1), ("None", 24, 3)]
+
+
 def test_step_log_counts_a_repeated_step_once(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [
