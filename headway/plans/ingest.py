@@ -538,8 +538,8 @@ def register_upsert(key, build, measure, again, sql):
     def plan(t):
         path = scratch(t.spark, f"upsert-{key}")
         first, second = twice(build(t), again, measure)
-        tables.upsert(t.spark, path, first, keys, "record_date")
-        return tables.upsert(t.spark, path, second, keys, "record_date")
+        tables.upsert(t.spark, path, first, keys, "record_date", fresh=True)
+        return tables.upsert(t.spark, path, second, keys, "record_date", fresh=True)
 
     spec = " ".join(f"{k}:{'i' if k == 'hour' else 's'}" for k in keys)
     register(
