@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.operators.joins import first_per_key
@@ -36,14 +36,16 @@ SPEED_COLUMNS = {
 
 def unpivot_hours(wide: DataFrame, keep: dict[str, str], measures: dict[str, str], nulls: dict[str, bool]) -> DataFrame:
     """``measures`` maps a column template with ``{h}`` to a tall name. Values are read as
-    integers; those with ``nulls`` false fall back to 0, the others stay NULL."""
-    def value(template: str, name: str, h: str) -> str:
-        cell = f"try_cast(`{template.format(h=h)}` AS bigint)"
-        return cell if nulls[name] else f"coalesce({cell}, 0L)"
-
-    rows = ", ".join(f"{int(h)}, " + ", ".join(value(t, n, h) for t, n in measures.items()) for h in HH)
-    names = ", ".join(["hour", *measures.values()])
-    return wide.selectExpr(*[f"`{src}` AS {dst}" for src, dst in keep.items()], f"stack(24, {rows}) AS ({names})")
+    integers; those with ``nulls`` false fall back to 0, the others stay NULL. The casts come after
+    the explode, once for each measure: 24 of each make a method that the JVM doesn't compile."""
+    lists = [F.array(*[F.col(template.format(h=h)) for h in HH]).alias(name) for template, name in measures.items()]
+    hours = wide.select(*[F.col(src).alias(dst) for src, dst in keep.items()], *lists).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+
+    def value(name: str) -> Column:
+        cell = F.get(F.col(name), F.col("hour")).try_cast("long")
+        return (cell if nulls[name] else F.coalesce(cell, F.lit(0).cast("long"))).alias(name)
+
+    return hours.select(*keep.values(), "hour", *[value(name) for name in measures.values()])
 
 
 def _numbers(df: DataFrame, *columns: str) -> DataFrame:

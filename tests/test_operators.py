@@ -566,6 +566,18 @@ def test_stream_ingest_takes_two_spellings_of_a_date_as_one_key(spark, tmp_path)
     assert sorted((str(r.record_date), r.n, r.s) for r in got) == [("2024-01-01", 24, 1), ("None", 24, 3)]
 
 
+def test_hours_are_cast_after_the_explode(spark):
+    from headway.operators import reshape
+    from headway.schemas import STATION_FEED
+
+    wide = spark.range(1).select(*[F.lit("7" if f.startswith("a05") else None).cast("string").alias(f) for f in STATION_FEED.fieldNames()])
+    wide = wide.union(wide)
+    tall = reshape.station_wide_to_tall(wide)
+    assert tall.count() == 48 and tall.agg(F.sum("dispatch_count"), F.sum("ride_passenger")).first() == (336, 0)
+    text = tall._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("try_cast") + text.count("cast(") < 24
+
+
 def test_step_log_counts_a_repeated_step_once(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [
