@@ -2,7 +2,8 @@
 
 No builder hints a broadcast for a table that can grow: Spark compares the measured size with
 ``spark.sql.autoBroadcastJoinThreshold`` (also at run time, through AQE) and otherwise shuffles
-both sides, splitting skewed partitions.
+both sides, splitting skewed partitions. Spark estimates by the size of packed files, which rows
+of stops and hours exceed many times; ``never_broadcast`` keeps those from passing the driver.
 """
 
 from __future__ import annotations
@@ -11,13 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """For the stop-sized side of a join."""
+    return df.hint("merge")
+
+
 def in_city(sm: DataFrame) -> DataFrame:
-    return sm.filter("is_seoul").drop("is_seoul")
+    return never_broadcast(sm.filter("is_seoul").drop("is_seoul"))
 
 
 def fact_dim(facts: DataFrame, sm: DataFrame, stops: DataFrame) -> DataFrame:
     """Facts of stops that are mapped to the city and present in the stop table."""
-    return facts.join(in_city(sm), "node_id").join(stops, "node_id")
+    return facts.join(in_city(sm), "node_id").join(never_broadcast(stops), "node_id")
 
 
 def section_ends(sections: DataFrame, *measures: str) -> DataFrame:

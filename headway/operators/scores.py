@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from headway.functions.calendar import is_tourism_hour, is_weekend, month_filter, vulnerable_band
 from headway.functions.numbers import cap_one, decimal_round
-from headway.operators.joins import hours_grid, one_row, section_ends
+from headway.operators.joins import hours_grid, never_broadcast, one_row, section_ends
 
 OTHER_DISTRICT = "기타"
 CORE_HOURS = [9, 14, 18]
@@ -83,7 +83,7 @@ def commuter_ru(sections: DataFrame, shp: DataFrame, sm: DataFrame, month: str)
         section_ends(in_month(sections, month), "passenger_count")
         .groupBy(F.col("node_id").alias("station_id"))
         .agg(F.sum("passenger_count").alias("through"))
-        .join(sm.select(F.col("node_id").alias("station_id")), "station_id", "left_semi")
+        .join(never_broadcast(sm.select(F.col("node_id").alias("station_id"))), "station_id", "left_semi")
     )
     rides = (
         pattern_month(shp, month, "weekday")
@@ -100,8 +100,8 @@ def commuter_ru(sections: DataFrame, shp: DataFrame, sm: DataFrame, month: str)
     t, r = F.col("through"), F.col("rides")
     return (
         sm.select(F.col("node_id").alias("station_id"))
-        .join(through, "station_id", "left")
-        .join(rides, "station_id", "left")
+        .join(never_broadcast(through), "station_id", "left")
+        .join(never_broadcast(rides), "station_id", "left")
         .select(
             "station_id",
             F.coalesce(t, F.lit(0)).alias("section_passenger_sum"),
@@ -116,9 +116,9 @@ def commuter_ru(sections: DataFrame, shp: DataFrame, sm: DataFrame, month: str)
 def commuter_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: DataFrame, month: str) -> DataFrame:
     grid = _grid(pattern_month(shp, month, "weekday"))
     parts = (
-        grid.join(commuter_tc(sph, month), ["station_id", "hour_of_day"], "left")
-        .join(commuter_pdr(shp, month), ["station_id", "hour_of_day"], "left")
-        .join(commuter_ru(sections, shp, sm, month), "station_id", "left")
+        grid.join(never_broadcast(commuter_tc(sph, month)), ["station_id", "hour_of_day"], "left")
+        .join(never_broadcast(commuter_pdr(shp, month)), ["station_id", "hour_of_day"], "left")
+        .join(never_broadcast(commuter_ru(sections, shp, sm, month)), "station_id", "left")
     )
     zero = ["avg_dispatch_count", "max_daily_dispatch", "avg_traffic_count", "max_daily_traffic", "section_passenger_sum"]
     return _finish(parts, month, "commuter", zero)
@@ -162,8 +162,8 @@ def hourly_load(sections: DataFrame, sph: DataFrame, sm: DataFrame, month: str,
     keys = ["station_id", "hour_of_day"]
     grid = hours_grid(sm.select(F.col("node_id").alias("station_id"))).withColumnRenamed("hour", "hour_of_day")
     return (
-        grid.join(through, keys, "left")
-        .join(rides, keys, "left")
+        grid.join(never_broadcast(through), keys, "left")
+        .join(never_broadcast(rides), keys, "left")
         .select(*keys, F.coalesce(F.col("through").cast("double"), F.col("rides"), F.lit(0.0)).alias("raw_passengers"))
     )
 
@@ -178,9 +178,9 @@ def tourism_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: Data
     keys = ["station_id", "hour_of_day"]
     parts = (
         _grid(pattern_month(shp, month, "weekend"))
-        .join(tourism_tc(sph, month), keys, "left")
-        .join(tourism_tdr(shp, month), keys, "left")
-        .join(tourism_ru(sections, sph, sm, month), keys, "left")
+        .join(never_broadcast(tourism_tc(sph, month)), keys, "left")
+        .join(never_broadcast(tourism_tdr(shp, month)), keys, "left")
+        .join(never_broadcast(tourism_ru(sections, sph, sm, month)), keys, "left")
         .withColumns(
             {
                 "section_passenger_density": F.coalesce(F.col("raw_passengers") / 1000.0, F.lit(0.0)),
@@ -237,7 +237,7 @@ def vulnerable_sed(shp: DataFrame, month: str) -> DataFrame:
 
 def vulnerable_mdi(sections: DataFrame, sph: DataFrame, shp: DataFrame, sm: DataFrame, month: str) -> DataFrame:
     seen = pattern_month(shp, month).select(F.col("station_id").alias("node_id"))
-    known = sm.join(seen, "node_id", "left_semi")
+    known = sm.join(never_broadcast(seen), "node_id", "left_semi")
     weight = F.when(_is_vulnerable(F.col("hour_of_day")), 0.3).otherwise(0.7)
     return hourly_load(sections, sph, known, month, None).withColumn(
         "mdi_t_score", (1000 - F.least("raw_passengers", F.lit(1000.0))) / 1000.0 * weight
@@ -248,9 +248,9 @@ def vulnerable_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: D
     keys = ["station_id", "hour_of_day"]
     parts = (
         _grid(pattern_month(shp, month))
-        .join(vulnerable_var(sph, month), keys, "left")
-        .join(vulnerable_sed(shp, month), keys, "left")
-        .join(vulnerable_mdi(sections, sph, shp, sm, month), keys, "left")
+        .join(never_broadcast(vulnerable_var(sph, month)), keys, "left")
+        .join(never_broadcast(vulnerable_sed(shp, month)), keys, "left")
+        .join(never_broadcast(vulnerable_mdi(sections, sph, shp, sm, month)), keys, "left")
         .withColumns(
             {
                 "section_passenger_count": F.coalesce("raw_passengers", F.lit(0.0)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.calendar import day_type, days_present, hours_present, month_bucket, month_filter
-from headway.operators.joins import in_city
+from headway.operators.joins import in_city, never_broadcast
 
 NO_DONG = "정보없음"
 
@@ -122,7 +122,7 @@ def station_monthly_traffic(sph: DataFrame, sm: DataFrame, stops: DataFrame, mon
     )
     return (
         per_stop.join(in_city(sm), "node_id")
-        .join(stops, "node_id")
+        .join(never_broadcast(stops), "node_id")
         .select(
             "month_date",
             "sgg_code",
@@ -173,7 +173,7 @@ def station_hourly_patterns(sph: DataFrame, sm: DataFrame, stops: DataFrame, mon
     )
     return (
         per_stop.join(in_city(sm), "node_id")
-        .join(stops, "node_id")
+        .join(never_broadcast(stops), "node_id")
         .select(
             "month_date",
             "day_type",
