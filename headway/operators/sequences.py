@@ -219,7 +219,8 @@ def strided_samples(grid: HourGrid, value: str, hours: int = 6, days: int = 3, w
     """Day points oldest first and seven daily points per week; only where all points exist."""
 
     def columns(cut, t):
-        daily = lambda n: F.when(t >= 24 * n, F.flatten(F.array(*[cut(value, t - 24 * d, 1) for d in range(n, 0, -1)])))
+        point = lambda at: F.get(F.col(value), (at - F.col("start")).cast("int"))
+        daily = lambda n: F.when(t >= 24 * n, F.array(*[point(t - 24 * d) for d in range(n, 0, -1)]))
         return {
             "hour_sample": F.when(t >= hours, cut(value, t - hours, hours)),
             "day_sample": daily(days),

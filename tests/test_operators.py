@@ -212,6 +212,13 @@ def test_strided_and_periodic(ramp):
     assert s[180].week_sample == [12.0 + 24 * i for i in range(7)]
 
 
+def test_strided_points_are_read_without_slices(ramp):
+    got = sequences.strided_samples(ramp, "v")
+    row = got.filter("stop_id = 'a' AND t_idx = 72").first()
+    assert row.day_sample == [0.0, 24.0, 48.0] and row.week_sample is None
+    assert "flatten(array(slice" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_split_of_eleven(spark):
     df = spark.createDataFrame([("a", i) for i in range(11)], "stop_id string, t_idx int")
     got = [r.split for r in sequences.temporal_split(df).orderBy("t_idx").collect()]
