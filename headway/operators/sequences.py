@@ -112,6 +112,11 @@ class HourGrid:
         filled = F.transform("s", lambda x, i: F.concat(F.array(x[value]), zeros(following(i + 1) - x["t_idx"] - 1)))
         return F.concat(zeros(following(F.lit(0)) - F.col("start")), F.flatten(filled))
 
+    def spans(self, first: int = 0, ahead: int = 0) -> DataFrame:
+        """stop_id and the first and last hour (lo, hi) of its ``sequences``, known without making them."""
+        lo, hi = F.lit(first).cast("int").alias("lo"), F.lit(self.last - ahead).cast("int").alias("hi")
+        return self.known.select("stop_id").distinct().select("stop_id", lo, hi).filter("lo <= hi")
+
     def at(self, t: Column) -> Column:
         return F.lit(self.first).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), t.cast("int"))
 
@@ -166,9 +171,15 @@ def pivot_feature_matrix(grid: DataFrame, values: list[str]) -> DataFrame:
     return grid.selectExpr("stop_id", "t_idx", f"stack({len(values)}, {pairs}) AS (feature, value)")
 
 
-def multi_scale_sequences(grid: HourGrid, inputs: list[str], target: str) -> DataFrame:
-    """Arrays of the last 6 and 24 hours, the same 24 hours a week back, and the next 24 targets."""
-    scales = {"hour": (HOUR_LEN, HOUR_LEN), "day": (DAY_LEN, DAY_LEN), "week": (WEEK_BACK, WEEK_LEN)}
+SCALES = {"hour": (HOUR_LEN, HOUR_LEN), "day": (DAY_LEN, DAY_LEN), "week": (WEEK_BACK, WEEK_LEN)}
+
+
+def multi_scale_sequences(grid: HourGrid, inputs: list[str], target: str, names: tuple[str, ...] = tuple(SCALES)) -> DataFrame:
+    """Arrays of the last 6 and 24 hours, the same 24 hours a week back, and the next 24 targets.
+
+    With ``names``, only the input arrays of these scales are made; the rows are the same.
+    """
+    scales = {s: SCALES[s] for s in names}
 
     def columns(cut, t):
         arrays = {f"{v}_{s}": cut(v, t - back, n) for v in inputs for s, (back, n) in scales.items()}
@@ -235,9 +246,13 @@ def sliding_windows(grid: HourGrid, value: str, history: int = 6, horizon: int =
     return grid.sequences(lambda cut, t: {"x": cut(value, t - history, history), "y": cut(value, t, horizon)}, history, horizon, first=history, ahead=horizon - 1)
 
 
-def temporal_split(samples: DataFrame, train: float = 0.6, valid: float = 0.2) -> DataFrame:
-    """Ordered split of the anchor times: cut points are truncated shares of their number."""
-    span = one_row(samples.agg(F.min("t_idx").alias("lo"), F.max("t_idx").alias("hi")), "lo", "hi")
+def temporal_split(samples: DataFrame, train: float = 0.6, valid: float = 0.2, spans: DataFrame | None = None) -> DataFrame:
+    """Ordered split of the anchor times: cut points are truncated shares of their number.
+
+    ``spans`` (lo, hi) states the anchor times, if they are known; else the samples are made once more to find them.
+    """
+    ends = samples.agg(F.min("t_idx").alias("lo"), F.max("t_idx").alias("hi")) if spans is None else spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    span = one_row(ends, "lo", "hi")
     n = span["hi"] - span["lo"] + 1
     idx = F.col("t_idx") - span["lo"]
     first, second = F.floor(n * train), F.floor(n * (train + valid))
@@ -277,10 +292,16 @@ def merge_monthly_sequences(parts: list[DataFrame]) -> DataFrame:
     return kept.join(F.broadcast(offsets), "part").withColumn("sample_idx", F.col("offset") + F.col("t_idx") - F.col("t0")).drop("t0", "offset")
 
 
-def forecast_error(samples: DataFrame, predicted: str, actual: str, batch: int = 32) -> DataFrame:
-    """Mean of per-batch mean squared errors, and its root."""
-    squares = F.zip_with(predicted, actual, lambda p, a: (p - a) * (p - a))
-    total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+def forecast_error(samples: DataFrame, predicted: str, actual: str, batch: int = 32, steps: int | None = None) -> DataFrame:
+    """Mean of per-batch mean squared errors, and its root.
+
+    Where all arrays have ``steps`` values, the squares are added without a fold; the order of adding is the same.
+    """
+    square = lambda p, a: (p - a) * (p - a)
+    if steps is None:
+        total = F.aggregate(F.zip_with(predicted, actual, square), F.lit(0.0), lambda s, x: s + x)
+    else:
+        total = reduce(lambda s, k: s + square(F.get(predicted, F.lit(k)), F.get(actual, F.lit(k))), range(steps), F.lit(0.0))
     losses = (
         samples.select(F.floor(F.col("sample_idx") / batch).alias("batch"), total.alias("sq"), F.size(actual).alias("n"))
         .groupBy("batch")

@@ -386,12 +386,19 @@ register(
        FROM commonst AS c JOIN usage AS u ON c.stop_id = u.stop_id
        JOIN span ON p = CASE WHEN day(recorded_at) <= 10 THEN 0 WHEN day(recorded_at) <= 20 THEN 1 ELSE 2 END GROUP BY c.stop_id""",
 )
+
+
+def forecast(t):
+    held = hourly(t)
+    samples = seq.multi_scale_sequences(held, ["boarding_count"], "boarding_count", names=("day",))
+    anchors = held.spans(first=seq.WEEK_BACK, ahead=seq.HORIZON - 1)
+    return seq.forecast_error(seq.temporal_split(samples, spans=anchors), "boarding_count_day", "y", 32, seq.HORIZON)
+
+
 register(
     "forecast_error",
     "mse:f6 rmse:f6",
-    lambda t: seq.forecast_error(
-        seq.temporal_split(seq.multi_scale_sequences(hourly(t), ["boarding_count"], "boarding_count")), "boarding_count_day", "y", 32
-    ),
+    forecast,
     f"""SELECT avg(loss) AS mse, sqrt(avg(loss)) AS rmse FROM (
        SELECT (t_idx - 168) // 32 AS batch, avg((e - lagged) ** 2) AS loss FROM (
          SELECT t_idx, unnest(d) AS e, unnest(b) AS lagged FROM (
