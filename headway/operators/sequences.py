@@ -282,13 +282,23 @@ def common_stops(rows: DataFrame, period: str) -> DataFrame:
     return rows.groupBy("stop_id").agg(F.countDistinct(period).alias("n")).filter(F.col("n") == periods).select("stop_id")
 
 
-def merge_monthly_sequences(parts: list[DataFrame]) -> DataFrame:
-    """Per-period sequences of the common stops, placed one after the other in time."""
-    marked = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
-    kept = marked.join(common_stops(marked, "part"), "stop_id", "left_semi")
-    sizes = kept.groupBy("part").agg((F.max("t_idx") - F.min("t_idx") + 1).alias("n"), F.min("t_idx").alias("t0"))
+def merge_monthly_sequences(parts: list[DataFrame], spans: list[DataFrame] | None = None) -> DataFrame:
+    """Per-period sequences of the common stops, placed one after the other in time.
+
+    ``spans`` has the first and last hour (stop_id, lo, hi) of each stop's sequences in each period, if they are
+    known; else one pass over the sequences finds them. One row per stop and period is written.
+    """
+    mark = lambda frames: reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(frames)])
+    marked = mark(parts)
+    found = marked.groupBy("part", "stop_id").agg(F.min("t_idx").alias("lo"), F.max("t_idx").alias("hi")) if spans is None else mark(spans)
+    path = scratch(marked.sparkSession, "sequence-spans")
+    found.write.parquet(path)
+    found = marked.sparkSession.read.schema(found.schema).parquet(path)
+    common = common_stops(found, "part")
+    sizes = found.join(common, "stop_id", "left_semi").groupBy("part").agg((F.max("hi") - F.min("lo") + 1).alias("n"), F.min("lo").alias("t0"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per period
     offsets = sizes.select("part", "t0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    kept = marked.join(common, "stop_id", "left_semi")
     return kept.join(F.broadcast(offsets), "part").withColumn("sample_idx", F.col("offset") + F.col("t_idx") - F.col("t0")).drop("t0", "offset")
 
 

@@ -355,10 +355,11 @@ register(
 
 
 def thirds(t):
-    """Sequences of three periods of the month, each with its own time index."""
+    """Sequences of three periods of the month, each with its own time index, and their spans."""
     d = F.dayofmonth("recorded_at")
     cuts = [d <= 10, d.between(11, 20), d > 20]
-    return [seq.sliding_windows(seq.hour_grid(t.usage.filter(c), ["boarding_count"]), "boarding_count") for c in cuts]
+    grids = [seq.hour_grid(t.usage.filter(c), ["boarding_count"]) for c in cuts]
+    return [seq.sliding_windows(g, "boarding_count") for g in grids], [g.spans(first=seq.HOUR_LEN) for g in grids]
 
 
 define(
@@ -375,7 +376,7 @@ register(
 register(
     "merge_monthly_sequences",
     "stop_id:s samples:i first_sample:i last_sample:i boardings:i",
-    lambda t: seq.merge_monthly_sequences(thirds(t)).groupBy("stop_id").agg(
+    lambda t: seq.merge_monthly_sequences(*thirds(t)).groupBy("stop_id").agg(
         F.count(F.lit(1)).alias("samples"), F.min("sample_idx").alias("first_sample"), F.max("sample_idx").alias("last_sample"),
         F.sum(F.col("y")[0]).alias("boardings"),
     ),
