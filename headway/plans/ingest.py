@@ -19,7 +19,7 @@ from headway.functions.numbers import sum_if
 from headway.operators import cleansing, od, reshape, views
 from headway.operators.joins import one_row
 from headway.plans.registry import define, register
-from headway.plans.stored import monthly_views, store, stored
+from headway.plans.stored import ensure, monthly_views, store, stored
 from headway.schemas import HH, KEYS, OD_CSV_COLUMNS, ROUTE_HEADERS, ROUTE_STOP_HEADERS, STATION_FEED, STOP_HEADERS
 from headway.session import scratch
 from headway.sources import files, stored_views, tables
@@ -672,13 +672,15 @@ SCORE_TABLES = ("commuter_scores", "tourism_scores", "vulnerable_scores")
 def month_twice(t):
     """Load January and February of all score tables and the OD summary, then replace January only."""
     views_ = stored_views.MonthlyViews(t.spark, scratch(t.spark, "replaced"), "replaced_" + uuid.uuid4().hex[:12], monthly_views(t))
+    names = (*SCORE_TABLES, "monthly_od_summary")
+    ensure(t, names)
+    january = {name: stored(t, name) for name in names}
+    half = {name: "appearance_days % 2 = 0" if name == "monthly_od_summary" else "hour_of_day < 12" for name in names}
+    february = {name: rows.withColumn("analysis_month", F.lit(FEBRUARY).cast("date")) for name, rows in january.items()}
+    views_.replace_all({(name, MONTH): rows for name, rows in january.items()} | {(name, FEBRUARY): rows for name, rows in february.items()})
+    views_.replace_all({(name, MONTH): rows.filter(half[name]) for name, rows in january.items()})
     parts = []
-    for name in (*SCORE_TABLES, "monthly_od_summary"):
-        january = stored(t, name)
-        half = "appearance_days % 2 = 0" if name == "monthly_od_summary" else "hour_of_day < 12"
-        views_.replace(name, MONTH, january)
-        views_.replace(name, FEBRUARY, january.withColumn("analysis_month", F.lit(FEBRUARY).cast("date")))
-        views_.replace(name, MONTH, january.filter(half))
+    for name in names:
         rows = views_.read(name)
         if name == "monthly_od_summary":
             rows = rows.select(F.concat_ws("-", "from_station_id", "to_station_id").alias("key"), F.lit(0).alias("hour"), F.col("drt_priority_score").alias("score"), "analysis_month")

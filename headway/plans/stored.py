@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
 from headway.functions.calendar import month_filter
@@ -74,6 +76,11 @@ def store(t) -> MonthlyViews:
     return held
 
 
+def ensure(t, names: Iterable[str], month: str = MONTH) -> None:
+    """Build what is missing of a month of these views together, side by side where they don't wait for each other."""
+    store(t).ensure_all(names, month)
+
+
 def stored(t, name: str, month: str = MONTH) -> DataFrame:
     """One stored month of a view."""
     return t.built(f"stored {name} {month}", lambda: store(t).ensure(name, month))

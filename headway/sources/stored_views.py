@@ -176,7 +176,13 @@ class MonthlyViews:
 
     def replace(self, name: str, month: str, rows: DataFrame, source: str = "") -> None:
         """Swap in the given rows as one month of a view; other months and views stay."""
-        self._commit({(name, month): self._write(self._by_name[name], month, rows)}, {month: source})
+        self.replace_all({(name, month): rows}, source)
+
+    def replace_all(self, rows: dict[tuple[str, str], DataFrame], source: str = "") -> None:
+        """Swap in rows of several (view, month), written side by side; all become visible with one commit."""
+        with ThreadPoolExecutor(JOBS) as jobs:
+            paths = list(jobs.map(lambda key: self._write(self._by_name[key[0]], key[1], rows[key]), rows))
+        self._commit(dict(zip(rows, paths, strict=True)), {month: source for _, month in rows})
 
     def _of(self, staged: dict[tuple[str, str], str], name: str, month: str) -> DataFrame:
         if (name, month) not in staged:
@@ -193,11 +199,15 @@ class MonthlyViews:
         if not staged:
             return
         seq = 1 + max((r["seq"] for r in self.held.values()), default=0)
-        entries = []
-        for (name, month), path in staged.items():
-            view, data = self._by_name[name], self.spark.read.parquet(path)
+
+        def entry(key: tuple[str, str]) -> tuple:
+            name, month = key
+            view, data = self._by_name[name], self.spark.read.parquet(staged[key])
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields)
-            entries.append((name, dt.date.fromisoformat(month), seq, path, ",".join(view.reads), view.refresh, prints.get(month, ""), data.count(), columns, view.month_column))
+            return (name, dt.date.fromisoformat(month), seq, staged[key], ",".join(view.reads), view.refresh, prints.get(month, ""), data.count(), columns, view.month_column)
+
+        with ThreadPoolExecutor(JOBS) as jobs:
+            entries = list(jobs.map(entry, staged))
         log = self.spark.createDataFrame(entries, LOG).coalesce(1)
         log.write.mode("append").parquet(f"{self.root}/_log")
         for row in entries:

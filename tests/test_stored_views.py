@@ -140,3 +140,11 @@ def test_stored_questions_follow_the_events(spark, tmp_path):
     first = total()
     events.filter("event_id % 2 = 0").write.mode("append").parquet(path)
     assert total() == 2 * first
+
+
+def test_several_months_are_replaced_by_one_commit(spark, held):
+    new = lambda month, n: spark.createDataFrame([(dt.date.fromisoformat(month), "c", n)], "month date, stop string, n bigint")
+    held.replace_all({("totals", JAN): new(JAN, 4), ("totals", MAR): new(MAR, 6)}, "by hand")
+    assert totals(held) == [(JAN, "c", "4"), (FEB, "a", "8"), (MAR, "c", "6")]
+    last = held.log().filter("source = 'by hand'").collect()
+    assert len(last) == 2 and len({r.seq for r in last}) == 1 and sorted(r.rows for r in last) == [1, 1]
