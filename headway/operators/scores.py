@@ -51,6 +51,15 @@ def dispatch_hours(sph: DataFrame, month: str, day: str | None) -> DataFrame:
     )
 
 
+def station_hours(sph: DataFrame, month: str, day: str | None) -> DataFrame:
+    """Mean dispatches and mean passengers of each stop and hour, in one pass over the facts."""
+    return (
+        in_month(sph, month, day)
+        .groupBy(F.col("node_id").alias("station_id"), F.col("hour").alias("hour_of_day"))
+        .agg(F.avg("dispatch_count").alias("avg_dispatch_count"), F.avg(F.col("ride_passenger") + F.col("alight_passenger")).alias("rides"))
+    )
+
+
 def traffic_per_day(shp: DataFrame, month: str, day: str) -> DataFrame:
     """Whole passengers per operating day (integer division)."""
     return pattern_month(shp, month, day).select(
@@ -125,8 +134,12 @@ def commuter_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: Dat
 
 
 def tourism_tc(sph: DataFrame, month: str) -> DataFrame:
+    return _tourism_tc(dispatch_hours(sph, month, "weekend"))
+
+
+def _tourism_tc(hours: DataFrame) -> DataFrame:
     share = _share("avg_dispatch_count", F.col("max_daily_dispatch"))
-    return dispatch_hours(sph, month, "weekend").withColumn(
+    return hours.withColumn(
         "max_daily_dispatch", F.max("avg_dispatch_count").over(_by_station())
     ).withColumn("tc_t_score", _tourism_boost(share, 1.2))
 
@@ -147,40 +160,49 @@ def hourly_load(sections: DataFrame, sph: DataFrame, sm: DataFrame, month: str,
 
     With ``day`` set, only dates of that kind that also occur in the station facts count.
     """
-    own = in_month(sph, month, day)
+    rides = station_hours(sph, month, day).drop("avg_dispatch_count")
+    keys = ["station_id", "hour_of_day"]
+    grid = hours_grid(sm.select(F.col("node_id").alias("station_id"))).withColumnRenamed("hour", "hour_of_day")
+    return (
+        grid.join(never_broadcast(_through(sections, sph, month, day)), keys, "left")
+        .join(never_broadcast(rides), keys, "left")
+        .select(*keys, _raw_passengers().alias("raw_passengers"))
+    )
+
+
+def _through(sections: DataFrame, sph: DataFrame, month: str, day: str | None) -> DataFrame:
     links = in_month(sections, month, day)
     if day is not None:
-        links = links.join(own.select("record_date").distinct(), "record_date", "left_semi")
-    through = (
+        links = links.join(in_month(sph, month, day).select("record_date").distinct(), "record_date", "left_semi")
+    return (
         section_ends(links, "hour", "passenger_count")
         .groupBy(F.col("node_id").alias("station_id"), F.col("hour").alias("hour_of_day"))
         .agg(F.sum("passenger_count").alias("through"))
     )
-    rides = own.groupBy(F.col("node_id").alias("station_id"), F.col("hour").alias("hour_of_day")).agg(
-        F.avg(F.col("ride_passenger") + F.col("alight_passenger")).alias("rides")
-    )
-    keys = ["station_id", "hour_of_day"]
-    grid = hours_grid(sm.select(F.col("node_id").alias("station_id"))).withColumnRenamed("hour", "hour_of_day")
-    return (
-        grid.join(never_broadcast(through), keys, "left")
-        .join(never_broadcast(rides), keys, "left")
-        .select(*keys, F.coalesce(F.col("through").cast("double"), F.col("rides"), F.lit(0.0)).alias("raw_passengers"))
-    )
+
+
+def _raw_passengers() -> Column:
+    return F.coalesce(F.col("through").cast("double"), F.col("rides"), F.lit(0.0))
 
 
 def tourism_ru(sections: DataFrame, sph: DataFrame, sm: DataFrame, month: str) -> DataFrame:
+    return hourly_load(sections, sph, sm, month, "weekend").withColumn("ru_t_score", _tourism_ru())
+
+
+def _tourism_ru() -> Column:
     factor = F.when(is_tourism_hour(F.col("hour_of_day")), 0.6).otherwise(0.4)
-    score = F.when(F.col("raw_passengers") > 0, cap_one(F.col("raw_passengers") / 1000.0 * factor)).otherwise(0.0)
-    return hourly_load(sections, sph, sm, month, "weekend").withColumn("ru_t_score", score)
+    return F.when(F.col("raw_passengers") > 0, cap_one(F.col("raw_passengers") / 1000.0 * factor)).otherwise(0.0)
 
 
 def tourism_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: DataFrame, month: str) -> DataFrame:
     keys = ["station_id", "hour_of_day"]
     parts = (
-        _grid(pattern_month(shp, month, "weekend"))
-        .join(never_broadcast(tourism_tc(sph, month)), keys, "left")
+        _mapped_grid(pattern_month(shp, month, "weekend"), sm)
+        .join(never_broadcast(_tourism_tc(station_hours(sph, month, "weekend"))), keys, "left")
         .join(never_broadcast(tourism_tdr(shp, month)), keys, "left")
-        .join(never_broadcast(tourism_ru(sections, sph, sm, month)), keys, "left")
+        .join(never_broadcast(_through(sections, sph, month, "weekend")), keys, "left")
+        .withColumn("raw_passengers", F.when(F.col("mapped"), _raw_passengers()))
+        .withColumn("ru_t_score", _tourism_ru())
         .withColumns(
             {
                 "section_passenger_density": F.coalesce(F.col("raw_passengers") / 1000.0, F.lit(0.0)),
@@ -201,13 +223,17 @@ def _is_vulnerable(hour: Column) -> Column:
 
 
 def vulnerable_var(sph: DataFrame, month: str) -> DataFrame:
+    return _vulnerable_var(dispatch_hours(sph, month, None))
+
+
+def _vulnerable_var(hours: DataFrame) -> DataFrame:
     hour = F.col("hour_of_day")
     total = F.sum(F.when(_is_vulnerable(hour), F.col("avg_dispatch_count"))).over(_by_station())
     share = _share("avg_dispatch_count", F.col("vulnerable_total_dispatch"))
     boosted = F
     for band, factor in BAND_FACTOR.items():
         boosted = boosted.when(_band(hour) == band, cap_one(share * factor))
-    return dispatch_hours(sph, month, None).withColumn("vulnerable_total_dispatch", total).withColumn(
+    return hours.withColumn("vulnerable_total_dispatch", total).withColumn(
         "var_t_score", boosted.otherwise(share)
     )
 
@@ -236,21 +262,25 @@ def vulnerable_sed(shp: DataFrame, month: str) -> DataFrame:
 
 
 def vulnerable_mdi(sections: DataFrame, sph: DataFrame, shp: DataFrame, sm: DataFrame, month: str) -> DataFrame:
-    seen = pattern_month(shp, month).select(F.col("station_id").alias("node_id"))
+    seen = pattern_month(shp, month).select(F.col("station_id").alias("node_id")).distinct()
     known = sm.join(never_broadcast(seen), "node_id", "left_semi")
+    return hourly_load(sections, sph, known, month, None).withColumn("mdi_t_score", _vulnerable_mdi())
+
+
+def _vulnerable_mdi() -> Column:
     weight = F.when(_is_vulnerable(F.col("hour_of_day")), 0.3).otherwise(0.7)
-    return hourly_load(sections, sph, known, month, None).withColumn(
-        "mdi_t_score", (1000 - F.least("raw_passengers", F.lit(1000.0))) / 1000.0 * weight
-    )
+    return (1000 - F.least("raw_passengers", F.lit(1000.0))) / 1000.0 * weight
 
 
 def vulnerable_scores(sph: DataFrame, sections: DataFrame, shp: DataFrame, sm: DataFrame, month: str) -> DataFrame:
     keys = ["station_id", "hour_of_day"]
     parts = (
-        _grid(pattern_month(shp, month))
-        .join(never_broadcast(vulnerable_var(sph, month)), keys, "left")
+        _mapped_grid(pattern_month(shp, month), sm)
+        .join(never_broadcast(_vulnerable_var(station_hours(sph, month, None))), keys, "left")
         .join(never_broadcast(vulnerable_sed(shp, month)), keys, "left")
-        .join(never_broadcast(vulnerable_mdi(sections, sph, shp, sm, month)), keys, "left")
+        .join(never_broadcast(_through(sections, sph, month, None)), keys, "left")
+        .withColumn("raw_passengers", F.when(F.col("mapped"), _raw_passengers()))
+        .withColumn("mdi_t_score", F.when(F.col("mapped"), _vulnerable_mdi()))
         .withColumns(
             {
                 "section_passenger_count": F.coalesce("raw_passengers", F.lit(0.0)),
@@ -267,6 +297,13 @@ def _grid(patterns: DataFrame) -> DataFrame:
     return hours_grid(patterns.select("station_id").distinct()).withColumnRenamed("hour", "hour_of_day")
 
 
+def _mapped_grid(patterns: DataFrame, sm: DataFrame) -> DataFrame:
+    """The grid, with ``mapped`` where the stop has a district; only stops with patterns come in."""
+    mapped = sm.select(F.col("node_id").alias("station_id"), F.lit(True).alias("mapped"))
+    stops = patterns.select("station_id").distinct().join(never_broadcast(mapped), "station_id", "left")
+    return hours_grid(stops).withColumnRenamed("hour", "hour_of_day")
+
+
 def _finish(parts: DataFrame, month: str, model: str, zero: list[str], extra: list[str] = ()) -> DataFrame:
     """Missing parts are 0; the total uses the unrounded parts."""
     weights = WEIGHTS[model]

@@ -212,6 +212,20 @@ def test_strided_and_periodic(ramp):
     assert s[180].week_sample == [12.0 + 24 * i for i in range(7)]
 
 
+def test_scores_of_stops_without_a_district(spark):
+    day = dt.date(2024, 1, 6)  # a Saturday
+    sph = spark.createDataFrame([(day, "r", n, 9, 2, 30, 10) for n in ("1", "2", "3")], "record_date date, route_id string, node_id string, hour int, dispatch_count bigint, ride_passenger bigint, alight_passenger bigint")
+    sections = spark.createDataFrame([(day, "1", "4", 9, 500)], "record_date date, from_node_id string, to_node_id string, hour int, passenger_count bigint")
+    shp = spark.createDataFrame([(dt.date(2024, 1, 1), "weekend", n, "D", 9, 30, 10, 1) for n in ("1", "2", "3")], "month_date date, day_type string, station_id string, district_name string, hour int, total_ride bigint, total_alight bigint, operating_days bigint")
+    sm = spark.createDataFrame([("1",), ("2",), ("4",)], "node_id string")  # 3 is unmapped, 4 has no patterns
+    for model, value, nine in ((scores.vulnerable_scores, "section_passenger_count", [500.0, 40.0, 0.0]), (scores.tourism_scores, "section_passenger_density", [0.5, 0.04, 0.0])):
+        rows = model(sph, sections, shp, sm, "2024-01-01").orderBy("station_id", "hour_of_day").collect()
+        assert [(r.station_id, r.hour_of_day) for r in rows] == [(n, h) for n in ("1", "2", "3") for h in range(24)]
+        assert [r[value] for r in rows if r.hour_of_day == 9] == nine
+    mdi = {(r.station_id, r.hour_of_day): r.mdi_t_score for r in scores.vulnerable_scores(sph, sections, shp, sm, "2024-01-01").collect()}
+    assert mdi["1", 9] == pytest.approx(0.15) and mdi["2", 0] == pytest.approx(0.7) and mdi["3", 0] == 0
+
+
 def test_strided_points_are_read_without_slices(ramp):
     got = sequences.strided_samples(ramp, "v")
     row = got.filter("stop_id = 'a' AND t_idx = 72").first()

@@ -93,3 +93,14 @@ def test_scores_broadcast_no_stops(spark):
         joins = [line for line in plan(model(t.sph, t.sections, shp, t.sm, MONTH)).split("\n") if "Join" in line]
         assert any("SortMergeJoin" in line for line in joins)
         assert not [line for line in joins if "Broadcast" in line and ("station_id#" in line or "node_id#" in line)]
+
+
+def test_scores_group_a_month_once(spark):
+    from headway.operators import scores, views
+    from headway.sources.mapping import MONTH, TransitTables
+
+    t = TransitTables(spark, SF)
+    shp = views.station_hourly_patterns(t.sph, t.sm, t.stops, MONTH).localCheckpoint()
+    for model in (scores.tourism_scores, scores.vulnerable_scores):
+        joins = [line for line in plan(model(t.sph, t.sections, shp, t.sm, MONTH)).split("\n") if "Join" in line]
+        assert len([line for line in joins if "hour_of_day" in line]) == 3
