@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from threading import Lock
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from headway.functions.calendar import month_filter
 from headway.operators import od, scores, views
@@ -17,14 +19,31 @@ DIMENSIONS = ("customer", "nation", "supplier")
 _OPEN: dict[tuple[str, str], tuple[tuple[str, str], MonthlyViews]] = {}
 
 
+def month_rows(label: str, rows: DataFrame) -> Callable[[str], DataFrame]:
+    """Gives one month of a base table; the first view that asks derives and writes it for all views, also from other threads."""
+    held: dict[str, DataFrame] = {}
+    lock = Lock()
+
+    def of(month: str) -> DataFrame:
+        with lock:
+            if month not in held:
+                path = scratch(rows.sparkSession, f"month-{label}")
+                rows.filter(month_filter(rows["record_date"], month)).write.parquet(path)
+                held[month] = rows.sparkSession.read.schema(rows.schema).parquet(path)
+            return held[month]
+
+    return of
+
+
 def monthly_views(t, sph: DataFrame | None = None, od_wide: DataFrame | None = None) -> list[View]:
     """Base views, score tables and OD summary; ``sph`` and ``od_wide`` may stand for those of ``t``."""
-    facts = t.sph if sph is None else sph
+    facts = month_rows("facts", t.sph if sph is None else sph)
+    sections = month_rows("sections", t.sections)
     trips = t.od_wide if od_wide is None else od_wide
     hourly = "station_hourly_patterns"
 
     def score(build):
-        return lambda read, m: build(facts, t.sections, read(hourly), t.sm, m)
+        return lambda read, m: build(facts(m), sections(m), read(hourly), t.sm, m)
 
     def summary(read, m):
         routes = od.collect_routes_per_stop(t.route_stops, t.routes)
@@ -32,11 +51,11 @@ def monthly_views(t, sph: DataFrame | None = None, od_wide: DataFrame | None = N
         return od.monthly_od_summary(daily, t.stops, month=m)
 
     return [
-        View("hourly_traffic_patterns", "month_date", lambda read, m: views.hourly_traffic_patterns(facts.filter(month_filter(facts["record_date"], m)), t.sm), ("station_passenger_history",)),
-        View("district_monthly_traffic", "month_date", lambda read, m: views.district_monthly_traffic(facts, t.sm, m), ("station_passenger_history",)),
-        View("station_monthly_traffic", "month_date", lambda read, m: views.station_monthly_traffic(facts, t.sm, t.stops, m), ("station_passenger_history",)),
+        View("hourly_traffic_patterns", "month_date", lambda read, m: views.hourly_traffic_patterns(facts(m), t.sm), ("station_passenger_history",)),
+        View("district_monthly_traffic", "month_date", lambda read, m: views.district_monthly_traffic(facts(m), t.sm, m), ("station_passenger_history",)),
+        View("station_monthly_traffic", "month_date", lambda read, m: views.station_monthly_traffic(facts(m), t.sm, t.stops, m), ("station_passenger_history",)),
         View("city_hourly_patterns", "month_date", lambda read, m: views.city_hourly_patterns(read("hourly_traffic_patterns")), ("hourly_traffic_patterns",)),
-        View(hourly, "month_date", lambda read, m: views.station_hourly_patterns(facts, t.sm, t.stops, m), ("station_passenger_history",)),
+        View(hourly, "month_date", lambda read, m: views.station_hourly_patterns(facts(m), t.sm, t.stops, m), ("station_passenger_history",)),
         View("commuter_scores", "analysis_month", score(scores.commuter_scores), ("station_passenger_history", "section_passenger_history", hourly)),
         View("tourism_scores", "analysis_month", score(scores.tourism_scores), ("station_passenger_history", "section_passenger_history", hourly)),
         View("vulnerable_scores", "analysis_month", score(scores.vulnerable_scores), ("station_passenger_history", "section_passenger_history", hourly)),

@@ -1,10 +1,12 @@
 """Monthly views: late rows, order of dependence, interrupted refreshes, other sessions."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
+from headway.plans.stored import month_rows
 from headway.session import scratch
 from headway.sources.stored_views import MonthlyViews, View, in_order, month_prints
 
@@ -148,3 +150,24 @@ def test_several_months_are_replaced_by_one_commit(spark, held):
     assert totals(held) == [(JAN, "c", "4"), (FEB, "a", "8"), (MAR, "c", "6")]
     last = held.log().filter("source = 'by hand'").collect()
     assert len(last) == 2 and len({r.seq for r in last}) == 1 and sorted(r.rows for r in last) == [1, 1]
+
+
+def test_month_rows_are_written_once(spark):
+    base = spark.createDataFrame([(dt.date(2024, 1, 31), 1), (dt.date(2024, 2, 1), 2)], "record_date date, n bigint")
+    of = month_rows("test", base)
+    with ThreadPoolExecutor(4) as jobs:
+        frames = list(jobs.map(of, [JAN] * 4))
+    assert len({f.inputFiles()[0] for f in frames}) == 1 and [r.n for r in of(JAN).collect()] == [1]
+    assert [r.n for r in of(FEB).collect()] == [2] and of(MAR).count() == 0
+
+
+def test_views_of_a_month_share_its_facts(spark):
+    from headway.plans.stored import monthly_views
+    from headway.sources.mapping import TransitTables
+
+    t = TransitTables(spark, "/root/testdata/sf0.001")
+    by_name = {v.name: v for v in monthly_views(t)}
+    hourly = by_name["station_hourly_patterns"].build(lambda name: None, JAN)
+    for name in ("commuter_scores", "tourism_scores", "vulnerable_scores", "district_monthly_traffic"):
+        files = by_name[name].build(lambda _: hourly, JAN).inputFiles()
+        assert any("month-facts" in f for f in files) and not any("events" in f for f in files)
