@@ -9,7 +9,7 @@ from headway.operators import daily_features as daily
 from headway.operators import score_queries as sq
 from headway.operators import scores
 from headway.plans.registry import define, register
-from headway.plans.stored import stored
+from headway.plans.stored import ensure, stored
 from headway.plans.traffic import chain
 from headway.plans.views import shp
 from headway.sources.mapping import MONTH
@@ -106,6 +106,7 @@ def vulnerable(t):
 
 
 def models(t):
+    ensure(t, ("commuter_scores", "tourism_scores", "vulnerable_scores"))
     return {"commuter": commuter(t), "tourism": tourism(t), "vulnerable": vulnerable(t)}
 
 

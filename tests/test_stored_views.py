@@ -171,3 +171,15 @@ def test_views_of_a_month_share_its_facts(spark):
     for name in ("commuter_scores", "tourism_scores", "vulnerable_scores", "district_monthly_traffic"):
         files = by_name[name].build(lambda _: hourly, JAN).inputFiles()
         assert any("month-facts" in f for f in files) and not any("events" in f for f in files)
+
+
+def test_models_are_built_together(spark, monkeypatch):
+    from headway.plans import scores, stored
+    from headway.sources.mapping import TransitTables
+
+    built = []
+    monkeypatch.setattr(stored, "_OPEN", {})
+    monkeypatch.setattr(MonthlyViews, "build", lambda self, months, names, prints: built.append(sorted(names)))
+    monkeypatch.setattr(MonthlyViews, "read", lambda self, name, month=None: spark.range(1))
+    scores.models(TransitTables(spark, "/root/testdata/sf0.001"))
+    assert built[0] == ["commuter_scores", "station_hourly_patterns", "tourism_scores", "vulnerable_scores"]
