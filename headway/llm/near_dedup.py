@@ -25,6 +25,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 DOUBT = 8.0
 #: Documents and shingles of one block of a family; larger families meet in pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 128, 1_000_000
+#: Bytes of text whose shingles are laid out at a time.
+PIECE = 1 << 18
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in pieces(as_array(batch.column(1)), 1 << 20):
+            for start, texts in pieces(as_array(batch.column(1)), PIECE):
                 value, bounds = shingles(texts, words)
                 n = np.diff(bounds)
                 got = registers(value, bounds)
@@ -257,7 +259,7 @@ def linked_sets(every: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in pieces(as_array(batch.column(1)), 1 << 20):
+            for start, texts in pieces(as_array(batch.column(1)), PIECE):
                 value, at = shingles(texts, words)
                 yield pa.record_batch(
                     [batch.column(0).slice(start, len(texts)), *set_keys(value, at), pa.array([value[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())],

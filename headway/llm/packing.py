@@ -8,7 +8,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -219,9 +218,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def slots(spark: SparkSession, runs: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
-    """One row per planned slot (length, rank, sequence_id, offset), expanded in two bounded steps."""
-    frame = pd.DataFrame(runs, columns=["length", "rank0", "items", "first", "each", "base"]).astype("int64")
-    rows = spark.createDataFrame(frame, "length bigint, rank0 bigint, items bigint, first bigint, each bigint, base bigint")
+    """One row per planned slot (length, rank, sequence_id, offset), expanded in two bounded steps.
+
+    An Arrow table becomes rows without Python workers; Spark takes what becomes of it for small, so the
+    slots are hinted to be merged.
+    """
+    names = ["length", "rank0", "items", "first", "each", "base"]
+    rows = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in zip(*runs, strict=True)], names))
     rows = rows.withColumn("_part", F.explode(F.expr("sequence(0L, (items - 1) div %d)" % RUN)))
     rows = rows.repartition("length", "rank0", "_part")
     rows = rows.withColumn("_i", F.explode(F.expr("sequence(_part * %d, least(items, (_part + 1) * %d) - 1)" % (RUN, RUN))))
@@ -230,7 +233,7 @@ def slots(spark: SparkSession, runs: list[tuple[int, int, int, int, int, int]])
         (F.col("rank0") + F.col("_i")).alias("rank"),
         F.expr("first + _i div each").alias("sequence_id"),
         F.expr("base + _i % each * length").alias("offset"),
-    )
+    ).hint("merge")
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

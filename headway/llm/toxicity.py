@@ -27,6 +27,8 @@ ERRORS, DRIFT = 2.5, 0.25
 E_VALUE = 0.05
 THRESHOLD = 0.7
 CAP = 60.0
+#: Bytes of text that are laid out at a time: each takes about 60 bytes of arrays while words are hashed.
+PIECE = 1 << 18
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +69,15 @@ def segments(weights: list[float], places: list[int], drift: float) -> list[tupl
 
 @dataclass
 class ToxicityModel:
-    """Weight of each bucket and whether it has enough words, decay and scale of chance scores, and the
-    curve from evidence to score."""
+    """Whether a bucket has enough words, the buckets that speak for toxicity (ascending, then one beyond all)
+    with their weights, decay and scale of chance scores, and the curve from evidence to score.
+
+    Every other bucket weighs ``-DRIFT``. Each task gets the model, so it holds no array of all weights.
+    """
 
-    weights: np.ndarray
     known: np.ndarray
+    hot: np.ndarray
+    weights: np.ndarray
     decay: float
     scale: float
     slope: float = 1.0
@@ -79,7 +85,9 @@ class ToxicityModel:
 
     def word_weights(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         word, stem, bounds = buckets(texts)
-        return np.where(self.known[word], self.weights[word], self.weights[stem]), bounds
+        of = np.where(self.known[word], word, stem)
+        at = np.searchsorted(self.hot, of)
+        return np.where(self.hot[at] == of, self.weights[at], np.float32(-DRIFT)), bounds
 
     def passages(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float, float]]]]:
         """Number of words and significant passages (first word, last word, score, e-value) of each text."""
@@ -139,31 +147,34 @@ def chance_decay(weights: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (text, y) of each kind that hold a bucket, as a word or a stem, and at bucket -1 all of them."""
+    total = np.zeros(2 << BITS, np.int32)  # a task counts the documents of a bounded sample
+    docs = np.zeros(2, np.int64)
+    for batch in batches:
+        labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for start, texts in pieces(as_array(batch.column(0)), PIECE):
+            y = labels[start : start + len(texts)]
+            word, stem, bounds = buckets(texts)
+            row = owners(bounds) << BITS
+            once = np.unique(np.concatenate([row | word, row | stem]))
+            at, n = np.unique(y[once >> BITS] << BITS | once & ((1 << BITS) - 1), return_counts=True)
+            total[at] += n.astype(np.int32)
+            docs += np.bincount(y, minlength=2)
+    clean, toxic = total.reshape(2, 1 << BITS)
+    seen = np.flatnonzero((clean != 0) | (toxic != 0))
+    counts = [pa.array(x[seen].astype(np.int64)) for x in (toxic, clean)]
+    yield pa.record_batch([pa.array(seen), *counts], ["bucket", "toxic", "clean"])
+    yield pa.record_batch([pa.array([-1]), pa.array(docs[1:]), pa.array(docs[:1])], ["bucket", "toxic", "clean"])
+
+
 def fit(sample: DataFrame) -> ToxicityModel:
-    """Fit on a stored sample (text, y): counts, then chance scores, then the curve, each from the tasks.
+    """Fit on a stored sample (text, y: 0 or 1): counts, then chance scores, then the curve, each from the tasks.
 
     What reaches the driver is bounded by the number of buckets, not by the sample. Words and
     stems count once a document; those of fewer than ``LEAST`` documents are left at the neutral weight. Without labels of both kinds the model finds nothing and scores 0.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
-        docs = np.zeros(2, np.int64)
-        for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for start, texts in pieces(as_array(batch.column(0))):
-                y = labels[start : start + len(texts)]
-                word, stem, bounds = buckets(texts)
-                row = owners(bounds) << BITS
-                once = np.unique(np.concatenate([row | word, row | stem]))
-                of = y[once >> BITS]
-                for k in (0, 1):
-                    total[k] += np.bincount(once[of == k] & ((1 << BITS) - 1), minlength=1 << BITS)
-                docs += np.bincount(y, minlength=2)[:2]
-        seen = np.flatnonzero(total.sum(0))
-        yield pa.record_batch([pa.array(seen), pa.array(total[1][seen]), pa.array(total[0][seen])], ["bucket", "toxic", "clean"])
-        yield pa.record_batch([pa.array([-1]), pa.array(docs[1:]), pa.array(docs[:1])], ["bucket", "toxic", "clean"])
-
     schema = "bucket bigint, toxic bigint, clean bigint"
     rows = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(count, schema)
     rows = rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -175,15 +186,22 @@ def fit(sample: DataFrame) -> ToxicityModel:
     clean[at[real]] = rows.column("clean").to_numpy()[real]
     docs = [int(rows.column(k).to_numpy()[~real].sum()) for k in ("clean", "toxic")]
     if not min(docs) or not toxic.sum() or not clean.sum():
-        return ToxicityModel(np.full(1 << BITS, -DRIFT, np.float32), np.zeros(1 << BITS, bool), 1.0, 1.0, 0.0, -700.0)
+        return ToxicityModel(np.zeros(1 << BITS, bool), np.array([1 << BITS]), np.array([-DRIFT], np.float32), 1.0, 1.0, 0.0, -700.0)
     odds, share = log_odds(toxic, clean)
     weights = np.where(odds > 0, odds, 0) - DRIFT
-    model = ToxicityModel(weights.astype(np.float32), toxic + clean >= LEAST, chance_decay(weights, share), 1.0)
+    hot = np.flatnonzero(odds > 0)
+    model = ToxicityModel(
+        toxic + clean >= LEAST,
+        np.append(hot, 1 << BITS),
+        np.append(weights[hot], -DRIFT).astype(np.float32),
+        chance_decay(weights, share),
+        1.0,
+    )
 
     def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = mass = 0.0
         for batch in batches:
-            for _, texts in pieces(as_array(batch.column(0))):
+            for _, texts in pieces(as_array(batch.column(0)), PIECE):
                 for words, found in model.best_scores(texts):
                     n += 1
                     mass += words * float(np.exp(-model.decay * found))
@@ -197,7 +215,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
         total = np.zeros((2, int(CAP) * 4 + 1), np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for start, texts in pieces(as_array(batch.column(0))):
+            for start, texts in pieces(as_array(batch.column(0)), PIECE):
                 for i, (_, found) in enumerate(model.passages(texts)):
                     total[labels[start + i], round(model.evidence(found) * 4)] += 1
         k, x = np.nonzero(total)
@@ -238,7 +256,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in pieces(as_array(batch.column(1))):
+            for start, texts in pieces(as_array(batch.column(1)), PIECE):
                 found = [p for _, p in model.passages(texts)]
                 scores = [model.score(model.evidence(p)) for p in found]
                 yield pa.record_batch(
@@ -267,7 +285,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [model.score(model.evidence(p)) < threshold for _, texts in pieces(as_array(batch.column(at))) for _, p in model.passages(texts)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for start, texts in pieces(as_array(batch.column(at)), PIECE):
+                keep = [model.score(model.evidence(p)) < threshold for _, p in model.passages(texts)]
+                yield batch.slice(start, len(texts)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
