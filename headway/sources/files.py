@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Callable, Iterator
+from itertools import batched
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +18,8 @@ from pyspark.sql import types as T
 from headway.operators.cleansing import CITY, dong_from_full_name
 from headway.schemas import OD_CSV_COLUMNS
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BOM = "﻿"
 
 
@@ -131,11 +142,20 @@ def validate_geojson(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("errors", F.coalesce(none, lacking)).withColumn("valid", F.size("errors") == 0)
 
 
+#: Files that a task reads; folders that the driver lists itself; text that leaves a task at once.
+TASK_FILES, DRIVER_FOLDERS, BATCH_BYTES = 2000, 32, 1 << 20
+
+
 def read_text_docs(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:
-    """Every text file below ``path`` as one row."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    )
+    """Every text file below ``path`` as one row.
+
+    Where Arrow knows the file system, tasks list the folders and read the files; the driver knows folders and the number
+    of files only. Spark's own reader, for all other paths, keeps every file on the driver and counts each as 4 MB of work, so
+    small files make a task for a few of them.
+    """
+    files = _listed_files(spark, path, glob)
+    if files is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         "path",
@@ -144,3 +164,92 @@ def read_text_docs(spark: SparkSession, path: str, glob: str = "*.{txt,md}") ->
         F.decode("content", "UTF-8").alias("text"),
         F.md5("content").alias("file_hash"),
     )
+
+
+def _listed_files(spark: SparkSession, path: str, glob: str) -> DataFrame | None:
+    """(path, content) of the files below a folder that Arrow can list, else None."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    if any(c in path for c in "*?[]{}\\,"):
+        return None
+    root = hadoop.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    try:
+        system, own = fs.FileSystem.from_uri(_uri(root))
+        if system.get_file_info(own).type != fs.FileType.Directory:
+            return None
+    except (pa.ArrowException, OSError):
+        return None
+    pattern = hadoop.GlobPattern(glob).compiled().pattern()
+    folders, found, level = [], 0, [root]
+    while level:
+        if len(level) <= DRIVER_FOLDERS:
+            counted = [_counted(f, pattern) for f in level]
+        else:
+            counted = _spread(spark, "folder", level).mapInArrow(_mapped(_counted, pattern, ["found", "below"]), "found long, below array<string>").collect()
+        level = [f for _, below in counted for f in below]
+        folders += [f for f in level]
+        found += sum(n for n, _ in counted)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-found // TASK_FILES))
+    paths = _spread(spark, "folder", [root, *folders]).mapInArrow(_mapped(_paths, pattern, ["path"]), "path string")
+    return paths.repartition(tasks, "path").mapInArrow(_contents, "path string, content binary")
+
+
+def _uri(path: str) -> str:
+    """Hadoop writes local paths with one slash, and no path of it is encoded."""
+    scheme, rest = path.split(":", 1)
+    return f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest)}"
+
+
+def _spread(spark: SparkSession, name: str, items: list[str]) -> DataFrame:
+    frame = spark.createDataFrame(pa.table({name: pa.array(items, pa.string())}))
+    return frame.repartition(min(len(items), 4 * spark.sparkContext.defaultParallelism))
+
+
+def _listing(folder: str) -> list[tuple[str, bool]]:
+    """Names in a folder that Spark would read, which leaves out empty files, and whether they are folders."""
+    system, own = fs.FileSystem.from_uri(_uri(folder))
+    seen = [(f.base_name, f.type == fs.FileType.Directory) for f in system.get_file_info(fs.FileSelector(own)) if f.size != 0]
+    return sorted((n, d) for n, d in seen if n.startswith(("_metadata", "_common_metadata")) or not re.match(r"\.|_[^=]*$", n) and not n.endswith("._COPYING_"))
+
+
+def _counted(folder: str, pattern: str) -> tuple[int, list[str]]:
+    names = _listing(folder)
+    return sum(not d and re.fullmatch(pattern, n, re.DOTALL) is not None for n, d in names), [f"{folder.rstrip('/')}/{n}" for n, d in names if d]
+
+
+def _paths(folder: str, pattern: str) -> Iterator[str]:
+    return (f"{folder.rstrip('/')}/{n}" for n, d in _listing(folder) if not d and re.fullmatch(pattern, n, re.DOTALL))
+
+
+def _mapped(make: Callable, pattern: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function: rows made of each folder, one row of several columns or rows of one."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                made = make(folder, pattern)
+                if len(names) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([made[0]], pa.int64()), pa.array([made[1]], pa.list_(pa.string()))], names)
+                else:
+                    for some in batched(made, 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names)
+
+    return mapped
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+    rows, size = [], 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            system, own = fs.FileSystem.from_uri(_uri(path))
+            with system.open_input_file(own) as f:
+                rows.append((path, f.read()))
+            size += len(rows[-1][1])
+            if size >= BATCH_BYTES:
+                yield packed(rows)
+                rows, size = [], 0
+    if rows:
+        yield packed(rows)

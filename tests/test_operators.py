@@ -837,6 +837,31 @@ def test_landed_texts_are_one_file_a_document_in_small_folders(spark, tmp_path,
     assert sorted(len(list(f.glob("*.txt"))) for f in folders) == [2, 4]
 
 
+def test_small_texts_share_tasks(spark, tmp_path):
+    """The rows of Spark's reader, whatever the names, without a task for every few files."""
+    from headway.sources import files
+
+    for folder in ("a", "a/deep er/x%20y", "b=1", "_hidden", ".hidden", "_k=2", "한글", *(f"many/{i}" for i in range(40))):
+        (tmp_path / folder).mkdir(parents=True)
+        for name in ("one.txt", "two #?.md", "three.TXT", "four.csv", "_five.txt", ".six.md", "seven.tar.txt", "8.txt._COPYING_"):
+            (tmp_path / folder / name).write_text(f"{folder} {name} 글")
+    (tmp_path / "a" / "empty.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(str(tmp_path))
+        want = sorted((r.path, bytes(r.content).decode()) for r in raw.collect())
+        for found in (files.read_text_docs(spark, str(tmp_path)), files.read_text_docs(spark, f"file://{tmp_path}/")):
+            assert sorted((r.path, r.text) for r in found.collect()) == want and len(want) == 135
+            assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < raw.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one = tmp_path / "a" / "one.txt"
+    assert [r.text for r in files.read_text_docs(spark, str(one)).collect()] == [one.read_text()]
+    assert files.read_text_docs(spark, f"{tmp_path}/many/{{1,2}}").count() == 6
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_text_docs(spark, f"{tmp_path}/none")
+
+
 def test_hours_of_a_section_are_merged_before_they_move(spark):
     from headway.plans.ingest import SECTION, by_hour
 
