@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
-from array import array
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -26,8 +26,14 @@ DOC_ROWS = 20_000  # documents of one piece
 CELLS = 16  # pivots of the vector space: more of them skip more, but each vector is compared with each
 SLACK = 1e-6  # radians by which a bound is widened, far above rounding
 FOUND = "query_id long, doc_id long, similarity double"
-TEXT_ROWS = 16_384  # documents of one piece of the keyword search
-QUESTION_ROWS = 131_072  # questions of one block of it
+TEXT_ROWS = 49_152  # documents of one piece of the keyword search
+QUESTION_ROWS = 524_288  # questions of one block of it
+ASKED_ROWS = 16_384  # questions that a task holds at once
+LEAST = 6  # rare words that two texts must share before their frequent ones are looked up
+FREQUENT = 4096  # words of a piece that are kept as bits
+STEP = 64  # places between two marks in the list of a frequent word
+LOOKUPS = 1_000_000  # about so many words are looked up at once
+EVEN = 1e-6  # scores that differ by less are left to Spark
 BATCH = 100_000  # pairs that a task holds before they leave it
 PAIRS = "query_id long, doc_id long, common int, asked int, held int, boost double"
 PAIR_FIELDS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("common", pa.int32()), ("asked", pa.int32()), ("held", pa.int32()), ("boost", pa.float64())])
@@ -194,22 +200,27 @@ def keyword_candidates(questions: DataFrame, documents: DataFrame, percent: int
     return keyword_overlaps(questions, documents, percent).select("query_id", "doc_id")
 
 
-def keyword_overlaps(questions: DataFrame, documents: DataFrame, percent: int = 10, rows: int = TEXT_ROWS, block: int = QUESTION_ROWS) -> DataFrame:
+def keyword_overlaps(
+    questions: DataFrame, documents: DataFrame, percent: int = 10, rows: int = TEXT_ROWS, block: int = QUESTION_ROWS, best: int | None = None
+) -> DataFrame:
     """All pairs whose word sets overlap in at least ``percent`` of their union, with the counted words.
 
     ``questions`` has (query_id, query), ``documents`` (doc_id, text) and optionally boost. A pair is
     (query_id, doc_id, common, asked, held, boost): common words, words of either side. Documents are cut into
-    pieces of about ``rows``, questions into blocks of about ``block``; a piece meets a block as one group, where
-    an index of the block's words to the piece's documents counts the common words of each question, so no pair
-    below the share ever becomes a row. Documents whose number of words fits no question don't move. The
-    number of pairs to compare grows with questions times documents; memory is bounded by the two sizes, and what
+    pieces of about ``rows``, questions into blocks of about ``block``; a piece meets a block as one group, its
+    documents first: they are indexed, and the questions stream past the index, so no pair below the share ever
+    becomes a row. Documents whose number of words fits no question don't move. The number of pairs to
+    compare grows with questions times documents; memory is bounded by a piece, and what
     moves by documents times blocks plus questions times pieces. Texts without words pair with nothing.
+
+    With ``best``, a pair is left out if ``best`` other pairs of its question have a higher score in ``rerank``, where the
+    documents' column bonus (``rank_bonus``) is what the score has besides the words. All pairs are counted for that.
     """
-    boost = F.col("boost") if "boost" in documents.columns else F.lit(0.0)
+    boost, bonus = (F.col(c).cast("double") if c in documents.columns else F.lit(0.0) for c in ("boost", "bonus"))
     asked = questions.select("query_id", words(F.col("query")).alias("_w"))
     asked = asked.select("query_id", F.size("_w").alias("n"), F.array_join("_w", " ").alias("words"))
-    known = documents.select("doc_id", boost.cast("double").alias("boost"), words(F.col("text")).alias("_w"))
-    known = known.select("doc_id", "boost", F.size("_w").alias("n"), F.array_join("_w", " ").alias("words"))
+    known = documents.select("doc_id", boost.alias("boost"), bonus.alias("bonus"), words(F.col("text")).alias("_w"))
+    known = known.select("doc_id", "boost", "bonus", F.size("_w").alias("n"), F.array_join("_w", " ").alias("words"))
     span = one_row(questions.select(F.size(words(F.col("query"))).alias("n")).filter("n > 0").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("all")), "lo", "hi", "all")
     blocks = F.greatest(F.lit(1), F.ceil(span.getField("all") / block)).cast("int")
     pieces = F.greatest(F.lit(1), F.ceil(one_row(documents.agg(F.count(F.lit(1)).alias("all")), "all").getField("all") / rows)).cast("int")
@@ -221,65 +232,209 @@ def keyword_overlaps(questions: DataFrame, documents: DataFrame, percent: int =
         out = side.select("*", own.cast("int").alias("_own"), F.explode_outer(met).alias("_met")).filter("_met IS NOT NULL")
         return out.select(F.col("_own").alias(names[0]), F.col("_met").alias(names[1]), *names[2:], "n", "words")
 
-    d = dealt(known, (F.col("n") > 0) & fits, F.pmod(F.xxhash64("doc_id"), pieces), blocks, "piece", "block", "doc_id", "boost")
+    d = dealt(known, (F.col("n") > 0) & fits, F.pmod(F.xxhash64("doc_id"), pieces), blocks, "piece", "block", "doc_id", "boost", "bonus")
     q = dealt(asked, F.col("n") > 0, F.pmod(F.xxhash64("query_id"), blocks), pieces, "block", "piece", "query_id")
-    sides = d.select("piece", "block", F.lit(False).alias("asks"), F.col("doc_id").alias("id"), "boost", "n", "words").unionByName(
-        q.select("piece", "block", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.lit(0.0).alias("boost"), "n", "words")
+    sides = d.select("piece", "block", F.lit(False).alias("asks"), F.col("doc_id").alias("id"), "boost", "bonus", "n", "words").unionByName(
+        q.select("piece", "block", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.lit(0.0).alias("boost"), F.lit(0.0).alias("bonus"), "n", "words")
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _overlaps(batches, percent)
+        return _overlaps(batches, percent, best)
 
     kinds = {f.name: f.dataType.simpleString() for frame in (questions, documents) for f in frame.schema.fields}
+    sides = sides.repartition("piece", "block").sortWithinPartitions("piece", "block", "asks")  # the groups keep this order
     pairs = sides.groupBy("piece", "block").applyInArrow(meet, PAIRS)
     ids = [F.col(c).cast(kinds[c]).alias(c) for c in ("query_id", "doc_id")]
     return pairs.select(*ids, "common", "asked", "held", "boost")
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one piece and one block, in batches of about ``BATCH`` rows.
-
-    Documents lie by number of words; the list of a word holds their places. For one question, the
-    places in the lists of its words, counted, are the common words.
-    """
-    parts: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
-    for batch in batches:
-        for asks in parts:
-            parts[asks].append(batch.filter(pc.equal(batch["asks"], asks)))
-    if not parts[True]:
-        return
-    asked, known = (pa.Table.from_batches(parts.pop(asks)).sort_by("n") for asks in (True, False))
-    if not len(asked) or not len(known):
-        return
-    number: dict[str, int] = {}
-    wanted = [[number.setdefault(w, len(number)) for w in x.as_py().split(" ")] for x in asked["words"]]
-    held = known["n"].to_numpy()
-    found = [array("i", (number[w] for w in x.as_py().split(" ") if w in number)) for x in known["words"]]
-    places = np.repeat(np.arange(len(found), dtype="int32"), [len(f) for f in found])
-    terms = np.frombuffer(b"".join(found), dtype="int32")
-    places = places[np.argsort(terms, kind="stable")]
-    ends = np.cumsum(np.bincount(terms, minlength=len(number)))
-    starts = np.concatenate([[0], ends[:-1]])
-    doc_ids, boosts = known["id"].to_numpy(), known["boost"].to_numpy()
-    ready, size, last, needed = [], 0, None, None
-    for query_id, n, ws in zip(asked["id"].to_numpy(), asked["n"].to_numpy(), wanted):
-        if n != last:
-            last, needed = n, -(-(n + held.astype("int64")) * percent // (100 + percent))
-            needed = np.maximum(needed, 1)
-        counts = np.bincount(np.concatenate([places[starts[w] : ends[w]] for w in ws]), minlength=len(held))
-        hit = np.flatnonzero(counts >= needed)
-        if len(hit):
-            ready.append((np.full(len(hit), query_id), doc_ids[hit], counts[hit].astype("int32"), np.full(len(hit), n, dtype="int32"), held[hit], boosts[hit]))
-            size += len(hit)
-        if size >= BATCH:
-            yield _batch(ready)
-            ready, size = [], 0
+def _overlaps(batches: Iterator[pa.RecordBatch], percent: int, best: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of one piece and one block, in batches of about ``BATCH`` rows; the documents come first."""
+    builder, index = _Builder(), None
+    waiting: list[pa.RecordBatch] = []
+    ready, size, begun = [], 0, False
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            known = batch.filter(pc.invert(batch["asks"]))
+            if len(known):
+                if begun:
+                    raise ValueError("a document follows the questions of its group")
+                builder.add(known)
+            asked = batch.filter(batch["asks"])
+            if len(asked):
+                waiting.append(asked)
+                begun = True
+            if sum(map(len, waiting)) < ASKED_ROWS:
+                continue
+        if not waiting or not (index or builder.parts):
+            waiting = []
+            continue
+        index = index or builder.built(percent, best)
+        for found in index.search(pa.Table.from_batches(waiting)):
+            ready.append(found)
+            size += len(found)
+            if size >= BATCH:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready, size = [], 0
+        waiting = []
     if ready:
-        yield _batch(ready)
+        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+
+
+class _Builder:
+    """Words of a piece's documents as numbers, batch by batch, so the texts need not stay."""
 
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.vocabulary: list[pa.Array] = []
+
+    def add(self, known: pa.RecordBatch) -> None:
+        terms = pc.split_pattern(known["words"], " ").flatten().dictionary_encode()
+        self.vocabulary.append(terms.dictionary)
+        self.parts.append((known["id"], known["n"].to_numpy(), terms.indices.to_numpy(), known["boost"].to_numpy(), known["bonus"].to_numpy()))
+
+    def built(self, percent: int, best: int | None) -> _Index:
+        whole = pa.concat_arrays(self.vocabulary).dictionary_encode()
+        numbers, at, terms = whole.indices.to_numpy(), 0, []
+        for own, part in zip(self.vocabulary, self.parts):
+            terms.append(numbers[at : at + len(own)][part[2]])
+            at += len(own)
+        self.vocabulary = []
+        ids, (held, boosts, bonuses) = pa.concat_arrays([p[0] for p in self.parts]), (np.concatenate([p[k] for p in self.parts]) for k in (1, 3, 4))
+        self.parts = []
+        return _Index(percent, best, whole.dictionary, np.concatenate(terms), ids, held, boosts, bonuses)
+
+
+class _Index:
+    """Documents by number of words, and for each word the places of the documents that hold it.
+
+    A question of n words and a document of m share enough if they have t = ceil((n + m) share / (1 + share)) words
+    in common. At least ``LEAST`` of them (or all t) are among the n - t + ``LEAST`` words of the question that fewest
+    documents hold. So only these are counted for the document: from the list of a frequent word, the documents up to a
+    length are taken. The question's other words are looked up for the few documents that had enough of the first ones.
+    """
 
-def _batch(ready: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready)], schema=PAIR_FIELDS)
+    def __init__(
+        self, percent: int, best: int | None, vocabulary: pa.Array, terms: np.ndarray, ids: pa.Array, held: np.ndarray, boosts: np.ndarray, bonuses: np.ndarray
+    ) -> None:
+        order = np.argsort(held, kind="stable")
+        place = np.empty(len(held), dtype="int64")
+        place[order] = np.arange(len(held))
+        self.percent, self.best, self.vocabulary = percent, best, vocabulary
+        self.ids, self.held, self.boosts = ids.take(pa.array(order)), held[order].astype("int64"), boosts[order]
+        self.bonuses = bonuses[order]
+        lists = terms.astype("int64") * len(held) + np.repeat(place, held)
+        lists.sort()
+        lists %= len(held)
+        self.places = lists.astype("int32")
+        counts = np.bincount(terms, minlength=len(vocabulary))
+        # a word that no document holds, the last one, has an empty list
+        self.counts, self.starts = np.append(counts, 0), np.concatenate([[0], np.cumsum(counts), [len(lists)]])
+        frequent = np.argsort(-counts, kind="stable")[:FREQUENT]
+        self.row = np.full(len(vocabulary) + 1, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        # for each frequent word, the documents that hold it as bits, and how many lie before each ``STEP``-th place
+        self.bits = np.zeros((len(frequent), -(-len(held) // 8)), dtype="uint8")
+        self.before = np.zeros((len(frequent), -(-len(held) // STEP) + 1), dtype="int32")
+        marks = np.arange(self.before.shape[1]) * STEP
+        for i, w in enumerate(frequent):
+            own = self.places[self.starts[w] : self.starts[w + 1]]
+            has = np.zeros(len(held), dtype="bool")
+            has[own] = True
+            self.bits[i] = np.packbits(has, bitorder="little")
+            self.before[i] = np.searchsorted(own, marks)
+
+    def search(self, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of these questions, in batches."""
+        p, asked = self.percent, asked.sort_by("n").combine_chunks()
+        ids, n = asked["id"].combine_chunks(), asked["n"].to_numpy().astype("int64")
+        first = np.cumsum(n) - n
+        words = pc.index_in(pc.split_pattern(asked["words"].combine_chunks(), " ").flatten(), value_set=self.vocabulary)
+        words = pc.fill_null(words, len(self.vocabulary)).to_numpy().astype("int64")
+        owner = np.repeat(np.arange(len(n)), n)
+        words = words[np.lexsort((words, self.counts[words], owner))]
+        # each word by rank is counted for the documents before a place: a frequent one up to a length, a rare one for all
+        within = np.minimum(n[owner], n[owner] - (np.arange(len(words)) - first[owner]) + LEAST - 1)
+        steps = -(-np.searchsorted(self.held, self._longest(within, n[owner]), side="right") // STEP)
+        row, starts = self.row[words], self.starts[words]
+        upto = np.where(row < 0, len(self.held), steps * STEP)
+        ends = np.where(row < 0, self.starts[words + 1], starts + self.before[row, steps])
+        listed = ends > starts
+        filled = np.concatenate([[0], np.cumsum(listed)])[np.append(first, len(words))].tolist()
+        starts, ends = starts[listed], ends[listed]
+        del owner, within, steps, row, listed
+        lows = np.searchsorted(self.held, -(-n * p // 100)).tolist()
+        highs = np.searchsorted(self.held, self._longest(n, n), side="right").tolist()
+        counts = np.zeros(len(self.held), dtype="uint8" if len(n) and n[-1] < 256 else "int32")
+        one, found, size, last = counts.dtype.type(1), [], 0, -1
+        for i, (x, y, low, high) in enumerate(zip(filled, filled[1:], lows, highs)):
+            if x == y or low >= high:
+                continue
+            if n[i] != last:
+                last, fits = n[i], counts[low:high]
+                enough = np.minimum(self._needed(last, self.held[low:high]), LEAST).astype(counts.dtype)
+            np.add.at(counts, np.concatenate([self.places[a:b] for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist())]), one)
+            hit = (fits >= enough).nonzero()[0]
+            if len(hit):
+                found.append((i, hit + low, fits[hit]))
+                size += len(hit) * int(last)
+            counts.fill(0)
+            if size >= LOOKUPS:
+                yield self._checked(ids, n, first, words, upto, found)
+                found, size = [], 0
+        if found:
+            yield self._checked(ids, n, first, words, upto, found)
+
+    def _needed(self, n, m):
+        return np.maximum(1, -(-(n + m) * self.percent // (100 + self.percent)))
+
+    def _longest(self, common, n):
+        """Words of the longest document that a question of n words needs no more than so many common ones for."""
+        return common * (100 + self.percent) // self.percent - n if self.percent else np.full_like(n, 1 << 62)
+
+    def _checked(self, ids: pa.Array, n: np.ndarray, first: np.ndarray, words: np.ndarray, upto: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+        """The words not counted yet are added to the counts; pairs that have enough."""
+        question = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+        place, common = (np.concatenate([f[k] for f in found]).astype("int64") for k in (1, 2))
+        needed = self._needed(n[question], self.held[place])
+        others = np.maximum(needed - LEAST, 0)
+        pair = np.repeat(np.arange(len(place)), others)
+        at = np.repeat((first + n - 1)[question] + np.cumsum(others) - others, others) - np.arange(len(pair))
+        where = place[pair]
+        held = self.bits[self.row[words[at]], where >> 3] >> (where & 7).astype("uint8") & 1 > 0
+        common += np.bincount(pair[held & (where >= upto[at])], minlength=len(place))
+        hit = np.flatnonzero(common >= needed)
+        question, place, common = question[hit], place[hit], common[hit]
+        if self.best is not None:
+            hit = self._best(question, place, common, n[question])
+            question, place, common = question[hit], place[hit], common[hit]
+        return pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(question)),
+                self.ids.take(pa.array(place)),
+                pa.array(common, pa.int32()),
+                pa.array(n[question], pa.int32()),
+                pa.array(self.held[place], pa.int32()),
+                pa.array(self.boosts[place], pa.float64()),
+            ],
+            schema=PAIR_FIELDS,
+        )
+
+    def _best(self, question: np.ndarray, place: np.ndarray, common: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Pairs that may be among a question's best: the scores of Spark decide, these only leave out what is clearly lower."""
+        semantic = np.minimum(1.0, common / (asked + self.held[place] - common) + self.boosts[place])
+        score = np.minimum(1.0, semantic * (WEIGHTS["relevance"] + WEIGHTS["semantic"]) + self.bonuses[place])
+        order = np.lexsort((-score, question))
+        new = np.append(True, question[order][1:] != question[order][:-1])[: len(order)]
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(order))
+        least = score[order][np.minimum(begin + self.best, end) - 1]
+        return np.sort(order[~(score[order] < np.repeat(least - EVEN, end - begin))])
+
+
+def rank_bonus(importance: Column, chunk_type: Column, level: Column, loaded_at: Column) -> Column:
+    """What a document adds to the score of each of its pairs in ``rerank``."""
+    return importance_boost(importance, chunk_type, level) * WEIGHTS["importance"] + freshness(loaded_at) * WEIGHTS["freshness"]
 
 
 def importance_boost(importance: Column, chunk_type: Column, level: Column) -> Column:

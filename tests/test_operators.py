@@ -821,6 +821,64 @@ def test_keyword_overlaps_count_words_in_pieces_and_blocks(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("percent", [0, 10, 40, 100])
+def test_frequent_words_are_not_counted_for_each_document(percent, monkeypatch):
+    """Brute force over one piece, with long questions, words that no document holds, null ids and any order of sizes."""
+    import pyarrow as pa
+
+    for name, value in (("LEAST", 2), ("FREQUENT", 9), ("STEP", 4), ("ASKED_ROWS", 40), ("LOOKUPS", 50), ("BATCH", 20)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(percent)
+    some = lambda n: list(dict.fromkeys(f"w{min(int(rng.zipf(1.3)), 500)}" for _ in range(n)))
+    docs = [some(int(rng.integers(1, 120))) for _ in range(200)]
+    asked = [some(int(rng.integers(1, 30))) for _ in range(90)] + [["no", "such"], ["w1"], docs[3], [f"w{i}" for i in range(1, 400)]]
+
+    def rows(asks, sets):
+        ids = pa.array([None, *range(1, len(sets))], pa.int64())
+        floats = [pa.array([i / 8 for i in range(len(sets))], pa.float64())] * 2
+        columns = [pa.array([asks] * len(sets)), ids, *floats, pa.array(list(map(len, sets)), pa.int32()), pa.array([" ".join(x) for x in sets])]
+        return pa.RecordBatch.from_arrays(columns, ["asks", "id", "boost", "bonus", "n", "words"])
+
+    touched, join = [], np.concatenate
+    monkeypatch.setattr(retrieval.np, "concatenate", lambda x, *a: (touched.append(sum(map(len, x))) if len(x) and getattr(x[0], "dtype", None) == "int32" else None, join(x, *a))[1])
+    given = pa.Table.from_batches([rows(False, docs), rows(True, asked)]).to_batches(max_chunksize=64)
+    found = [tuple(r.values()) for b in retrieval._overlaps(iter(given), percent, None) for r in b.to_pylist()]
+    want = [
+        (i or None, j or None, len(both), len(a), len(d), j / 8)
+        for i, a in enumerate(asked) for j, d in enumerate(docs)
+        if (both := set(a) & set(d)) and 100 * len(both) >= percent * len(set(a) | set(d))
+    ]
+    order = lambda x: [(v is not None, v or 0) for v in x]
+    assert sorted(found, key=order) == sorted(want, key=order) and len(want) >= 1
+    if percent >= 40:
+        assert sum(touched) < sum(len(set(a) & set(d)) for a in asked for d in docs)
+    with pytest.raises(ValueError, match="document follows"):
+        list(retrieval._overlaps(iter([rows(True, asked), rows(False, docs)]), percent, None))
+
+
+def test_only_pairs_that_may_be_the_best_are_ranked(spark):
+    """Ties, scores above 1 and documents that come twice; what is left out never changes the ranks."""
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"w{min(int(rng.zipf(1.4)), 60)}" for _ in range(n))
+    asked = [(i, text(int(rng.integers(1, 12)))) for i in range(40)] + [(40, "w1"), (40, "w2 w1"), (41, None)]
+    texts = [(i, text(int(rng.integers(1, 30)))) for i in range(150)]
+    texts += [(i, "w1 w2") for i in range(150, 180)] + texts[:20]
+    docs = [(i, x, i % 3 / 2, i % 10 / 10, ["title", "list", None][i % 3], i % 5, f"{2022 + i % 4}-03-01") for i, x in texts]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, boost double, importance_score double, chunk_type string, structure_level int, loaded_at string")
+    questions = spark.createDataFrame(asked, "query_id long, query string")
+    shown = docs.drop("text", "boost").distinct()
+    bonus = retrieval.rank_bonus(*map(F.col, ("importance_score", "chunk_type", "structure_level", "loaded_at")))
+
+    def ranked(best):
+        pairs = retrieval.keyword_overlaps(questions, docs.withColumn("bonus", bonus), 10, rows=40, block=20, best=best).join(shown, "doc_id")
+        semantic = retrieval.overlap_score(F.col("common"), F.col("asked"), F.col("held"), F.col("boost"))
+        out = retrieval.rerank(pairs.withColumn("semantic_score", semantic), 3)
+        return pairs.count(), sorted((r.query_id, r["rank"], r.doc_id, r.rerank_score, r.reason) for r in out.collect())
+
+    (every, want), (some, got) = ranked(None), ranked(3)
+    assert got == want and some < every / 2
+
+
 def test_landed_texts_are_one_file_a_document_in_small_folders(spark, tmp_path, monkeypatch):
     import pathlib
 
